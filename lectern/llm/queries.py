@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import simhash, substrings
+from lectern.llm import packing, pu_quality, rules, simhash, substrings, urls
 
-QUERIES = {f.__name__: f for f in (simhash.op6_simhash_near_dedup, substrings.op8_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        urls.op2_url_filters,
+        rules.op4_quality_rules,
+        pu_quality.op5_quality_classifier,
+        simhash.op6_simhash_near_dedup,
+        packing.op7_harmonic_packing,
+        substrings.op8_substring_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.OP2_SQL, "op4_quality_rules": rules.OP4_SQL}
