@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from lectern.llm import packing, pu_quality, rules, simhash, substrings, urls
+from lectern.llm import decontamination, lines, packing, pu_quality, rules, simhash, substrings, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
         urls.op2_url_filters,
+        lines.op3_line_dedup,
         rules.op4_quality_rules,
         pu_quality.op5_quality_classifier,
         simhash.op6_simhash_near_dedup,
         packing.op7_harmonic_packing,
         substrings.op8_substring_dedup,
+        decontamination.op9_benchmark_decontamination,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filters": urls.OP2_SQL, "op4_quality_rules": rules.OP4_SQL}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": urls.OP2_SQL,
+    "op3_line_dedup": lines.OP3_SQL,
+    "op4_quality_rules": rules.OP4_SQL,
+    "op9_benchmark_decontamination": decontamination.OP9_SQL,
+}
