@@ -151,12 +151,12 @@ def _featured(docs: DataFrame, columns: list[str]) -> DataFrame:
         for pdf in batches:
             yield pdf[columns].assign(x=[features(t) for t in pdf["text"]])
 
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInPandas(work, f"{schema}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Network, float]:
-    """Learns from rows with ``learn`` (over doc_id); labels are read of positives only."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Network | None, float]:
+    """Learns from rows with ``learn`` (over doc_id); labels are read of positives only.  (None, 0.5) if there are none."""
     trusted = bounded_sample(labels.where((F.col("quality") == 1) & learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", MAX_POSITIVES)
     others = bounded_sample(docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", MAX_UNLABELLED)
     chosen = checkpointed(trusted.select("doc_id", F.lit(1).alias("p")).union(others.select("doc_id", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u")))
@@ -165,18 +165,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Network, f
     x = np.array(rows["x"].tolist()).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # the same fit in whatever order the rows arrive
     x, p, u = x[order], rows["p"].to_numpy()[order] == 1, rows["u"].to_numpy()[order]
-    return fit(x[p], x[u])
+    return fit(x[p], x[u]) if p.any() and u.any() else (None, 0.5)
 
 
-def score(docs: DataFrame, model: Network, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` and score, from the whole text; null and empty texts get a score too."""
+def score(docs: DataFrame, model: Network | None, columns: list[str]) -> DataFrame:
+    """``columns`` of every row of ``docs`` and score, from the whole text; null texts score as empty ones.
+
+    Without a model every score is 0.5.
+    """
+    if model is None:
+        return docs.select(*columns, F.lit(0.5).alias("score"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([features(t) for t in pdf["text"]]).reshape(-1, FEATURES)
             yield pdf[columns].assign(score=model.score(x))
 
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInPandas(work, f"{schema}, score double")
 
 

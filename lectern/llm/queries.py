@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, lines, packing, pu_quality, rules, simhash, substrings, urls
+from lectern.llm import decontamination, licenses, lines, packing, pu_quality, rules, simhash, substrings, toxicity, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
+        toxicity.op1_toxicity,
         urls.op2_url_filters,
         lines.op3_line_dedup,
         rules.op4_quality_rules,
@@ -15,6 +16,7 @@ QUERIES = {
         packing.op7_harmonic_packing,
         substrings.op8_substring_dedup,
         decontamination.op9_benchmark_decontamination,
+        licenses.op10_license_scan,
     )
 }
 ORACLES: dict[str, str] = {

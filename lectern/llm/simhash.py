@@ -205,6 +205,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named.union(alone), "fp").select("doc_id", "tkey", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) with one row of each group of near-duplicates: that of the smallest id.
+
+    Of rows that share the smallest id, that of the lowest text hash stays, once.  Rows whose group has no id but null count as any other, null last.
+    """
+    found = checkpointed(near_duplicates(docs).withColumn("group", F.coalesce("component_id", "fp")))
+    id_, key = F.col("doc_id"), F.col("tkey")
+    kept = found.groupBy("group", F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(id_.isNull().alias("n"), id_.alias("d"), key.alias("k"))).alias("m")).select("m.d", "m.k")
+    rows = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_k": text_key(F.col("text"))})
+    left = rows.join(kept, rows["_d"].eqNullSafe(kept["d"]) & (rows["_k"] == kept["k"]), "left_semi")
+    repeated = found.groupBy("doc_id", "tkey").count().where("count > 1")
+    if not repeated.isEmpty():
+        left = left.dropDuplicates(["_d", "_k"])
+    return left.drop("_d", "_k")
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -309,27 +309,30 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    """Learns from labelled rows with ``learn`` (over doc_id), at most MAX_TOXIC and MAX_CLEAN of them."""
-    known = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
+    """Learns from labelled rows with ``learn`` (over doc_id), at most MAX_TOXIC and MAX_CLEAN of them; None if a label is missing."""
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = checkpointed(bounded_sample(known.where("toxic = 1"), "doc_id", MAX_TOXIC).union(bounded_sample(known.where("toxic = 0"), "doc_id", MAX_CLEAN)))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    toxic = rows["toxic"].to_numpy()
+    return fit(rows["text"].tolist(), toxic) if {0, 1} <= set(toxic.tolist()) else None
 
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` and score (0 to 1), from whole texts.
+def score(docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of every row of ``docs`` and the score (0 to 1) from its whole ``text``, in column ``name``.
 
-    Null and empty texts get the score of a text without a suspicious unit.
+    Null and empty texts get the score of a text without a suspicious unit.  Without a model every score is 0.
     """
+    if model is None:
+        return docs.select(*columns, F.lit(0.0).alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 2^18 weights
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[columns].assign(score=shared.value.score([t or "" for t in pdf["text"]]))
+            yield pdf[columns].assign(**{name: shared.value.score([t or "" for t in pdf["text"]])})
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInPandas(work, f"{schema}, score double")
+    return docs.mapInPandas(work, f"{schema}, `{name}` double")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
