@@ -28,7 +28,7 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tkey, i, line, n, name): one row per line with a word; ``line`` is its place among all lines."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), (F.length(F.regexp_replace(x, WORD_GAP, "")) > 0).alias("full")))
-    seq = rows.select("doc_id", "tkey", F.filter(numbered, lambda x: x["full"]).alias("seq")).where(F.size("seq") > 1)
+    seq = rows.select("doc_id", "tkey", F.filter(numbered, lambda x: x["full"]).alias("seq")).where(F.size("seq") > 0)
     return seq.select("doc_id", "tkey", F.size("seq").alias("n"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "x.line", "n", "x.name").distinct()
 
 
@@ -41,9 +41,9 @@ def _named_pairs(pairs: DataFrame) -> DataFrame:
     return checkpointed(counted.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "first"))
 
 
-def _ahead(rows: DataFrame, lines: int) -> DataFrame:
-    """``rows`` (a name each) with b, the name ``lines`` further on in the document; rows without one are left out."""
-    on = rows.select("doc_id", "tkey", (F.col("i") - lines).alias("i"), F.col("name").alias("b"))
+def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
+    """``rows`` with b, the name that ``names`` has ``lines`` further on in the document; rows without one are left out."""
+    on = names.select("doc_id", "tkey", (F.col("i") - lines).alias("i"), F.col("name").alias("b"))
     return rows.join(on, list(_PLACE))
 
 
@@ -66,11 +66,11 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     live, depth = checkpointed(live.select(*_PLACE, "n", "name")), 1
     while True:
         if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
-            pairs = _ahead(live, min_lines - depth).withColumnRenamed("name", "a")
+            pairs = _ahead(live.where(F.col("i") + min_lines <= F.col("n")), live, min_lines - depth).withColumnRenamed("name", "a")
             found.append(later(pairs.join(_named_pairs(pairs), ["a", "b"]), min_lines))
         # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
         over = live.where(F.col("i") + depth >= F.col("n")).withColumn("b", F.lit(_END).cast("long"))
-        pairs = checkpointed(_ahead(live, depth).unionByName(over).withColumnRenamed("name", "a"))
+        pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
         ranks = _named_pairs(pairs)
         named = pairs.join(ranks, ["a", "b"])
         depth *= 2
