@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REPEAT_SEED = 7919
-CSV_FORMATS = {"wer": "%.6f", "cer": "%.6f", "score": "%.6f", "similarity": "%.6f", "duration": "%.3f", "seconds": "%.3f"}
+CSV_DIGITS = {"wer": 6, "cer": 6, "score": 6, "similarity": 6, "duration": 3, "seconds": 3}
 
 
 def build_variants(voices: DataFrame, sweeps: DataFrame) -> DataFrame:
@@ -37,5 +37,5 @@ def spread_time(runs: DataFrame) -> DataFrame:
 
 def csv_columns(rows: DataFrame) -> DataFrame:
     """Measurements as the strings of the CSV file; null is empty."""
-    text = lambda c: F.format_string(CSV_FORMATS[c], c) if c in CSV_FORMATS else F.col(c).cast("string")
+    text = lambda c: F.format_string(f"%.{CSV_DIGITS[c]}f", F.bround(c, CSV_DIGITS[c])) if c in CSV_DIGITS else F.col(c).cast("string")
     return rows.select(*[F.when(F.col(c).isNull(), "").otherwise(text(c)).alias(c) for c in rows.columns])

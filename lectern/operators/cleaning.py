@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import header_signature, is_prose, replace_all, strip, symbol_density
 
@@ -72,74 +73,92 @@ def _with_actions(lines: DataFrame, keep: Column, out: Column, samples: Column)
     return lines.withColumns({"keep": F.coalesce(keep, F.lit(True)), "out": out, "samples": samples})
 
 
-_S = strip(F.col("line"))
-_NONE = F.array().cast("array<string>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _line_rule(rule):
+    """A rule sees each line stripped (s) and whether it is prose, worked out once."""
+
+    def apply(lines: DataFrame) -> DataFrame:
+        ready = lines.withColumn("s", strip(F.col("line")))
+        return rule(ready.withColumn("prose", is_prose(F.col("s")))).drop("s", "prose")
+
+    apply.__name__, apply.__doc__ = rule.__name__, rule.__doc__
+    return apply
 
 
 def _one(cond: Column, sample: Column) -> Column:
-    return F.when(cond, F.array(sample)).otherwise(_NONE)
+    return F.when(cond, F.array(sample)).otherwise(_none())
 
 
+@_line_rule
 def typesetter_stamps(lines: DataFrame) -> DataFrame:
-    hit = _S.rlike(STAMP_FILE) | _S.rlike(STAMP_TIME) | _S.rlike(STAMP_CLOCK)
-    return _with_actions(lines, ~hit, F.col("line"), _one(hit, _S))
+    hit = F.col("s").rlike(STAMP_FILE) | F.col("s").rlike(STAMP_TIME) | F.col("s").rlike(STAMP_CLOCK)
+    return _with_actions(lines, ~hit, F.col("line"), _one(hit, F.col("s")))
 
 
+@_line_rule
 def proof_notices(lines: DataFrame) -> DataFrame:
     """The first run of five or more capital words of 30 characters goes; what little is left of the line goes with it."""
-    run = F.regexp_extract(_S, CAPS_RUN, 0)
-    at = F.regexp_instr(_S, F.lit(CAPS_RUN))
+    run = F.regexp_extract(F.col("s"), CAPS_RUN, 0)
+    at = F.regexp_instr(F.col("s"), F.lit(CAPS_RUN))
     hit = F.length(run) >= 30
-    rest = strip(F.concat(F.substring(_S, F.lit(1), at - 1), F.lit(" "), F.substring(_S, at + F.length(run), F.length(_S))))
+    rest = strip(F.concat(F.substring(F.col("s"), F.lit(1), at - 1), F.lit(" "), F.substring(F.col("s"), at + F.length(run), F.length(F.col("s")))))
     gone = hit & ((rest == "") | ((F.length(rest) < 40) & ~is_prose(rest)))
-    samples = F.when(gone & (rest != ""), F.array(run, rest)).when(hit, F.array(run)).otherwise(_NONE)
-    return _with_actions(lines, ~gone, F.when(_S == "", F.col("line")).when(hit, rest).otherwise(_S), samples)
+    samples = F.when(gone & (rest != ""), F.array(run, rest)).when(hit, F.array(run)).otherwise(_none())
+    return _with_actions(lines, ~gone, F.when(F.col("s") == "", F.col("line")).when(hit, rest).otherwise(F.col("s")), samples)
 
 
+@_line_rule
 def running_headers(lines: DataFrame) -> DataFrame:
     """Short lines that are no sentences go if their signature repeats in the document, or if they are fragments."""
-    eligible = (_S != "") & (F.length(_S) <= 100) & ~is_prose(_S)
-    counted = lines.withColumn("sig", F.when(eligible, header_signature(_S)))
+    eligible = (F.col("s") != "") & (F.length(F.col("s")) <= 100) & ~F.col("prose")
+    counted = lines.withColumn("sig", F.when(eligible, header_signature(F.col("s"))))
     same = F.count("sig").over(Window.partitionBy("doc_id", "sig"))
-    hit = F.col("sig").isNotNull() & (((F.col("sig") != "") & (same >= 2)) | ((F.length(_S) <= 3) & ~F.lower(_S).isin(*SHORT_WORDS)))
-    return _with_actions(counted, ~hit, F.col("line"), _one(hit, _S)).drop("sig")
+    hit = F.col("sig").isNotNull() & (((F.col("sig") != "") & (same >= 2)) | ((F.length(F.col("s")) <= 3) & ~F.lower(F.col("s")).isin(*SHORT_WORDS)))
+    return _with_actions(counted, ~hit, F.col("line"), _one(hit, F.col("s"))).drop("sig")
 
 
+@_line_rule
 def headings(lines: DataFrame) -> DataFrame:
-    hit = (_S != "") & (F.length(_S) <= 60) & ~is_prose(_S) & _S.rlike(HEADING)
-    fixed = F.concat(F.regexp_replace(_S, r"[ .:-]+$", ""), F.lit("."))
-    return _with_actions(lines, F.lit(True), F.when(hit, fixed).otherwise(F.col("line")), _one(hit, F.concat(_S, F.lit(" -> "), fixed)))
+    hit = (F.col("s") != "") & (F.length(F.col("s")) <= 60) & ~F.col("prose") & F.col("s").rlike(HEADING)
+    fixed = F.concat(F.regexp_replace(F.col("s"), r"[ .:-]+$", ""), F.lit("."))
+    return _with_actions(lines, F.lit(True), F.when(hit, fixed).otherwise(F.col("line")), _one(hit, F.concat(F.col("s"), F.lit(" -> "), fixed)))
 
 
+@_line_rule
 def page_numbers(lines: DataFrame) -> DataFrame:
-    gone = (_S != "") & _S.rlike(PAGE_LINE)
-    cut = F.regexp_replace(_S, PAGE_TAIL, "")
-    trimmed = ~gone & (_S != "") & (F.length(_S) <= 60) & ~is_prose(_S) & (cut != _S) & (cut != "")
-    return _with_actions(lines, ~gone, F.when(_S == "", F.col("line")).when(trimmed, cut).otherwise(_S), _one(gone | trimmed, _S))
+    gone = (F.col("s") != "") & F.col("s").rlike(PAGE_LINE)
+    cut = F.regexp_replace(F.col("s"), PAGE_TAIL, "")
+    trimmed = ~gone & (F.col("s") != "") & (F.length(F.col("s")) <= 60) & ~F.col("prose") & (cut != F.col("s")) & (cut != "")
+    return _with_actions(lines, ~gone, F.when(F.col("s") == "", F.col("line")).when(trimmed, cut).otherwise(F.col("s")), _one(gone | trimmed, F.col("s")))
 
 
+@_line_rule
 def figures_tables(lines: DataFrame) -> DataFrame:
     """Captions stay; the block of data after one goes, until prose resumes.
 
     What a line does to the block depends on the line alone (a caption opens it, other kept lines close it, blank and dropped
     lines leave it), so the state at a line is the last opening or closing before it.
     """
-    caption = (_S != "") & _S.rlike(CAPTION)
-    rest = strip(F.regexp_extract(_S, CAPTION, 2))
-    label = F.regexp_extract(_S, CAPTION, 1)
+    caption = (F.col("s") != "") & F.col("s").rlike(CAPTION)
+    rest = strip(F.regexp_extract(F.col("s"), CAPTION, 2))
+    label = F.regexp_extract(F.col("s"), CAPTION, 1)
     kept = F.when(rest == "", F.concat(label, F.lit("."))).otherwise(F.concat(label, F.lit(". "), rest))
-    data = _S.rlike(SOURCE) | _S.rlike(NUMBERS) | (symbol_density(_S) > 0.4)
-    dropped = (_S != "") & (data | ((F.length(_S) <= 60) & ~is_prose(_S)))
-    event = F.when(caption, 1).when(~dropped & (_S != ""), 0)
+    data = F.col("s").rlike(SOURCE) | F.col("s").rlike(NUMBERS) | (symbol_density(F.col("s")) > 0.4)
+    dropped = (F.col("s") != "") & (data | ((F.length(F.col("s")) <= 60) & ~F.col("prose")))
+    event = F.when(caption, 1).when(~dropped & (F.col("s") != ""), 0)
     marked = lines.withColumns({"event": event, "dropped": dropped & ~caption})
     before = F.last("event", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     hit = F.col("dropped") & (F.coalesce(before, F.lit(0)) == 1)
-    return _with_actions(marked, ~hit, F.when(caption, kept).otherwise(F.col("line")), _one(hit, _S)).drop("event", "dropped")
+    return _with_actions(marked, ~hit, F.when(caption, kept).otherwise(F.col("line")), _one(hit, F.col("s"))).drop("event", "dropped")
 
 
+@_line_rule
 def formula_lines(lines: DataFrame) -> DataFrame:
-    hit = (_S != "") & (((F.length(_S) <= 120) & (symbol_density(_S) > 0.55)) | (_S.rlike(NUMBERS) & (F.length(_S) <= 200)))
-    return _with_actions(lines, ~hit, F.col("line"), _one(hit, _S))
+    hit = (F.col("s") != "") & (((F.length(F.col("s")) <= 120) & (symbol_density(F.col("s")) > 0.55)) | (F.col("s").rlike(NUMBERS) & (F.length(F.col("s")) <= 200)))
+    return _with_actions(lines, ~hit, F.col("line"), _one(hit, F.col("s")))
 
 
 LINE_RULES = {f.__name__: f for f in (typesetter_stamps, proof_notices, running_headers, headings, page_numbers, figures_tables, formula_lines)}
@@ -167,7 +186,7 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" *\n *", "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s):
     import unicodedata
 
@@ -191,18 +210,18 @@ def urls(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, URL, ""), ISBN, "")
 
 
-def _greek() -> list[tuple[str, str]]:
-    """Greek and Coptic characters and the last word of their names."""
+def _greek() -> list[str]:
+    """How the characters U+0370 to U+03FF are read: the last words of their names, nothing for those without one."""
     import unicodedata
 
-    return [(c, f" {n.split()[-1].lower()} " if (n := unicodedata.name(c, "")) else "") for c in map(chr, range(0x370, 0x400))]
+    return [f" {n.split()[-1].lower()} " if (n := unicodedata.name(c, "")) else "" for c in map(chr, range(0x370, 0x400))]
 
 
 def symbols(text: Column) -> Column:
     t = replace_all(text, SYMBOLS)
-    named = F.create_map(*[F.lit(x) for pair in _greek() for x in pair])
-    spoken = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(named[c], c)), "")
-    return F.when(t.rlike("[Ͱ-Ͽ]"), spoken).otherwise(t)
+    names = F.split(F.lit("|".join(_greek())), r"\|", -1)
+    spoken = F.transform(F.split(t, "(?=[Ͱ-Ͽ])|(?<=[Ͱ-Ͽ])", -1), lambda c: F.when(c.rlike(r"\A[Ͱ-Ͽ]\z"), F.get(names, F.ascii(c) - 0x370)).otherwise(c))
+    return F.when(t.rlike("[Ͱ-Ͽ]"), F.array_join(spoken, "")).otherwise(t)
 
 
 def broken_compounds(text: Column) -> Column:
@@ -239,9 +258,11 @@ def tidy(text: Column) -> Column:
 
 def continues(prev: Column, nxt: Column) -> Column:
     """Whether ``nxt`` goes on with the unfinished ``prev``."""
-    head = F.regexp_replace(nxt, r"(?U)^\s+", "")
+    # both are stripped lines, so lengths need no stripping, and the end of a long block tells how it ends
+    tail = F.substring(prev, -200, 200)
+    head = F.substring(nxt, 1, 2)
     lower = head.rlike(r"^[\"'(]?\p{IsLowercase}")
-    open_ = ~is_prose(prev) & ~strip(prev).endswith(":") & (F.length(strip(prev)) >= 25)
+    open_ = ~is_prose(tail) & ~tail.endswith(":") & (F.length(prev) >= 25)
     return (prev != "") & (nxt != "") & (prev.endswith("-") | (open_ & (head != "") & lower))
 
 
@@ -276,7 +297,7 @@ def reflow(text: Column) -> Column:
         done = F.when(~state["any"] | goes_on, state["done"]).otherwise(F.concat(state["done"], F.array(state["cur"])))
         return F.struct(done.alias("done"), F.when(goes_on, more).otherwise(b).alias("cur"), F.lit(True).alias("any"))
 
-    start = F.struct(_NONE.alias("done"), F.lit("").alias("cur"), F.lit(False).alias("any"))
+    start = F.struct(_none().alias("done"), F.lit("").alias("cur"), F.lit(False).alias("any"))
     return F.aggregate(blocks, start, put, lambda s: F.array_join(F.concat(s["done"], F.array(s["cur"])), "\n\n"))
 
 
@@ -310,15 +331,14 @@ def clean(docs: DataFrame, how: Cleaning = Cleaning(), id_col: str = "doc_id", t
             if name in rules:
                 lines = apply_line_rule(lines, name)
         work = to_text(lines)
-    t = F.col("text")
-    if "reflow" in rules:
-        t = reflow(t)
-    for name, rule in TEXT_RULES.items():
-        if name in rules:
-            t = rule(t)
+    # one projection a rule: a rule may use its input more than once
+    steps = ([reflow] if "reflow" in rules else []) + [rule for name, rule in TEXT_RULES.items() if name in rules]
     if "substitutions" in rules and how.dictionary:
-        t = substitutions(t, F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in how.dictionary]))
-    cleaned = work.select("doc_id", tidy(t).alias("cleaned"))
+        pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in how.dictionary])
+        steps.append(lambda t: substitutions(t, pairs))
+    for step in steps:
+        work = work.withColumn("text", step(F.col("text")))
+    cleaned = work.select("doc_id", tidy(F.col("text")).alias("cleaned"))
     passed = strip(F.coalesce("raw", F.lit(""))) == "" if rules else F.lit(True)
     text = F.when(passed, F.col("raw")).otherwise(F.coalesce("cleaned", F.lit("")))
     out = rows.join(cleaned, "doc_id", "left").select("doc_id", text.alias("text"), F.length("raw").alias("chars_before"))

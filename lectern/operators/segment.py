@@ -14,13 +14,13 @@ MIN_CHARS, MAX_CHARS, WINDOW = 160, 220, 320
 def newline_pauses(text: Column) -> Column:
     """Line ends as pauses: a wrapped line is rejoined, a line end is a comma, a paragraph end a full stop."""
     low = r"(?=[\"'(]?\p{IsLowercase})"
-    t = F.regexp_replace(text, rf"(?<!\n)-\n(?!\n){low}", "")  # a hyphen at a wrap
+    t = F.regexp_replace(text, rf"-\n(?!\n){low}", "\u0003")  # a hyphen at a wrap, marked until all line ends are read
     t = F.regexp_replace(t, rf"(?<=[^ \n])\n(?!\n){low}", " ")
     t = F.regexp_replace(t, rf"(?<=^| )\n(?!\n){low}", "")
     t = F.regexp_replace(t, r"^\n+", " ")
     t = F.regexp_replace(t, r"(?<![.!?,;:\n])\n{2,}", ". ")
     t = F.regexp_replace(t, r"(?<![.!?,;:\n])\n(?!\n)", ", ")
-    return strip(F.regexp_replace(F.regexp_replace(t, r"\n+", " "), " +", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("\u0003"), F.lit("")), r"\n+", " "), " +", " "))
 
 
 def split_point(rest: Column) -> Column:

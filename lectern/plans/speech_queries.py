@@ -124,7 +124,10 @@ def v01_tokens(spark, sf_dir):
 
 
 def v05_character_error(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.character_error(F.col("ref"), F.col("hyp")), 9).alias("cer"))
+    """Letters beyond ASCII count as one letter on both sides; DuckDB's distance counts bytes."""
+    plain = lambda c: F.transform(c, lambda w: F.regexp_replace(w, r"[^\x00-\x7F]", "x"))
+    rows = _pairs(spark, sf_dir).withColumns({"ref": plain("ref"), "hyp": plain("hyp")})
+    return rows.select("conv_id", "turn", F.round(V.character_error(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
 def v07_truncation(spark, sf_dir):
@@ -149,7 +152,7 @@ def v06_repetition(spark, sf_dir):
 for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v07_truncation, v10_duration):
     QUERIES[_f.__name__] = _f
 SQL["v01_tokens"] = _TOK + "SELECT conv_id, turn, CAST(len(ref) AS BIGINT) AS n_ref, array_to_string(hyp, ' ') AS hyp FROM p"
-SQL["v05_character_error"] = _TOK + ", j AS (SELECT *, array_to_string(ref, ' ') AS a, array_to_string(hyp, ' ') AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
+SQL["v05_character_error"] = _TOK + ", j AS (SELECT *, regexp_replace(array_to_string(ref, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS a, regexp_replace(array_to_string(hyp, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
 SQL["v07_truncation"] = _TOK + ", h AS (SELECT conv_id, turn, ref, hyp[1:greatest(len(hyp) - turn % 3, 0)] AS hyp FROM p) SELECT conv_id, turn, CASE WHEN len(ref) >= 4 AND len(hyp) > 0 THEN len(list_filter(ref[-4:], lambda w: NOT list_contains(hyp[-12:], w))) / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS truncation FROM h"
 SQL["v10_duration"] = "WITH x AS (SELECT conv_id, turn, greatest(length(text) / 13.0::DOUBLE, 0.5) AS e, CAST((conv_id + turn) % 40 AS DOUBLE) / 2 AS d FROM conversations), o AS (SELECT *, abs(d - e) / e AS off FROM x) SELECT conv_id, turn, round(CASE WHEN off > 0.35 THEN 0.5::DOUBLE * (off - 0.35::DOUBLE) ELSE 0.0 END, 9) AS penalty FROM o"
 SQL["v06_repetition"] = _TOK + ", k AS (SELECT conv_id, turn, (conv_id + turn) % 6 + 1 AS k, ref[1] = ref[2] AND ref[2] = ref[3] AS one FROM p WHERE len(ref) >= 3) SELECT conv_id, turn, round(CASE WHEN k >= 3 THEN (k - 2) / 3.0::DOUBLE ELSE 0.0::DOUBLE END, 9) AS repetition FROM k"
@@ -173,8 +176,16 @@ SELECT vec_id, round(sim, 6) AS similarity, round(0.5 * greatest(0.0, 1 - sim),
 _TAKES = "SELECT l_orderkey AS chunk_id, l_linenumber - 1 AS take, v AS verifier_ord, CASE WHEN (l_partkey + v * 7) % 11 = 0 OR (v = 1 AND l_orderkey % 5 = 0) OR l_orderkey % 97 = 0 THEN NULL ELSE (l_partkey * (v + 3) % 101) / cast(100 as double) END AS wer, (l_suppkey * (v + 1) % 37) / cast(100 as double) AS cer, (l_partkey % 3) / cast(10 as double) AS repetition, (l_suppkey % 4) / cast(4 as double) AS truncation, (l_orderkey + l_linenumber) % 5 / cast(20 as double) AS other"
 
 
+#: One row for each line of an order: the table repeats some.
+_LINE = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+def _line(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+
+
 def _ranked(spark, sf_dir):
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = _line(spark, sf_dir)
     takes = line.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*_split_select(_TAKES))
     takes = takes.withColumns({"verifier": F.concat(F.lit("v"), F.col("verifier_ord")), "repetition": F.when(F.col("wer").isNotNull(), F.col("repetition")), "truncation": F.when(F.col("wer").isNotNull(), F.col("truncation")), "cer": F.when(F.col("wer").isNotNull(), F.col("cer"))})
     return selection.rank_takes(takes.drop("other"), takes.where("verifier_ord = 0").select("chunk_id", "take", "other"))
@@ -192,7 +203,7 @@ def _split_select(sql: str) -> list[str]:
 
 
 _RANK = f"""
-WITH s AS ({_TAKES} FROM lineitem, (VALUES (0), (1)) AS vs(v)),
+WITH s AS ({_TAKES} FROM {_LINE}, (VALUES (0), (1)) AS vs(v)),
 a AS (SELECT *, count(wer) OVER (PARTITION BY chunk_id, verifier_ord) AS ok FROM s),
 j AS (SELECT *, coalesce(wer + 0.25 * cer, 1.0) AS composite FROM a WHERE ok > 0),
 w AS (SELECT chunk_id, take, 0.4 * coalesce(max(repetition) FILTER (wer IS NOT NULL), 0) + 0.3 * coalesce(max(truncation) FILTER (wer IS NOT NULL), 0) AS spoken FROM j GROUP BY ALL),
@@ -205,17 +216,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY mean_rank, sco
 
 
 def v13_rank_ensemble(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("chunk_id", "take", "mean_rank", F.round("score", 6).alias("score"), "wer")
+    return _ranked(spark, sf_dir).select("chunk_id", "take", "mean_rank", F.round("score", 9).alias("score"), "wer")
 
 
 def v14_winner(spark, sf_dir):
     out = selection.select_winners(_ranked(spark, sf_dir), 0.35)
-    return out.select("chunk_id", "winner", F.round("score", 6).alias("score"), "acceptable")
+    return out.select("chunk_id", "winner", F.round("score", 9).alias("score"), "acceptable")
 
 
 def v20_escalation(spark, sf_dir):
     """Takes come in rounds of two; each round is ranked with all takes before it by score alone."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS chunk_id", "l_linenumber - 1 AS take", "(l_partkey % 100) / 100D AS score")
+    line = _line(spark, sf_dir).selectExpr("l_orderkey AS chunk_id", "l_linenumber - 1 AS take", "(l_partkey % 100) / 100D AS score")
     rounds = line.withColumn("round", F.explode(F.expr("sequence(cast(take / 2 as int), 3)"))).withColumn("mean_rank", F.lit(0.0))
     rounds = rounds.join(line.groupBy("chunk_id").agg(F.max(F.expr("cast(take / 2 as int)")).alias("last")), "chunk_id").where("round <= last")
     return selection.escalate(rounds, 0.1)
@@ -234,10 +245,10 @@ def v22_stats(spark, sf_dir):
 
 for _f in (v13_rank_ensemble, v14_winner, v20_escalation, v21_seeds, v22_stats):
     QUERIES[_f.__name__] = _f
-SQL["v13_rank_ensemble"] = _RANK + "SELECT chunk_id, take, CAST(mean_rank AS DOUBLE) AS mean_rank, round(score, 6) AS score, wer FROM z"
-SQL["v14_winner"] = _RANK + "SELECT chunk_id, take AS winner, round(score, 6) AS score, score <= 0.35 AS acceptable FROM b WHERE n = 1"
+SQL["v13_rank_ensemble"] = _RANK + "SELECT chunk_id, take, CAST(mean_rank AS DOUBLE) AS mean_rank, round(score, 9) AS score, wer FROM z"
+SQL["v14_winner"] = _RANK + "SELECT chunk_id, take AS winner, round(score, 9) AS score, score <= 0.35 AS acceptable FROM b WHERE n = 1"
 SQL["v20_escalation"] = """
-WITH l AS (SELECT l_orderkey AS chunk_id, l_linenumber - 1 AS take, (l_partkey % 100) / CAST(100 AS DOUBLE) AS score, (l_linenumber - 1) // 2 AS own FROM lineitem),
+WITH l AS (SELECT l_orderkey AS chunk_id, l_linenumber - 1 AS take, (l_partkey % 100) / CAST(100 AS DOUBLE) AS score, (l_linenumber - 1) // 2 AS own FROM """ + _LINE + """),
 r AS (SELECT l.chunk_id, g.round, l.take, l.score FROM l JOIN (SELECT DISTINCT chunk_id, own AS round FROM l) g ON g.chunk_id = l.chunk_id AND l.own <= g.round),
 b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, round ORDER BY score, take) AS n FROM r),
 w AS (SELECT chunk_id, round, take AS winner, score, score <= 0.1 AS acceptable, max(round) OVER (PARTITION BY chunk_id) AS last FROM b WHERE n = 1),

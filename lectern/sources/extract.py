@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_UPLOAD = 25 * 1024 * 1024
 # Tags that end a line, and tags whose text is dropped.
@@ -23,7 +24,7 @@ def decode(content: Column) -> Column:
     return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(_legacy(content))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _legacy(s):
     def work(b):
         if b is None:
@@ -76,7 +77,7 @@ def plain_text(html: str | None) -> str | None:
     return "".join(reader.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(s):
     return s.map(plain_text)
 
@@ -93,7 +94,7 @@ def spine_order(spine: DataFrame, manifest: DataFrame, names: DataFrame) -> Data
 def epub_texts(content: DataFrame) -> DataFrame:
     """(path, text) of EPUB files (path, content)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def read(s):
         import io
         import posixpath
