@@ -210,7 +210,7 @@ class Model:
 
     def calibrate(self, evidence: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression on the evidence, by Newton steps on smoothed targets."""
-        self.mean, self.scale = evidence.mean(0), evidence.std(0) + 1e-6
+        self.mean, self.scale = evidence.mean(0), np.maximum(evidence.std(0), [0.25, 0.25, 0.01, 0.5])  # floors: training texts may all be alike
         z, w = np.c_[(evidence - self.mean) / self.scale, np.ones(len(y))], np.zeros(5)
         n1, n0 = (y > 0).sum(), (y <= 0).sum()
         t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -257,6 +257,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         u = Units([text])
         bags.append((int(toxic[i]), sorted({u.spelt(j) for j in np.flatnonzero(u.size >= 3).tolist()}), i))
     bags = [b for b in bags if b[1]]
+    bags = [bags[i] for i in np.random.default_rng(17).permutation(len(bags))]  # so that halves don't follow the order of the documents
     bad, good = [b[1] for b in bags if b[0]], [b[1] for b in bags if not b[0]]
     numbers = [[b[2] for b in bags if b[0]], [b[2] for b in bags if not b[0]]]
     if not bad or not good:
