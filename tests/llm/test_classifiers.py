@@ -100,7 +100,7 @@ def test_licenses(spark):
         6: "Licensed under the Foobar Agreement of 1987.",
         7: None,
         8: "",
-        9: "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, express or implied, including the warranties of merchantability and fitness for a particular purpose.",
+        9: "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         10: "word " * 30_000 + "\nReleased under the MIT License.",
         11: "It is the Apache who rode north. General public opinion was divided.",
     }
