@@ -21,11 +21,11 @@ from lectern.llm.common import read, shuffle_partitions, text_key
 
 WINDOW = 50
 #: Windows that a task hashes and sorts at once.
-BATCH_WINDOWS = 3_000_000
+BATCH_WINDOWS = 2_000_000
 #: Windows of a hash range, about.
 RANGE_WINDOWS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 class _WordHash(dict):
@@ -100,14 +100,16 @@ class _Batch:
         parts = [self.hashes[i] for i in by_id.tolist()]
         sizes = np.array([len(x) for x in parts], np.int64)
         h = np.concatenate(parts)
+        del parts
         self.__init__()
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        order = np.argsort(h, kind="stable")  # equal windows stay in the order of their documents
+        order = np.argsort(h, kind="stable").astype(np.int32)  # equal windows stay in the order of their documents
         hs, owner = h[order], ids[doc[order]]
         first = np.r_[True, hs[1:] != hs[:-1]]
         least = owner[first][np.cumsum(first) - 1]
         here = owner > least
-        marked, order, hs = np.sort(order[here]), order[~here], hs[~here]
+        marked, order, hs = np.sort(order[here]).astype(np.int64), order[~here], hs[~here]
+        del h, owner, least, first, here
         own = int(xxhash.xxh32_intdigest(name) % ranges)
         yield {"range": own, "batch": name, "hashes": None, "at": _packed(marked) if len(marked) else None, "ids": ids.tobytes(), "keys": keys.tobytes(), "sizes": sizes.tobytes()}
         which = ((hs >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -115,7 +117,7 @@ class _Batch:
         for r in np.flatnonzero(np.diff(cut)).tolist():
             at, x = order[cut[r] : cut[r + 1]], hs[cut[r] : cut[r + 1]]
             back = np.argsort(at)
-            at = at[back]
+            at = at[back].astype(np.int64)
             yield {"range": r, "batch": name, "hashes": x[back].tobytes(), "at": _packed(at), "ids": _packed(ids[doc[at]]), "keys": None, "sizes": None}
 
 
