@@ -47,3 +47,13 @@ def eta(history: DataFrame, window: int = ETA_WINDOW) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("job_id").orderBy("index"))
     rows = history.withColumns({"pace": F.avg(F.greatest("seconds", F.lit(0.0))).over(trailing), "left": F.col("total") - n})
     return rows.withColumn("eta", F.when(F.col("left") > 0, F.col("pace") * F.col("left")))
+
+
+def delete_jobs(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs or chunks without those of the jobs deleted (job_id)."""
+    return rows.join(ids, "job_id", "left_anti")
+
+
+def finish_jobs(jobs: DataFrame, ended: DataFrame) -> DataFrame:
+    """Jobs with the status of those that ended (job_id, ended_as)."""
+    return jobs.join(ended, "job_id", "left").withColumn("status", F.coalesce("ended_as", "status")).drop("ended_as")

@@ -40,3 +40,22 @@ def current(events: DataFrame) -> DataFrame:
     """Names that exist after all events (ts, type, voice, old, new): the last word on each decides."""
     told = events.select("ts", F.explode(F.when(F.col("type") == "renamed", F.array(F.struct(F.col("old").alias("name"), F.lit(False).alias("here")), F.struct(F.col("new").alias("name"), F.lit(True).alias("here")))).otherwise(F.array(F.struct(F.col("voice").alias("name"), F.when(F.col("type") == "ready", True).when(F.col("type") == "removed", False).alias("here"))))).alias("x")).select("ts", "x.*").where("here is not null")
     return told.groupBy("name").agg(F.max_by("here", "ts").alias("here")).where("here").select("name")
+
+
+MAX_UPLOAD = 50 * 1024 * 1024
+
+
+def favourites_first(voices: DataFrame, favourites: list[str]) -> DataFrame:
+    """(name, favourite), favourites before the others, each in order of name."""
+    return voices.select("name", F.col("name").isin(favourites).alias("favourite")).orderBy(F.desc("favourite"), "name")
+
+
+def accept_recordings(uploads: DataFrame, voices: DataFrame) -> DataFrame:
+    """Uploads (filename, name, size) that are .wav files of a size within bounds with a new, non-empty name."""
+    fit = uploads.where(F.lower("filename").endswith(".wav") & F.col("size").between(1, MAX_UPLOAD) & (F.col("name") != ""))
+    return fit.join(voices.select("name"), "name", "left_anti")
+
+
+def chunk_audio(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks with the content of their file, null where it is missing."""
+    return chunks.join(files, ["job_id", "index"], "left")

@@ -396,3 +396,57 @@ def e05_progress_stream(spark, sf_dir):
     q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("SELECT label AS job_id, CAST(count(*) * 64 AS BIGINT) AS n, round(CAST(arg_min(embedding[1], vec_id) AS DOUBLE), 6) AS first, round(CAST(arg_max(embedding[64], vec_id) AS DOUBLE), 6) AS last FROM embeddings GROUP BY label")
+def j07_audio_concat(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("job_id"), F.col("vec_id").alias("index"), F.col("embedding").alias("samples"))
+    out = audio.join_chunks(chunks)
+    return out.select("job_id", F.size("samples").cast("long").alias("n"), F.round(F.get("samples", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last"))
+
+
+@query(f"WITH c AS ({_CHUNKS}) SELECT job_id, index FROM c WHERE job_id % 4 <> 1")
+def k03_delete(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return jobs.delete_jobs(chunks, chunks.where("job_id % 4 = 1").select("job_id").distinct()).select("job_id", "index")
+
+
+@query("SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 3 = 0 THEN 'complete' ELSE 'running' END AS status FROM orders")
+def k03_finish(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("job_id"), F.lit("running").alias("status"))
+    return jobs.finish_jobs(rows, o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit("complete").alias("ended_as")))
+
+
+@query("SELECT n_name AS name, n_name IN ('BRAZIL', 'JAPAN', 'NATION_3') AS favourite FROM nation")
+def r06_favourites(spark, sf_dir):
+    return voices.favourites_first(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), ["BRAZIL", "JAPAN", "NATION_3"])
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_size % 5 > 0 AND p_partkey % 7 <> 0")
+def r08_upload_guard(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    up = p.selectExpr("p_partkey", "'f' || CASE WHEN p_partkey % 2 = 0 THEN '.WAV' ELSE '.mp3' END AS filename", "'v' || cast(p_partkey as string) AS name", "p_size % 5 AS size")
+    return voices.accept_recordings(up, up.where("p_partkey % 7 = 0")).select("p_partkey")
+
+
+@query(f"WITH c AS ({_CHUNKS}) SELECT job_id, index, CASE WHEN job_id % 2 = 0 THEN index * 10 END AS content FROM c")
+def r09_chunk_audio(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).select("job_id", "index")
+    return voices.chunk_audio(chunks, chunks.where("job_id % 2 = 0").withColumn("content", F.col("index") * 10))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id % 2 = 0")
+def e02_deletions(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_type = 'click' THEN 'deleted' ELSE 'created' END AS type", "CASE WHEN user_id % 2 = 0 THEN 'a.WAV' ELSE 'a.txt' END AS path")
+    return streams.deletions(e).select("event_id")
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w, {_DUR} AS d FROM conversations), k AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c), s AS (SELECT conv_id, turn, d, start, w[1][:40] AS a, w[2][:40] AS b FROM k WHERE d > 0 AND len(w) > 1) SELECT conv_id AS job_id, turn AS index, 0 AS k, round(start, 6) AS start, round(start + d * (CAST(length(a) + 1 AS DOUBLE) / (length(a) + length(b) + 2)), 6) AS \"end\" FROM s UNION ALL SELECT conv_id, turn, 1, round(start + d * (CAST(length(a) + 1 AS DOUBLE) / (length(a) + length(b) + 2)), 6), round(start + d, 6) FROM s")
+def t02_apportion(spark, sf_dir):
+    """Two sentences a turn, made of its first two words."""
+    w = F.filter(F.split(strip(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != "")
+    rows = subtitles.clock(_turns(spark, sf_dir)).withColumn("w", w).where("size(w) > 1")
+    part = lambda i: F.regexp_replace(F.substring(F.get("w", F.lit(i)), 1, 40), "[.!?,;:]", "x")
+    out = subtitles.spans(rows.withColumn("text", F.concat(part(0), F.lit("! "), part(1), F.lit("!"))))
+    return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
