@@ -133,7 +133,11 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
     known = _rows(spark, templates()).withColumn("w", tokens(F.col("text")))
     plain = bounded_sample(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", SAMPLE_DOCS)
     plain = plain.select(F.explode(sentences(F.col("text"))).alias("text")).where("not lower(text) rlike 'licen|copyright|gpl|creative commons'").withColumn("w", tokens(F.col("text")))
+    # sentences that are mostly a template's wording are no examples of ordinary text
+    stated = known.select(F.explode(pairs("w")).alias("g")).distinct().withColumn("hit", F.lit(1.0))
     plain = checkpointed(plain.where("size(w) > 0"))
+    share = plain.select("text", F.explode(pairs("w")).alias("g")).join(stated, "g", "left").groupBy("text").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+    plain = checkpointed(plain.join(share.where("share < 0.3").select("text"), "text", "left_semi"))
     generic = _rows(spark, [(UNKNOWN, t) for t in _NO_LICENCE]).withColumn("w", tokens(F.col("text")))
     # N-grams of templates that ordinary sentences don't hold; the words among them are anchors: paragraphs without one are unknown
     common = plain.select(F.explode(grams("w")).alias("gram")).distinct()
