@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +18,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests on one machine)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder named in spark.checkpoint.dir.
+    """Cuts lineage through the shared folder named in spark.checkpoint.dir."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    A folder of our own is set only where the session names none (tests on one machine).
+def rewriter(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that cuts the lineage of the table of a loop: it writes it to one of two shared folders in turn and reads it back.
+
+    A checkpoint keeps the planner's estimate of its size, a product over joins whose digits multiply from round to round until
+    planning takes longer than the work; a written table has the size of its files.  What was returned two calls
+    before is overwritten, so nothing may still depend on it.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder, turn = f"{_shared_folder(spark)}/{uuid.uuid4().hex}", itertools.count()
+
+    def rewrite(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(turn) % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return rewrite
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

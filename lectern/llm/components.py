@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import rewriter
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,15 +27,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v long); root is the smallest node reached.
 
     Two shuffles of the edges a step, no step gathers a node's neighbours in one row, and each round is
-    checkpointed.  The number of rounds grows with the logarithm of the longest path.  No edges, no rows.
+    written out.  The number of rounds grows with the logarithm of the longest path.  No edges, no rows.
     """
     mark = lambda df: df.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)")).first()
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    written = rewriter(edges.sparkSession)
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(edges)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)))
         after = mark(edges)
         if after == before:
             break

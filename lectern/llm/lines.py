@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_GAP, checkpointed, read, text_key
+from lectern.llm.common import WORD_GAP, checkpointed, read, rewriter, text_key
 
 MIN_LINES = 2
 _END = -1
@@ -52,7 +52,7 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     Depths are the powers of two and ``min_lines``; src is the first suffix of the interval.
     """
-    found = []
+    found, written = [], rewriter(suffixes.sparkSession)
 
     def later(named: DataFrame, depth: int) -> DataFrame:
         src = [F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]
@@ -63,10 +63,10 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     live = suffixes.join(one.select("name", "first"), "name")
     if min_lines == 1:
         found.append(later(live, 1))
-    live, depth = checkpointed(live.select(*_PLACE, "n", "name")), 1
+    live, depth = written(live.select(*_PLACE, "n", "name")), 1
     while True:
         if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
-            pairs = _ahead(live.where(F.col("i") + min_lines <= F.col("n")), live, min_lines - depth).withColumnRenamed("name", "a")
+            pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("n")), live, min_lines - depth).withColumnRenamed("name", "a"))
             found.append(later(pairs.join(_named_pairs(pairs), ["a", "b"]), min_lines))
         # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
         over = live.where(F.col("i") + depth >= F.col("n")).withColumn("b", F.lit(_END).cast("long"))
@@ -75,7 +75,7 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         named = pairs.join(ranks, ["a", "b"])
         depth *= 2
         found.append(later(named.where(F.col("b") != _END), depth))
-        live = checkpointed(named.select(*_PLACE, "n", F.col("rank").alias("name")))
+        live = written(named.select(*_PLACE, "n", F.col("rank").alias("name")))
         if live.where(F.col("i") + depth < F.col("n")).isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

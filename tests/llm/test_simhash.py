@@ -96,3 +96,10 @@ def test_components_on_a_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 700), (600, 500), (9, 9)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 600: 500, 700: 500}
+
+
+def test_long_chain_settles(spark):
+    n = 3000
+    edges = spark.range(n).selectExpr("id as u", "id + 1 as v")
+    got = connected_components(edges).collect()
+    assert len(got) == n + 1 and {r.root for r in got} == {0}
