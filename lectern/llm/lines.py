@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import WORD_GAP, checkpointed, read, rewriter, text_key
 
 MIN_LINES = 2
+#: At most so many of the most frequent keys of a join are broadcast.
+HOT_KEYS = 1000
 _END = -1
 _PLACE = ("doc_id", "tkey", "i")
 
@@ -33,12 +35,23 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _named_pairs(pairs: DataFrame) -> DataFrame:
-    """(a, b, rank, first) of the pairs (a, b, doc_id, tkey, i) that occur more than once, ranked in sorted order.
+    """(a, b, rank, n, first) of the pairs (a, b, doc_id, tkey, i) that occur more than once, ranked in sorted order.
 
-    ``first`` is the least place of a pair.  The sort is by range over distinct pairs; a rank rises with the pair and need not be dense.
+    ``n`` counts a pair's places, ``first`` is the least of them.  The sort is by range over distinct pairs; a rank rises with the pair and need not be dense.
     """
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
-    return checkpointed(counted.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "first"))
+    return checkpointed(counted.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "n", "first"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per ``keys`` and in ``n`` how many of the ``total`` rows hold them.
+
+    Rows of a key that holds over a ``HOT_KEYS``-th of all rows are joined where they are: there are fewer than
+    ``HOT_KEYS`` such keys, at any size of the input.  No key of the shuffled rest can fill a task.
+    """
+    hot = F.broadcast(table.where(F.col("n") > total / HOT_KEYS))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= total / HOT_KEYS), keys)
+    return rows.join(hot, keys).unionByName(rest).drop("n")
 
 
 def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
@@ -59,24 +72,24 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         return named.where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE, F.lit(depth).alias("depth"), *src)
 
     # Depth 1: lines that occur once are settled at once.
-    one = suffixes.groupBy("name").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("first")).where("c > 1")
-    live = suffixes.join(one.select("name", "first"), "name")
+    one = checkpointed(suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1"))
+    live = _joined(suffixes.withColumnRenamed("n", "lines"), one, ["name"], suffixes.count())
     if min_lines == 1:
         found.append(later(live, 1))
-    live, depth = written(live.select(*_PLACE, "n", "name")), 1
+    live, depth = written(live.select(*_PLACE, "lines", "name")), 1
     while True:
+        total = live.count()
         if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
-            pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("n")), live, min_lines - depth).withColumnRenamed("name", "a"))
-            found.append(later(pairs.join(_named_pairs(pairs), ["a", "b"]), min_lines))
+            pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("lines")), live, min_lines - depth).withColumnRenamed("name", "a"))
+            found.append(later(_joined(pairs, _named_pairs(pairs), ["a", "b"], total), min_lines))
         # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
-        over = live.where(F.col("i") + depth >= F.col("n")).withColumn("b", F.lit(_END).cast("long"))
+        over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
         pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
-        ranks = _named_pairs(pairs)
-        named = pairs.join(ranks, ["a", "b"])
+        named = _joined(pairs, _named_pairs(pairs), ["a", "b"], total)
         depth *= 2
         found.append(later(named.where(F.col("b") != _END), depth))
-        live = written(named.select(*_PLACE, "n", F.col("rank").alias("name")))
-        if live.where(F.col("i") + depth < F.col("n")).isEmpty():
+        live = written(named.select(*_PLACE, "lines", F.col("rank").alias("name")))
+        if live.where(F.col("i") + depth < F.col("lines")).isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
 
