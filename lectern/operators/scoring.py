@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import spell_below_thousand
 
@@ -14,6 +16,7 @@ CER_WEIGHT, REPETITION_WEIGHT, TRUNCATION_WEIGHT = 0.25, 0.4, 0.3
 DURATION_WEIGHT, DURATION_SLACK, SPEAKER_WEIGHT = 0.5, 0.35, 0.5
 CHARS_PER_SECOND, LEAST_SECONDS = 13.0, 0.5
 GRAM, REPEATS, TAIL = 3, 3, 4
+_ERRORS = ["substitutions", "deletions", "insertions", "hits", "reference_length"]
 
 
 def spell_integer(n: Column) -> Column:
@@ -48,39 +51,46 @@ def score_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(t, r"(?U)\s+", " "), " "), lambda w: (w != "") & ~w.isin(*FILLERS))
 
 
-def _cell(c: Column, s: Column, d: Column, i: Column) -> Column:
-    return F.struct(c.alias("c"), s.alias("s"), d.alias("d"), i.alias("i"))
-
-
-def word_errors(ref: Column, hyp: Column) -> Column:
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _ERRORS]))
+def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """struct<substitutions,deletions,insertions,hits,reference_length> of the least edit script.
 
     Equal words align; of equal costs a substitution goes before a deletion, a deletion before an insertion.
-    A fold over transcript words whose state is one row of the table.
+    The table is filled by anti-diagonals, so memory and steps follow the lengths' sum and not their product.
     """
-    zero = F.lit(0)
-    first = F.transform(F.sequence(zero, F.size(ref)), lambda k: _cell(k, zero, k, zero))
-
-    def row(prev: Column, h: Column) -> Column:
-        top = F.get(prev, zero)
-        start = F.array(_cell(top["c"] + 1, top["s"], top["d"], top["i"] + 1))
-
-        def cell(done: Column, k: Column) -> Column:
-            diag, left, up = F.get(prev, k - 1), F.get(done, k - 1), F.get(prev, k)
-            best = F.least(diag["c"], left["c"], up["c"])
-            new = (
-                F.when(F.get(ref, k - 1) == h, diag)
-                .when(diag["c"] == best, _cell(diag["c"] + 1, diag["s"] + 1, diag["d"], diag["i"]))
-                .when(left["c"] == best, _cell(left["c"] + 1, left["s"], left["d"] + 1, left["i"]))
-                .otherwise(_cell(up["c"] + 1, up["s"], up["d"], up["i"] + 1))
-            )
-            return F.concat(done, F.array(new))
-
-        return F.aggregate(F.filter(F.sequence(zero, F.size(ref)), lambda k: k > 0), start, cell)
-
-    last = F.aggregate(hyp, first, row)
-    end = F.get(last, F.size(ref))
-    return F.struct(end["s"].alias("substitutions"), end["d"].alias("deletions"), end["i"].alias("insertions"), (F.size(ref) - end["s"] - end["d"]).alias("hits"), F.size(ref).alias("reference_length"))
+    import numpy as np
+
+    deletion, substitution = 1 << 21, 1 << 42  # a cell's counts share one integer
+
+    def work(r, h):
+        if r is None or h is None:
+            return (None,) * 5
+        ids: dict = {}
+        a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int64) for x in (r, h))
+        n, m, back = len(a), len(b), b[::-1]
+        cost = [np.zeros(n + 1, np.int64) for _ in range(3)]  # of this diagonal and the two before, by reference word
+        counts = [np.zeros(n + 1, np.int64) for _ in range(3)]
+        for t in range(1, n + m + 1):
+            cost, counts = [cost[2], *cost[:2]], [counts[2], *counts[:2]]
+            if t <= m:
+                cost[0][0], counts[0][0] = t, t
+            if t <= n:
+                cost[0][t], counts[0][t] = t, t * deletion
+            lo, hi = max(1, t - m), min(n, t - 1)
+            if lo > hi:
+                continue
+            diag, left, up = cost[2][lo - 1 : hi], cost[1][lo - 1 : hi], cost[1][lo : hi + 1]
+            same = a[lo - 1 : hi] == back[m - t + lo : m - t + hi + 1]
+            best = np.minimum(np.minimum(diag, left), up)
+            before = counts[2][lo - 1 : hi]
+            edit = np.where(diag == best, before + substitution, np.where(left == best, counts[1][lo - 1 : hi] + deletion, counts[1][lo : hi + 1] + 1))
+            cost[0][lo : hi + 1] = np.where(same, diag, best + 1)
+            counts[0][lo : hi + 1] = np.where(same, before, edit)
+        end = int(counts[0][n])
+        s, d, i = end >> 42, end >> 21 & deletion - 1, end & deletion - 1
+        return s, d, i, n - s - d, n
+
+    return pd.DataFrame([work(r, h) for r, h in zip(ref, hyp, strict=True)], columns=_ERRORS).astype("Int32")
 
 
 def weighted_rate(e: Column) -> Column:

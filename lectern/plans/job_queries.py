@@ -105,10 +105,10 @@ def t03_clock(spark, sf_dir):
     return subtitles.clock(_turns(spark, sf_dir)).select("job_id", "index", "start")
 
 
-def _spans(spark, sf_dir):
+def _spans(spark, sf_dir, text):
     """Spans of one sentence a turn, times rounded so that both engines compare equal ones."""
     rows = subtitles.clock(_turns(spark, sf_dir)).where("duration > 0")
-    return rows.select("job_id", "index", F.lit(0).alias("k"), "start", (F.col("start") + F.col("duration") % 3).alias("end"), F.substring("text", 1, 60).alias("text"))
+    return rows.select("job_id", "index", F.lit(0).alias("k"), "start", (F.col("start") + F.col("duration") % 3).alias("end"), text.alias("text"))
 
 
 _MERGE = f"""
@@ -122,7 +122,13 @@ g AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY index) AS g FROM o
 
 @query(_MERGE + r"""SELECT job_id, CAST(g AS BIGINT) AS g, min(start) AS start, max(stop) AS "end", regexp_replace(string_agg(text, ' ' ORDER BY index), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY job_id, g""")
 def t04_merge_short(spark, sf_dir):
-    return subtitles.merge_short(_spans(spark, sf_dir))
+    return subtitles.merge_short(_spans(spark, sf_dir, F.substring("text", 1, 60)))
+
+
+@query()
+def t04_merge_short_whole(spark, sf_dir):
+    """Turns with all their text."""
+    return subtitles.merge_short(_spans(spark, sf_dir, F.col("text")))
 
 
 def _long(spark, sf_dir):
@@ -450,3 +456,10 @@ def t02_apportion(spark, sf_dir):
     part = lambda i: F.regexp_replace(F.substring(F.get("w", F.lit(i)), 1, 40), "[.!?,;:]", "x")
     out = subtitles.spans(rows.withColumn("text", F.concat(part(0), F.lit("! "), part(1), F.lit("!"))))
     return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query()
+def t02_apportion_whole(spark, sf_dir):
+    """All sentences of each turn."""
+    out = subtitles.spans(subtitles.clock(_turns(spark, sf_dir)))
+    return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")

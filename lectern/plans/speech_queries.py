@@ -140,7 +140,7 @@ def v10_duration(spark, sf_dir):
 
 
 def v03_word_errors(spark, sf_dir):
-    e = V.word_errors(F.slice("ref", 1, 60), F.slice("hyp", 1, 60))
+    e = V.word_errors(F.col("ref"), F.col("hyp"))
     return _pairs(spark, sf_dir).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", "e.*", F.round(V.weighted_rate(F.col("e")), 9).alias("wer"))
 
 
@@ -149,7 +149,13 @@ def v06_repetition(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(V.repetition_score(F.col("w")), 9).alias("repetition"))
 
 
-for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v07_truncation, v10_duration):
+def v06_repetition_whole(spark, sf_dir):
+    """Whole turns, each followed by its last three words up to five times more."""
+    loop = F.flatten(F.array_repeat(F.slice("ref", F.greatest(F.size("ref") - 2, F.lit(1)), 3), ((F.col("conv_id") + F.col("turn")) % 6).cast("int")))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.repetition_score(F.concat("ref", loop)), 9).alias("repetition"))
+
+
+for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v06_repetition_whole, v07_truncation, v10_duration):
     QUERIES[_f.__name__] = _f
 SQL["v01_tokens"] = _TOK + "SELECT conv_id, turn, CAST(len(ref) AS BIGINT) AS n_ref, array_to_string(hyp, ' ') AS hyp FROM p"
 SQL["v05_character_error"] = _TOK + ", j AS (SELECT *, regexp_replace(array_to_string(ref, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS a, regexp_replace(array_to_string(hyp, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
