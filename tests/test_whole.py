@@ -88,3 +88,11 @@ def test_subtitles_of_whole_turns(spark, turns):
             assert start == pytest.approx(at, abs=2e-6)
             at += length(c, t) * len(part) / total
             assert end == pytest.approx(at, abs=2e-6)
+
+
+def test_every_vector_is_denoised(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(23)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.peak for r in queries.QUERIES["d02_denoise"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(23)) and all(0 < v <= 1 for v in got.values())
