@@ -7,7 +7,8 @@ are an interval of the suffix array whose common prefix is d lines or more.  A s
 unique is settled and leaves; the rounds end when none is left, so they follow the repeated runs and not the corpus.
 
 Of each interval at depth ``min_lines`` the first suffix in the order of (doc_id, line) is kept; the lines that the
-others cover are later copies and are deleted.  Overlapping ones make up the maximal repeated runs.
+others cover are later copies and are deleted.  Overlapping ones make up the maximal repeated runs.  With ``min_words``
+a single line of so many words is a run too, taken from the intervals at depth 1.
 """
 
 from __future__ import annotations
@@ -17,21 +18,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_GAP, checkpointed, read, rewriter, text_key
+from lectern.llm.common import checkpointed, read, rewriter, text_key
 
 MIN_LINES = 2
+#: A repeated line of fewer words, alone, is a heading or a phrase of its own kind and stays.
+MIN_WORDS = 10
 #: At most so many of the most frequent keys of a join are broadcast.
 HOT_KEYS = 1000
+WORD = r"[^\x20\x09-\x0D]+"
 _END = -1
 _PLACE = ("doc_id", "tkey", "i")
 
 
 def _suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, i, line, n, name): one row per line with a word; ``line`` is its place among all lines."""
+    """(doc_id, tkey, i, line, words, n, name): one row per line with a word; ``line`` is its place among all lines."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), (F.length(F.regexp_replace(x, WORD_GAP, "")) > 0).alias("full")))
-    seq = rows.select("doc_id", "tkey", F.filter(numbered, lambda x: x["full"]).alias("seq")).where(F.size("seq") > 0)
-    return seq.select("doc_id", "tkey", F.size("seq").alias("n"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "x.line", "n", "x.name").distinct()
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    seq = rows.select("doc_id", "tkey", F.filter(numbered, lambda x: x["words"] > 0).alias("seq")).where(F.size("seq") > 0)
+    return seq.select("doc_id", "tkey", F.size("seq").alias("n"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "x.line", "x.words", "n", "x.name").distinct()
 
 
 def _named_pairs(pairs: DataFrame) -> DataFrame:
@@ -60,10 +64,11 @@ def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
     return rows.join(on, list(_PLACE))
 
 
-def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """(doc_id, tkey, i, depth, src_doc, src_tkey, src_i): for each depth named, each suffix that is not the first of its interval.
 
-    Depths are the powers of two and ``min_lines``; src is the first suffix of the interval.
+    Depths are the powers of two and ``min_lines``; src is the first suffix of the interval.  Depth 1 is told only of lines
+    of ``min_words`` or more, or of all if ``min_lines`` is 1.
     """
     found, written = [], rewriter(suffixes.sparkSession)
 
@@ -76,6 +81,8 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     live = _joined(suffixes.withColumnRenamed("n", "lines"), one, ["name"], suffixes.count())
     if min_lines == 1:
         found.append(later(live, 1))
+    elif min_words is not None:
+        found.append(later(live.where(F.col("words") >= min_words), 1))
     live, depth = written(live.select(*_PLACE, "lines", "name")), 1
     while True:
         total = live.count()
@@ -94,19 +101,22 @@ def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from its text, and n_lines, n_removed, longest_run added (``_lines`` to ``_run``).
 
-    A run is ``min_lines`` or more consecutive lines; lines without a word are passed over and stay.  Lines are
-    compared whole.  The first copy, in the order of (doc_id, line), stays.  Null texts stay null; rows with a null id lose nothing
+    A run is ``min_lines`` or more consecutive lines, or one line of ``min_words`` or more words if that is given; lines
+    without a word are passed over and stay.  Lines are compared whole.  The first copy, in the order of (doc_id, line), stays.  Null texts stay null; rows with a null id lose nothing
     and take nothing.  Rows equal in id and text count as one and are all cut alike.  Added columns: _n_lines,
     _n_removed, _longest_run (0 if nothing went).
     """
     suffixes = checkpointed(_suffixes(docs, id_col, text_col))
-    groups = suffix_groups(suffixes, min_lines)
+    groups = suffix_groups(suffixes, min_lines, min_words)
     # lines covered by a later copy; deeper intervals lie in those of depth min_lines
     starts = groups.where(F.col("depth") == min_lines).select(*_PLACE)
-    covered = starts.select("doc_id", "tkey", F.explode(F.expr(f"sequence(i, i + {min_lines - 1})")).alias("i")).distinct()
+    covered = starts.select("doc_id", "tkey", F.explode(F.expr(f"sequence(i, i + {min_lines - 1})")).alias("i"))
+    if min_words is not None and min_lines > 1:
+        covered = covered.union(groups.where(F.col("depth") == 1).select(*_PLACE))
+    covered = covered.distinct()
     gone = covered.join(suffixes.select(*_PLACE, "line"), list(_PLACE)).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list("line")).alias("gone"), F.sort_array(F.collect_list("i")).alias("at"))
     # longest stretch of consecutive removed lines
     longest = F.aggregate(
@@ -124,11 +134,19 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     return rows.withColumns({text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept), "_n_lines": n.cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_longest_run": F.coalesce("_longest_run", F.lit(0)).cast("long")}).drop("_gone")
 
 
-def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+def _report(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_longest_run").alias("longest_run"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    return _report(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_line_dedup_single(spark, sf_dir: str) -> DataFrame:
+    """Later copies of single lines of MIN_WORDS words go as well."""
+    return _report(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=MIN_WORDS))
+
+
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
