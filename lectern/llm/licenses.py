@@ -3,7 +3,8 @@
 A paragraph is a sentence of a line.  Its words and word pairs feed a multinomial logistic regression over licence families and an
 unknown class, trained on the templates below, on thinned copies of them, on wordings that name no licence, and on
 sentences of the corpus.  Probabilities are calibrated by a temperature fitted on copies held out.  A prediction
-stands only if the paragraph's word pairs also lie in the templates of the family predicted.
+stands only if the paragraph's word pairs also lie in the templates of the family predicted, so only paragraphs whose
+pairs lie in the templates of all families are looked at; no sample of the corpus decides which those are.
 """
 
 from __future__ import annotations
@@ -94,7 +95,10 @@ def grams(w: str) -> Column:
 
 def pairs(w: str) -> Column:
     """Word pairs of ``w``, or the word if there is but one."""
-    return F.when(F.size(w) < 2, F.col(w)).otherwise(F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col(w), i + 1)))))
+    # no lambda takes in ``w`` itself: where that is inlined, it would be computed again for each word
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    both = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.when(F.size(w) < 2, F.col(w)).otherwise(F.array_distinct(both))
 
 
 def sentences(text: Column) -> Column:
@@ -105,8 +109,8 @@ def sentences(text: Column) -> Column:
 class Scanner:
     """Weights of the n-grams that tell families, the temperature and the templates' word pairs."""
 
-    def __init__(self, vocabulary: list[str], anchors: list[str], classes: list[str], weights: list[list[float]], bias: list[float], temperature: float) -> None:
-        self.vocabulary, self.anchors, self.classes, self.weights, self.bias, self.temperature = vocabulary, anchors, classes, weights, bias, temperature
+    def __init__(self, vocabulary: list[str], classes: list[str], weights: list[list[float]], bias: list[float], temperature: float) -> None:
+        self.vocabulary, self.classes, self.weights, self.bias, self.temperature = vocabulary, classes, weights, bias, temperature
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(gram, w): the vocabulary with its weights by class; no more rows than the templates have n-grams."""
@@ -139,13 +143,11 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
     share = plain.select("text", F.explode(pairs("w")).alias("g")).join(stated, "g", "left").groupBy("text").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
     plain = checkpointed(plain.join(share.where("share < 0.3").select("text"), "text", "left_semi"))
     generic = _rows(spark, [(UNKNOWN, t) for t in _NO_LICENCE]).withColumn("w", tokens(F.col("text")))
-    # N-grams of templates that ordinary sentences don't hold; the words among them are anchors: paragraphs without one are unknown
-    common = plain.select(F.explode(grams("w")).alias("gram")).distinct()
-    own = known.select(F.explode(grams("w")).alias("gram")).distinct().join(common, "gram", "left_anti")
+    # the vocabulary is all the templates hold; names that ordinary sentences hold too don't mark a thinned copy
+    own = known.select(F.explode(grams("w")).alias("gram")).distinct()
+    common = plain.select(F.explode("w").alias("gram")).distinct()
     vocabulary = sorted(r.gram for r in own.collect())  # of the templates: bounded
-    anchors = [g for g in vocabulary if " " not in g]
-    held = set(anchors)
-    vocabulary = [g for g in vocabulary if held & set(g.split(" "))]
+    held = {r.gram for r in own.join(common, "gram", "left_anti").collect()}
     # Thinned copies: each word left out in turn, and the two halves; every fourth copy is held out for calibration.
     words = known.union(generic).select("family", "text", "w")
     thin = words.select("family", "text", F.posexplode(F.transform("w", lambda _, i: F.concat(F.slice("w", F.lit(1), i), F.slice(F.col("w"), i + 2, F.size("w"))))).alias("k", "w")).where("size(w) > 2")
@@ -158,7 +160,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
     counter.setBinary(True)
     model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60, standardization=False, elasticNetParam=0.0).fit(counter.transform(rows.where("k <> 1").select("grams", "label").coalesce(2)))
     matrix = model.coefficientMatrix.toArray()
-    scanner = Scanner(vocabulary, anchors, classes, [[float(matrix[c, j]) for c in range(len(classes))] for j in range(len(vocabulary))], [float(b) for b in model.interceptVector], 1.0)
+    scanner = Scanner(vocabulary, classes, [[float(matrix[c, j]) for c in range(len(classes))] for j in range(len(vocabulary))], [float(b) for b in model.interceptVector], 1.0)
     # the temperature with the least log loss on the copies held out
     aside = rows.where("k = 1").select(F.xxhash64("grams", "family").alias("id"), "label", "w").dropDuplicates(["id"])
     z = scanner.logits(aside, ["id", "label"]).select("label", "z", F.explode(F.array(*[F.lit(t) for t in (0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0, 3.0)])).alias("t"))
@@ -170,15 +172,16 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
 
 
 def licensed_paragraphs(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tkey, paragraph, family, probability, containment): every paragraph with an anchor word, each distinct one of a document once.
+    """(doc_id, tkey, paragraph, family, probability, containment): every paragraph with MIN_CONTAINMENT of its word pairs in the templates, each distinct one of a document once.
 
     family is ``unknown`` unless the probability reaches MIN_PROBABILITY and the templates of the predicted family hold MIN_CONTAINMENT of the paragraph's word pairs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.explode(sentences(F.col(text_col))).alias("paragraph"))
-    rows = rows.withColumn("w", tokens(F.col("paragraph")))
-    # membership in the fixed set of anchors, by a hash set
-    rows = rows.where(F.exists("w", lambda x: x.isin(scanner.anchors)))
+    rows = rows.withColumn("w", tokens(F.col("paragraph"))).where(F.size("w") > 0)
+    # membership in the fixed set of the templates' pairs, by a hash set; no family can hold more of them than all together
+    stated = [r.g for r in _rows(spark, templates()).withColumn("w", tokens(F.col("text"))).select(F.explode(pairs("w")).alias("g")).distinct().collect()]
+    rows = rows.withColumn("own", pairs("w")).where(F.size(F.filter("own", lambda x: x.isin(stated))) / F.size("own") >= MIN_CONTAINMENT).drop("own")
     rows = checkpointed(rows.distinct().withColumn("pkey", F.xxhash64("paragraph")))
     # equal paragraphs are judged once
     texts = checkpointed(rows.select("pkey", "paragraph", "w").dropDuplicates(["pkey", "paragraph"]))
