@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than these (space, \t \n \v \f \r).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -19,34 +22,64 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and runs in one process (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder named in spark.checkpoint.dir."""
+    """Cuts lineage through the shared folder named in spark.checkpoint.dir.
+
+    The files go with the table: where spark.cleaner.referenceTracking.cleanCheckpoints is set Spark deletes them once nothing refers to it.
+    """
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def rewriter(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that cuts the lineage of the table of a loop: it writes it to one of two shared folders in turn and reads it back.
+@contextlib.contextmanager
+def loop_tables(spark: SparkSession, keep: bool = False) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that cuts the lineage of the table of a loop: it writes it to a shared folder and reads it back.
 
     A checkpoint keeps the planner's estimate of its size, a product over joins whose digits multiply from round to round until
-    planning takes longer than the work; a written table has the size of its files.  What was returned two calls
-    before is overwritten, so nothing may still depend on it.
+    planning takes longer than the work; a written table has the size of its files.  Unless ``keep`` is set, what was
+    returned two calls before is overwritten.  All of it is deleted at the end, so nothing that outlives the block may depend on it.
     """
     folder, turn = f"{_shared_folder(spark)}/{uuid.uuid4().hex}", itertools.count()
 
     def rewrite(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(turn) % 2}"
+        path = f"{folder}/{next(turn) % (1 << 30 if keep else 2)}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    return rewrite
+    try:
+        yield rewrite
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` and no other of them is called so (upper and lower case are one)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long; ids of other types than whole numbers are refused."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("long")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,5 +97,26 @@ def text_key(text: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows, the same ones on every run: those whose id hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(bound)
+    """At most ``bound`` rows, the same ones on every run: those whose id hashes lowest.
+
+    A threshold on the hash, from the number of rows, lets through little more than ``bound`` rows before they meet in one task.
+    """
+    total = df.count()
+    share = min(1.0, (bound + 8 * bound**0.5 + 64) / max(total, 1))
+    least = df.where(F.xxhash64(F.col(id_col)) <= F.lit(int(-(2**63) + share * (2**64 - 1025)))) if share < 1 else df
+    return least.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(bound)
+
+
+#: A key is hot if it holds over one in so many of all rows.
+HOT_KEYS = 1000
+
+
+def hot_joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per ``keys`` and in ``n`` how many of the ``total`` rows hold them.
+
+    Rows of a hot key are joined where they are: there are fewer than ``HOT_KEYS`` such keys at any size of the input, so
+    their part of ``table`` is broadcast.  No key of the shuffled rest can fill a task.
+    """
+    hot = F.broadcast(table.where(F.col(n) > total / HOT_KEYS))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= total / HOT_KEYS), keys)
+    return rows.join(hot, keys).unionByName(rest)

@@ -6,154 +6,168 @@ name of the suffix h lines on) among all such pairs in sorted order, equal pairs
 are an interval of the suffix array whose common prefix is d lines or more.  A suffix whose pair is
 unique is settled and leaves; the rounds end when none is left, so they follow the repeated runs and not the corpus.
 
-Of each interval at depth ``min_lines`` the first suffix in the order of (doc_id, line) is kept; the lines that the
-others cover are later copies and are deleted.  Overlapping ones make up the maximal repeated runs.  With ``min_words``
+In each interval the first suffix in the order of (doc_id, line) is the source of the others.  Neighbouring
+suffixes of a document whose sources are neighbours too make up one run, a later copy of one stretch of lines;
+of the runs of all depths those that lie in another are dropped, and the maximal ones left are deleted.  With ``min_words``
 a single line of so many words is a run too, taken from the intervals at depth 1.
+
+A line's id is a pair of 64-bit hashes, so that distinct lines of the largest corpora stay distinct; names are ranks and exact.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, read, rewriter, text_key
+from lectern.llm.common import checkpointed, fresh, hot_joined, loop_tables, read, text_key
 
 MIN_LINES = 2
 #: A repeated line of fewer words, alone, is a heading or a phrase of its own kind and stays.
 MIN_WORDS = 10
-#: At most so many of the most frequent keys of a join are broadcast.
-HOT_KEYS = 1000
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 _END = -1
 _PLACE = ("doc_id", "tkey", "i")
+_DOC = ("doc_id", "tkey")
 
 
-def _suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, i, line, words, n, name): one row per line with a word; ``line`` is its place among all lines."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    seq = rows.select("doc_id", "tkey", F.filter(numbered, lambda x: x["words"] > 0).alias("seq")).where(F.size("seq") > 0)
-    return seq.select("doc_id", "tkey", F.size("seq").alias("n"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "x.line", "x.words", "n", "x.name").distinct()
-
+def _has_words(n: int) -> str:
+    """Pattern of lines with ``n`` words or more; it gives up or stops at the n-th."""
+    gap = r"[\x20\x09-\x0D]"
+    return rf"^{gap}*+{WORD}++(?:{gap}++{WORD}++){{{n - 1}}}"
 
-def _named_pairs(pairs: DataFrame) -> DataFrame:
-    """(a, b, rank, n, first) of the pairs (a, b, doc_id, tkey, i) that occur more than once, ranked in sorted order.
 
-    ``n`` counts a pair's places, ``first`` is the least of them.  The sort is by range over distinct pairs; a rank rises with the pair and need not be dense.
-    """
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
-    return checkpointed(counted.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "n", "first"))
+def _suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int | None = None) -> DataFrame:
+    """(doc_id, tkey, i, lines, alone, h1, h2): one row per line with a word, i its place among these, alone whether it is a run by itself."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    alone = F.lit(False) if min_words is None else F.lit(True)
+    told = lambda x: F.struct((alone & x.rlike(_has_words(min_words or 1))).alias("alone"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))
+    seq = rows.select(*_DOC, F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)), told).alias("seq")).where(F.size("seq") > 0)
+    out = seq.select(*_DOC, F.size("seq").alias("lines"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "lines", "x.*")
+    # rows equal in id and text count once
+    repeated = rows.groupBy(*_DOC).count().where("count > 1")
+    return out if repeated.isEmpty() else out.distinct()
 
 
-def _joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row per ``keys`` and in ``n`` how many of the ``total`` rows hold them.
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, n, first) of the ``keys`` that occur more than once in ``rows`` (keys, doc_id, tkey, i), ranked in sorted order.
 
-    Rows of a key that holds over a ``HOT_KEYS``-th of all rows are joined where they are: there are fewer than
-    ``HOT_KEYS`` such keys, at any size of the input.  No key of the shuffled rest can fill a task.
+    ``n`` counts a key's places, ``first`` is the least of them.  The sort is by range over distinct keys; a rank rises with the key and need not be dense.
     """
-    hot = F.broadcast(table.where(F.col("n") > total / HOT_KEYS))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= total / HOT_KEYS), keys)
-    return rows.join(hot, keys).unionByName(rest).drop("n")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
+    return checkpointed(counted.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"), "n", "first"))
 
 
 def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
     """``rows`` with b, the name that ``names`` has ``lines`` further on in the document; rows without one are left out."""
-    on = names.select("doc_id", "tkey", (F.col("i") - lines).alias("i"), F.col("name").alias("b"))
+    on = names.select(*_DOC, (F.col("i") - lines).alias("i"), F.col("name").alias("b"))
     return rows.join(on, list(_PLACE))
 
 
-def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """(doc_id, tkey, i, depth, src_doc, src_tkey, src_i): for each depth named, each suffix that is not the first of its interval.
+def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, tkey, i, depth, src_doc, src_tkey, src_i): for each depth, each suffix that is not the first of its interval.
 
-    Depths are the powers of two and ``min_lines``; src is the first suffix of the interval.  Depth 1 is told only of lines
-    of ``min_words`` or more, or of all if ``min_lines`` is 1.
+    Depths are ``min_lines`` and the powers of two above it, and 1 for lines that are runs alone; src is the first suffix of the interval.
     """
-    found, written = [], rewriter(suffixes.sparkSession)
-
-    def later(named: DataFrame, depth: int) -> DataFrame:
-        src = [F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]
-        return named.where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE, F.lit(depth).alias("depth"), *src)
-
-    # Depth 1: lines that occur once are settled at once.
-    one = checkpointed(suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1"))
-    live = _joined(suffixes.withColumnRenamed("n", "lines"), one, ["name"], suffixes.count())
-    if min_lines == 1:
-        found.append(later(live, 1))
-    elif min_words is not None:
-        found.append(later(live.where(F.col("words") >= min_words), 1))
-    live, depth = written(live.select(*_PLACE, "lines", "name")), 1
-    while True:
-        total = live.count()
-        if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
-            pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("lines")), live, min_lines - depth).withColumnRenamed("name", "a"))
-            found.append(later(_joined(pairs, _named_pairs(pairs), ["a", "b"], total), min_lines))
-        # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
-        over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
-        pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
-        named = _joined(pairs, _named_pairs(pairs), ["a", "b"], total)
-        depth *= 2
-        found.append(later(named.where(F.col("b") != _END), depth))
-        live = written(named.select(*_PLACE, "lines", F.col("rank").alias("name")))
-        if live.where(F.col("i") + depth < F.col("lines")).isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
-
-
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from its text, and n_lines, n_removed, longest_run added (``_lines`` to ``_run``).
-
-    A run is ``min_lines`` or more consecutive lines, or one line of ``min_words`` or more words if that is given; lines
-    without a word are passed over and stay.  Lines are compared whole.  The first copy, in the order of (doc_id, line), stays.  Null texts stay null; rows with a null id lose nothing
-    and take nothing.  Rows equal in id and text count as one and are all cut alike.  Added columns: _n_lines,
-    _n_removed, _longest_run (0 if nothing went).
+    place = F.struct(*_PLACE)
+    source = [F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]
+    found = []
+
+    def later(named: DataFrame, depth: int) -> None:
+        if depth >= min_lines or depth == 1:
+            found.append(named.where(place > F.col("first")).select(*_PLACE, F.lit(depth).alias("depth"), *source))
+
+    with loop_tables(suffixes.sparkSession, keep=True) as written:
+        # Depth 1: lines that occur once are settled at once.
+        ids = ["h1", "h2"]
+        live = written(hot_joined(suffixes, _named(suffixes, ids), ids, "n", suffixes.count()).select(*_PLACE, "lines", "alone", "name", "first"))
+        later(live if min_lines == 1 else live.where("alone"), 1)
+        live, depth = live.select(*_PLACE, "lines", "name"), 1
+        while True:
+            total = live.count()
+            if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
+                pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("lines")), live, min_lines - depth).withColumnRenamed("name", "a"))
+                later(written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select(*_PLACE, "first")), min_lines)
+            # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
+            over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
+            pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
+            live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select(*_PLACE, "lines", "name", "first"))
+            depth *= 2
+            later(live.where(F.col("i") + depth <= F.col("lines")), depth)
+            live = live.select(*_PLACE, "lines", "name")
+            if live.where(F.col("i") + depth < F.col("lines")).isEmpty():
+                break
+        return checkpointed(reduce(DataFrame.unionByName, found))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """(doc_id, tkey, start, end, src_doc, src_tkey, src_start): the maximal later copies of stretches of lines.
+
+    Lines are counted from 0 over those with a word; ``end`` is exclusive.  A run is ``min_lines`` lines or more, or with ``min_words``
+    a line of so many words.  All its lines stand in the same order from src_start on in src_doc, which is
+    smaller, or before it in the same document.  A run that lies in another of the document is left out; two may overlap.
     """
-    suffixes = checkpointed(_suffixes(docs, id_col, text_col))
-    groups = suffix_groups(suffixes, min_lines, min_words)
-    # lines covered by a later copy; deeper intervals lie in those of depth min_lines
-    starts = groups.where(F.col("depth") == min_lines).select(*_PLACE)
-    covered = starts.select("doc_id", "tkey", F.explode(F.expr(f"sequence(i, i + {min_lines - 1})")).alias("i"))
-    if min_words is not None and min_lines > 1:
-        covered = covered.union(groups.where(F.col("depth") == 1).select(*_PLACE))
-    covered = covered.distinct()
-    gone = covered.join(suffixes.select(*_PLACE, "line"), list(_PLACE)).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list("line")).alias("gone"), F.sort_array(F.collect_list("i")).alias("at"))
-    # longest stretch of consecutive removed lines
-    longest = F.aggregate(
-        "at",
-        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"] + 1, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(x == a["last"] + 1, a["run"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
-    )
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "gone", longest.alias("_longest_run")).withColumnRenamed("gone", "_gone")
-    text = F.col(text_col)
-    rows = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_tkey": text_key(text)}).join(gone, ["_doc", "_tkey"], "left").drop("_doc", "_tkey")
-    lines = F.split(text, "\n", -1)
-    n = F.when(text.isNull(), 0).otherwise(F.size(lines))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
-    return rows.withColumns({text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept), "_n_lines": n.cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_longest_run": F.coalesce("_longest_run", F.lit(0)).cast("long")}).drop("_gone")
-
-
-def _report(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_longest_run").alias("longest_run"), F.sha2("text", 256).alias("kept_sha256"))
+    marks = suffix_groups(checkpointed(_suffixes(docs, id_col, text_col, min_words)), min_lines).withColumn("shift", F.col("i") - F.col("src_i"))
+    stretch = ["depth", "src_doc", "src_tkey", "shift"]
+    order = Window.partitionBy(*_DOC).orderBy(*stretch, "i")
+    goes_on = F.col("i") == F.lag("i").over(order) + 1
+    for c in stretch:
+        goes_on = goes_on & (F.col(c) == F.lag(c).over(order))
+    marks = marks.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("opens").over(order))
+    ends = [F.min("i").alias("start"), (F.max("i") + F.first("depth")).alias("end"), F.first("depth").alias("depth")]
+    runs = marks.groupBy(*_DOC, "run").agg(*ends, *[F.min(f"src_{c}").alias(f"src_{n}") for c, n in (("doc", "doc"), ("tkey", "tkey"), ("i", "start"))])
+    reach = F.max("end").over(Window.partitionBy(*_DOC).orderBy("start", F.desc("end"), F.desc("depth"), "src_doc", "src_tkey", "src_start").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("reach", reach).where("reach is null or end > reach").drop("reach", "run", "depth")
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, told: tuple[str, str, str] = ("_n_lines", "_n_removed", "_longest_run")) -> DataFrame:
+    """``docs`` with the runs of ``repeated_runs`` deleted from its text, and three columns, named by ``told``, added.
+
+    These are the number of lines, of deleted lines, and of lines in the longest run (0 if none).  Columns of these names
+    in ``docs`` are replaced, all others stay, whatever they are called.  Lines are compared whole; lines without a word
+    are passed over and stay.  Of equal lines that go, the first in the order of (doc_id, line) stays; where copies of a
+    run overlap in one document (A A A), what stays is shorter than the run.  Null texts stay null and
+    have 0 lines; rows with a null id lose nothing and take nothing.  Rows equal in id and text count as one and are all cut alike.
+    """
+    docs = docs.drop(*told)
+    id_, key, runs, lines, filled, kept = fresh(docs, "_doc", "_tkey", "_runs", "_lines", "_filled", "_kept")
+    found = repeated_runs(docs, min_lines, id_col, text_col, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias(runs))
+    text, at = F.col(text_col), F.col(runs)
+    rows = docs.withColumns({id_: F.col(id_col), key: text_key(text)}).join(found.withColumnsRenamed({"doc_id": id_, "tkey": key}), [id_, key], "left").drop(id_, key)
+    # Each step refers to the columns of the one before more than once, so that none is worked out again for each line.
+    rows = rows.withColumn(lines, F.when(at.isNotNull(), F.split(text, "\n", -1)))
+    rows = rows.withColumn(filled, F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull()))
+    gone = F.flatten(F.transform(at, lambda r: F.sequence(r["start"], r["end"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(filled) - 1), gone)
+    rows = rows.withColumn(kept, left)
+    blank = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(filled))
+    places = F.array_sort(F.concat(blank, F.transform(kept, lambda i: F.get(F.col(filled), i))))
+    text_left = F.array_join(F.transform(places, lambda i: F.get(F.col(lines), i)), "\n")
+    n = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    longest = F.array_max(F.transform(at, lambda r: r["end"] - r["start"]))
+    out = {told[0]: n, told[1]: F.size(filled) - F.size(kept), told[2]: longest}
+    rows = rows.withColumns({text_col: F.when(at.isNull(), text).otherwise(text_left)} | {c: F.when(at.isNull() & (c != told[0]), 0).otherwise(x).cast("long") for c, x in out.items()})
+    return rows.drop(runs, lines, filled, kept)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return _report(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op3_line_dedup_single(spark, sf_dir: str) -> DataFrame:
-    """Later copies of single lines of MIN_WORDS words go as well."""
-    return _report(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=MIN_WORDS))
+    """Later copies of runs of MIN_LINES lines, or of one line of MIN_WORDS words, are deleted from the documents."""
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=MIN_WORDS)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_longest_run").alias("longest_run"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) AS k FROM f WHERE nxt IS NOT NULL),
-c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM w WHERE k > 1),
-r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c),
-m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, g, count(*) AS n FROM r GROUP BY doc_id, g) GROUP BY doc_id),
+f AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM f GROUP BY doc_id),
+w AS (SELECT doc_id, i, d, ls[i + 1:i + d] AS k FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s), (SELECT CAST(pow(2, unnest(range(24))) AS BIGINT) AS d)
+  WHERE i + d <= len(ls) AND (d >= {MIN_LINES} OR regexp_matches(ls[i + 1], '^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}'))),
+p AS (SELECT doc_id, i, d, first_value(doc_id) OVER o AS sd, first_value(i) OVER o AS si FROM w WINDOW o AS (PARTITION BY d, k ORDER BY doc_id, i)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d, sd, i - si ORDER BY i) AS g FROM p WHERE sd <> doc_id OR si <> i),
+r AS (SELECT doc_id, min(i) AS a, max(i) + d AS b FROM g GROUP BY doc_id, d, sd, i - si, g),
+c AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM r),
+m AS (SELECT doc_id, max(b - a) AS longest FROM r GROUP BY doc_id),
 x AS (SELECT l.doc_id, l.n, l.pos, l.line, c.i IS NOT NULL AS gone FROM l LEFT JOIN f USING (doc_id, pos) LEFT JOIN c ON c.doc_id = f.doc_id AND c.i = f.i)
 SELECT x.doc_id, CAST(any_value(x.n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
   CAST(coalesce(any_value(m.longest), 0) AS BIGINT) AS longest_run, sha256(coalesce(string_agg(x.line, chr(10) ORDER BY x.pos) FILTER (NOT gone), '')) AS kept_sha256

@@ -10,7 +10,6 @@ QUERIES = {
         toxicity.op1_toxicity,
         urls.op2_url_filters,
         lines.op3_line_dedup,
-        lines.op3_line_dedup_single,
         rules.op4_quality_rules,
         pu_quality.op5_quality_classifier,
         simhash.op6_simhash_near_dedup,

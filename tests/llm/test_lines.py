@@ -54,6 +54,70 @@ def test_groups_are_intervals(spark):
     assert found == {(2, 1, 2): (1, 0), (2, 2, 2): (1, 1), (2, 3, 2): (1, 2), (3, 0, 2): (1, 1), (2, 1, 4): (1, 0)}
 
 
+def longest_runs(rows, depths):
+    """{doc_id: lines of the longest stretch whose windows of some depth all have their first copies side by side}."""
+    seqs = {d: [x for x in t.split("\n") if x.encode().split()] for d, t in sorted(rows)}
+    best = dict.fromkeys(seqs, 0)
+    for depth in depths:
+        first = {}
+        for d, seq in seqs.items():
+            length, last = 0, None
+            for i in range(len(seq) - depth + 1):
+                source = first.setdefault(tuple(seq[i : i + depth]), (d, i))
+                if source == (d, i):
+                    length, last = 0, None
+                    continue
+                length = length + 1 if last and length and source == (last[0], last[1] + 1) else depth
+                last = source
+                best[d] = max(best[d], length)
+    return best
+
+
+def test_longest_runs(spark):
+    rng = random.Random(9)
+    base = [str(rng.randrange(30)) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        a, n = rng.randrange(50), rng.randrange(1, 14)
+        rows.append((i, "\n".join([str(rng.randrange(30)) for _ in range(rng.randrange(4))] + base[a : a + n] + [str(rng.randrange(30))])))
+    out = {r.doc_id: r._longest_run for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == longest_runs(rows, [2, 4, 8, 16]) and max(out.values()) > 8
+
+
+def test_every_depth_counts(spark):
+    """Pairs of lines stand first in different documents; only the intervals at depth 4 show that all four lines have one copy."""
+    rows = [(1, "a\nb\nx"), (2, "b\nc\ny"), (3, "c\nd"), (4, "a\nb\nc\nd"), (5, "q\na\nb\nc\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = {(r.doc_id, r.start, r.end, r.src_doc, r.src_start) for r in lines.repeated_runs(df).collect()}
+    assert runs == {(4, 0, 2, 1, 0), (4, 1, 3, 2, 0), (4, 2, 4, 3, 0), (5, 1, 5, 4, 0)}
+    assert {r.doc_id: (r.text, r._longest_run) for r in lines.dedup_lines(df).collect()} == {1: (rows[0][1], 0), 2: (rows[1][1], 0), 3: (rows[2][1], 0), 4: ("", 2), 5: ("q", 4)}
+
+
+def test_overlapping_copies_in_one_document(spark):
+    rows = [(1, "A\nA\nA"), (2, "A\nB\nC"), (3, "B\nC")]
+    assert {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: "A", 2: "A\nB\nC", 3: ""}
+
+
+def test_clashing_columns_and_text_ids(spark):
+    rows = [("a", "x\ny", 1, 2, 3, 4, 5), ("b", "x\ny\nz", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _doc int, _gone int, _runs int, tkey int, i int")
+    out = lines.dedup_lines(df)
+    assert out.columns == [*df.columns, "_n_lines", "_n_removed", "_longest_run"]
+    assert sorted(map(tuple, out.collect())) == [(*rows[0], 2, 0, 0), ("b", "z", *rows[1][2:], 3, 2, 2)]
+
+
+def test_equal_hashes_of_one_kind(spark, monkeypatch):
+    """Lines that share one of their two hashes stay apart."""
+    plain = lines.F.xxhash64
+    rows = [(1, "a\nb"), (2, "c\nd"), (3, "c\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for collide in (1, 2):
+        monkeypatch.setattr(lines.F, "xxhash64", lambda *c, collide=collide: lines.F.lit(7).cast("long") if len(c) == collide else plain(*c))
+        suffixes = lines._suffixes(df, "doc_id", "text")
+        assert suffixes.select("h1", "h2").distinct().count() == 4
+        monkeypatch.setattr(lines.F, "xxhash64", plain)
+
+
 def test_query_against_sql(spark, sf):
     names = ("doc_id", "n_lines", "n_removed", "longest_run", "kept_sha256")
     got = sorted(map(str, (tuple(r[c] for c in names) for r in lines.op3_line_dedup(spark, sf).collect())))

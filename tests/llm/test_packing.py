@@ -46,7 +46,7 @@ def check(df, tokenizer, capacity=2048):
         by_doc[str(d)].append(x)
     for r in rows:
         assert any(r.doc_tokens == len(x) and zlib.crc32(np.array(x[r.start : r.start + r.length], np.uint32).tobytes()) == r.ids_crc32 for x in by_doc[str(r.doc_id)])
-    bins, padding = defaultdict(list), 0
+    bins = defaultdict(list)
     for r in rows:
         bins[r.sequence_id].append((r.offset, r.length))
     for pieces in bins.values():
@@ -55,24 +55,64 @@ def check(df, tokenizer, capacity=2048):
             assert off == at
             at += length
         assert at <= capacity
-        padding += 0 if at & (at - 1) == 0 else capacity - at
-    assert padding == 0
     return rows
 
 
 def test_whole_table(spark, tokenizer, sf):
-    rows = check(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), tokenizer)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    rows = check(docs, tokenizer)
     assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    report = packing.packing_report(packing.pack(docs)).first()
+    assert report.n_tokens == sum(r.length for r in rows) and report.padding_share < 0.03 and report.n_short_cut <= 0.05 * report.n_short
 
 
-@pytest.mark.parametrize("capacity", [2048, 16])
+@pytest.mark.parametrize("capacity", [2048, 16, 100])
 def test_edges(spark, tokenizer, capacity):
     rows = [(i % 7 if i % 5 else None, t, i) for i, t in enumerate(TEXTS * 3)]
     check(spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(4), tokenizer, capacity)
     assert not packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect()
+    with pytest.raises(TypeError):
+        packing.pack(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
-def test_piece_lengths():
-    for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
-        assert sum(packing.piece_lengths(n)) == n
-        assert all(x & (x - 1) == 0 for x in packing.piece_lengths(n))
+def packed(sizes, capacity):
+    """The bins [(doc, offset, start, length)] of documents of so many tokens, checked to hold each token once and without gaps."""
+    packer = packing.Packer(capacity)
+    for i, n in enumerate(sizes):
+        packer.put(i, bytes(4 * n))
+    packer.finish()
+    bins, docs = defaultdict(list), defaultdict(list)
+    for doc, start, length, _, _, bin_, offset in packer.rows():
+        bins[bin_].append((offset, length, doc))
+        docs[doc].append((start, length))
+    for pieces, end in [(p, None) for p in bins.values()] + [(docs[i], n) for i, n in enumerate(sizes)]:
+        at = 0
+        for first, length, *_ in sorted(pieces):
+            assert first == at and length > 0
+            at += length
+        assert at <= capacity if end is None else at == end
+    return bins, docs
+
+
+def test_classes_hold_a_fixed_number_of_whole_documents():
+    for k in (1, 2, 3, 5, 7):
+        n = 2048 // k
+        bins, docs = packed([n] * (k * 6), 2048)
+        assert len(bins) == 6 and all(len(b) == k for b in bins.values()) and all(len(d) == 1 for d in docs.values())
+
+
+def test_long_documents_fill_the_slack():
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 2048) for _ in range(900)] + [rng.randrange(2049, 9000) for _ in range(100)]
+    rng.shuffle(sizes)
+    bins, docs = packed(sizes, 2048)
+    used = sum(sizes)
+    assert len(bins) * 2048 < used * 1.005
+    short = [i for i, n in enumerate(sizes) if n <= 2048]
+    assert sum(len(docs[i]) > 1 for i in short) < 0.05 * len(short)
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [2048], [2049], [700] * 400, [1100] * 300, [1] * 5000, [5000] * 40, list(range(1, 700)), list(range(700, 0, -1))])
+def test_lopsided_sizes(sizes):
+    bins, _ = packed(sizes, 2048)
+    assert len(bins) * 2048 <= sum(sizes) * 1.02 + 2 * 2048

@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 from test_decontamination import grams
-from test_lines import brute as brute_lines
+from test_single_lines import brute as brute_lines
 from test_simhash import brute_components, brute_fingerprint
 
 
@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark, sf):
     gone = {d for d, _ in rows[0]} - {d for d, _ in rows[1]}
     known = [labels[d] for d in gone if d in labels]
     assert set(rows[1]) <= set(rows[0]) and gone and sum(known) > len(known) / 2
-    assert Counter(rows[2]) == Counter((d, t) for d, t, _ in brute_lines(rows[1], 2))
+    assert Counter(rows[2]) == Counter(brute_lines(rows[1], 2, 10).items())
     roots = brute_components([(d, brute_fingerprint(t)) for d, t in rows[2]])
     assert sorted(d for d, _ in rows[3]) == sorted({c for c in roots.values()})
     items = [grams(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

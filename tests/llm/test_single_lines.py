@@ -40,5 +40,5 @@ def test_single_line_document(spark):
 
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    got = {r.doc_id: r.kept_sha256 for r in lines.op3_line_dedup_single(spark, sf).collect()}
+    got = {r.doc_id: r.kept_sha256 for r in lines.op3_line_dedup(spark, sf).collect()}
     assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in brute(rows, 2, lines.MIN_WORDS).items()}
