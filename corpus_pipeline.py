@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, lines, packing, simhash, toxicity
-from lectern.llm.common import checkpointed, read
+from lectern.llm.common import checkpointed, fresh, read
 from lectern.llm.pu_quality import fold
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the classifier learns from the labels as its query does."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    (name,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, docs.columns, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of line runs; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """All documents, without later copies of line runs and of long lines; n_chars follows the text."""
+    n, gone, longest = told = fresh(docs, "n_lines", "n_removed", "longest_run")
+    out = lines.dedup_lines(docs, min_words=lines.MIN_WORDS, told=tuple(told))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.drop(n, gone, longest)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
