@@ -2,11 +2,14 @@
 
 A host reads backwards as a key (``a.example.com`` becomes ``com.example.a.``), so a rule for a host and all its
 subdomains covers one interval of keys.  Intervals of two rules nest or are disjoint.  Urls and rules are cut at the
-same boundaries and sorted by key; one sweep over a part keeps the rules whose intervals are open on a stack.
+same boundaries and sorted by key and path; one sweep over a part keeps the hosts whose intervals are open on a stack.
+A host's own rules are intervals too, of paths: sorted, each knows the shorter rule that encloses it, so the longest
+one that fits a path is found from its place among them and not by trying all.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import read, shuffle_partitions
 
-#: Keys looked at for each boundary between parts.
-KEYS_PER_PART = 40
-MAX_PARTS = 4000
+#: Keys looked at for each boundary between parts; the driver sees so many for each part, and a part has about ROWS_PER_PART urls.
+KEYS_PER_PART = 16
+ROWS_PER_PART = 1_000_000
 
 
 def host(url: Column) -> Column:
@@ -41,6 +44,31 @@ def _after(key: Column) -> Column:
     return F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/"))
 
 
+class PathRules:
+    """The rules of one host, added in the order of their paths (code points); a rule's interval lies in that of the rule before it or of one that encloses that."""
+
+    def __init__(self, host: str) -> None:
+        self.host, self.paths, self.verdicts, self.around = host, [], [], []
+
+    def add(self, path: str, verdict: str) -> None:
+        if self.paths and self.paths[-1] == path:
+            self.verdicts[-1] = "block" if "block" in (verdict, self.verdicts[-1]) else max(verdict, self.verdicts[-1])
+            return
+        above = len(self.paths) - 1
+        while above >= 0 and not path.startswith(self.paths[above]):
+            above = self.around[above]
+        self.paths.append(path)
+        self.verdicts.append(verdict)
+        self.around.append(above)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest path that ``path`` starts with."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.around[at]
+        return None if at < 0 else (self.host + self.paths[at], self.verdicts[at])
+
+
 def match_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``urls``.
 
@@ -55,16 +83,18 @@ def match_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     lower = F.lower(F.coalesce("host", F.lit("")))
     cover = rules.select(lower.alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("verdict", F.lit(default)).alias("verdict")).distinct().withColumn("key", host_key(F.col("host")))
 
-    # Boundaries come from a sample of bounded size; they decide where rows are judged, never how.
+    # Boundaries come from a sample, of a fixed number of keys a part; they decide where rows are judged, never how.
     # The salt cuts the rows of one hot host into several parts.
-    n = min(max(2, shuffle_partitions(spark)), MAX_PARTS)
-    sample = sorted((r.key, r.salt) for r in rows.orderBy(F.xxhash64("id", "salt")).select("key", "salt").limit(n * KEYS_PER_PART).collect())
-    bounds = sorted(set(sample[KEYS_PER_PART::KEYS_PER_PART]))
+    total = rows.count()
+    n = max(2, shuffle_partitions(spark), total // ROWS_PER_PART)
+    share = min(1.0, n * KEYS_PER_PART / max(total, 1))
     least = -(2**63)
+    some = rows.where(F.xxhash64("id", "salt") <= F.lit(int(least + share * (2**64 - 1025))))
+    sample = sorted((r.key, r.salt) for r in some.select("key", "salt").collect())
+    step = max(1, len(sample) // n)
+    bounds = sorted(set(sample[step::step]))
 
     def part_of(keys: pd.Series, salts: pd.Series | None = None) -> np.ndarray:
-        from bisect import bisect_right
-
         return np.array([bisect_right(bounds, x) for x in zip(keys, salts if salts is not None else [least] * len(keys), strict=True)], np.int32)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +117,7 @@ def match_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, stack = None, []  # of (key, [(path, verdict), longest first])
+        part, stack = None, []  # of (key, the host's rules)
         for pdf in batches:
             hit, verdicts = [], []
             for at, key, kind, path_, verdict, host_ in zip(pdf["part"], pdf["key"], pdf["kind"], pdf["path"], pdf["verdict"], pdf["host"], strict=True):
@@ -98,20 +128,19 @@ def match_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                 found = (None, default)
                 if kind == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((path_, verdict, host_ + path_))
-                    stack[-1][1].sort(key=lambda r: (-len(r[0]), r[1] != "block"))
+                        stack.append((key, PathRules(host_)))
+                    stack[-1][1].add(path_, verdict)
                 else:
-                    for _, fits in reversed(stack):
-                        if rule := next((r for r in fits if path_.startswith(r[0])), None):
-                            found = (rule[2], rule[1])
+                    for _, rules_ in reversed(stack):
+                        if (rule := rules_.longest(path_)) is not None:
+                            found = rule
                             break
                 hit.append(found[0])
                 verdicts.append(found[1])
             out = pd.DataFrame({"id": pdf["id"], "host": pdf["host"], "path": pdf["path"], "rule": hit, "verdict": verdicts})
             yield out[pdf["kind"] == 1]
 
-    swept = events.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "kind")
+    swept = events.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "kind", "path")
     return swept.mapInPandas(sweep, f"id {cast_id}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
