@@ -3,9 +3,9 @@
 An item is found in a document if the document holds at least 0.8 of the item's distinct 5-word shingles.  Items
 are partitioned by size (the power of two below their number of shingles).  An item's sketch is its bottom-k
 MinHash: the k shingles of least hash, where k exceeds the number of shingles that may be missing, so every document
-that holds enough of the item holds a shingle of its sketch: no true pair is lost.  Only document shingles
-whose hash lies below the largest sketch hash of a size class can hit, the rest are dropped before any join.
-Hits are verified by exact containment of the shingles themselves.
+that holds enough of the item holds a shingle of its sketch: no true pair is lost.  Each size class is searched by itself:
+a document sends it only the shingles whose hash lies below the largest sketch hash of that class, so short items, whose sketches
+reach high, do not widen the search for long ones.  Hits are verified by exact containment of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, read, text_key, words
+from lectern.llm.common import checkpointed, fresh, hot_joined, read, text_key, words
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Up to so many rows the sketches, or the candidates, are broadcast; beyond, both sides are shuffled.
+#: Up to so many rows the sketches, the items' shingles or the candidates are broadcast; beyond, both sides are shuffled, frequent keys apart.
 BROADCAST_ROWS = 200_000
 
 
@@ -37,49 +37,74 @@ def shingle_hashes(h: str) -> Column:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """(item_id, class, hash): the bottom-k MinHash of each item (item_id, w)."""
-    hashed = items.select("item_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    ordered = hashed.select("item_id", F.array_sort(F.array_distinct(shingle_hashes("h"))).alias("v")).where(F.size("v") > 0)
+    """(item_id, ikey, class, hash): the bottom-k MinHash of each item (item_id, ikey, w)."""
+    hashed = items.select("item_id", "ikey", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    ordered = hashed.select("item_id", "ikey", F.array_sort(F.array_distinct(shingle_hashes("h"))).alias("v")).where(F.size("v") > 0)
     n = F.size("v")
     k = n - F.ceil(n * CONTAINMENT - 1e-9).cast("int") + 1
-    return ordered.select("item_id", (F.length(F.bin(n)) - 1).alias("class"), F.explode(F.slice("v", 1, k)).alias("hash"))
+    return ordered.select("item_id", "ikey", (F.length(F.bin(n)) - 1).alias("class"), F.explode(F.slice("v", 1, k)).alias("hash"))
+
+
+def bounds(sketch: DataFrame) -> dict[int, int]:
+    """The largest sketch hash of each size class, 32 of them at most."""
+    return {r["class"]: r.top for r in sketch.groupBy("class").agg(F.max("hash").alias("top")).collect()}
+
+
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``; a small table is broadcast, else keys that many rows hold are joined apart."""
+    if small:
+        return rows.join(F.broadcast(table), keys)
+    rows = checkpointed(rows)
+    (n,) = fresh(table, "n")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias(n))
+    return hot_joined(rows, checkpointed(table.join(counted, keys)), keys, n, rows.count()).drop(n)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, tkey, item_id, n_item, n_shared, containment): each item found in each distinct (doc_id, text).
 
     Words are runs of non-space characters, lower-cased.  An item of fewer than five words is one shingle and is found only in a document of just these words.
-    Items and documents without words, or null, give nothing; repeated items and documents give one row.
+    Items and documents without words, or null, give nothing; repeated items and documents give one row, texts that share an item's id are
+    judged each.  Ids may be of any type, an item without one finds nothing; other columns are passed over.
     """
     lowered = lambda c: words(F.lower(F.col(c)))
-    wanted = checkpointed(items.select(F.col(item_col).alias("item_id"), lowered(text_col).alias("w")).where(F.size("w") > 0).distinct())
-    sketch = checkpointed(sketches(wanted).select("item_id", "class", "hash"))
-    classes = sketch.groupBy("class").agg(F.max("hash").alias("top"), F.count("*").alias("n")).collect()  # 32 rows at most
-    # One bound serves all classes: the widest.
-    top = max((r.top for r in classes), default=-(2**63))
-    small = sum(r.n for r in classes) <= BROADCAST_ROWS
+    wanted = items.select(F.col(item_col).alias("item_id"), lowered(text_col).alias("w")).where(F.size("w") > 0).distinct()
+    wanted = checkpointed(wanted.withColumn("ikey", F.xxhash64("w")))
+    sketch = checkpointed(sketches(wanted))
+    tops, small = bounds(sketch), sketch.count() <= BROADCAST_ROWS
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
+    if not tops:
+        return rows.limit(0).select("doc_id", "tkey", F.lit(None).cast(items.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
     hashed = rows.select("doc_id", "tkey", F.transform(lowered("text"), lambda x: F.xxhash64(x)).alias("h"))
-    low = hashed.select("doc_id", "tkey", F.explode(F.array_distinct(F.filter(shingle_hashes("h"), lambda x: x <= F.lit(top)))).alias("hash"))
-    hits = sketch.select("hash", "item_id")
-    pairs = checkpointed(low.join(F.broadcast(hits) if small else hits, "hash").select("doc_id", "tkey", "item_id").distinct())
-    # verification: the texts of the candidates only
+    hashed = hashed.select("doc_id", "tkey", F.array_distinct(shingle_hashes("h")).alias("v"))
+    own = lambda c, top: F.transform(F.filter("v", lambda x: x <= F.lit(top)), lambda x: F.struct(F.lit(c).alias("class"), x.alias("hash")))
+    by_class = [own(c, top) for c, top in sorted(tops.items())]
+    low = hashed.select("doc_id", "tkey", F.explode(F.concat(*by_class)).alias("x")).select("doc_id", "tkey", "x.*")
+    pairs = checkpointed(_met(low, sketch, ["class", "hash"], small).select("doc_id", "tkey", "item_id", "ikey").distinct())
+    # verification: the shingles of the candidates only, each document's once, against those of the items asked for
     few = pairs.count() <= BROADCAST_ROWS
-    told = pairs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "item_id")
-    both = rows.join(F.broadcast(told) if few else told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
-    both = both.select("doc_id", "tkey", "item_id", lowered("text").alias("w")).select("doc_id", "tkey", "item_id", shingles("w").alias("s"))
-    truth = wanted.select("item_id", shingles("w").alias("want"))
-    shared = F.size(F.array_intersect("s", "want")).cast("long")
-    out = both.join(truth, "item_id").select("doc_id", "tkey", "item_id", F.size("want").cast("long").alias("n_item"), shared.alias("n_shared"))
+    told = pairs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k")).distinct()
+    texts = rows.join(F.broadcast(told) if few else told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "tkey"])
+    have = texts.select("doc_id", "tkey", lowered("text").alias("w")).select("doc_id", "tkey", F.explode(shingles("w")).alias("s"))
+    full = wanted.select("item_id", "ikey", shingles("w").alias("want"))
+    each = full.select(F.explode("want").alias("s")).distinct()
+    if small:
+        have = have.join(F.broadcast(each), "s", "left_semi")
+    asked = _met(pairs, full, ["item_id", "ikey"], small).select("doc_id", "tkey", "item_id", "ikey", F.size("want").cast("long").alias("n_item"), F.explode("want").alias("s"))
+    key = F.xxhash64(F.struct("doc_id")).alias("d"), "tkey", "s"  # the id as a part of a join key that a null id has too
+    out = asked.select("*", key[0]).join(have.select(*key), ["d", "tkey", "s"]).groupBy("doc_id", "tkey", "item_id", "ikey", "n_item").agg(F.count("*").alias("n_shared"))
     out = out.where(F.col("n_shared") >= F.col("n_item") * CONTAINMENT - 1e-9)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item")).distinct()
+    return out.select("doc_id", "tkey", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more) in which no item is found; null ids and texts are kept, but null ids with an item go too."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k"))
-    return docs.join(hit, on, "left_anti")
+    """The rows of ``docs`` (doc_id, text and more) in which no item is found; null ids and texts are kept, but null ids with an item go too.
+
+    All columns stay, whatever they are called.
+    """
+    d, k = fresh(docs, "d", "k")
+    hit = contaminated(docs, items).select(F.col("doc_id").alias(d), F.col("tkey").alias(k)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)), "left_anti")
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
