@@ -2,7 +2,7 @@
 
 A paragraph is a sentence of a line.  Its words and word pairs feed a multinomial logistic regression over licence families and an
 unknown class, trained on the templates below, on thinned copies of them, on wordings that name no licence, and on
-sentences of the corpus.  Probabilities are calibrated by a temperature fitted on copies held out.  A prediction
+sentences of the corpus.  Probabilities are calibrated by a temperature fitted on copies and sentences held out.  A prediction
 stands only if the paragraph's word pairs also lie in the templates of the family predicted, so only paragraphs whose
 pairs lie in the templates of all families are looked at; no sample of the corpus decides which those are.
 """
@@ -17,11 +17,13 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_sample, checkpointed, read, text_key
+from lectern.llm.common import bounded_sample, checkpointed, hot_joined, read, text_key
 
 UNKNOWN = "unknown"
 #: Documents whose sentences serve as examples without a licence.
 SAMPLE_DOCS = 300
+#: At most so many of their distinct sentences are used.
+SAMPLE_SENTENCES = 20_000
 MIN_PROBABILITY = 0.6
 MIN_CONTAINMENT = 0.6
 # Names of the families and public wordings of their licences and notices.
@@ -135,8 +137,10 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
     """Fits the classifier on the templates and on the sentences of SAMPLE_DOCS documents that name no licence."""
     spark = docs.sparkSession
     known = _rows(spark, templates()).withColumn("w", tokens(F.col("text")))
-    plain = bounded_sample(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", SAMPLE_DOCS)
-    plain = plain.select(F.explode(sentences(F.col("text"))).alias("text")).where("not lower(text) rlike 'licen|copyright|gpl|creative commons'").withColumn("w", tokens(F.col("text")))
+    ids = bounded_sample(docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", SAMPLE_DOCS)
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(sentences(F.col("text"))).alias("text"))
+    plain = checkpointed(plain.where("not lower(text) rlike 'licen|copyright|gpl|creative commons'").distinct())
+    plain = bounded_sample(plain, "text", SAMPLE_SENTENCES).withColumn("w", tokens(F.col("text")))
     # sentences that are mostly a template's wording are no examples of ordinary text
     stated = known.select(F.explode(pairs("w")).alias("g")).distinct().withColumn("hit", F.lit(1.0))
     plain = checkpointed(plain.where("size(w) > 0"))
@@ -148,12 +152,12 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Sc
     common = plain.select(F.explode("w").alias("gram")).distinct()
     vocabulary = sorted(r.gram for r in own.collect())  # of the templates: bounded
     held = {r.gram for r in own.join(common, "gram", "left_anti").collect()}
-    # Thinned copies: each word left out in turn, and the two halves; every fourth copy is held out for calibration.
+    # Thinned copies: each word left out in turn, and the two halves; every fourth copy, and every fourth sentence of the corpus, is held out for calibration.
     words = known.union(generic).select("family", "text", "w")
     thin = words.select("family", "text", F.posexplode(F.transform("w", lambda _, i: F.concat(F.slice("w", F.lit(1), i), F.slice(F.col("w"), i + 2, F.size("w"))))).alias("k", "w")).where("size(w) > 2")
     named = F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted({t for names in _NAMES.values() for n in names for t in n.lower().replace("(", " ").replace(")", " ").replace(",", " ").split()} & held - {"license", "licence", "general", "public", "version"})]))
     thin = thin.where((F.col("family") == UNKNOWN) | named | (F.size("w") > 7))
-    rows = words.select("family", "w", F.lit(0).alias("k")).union(thin.select("family", "w", (F.pmod(F.xxhash64("text", "k"), F.lit(4)) + 1).cast("int"))).union(plain.select(F.lit(UNKNOWN), "w", F.lit(0)))
+    rows = words.select("family", "w", F.lit(0).alias("k")).union(thin.select("family", "w", (F.pmod(F.xxhash64("text", "k"), F.lit(4)) + 1).cast("int"))).union(plain.select(F.lit(UNKNOWN), "w", (F.pmod(F.xxhash64("text"), F.lit(4)) + 1).cast("int")))
     classes = sorted({*_NAMES, UNKNOWN})
     rows = checkpointed(rows.withColumn("label", F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1).withColumn("grams", grams("w")))
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
@@ -184,7 +188,7 @@ def licensed_paragraphs(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id
     rows = rows.withColumn("own", pairs("w")).where(F.size(F.filter("own", lambda x: x.isin(stated))) / F.size("own") >= MIN_CONTAINMENT).drop("own")
     rows = checkpointed(rows.distinct().withColumn("pkey", F.xxhash64("paragraph")))
     # equal paragraphs are judged once
-    texts = checkpointed(rows.select("pkey", "paragraph", "w").dropDuplicates(["pkey", "paragraph"]))
+    texts = checkpointed(rows.groupBy("pkey", "paragraph").agg(F.first("w").alias("w"), F.count("*").alias("n")))
     p = scanner.logits(texts, ["pkey", "paragraph"]).withColumn("p", probabilities("z"))
     p = p.withColumn("probability", F.array_max("p")).withColumn("guess", F.get(F.array(*map(F.lit, scanner.classes)), (F.array_position("p", F.col("probability")) - 1).cast("int")))
     known = _rows(spark, templates()).withColumn("w", tokens(F.col("text"))).groupBy("family").agg(F.array_distinct(F.flatten(F.collect_list(pairs("w")))).alias("have"))
@@ -192,8 +196,9 @@ def licensed_paragraphs(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id
     own = pairs("w")
     judged = judged.withColumn("containment", F.when(F.col("have").isNull(), 0.0).otherwise(F.size(F.array_intersect(own, "have")) / F.size(own)))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("containment") >= MIN_CONTAINMENT)
-    judged = judged.select("pkey", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "containment")
-    return rows.select("doc_id", "tkey", "pkey", "paragraph").join(judged, ["pkey", "paragraph"]).drop("pkey")
+    judged = judged.select("pkey", "paragraph", "n", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "containment")
+    # a notice that a third of all documents hold is joined where they are
+    return hot_joined(rows.select("doc_id", "tkey", "pkey", "paragraph"), checkpointed(judged), ["pkey", "paragraph"], "n", rows.count()).drop("pkey", "n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

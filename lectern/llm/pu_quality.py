@@ -16,8 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_sample, checkpointed, read
+from lectern.llm.common import bounded_sample, checkpointed, read, text_key
 
 #: At most so many trusted positives and so many unlabelled documents are fitted on.
 MAX_POSITIVES = 4000
@@ -162,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Network |
     trusted = bounded_sample(labels.where((F.col("quality") == 1) & learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", MAX_POSITIVES)
     others = bounded_sample(docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", MAX_UNLABELLED)
     chosen = checkpointed(trusted.select("doc_id", F.lit(1).alias("p")).union(others.select("doc_id", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u")))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # MAX_POSITIVES + MAX_UNLABELLED rows at most
+    # one row an id, so MAX_POSITIVES + MAX_UNLABELLED rows at most: the text of the lowest hash where rows share an id
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p", "u").agg(F.min_by("text", text_key(F.col("text"))).alias("text"))
     rows = _featured(sample, ["p", "u"]).toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # the same fit in whatever order the rows arrive
@@ -170,21 +172,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Network |
     return fit(x[p], x[u]) if p.any() and u.any() else (None, 0.5)
 
 
-def score(docs: DataFrame, model: Network | None, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` and score, from the whole text; null texts score as empty ones.
+def score(docs: DataFrame, model: Network | None, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of every row of ``docs`` and the score from the whole text, in column ``name``; null texts score as empty ones.
 
     Without a model every score is 0.5.
     """
     if model is None:
-        return docs.select(*columns, F.lit(0.5).alias("score"))
+        return docs.select(*columns, F.lit(0.5).alias(name))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([features(t) for t in pdf["text"]]).reshape(-1, FEATURES)
-            yield pdf[columns].assign(score=model.score(x))
+            yield pdf[columns].assign(**{name: model.score(x)})
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInPandas(work, f"{schema}, score double")
+    return docs.mapInPandas(work, T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, T.DoubleType())]))
 
 
 def fold(doc_id: str, folds: int) -> Column:

@@ -15,19 +15,23 @@ by subsequence; it gives the same scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import bounded_sample, checkpointed, read
+from lectern.llm.common import bounded_sample, checkpointed, read, text_key
 from lectern.llm.pu_quality import fold
 
 #: At most so many toxic and clean labelled documents are fitted on.
 MAX_TOXIC = 1200
 MAX_CLEAN = 2400
+#: Distinct units looked at of each document fitted on, at most; scoring looks at all.
+MAX_UNITS = 20_000
 LANDMARKS = 320
 DECAY = 0.6
 ROUNDS = 3
@@ -248,14 +252,30 @@ def _fit_units(toxic: list[bytes], clean: list[bytes]) -> tuple[np.ndarray, floa
     return sum(a * _phi(z) for a, z in zip(alpha, landmarks, strict=True)), bias
 
 
+def bag(text: str) -> list[bytes]:
+    """The distinct units of three letters or more, in order; of more than MAX_UNITS those of the lowest checksums."""
+    found = {v for p in _blocks(text) for u in [Units([p])] for v in map(u.spelt, np.flatnonzero(u.size >= 3).tolist())}
+    return sorted(found if len(found) <= MAX_UNITS else sorted(found, key=lambda v: (zlib.crc32(v), v))[:MAX_UNITS])
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Learns from whole texts and their labels (1 toxic, 0 clean)."""
+
+    def evidence(models: list[Model], half: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), 4))
+        for k, model in enumerate(models):
+            mine = np.flatnonzero(half == k)
+            out[mine] = model.evidence([texts[i] for i in mine])
+        return out
+
+    return fit_bags([bag(t) for t in texts], toxic, evidence)
+
+
+def fit_bags(units_of: list[list[bytes]], toxic: np.ndarray, evidence_of: Callable[[list[Model], np.ndarray], np.ndarray]) -> Model:
+    """Learns from the units of texts and their labels; ``evidence_of`` gives each text's evidence by one of some models (-1: none)."""
     if toxic.all() or not toxic.any():
         raise ValueError("both toxic and clean documents are needed")
-    bags = []
-    for i, text in enumerate(texts):
-        u = Units([text])
-        bags.append((int(toxic[i]), sorted({u.spelt(j) for j in np.flatnonzero(u.size >= 3).tolist()}), i))
+    bags = [(int(toxic[i]), units, i) for i, units in enumerate(units_of)]
     bags = [b for b in bags if b[1]]
     bags = [bags[i] for i in np.random.default_rng(17).permutation(len(bags))]  # so that halves don't follow the order of the documents
     bad, good = [b[1] for b in bags if b[0]], [b[1] for b in bags if not b[0]]
@@ -292,21 +312,17 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         witnesses, clean = found, hard
     own = lambda us: [u for u in us if u not in held] or us
     # The curve is fitted on what each half's machine finds in the documents of the other half.
-    evidence, use = np.zeros((len(texts), 4)), np.zeros(len(texts), bool)
     per = len(clean) // max(1, len(good))
     order = [*range(0, len(good), 2), *range(1, len(good), 2)]  # the order in which the rounds looked at clean documents
-    for half in (0, 1):
-        if len(bad) < 2 or len(good) < 2:
-            continue
-        theirs = [u for k, i in enumerate(order) if i % 2 != half for u in clean[per * k : per * (k + 1)]]
-        model = Model(*_fit_units(own([u for i, u in enumerate(witnesses) if i % 2 != half]), theirs))
-        mine = sorted(numbers[1][half::2] + numbers[0][half::2])
-        evidence[mine] = model.evidence([texts[i] for i in mine])
-        use[mine] = True
+    models, half = [], np.full(len(toxic), -1)
+    for k in (0, 1) if min(len(bad), len(good)) > 1 else ():
+        theirs = [u for n, i in enumerate(order) if i % 2 != k for u in clean[per * n : per * (n + 1)]]
+        models.append(Model(*_fit_units(own([u for i, u in enumerate(witnesses) if i % 2 != k]), theirs)))
+        half[numbers[1][k::2] + numbers[0][k::2]] = k
     model = Model(*_fit_units(own(witnesses), clean))
-    if not use.any():
-        evidence, use = model.evidence(texts), np.ones(len(texts), bool)
-    model.calibrate(evidence[use], toxic[use])
+    if not models:
+        models, half = [model], np.zeros(len(toxic), int)
+    model.calibrate(evidence_of(models, half)[half >= 0], toxic[half >= 0])
     return model
 
 
@@ -314,9 +330,33 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     """Learns from labelled rows with ``learn`` (over doc_id), at most MAX_TOXIC and MAX_CLEAN of them; None if a label is missing."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = checkpointed(bounded_sample(known.where("toxic = 1"), "doc_id", MAX_TOXIC).union(bounded_sample(known.where("toxic = 0"), "doc_id", MAX_CLEAN)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    toxic = rows["toxic"].to_numpy()
-    return fit(rows["text"].tolist(), toxic) if {0, 1} <= set(toxic.tolist()) else None
+    # one row an id, so MAX_TOXIC + MAX_CLEAN at most: the text of the lowest hash where rows share an id
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", text_key(F.col("text"))).alias("text"))
+    texts = checkpointed(texts)
+
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "toxic"]].assign(units=[b"\0".join(bag(t)) for t in pdf["text"]])
+
+    rows = texts.mapInPandas(units, "doc_id long, toxic int, units binary").toPandas().sort_values("doc_id")
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()
+    if {0, 1} - set(toxic.tolist()):
+        return None
+
+    def evidence(models: list[Model], half: np.ndarray) -> np.ndarray:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                which = half[np.searchsorted(ids, pdf["doc_id"].to_numpy())]
+                for k, model in enumerate(models):
+                    mine = pdf[which == k]
+                    yield pd.DataFrame({"doc_id": mine["doc_id"], "x": list(model.evidence(mine["text"].tolist()))})
+
+        found = texts.select("doc_id", "text").mapInPandas(work, "doc_id long, x array<double>").toPandas()
+        out = np.zeros((len(ids), 4))
+        out[np.searchsorted(ids, found["doc_id"].to_numpy())] = np.array(found["x"].tolist()).reshape(-1, 4)
+        return out
+
+    return fit_bags([u.split(b"\0") if u else [] for u in map(bytes, rows["units"])], toxic, evidence)
 
 
 def score(docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
@@ -332,8 +372,8 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], name: str =
         for pdf in batches:
             yield pdf[columns].assign(**{name: shared.value.score([t or "" for t in pdf["text"]])})
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInPandas(work, f"{schema}, `{name}` double")
+    kept = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, T.DoubleType())])
+    return docs.mapInPandas(work, kept)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
