@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REPEAT_SEED = 7919
@@ -12,9 +12,10 @@ CSV_DIGITS = {"wer": 6, "cer": 6, "score": 6, "similarity": 6, "duration": 3, "s
 def build_variants(voices: DataFrame, sweeps: DataFrame) -> DataFrame:
     """(voice, param, value): every voice with every swept value, one parameter at a time.
 
-    Both tables are settings of a run and small; a forced speaker of 1.0 or less sets no parameter.
+    The sweeps are settings of a run, few enough for one row; repeated ones count once.  A forced speaker of 1.0 or less sets no parameter.
     """
-    rows = F.broadcast(sweeps).join(voices, F.lit(True))
+    values = F.array_sort(F.collect_list(F.struct("param", "value")))
+    rows = voices.join(sweeps.distinct().agg(values.alias("sweep")), F.lit(True)).select("voice", F.explode("sweep").alias("s")).select("voice", "s.*")
     off = (F.col("param") == "speaker_force") & (F.col("value") <= 1.0)
     return rows.select("voice", F.when(~off, F.col("param")).alias("param"), F.when(~off, F.col("value")).alias("value"))
 
@@ -26,8 +27,8 @@ def summarize(rows: DataFrame) -> DataFrame:
 
 def mark_best(summary: DataFrame) -> DataFrame:
     """Adds best (least mean wer) and xrt (seconds per second of audio, 0 without audio)."""
-    least = F.min("wer").over(Window.partitionBy(F.lit(1)))  # one row a variant
-    return summary.withColumns({"best": F.col("wer") == least, "xrt": F.when(F.col("audio") > 0, F.col("seconds") / F.col("audio")).otherwise(0.0)})
+    least = summary.agg(F.min("wer").alias("least"))  # one row
+    return summary.join(least, F.lit(True)).withColumns({"best": F.col("wer") == F.col("least"), "xrt": F.when(F.col("audio") > 0, F.col("seconds") / F.col("audio")).otherwise(0.0)}).drop("least")
 
 
 def spread_time(runs: DataFrame) -> DataFrame:

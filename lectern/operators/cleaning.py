@@ -1,7 +1,8 @@
 """Cleaning rules for extracted book text, as DataFrame transforms, with a report of what each removed.
 
-Rules on lines work on one row per line, (doc_id, line_no, line), and add removal rows (doc_id, rule, ord, sample);
-one shuffle by doc_id serves all of them.  Rules on whole texts are column functions.
+Rules on lines work on one row per line, (doc_id, line_no, line), and tell for each whether it stays, what it becomes and
+what was removed; one shuffle by document serves all of them.  Rules on whole texts are column functions, each with
+another that lists what it removes.
 """
 
 from __future__ import annotations
@@ -14,8 +15,26 @@ from pyspark.sql import types as T
 
 from lectern.functions.text import header_signature, is_prose, replace_all, strip, symbol_density
 
-# Rule names in registry order, presets, character tables and patterns.
-RULES = ["unicode", "typesetter_stamps", "proof_notices", "running_headers", "headings", "page_numbers", "figures_tables", "formula_lines", "reflow", "footnote_markers", "citations", "urls", "symbols", "broken_compounds", "dot_letters", "substitutions"]
+# Rule names in registry order with their labels, presets, character tables and patterns.
+LABELS = {
+    "unicode": "Normalize characters",
+    "typesetter_stamps": "Typesetter stamps",
+    "proof_notices": "Proof/copyright notices",
+    "running_headers": "Running headers & footers",
+    "headings": "Chapter & section headings",
+    "page_numbers": "Page numbers",
+    "reflow": "Rejoin split paragraphs",
+    "footnote_markers": "Footnote reference numbers",
+    "citations": "Inline citations",
+    "figures_tables": "Figure & table bodies",
+    "formula_lines": "Formula & symbol lines",
+    "symbols": "Speak or drop symbols",
+    "urls": "URLs, DOIs & ISBNs",
+    "broken_compounds": "Repair broken compounds",
+    "dot_letters": "Spaced initials",
+    "substitutions": "Pronunciation dictionary",
+}
+RULES = list(LABELS)
 PRESETS = {"off": [], "light": ["unicode", "reflow", "urls", "dot_letters", "substitutions"], "textbook": RULES}
 MAX_SAMPLES, SAMPLE_CHARS = 6, 100
 SUPERSCRIPTS = "¹²³⁰⁴⁵⁶⁷⁸⁹"
@@ -34,6 +53,7 @@ HEADING = r"(?dUiu)^(chapter|part|section|appendix|book|volume|unit|lesson|epilo
 CAPTION = r"(?dUiu)^\s*((?:figure|fig\.?|table|chart|exhibit|plate|box|diagram|graph)\s*[0-9ivxlc]+(?:[.\-][0-9]+)*)\s*[:.\-]?\s*(.*)$"
 SOURCE = r"(?dUiu)^\s*(source|sources|note|notes|adapted from|reprinted from|credit)\s*[:.]"
 NUMBERS = r"(?dU)^[^A-Za-z]*(?:[-+]?[\d.,%$()]+[\s|\t]+){2,}[-+]?[\d.,%$()]+[^A-Za-z]*$"
+DOT_LETTERS = r"(?dU)\b((?:[A-Z]\.){2,})(?=\s|$|[,;:])"
 FOOTNOTE = r"(?dU)(?<=[A-Za-z)\]\"'])([.!?,;:])(\d{1,3})(?=\s|$)"
 CITATION_NUMBERS = r"(?U)\s*\[\s*\d+(?:\s*[,\-–]\s*\d+)*\s*\]"
 CITATION_AUTHORS = r"(?U)\s*\((?:see\s+)?(?:e\.g\.,?\s*)?[A-Z][A-Za-z'\-]+(?:\s+(?:et\s+al\.?|and|&|,)\s*[A-Z]?[A-Za-z'\-]*)*,?\s*\d{4}[a-z]?(?:\s*[;,]\s*[^()]{0,40}?\d{4}[a-z]?)*\s*\)"
@@ -43,6 +63,8 @@ COMPOUND_HEADS = "low high upper lower middle long short well cross multi single
 COMPOUND_HYPHEN = "income incomes term terms run based cutting wage wages skilled earners bracket brackets".split()
 COMPOUND_SPACE = "and or to".split()
 COMPOUND_WORDS = "crosscutting overrun overruns underrun underruns longrun subterm interterm".split()
+#: Stands where two lines were joined, until the report is written.
+SEAM = "\u0004"
 SHORT_WORDS = ("i", "a", "no", "ok", "so")
 
 
@@ -172,16 +194,6 @@ def apply_line_rule(lines: DataFrame, rule: str) -> DataFrame:
 # --- rules on whole texts ------------------------------------------------------------------------
 
 
-def fold_characters(text: Column) -> Column:
-    """Superscript digits go, typographic characters become plain, control characters go, spaces collapse.
-
-    Compatibility forms beyond the table are folded by ``nfkc``, which needs an Arrow function.
-    """
-    t = F.regexp_replace(text, f"[{SUPERSCRIPTS}]+", "")
-    t = F.regexp_replace(replace_all(t, CHARACTERS), r"[\p{Cc}\p{Cf}&&[^\t\n]]", "")
-    return collapse_spaces(t)
-
-
 def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" *\n *", "\n")
 
@@ -194,6 +206,7 @@ def nfkc(s):
 
 
 def unicode(text: Column) -> Column:
+    """Superscript digits go, typographic characters become plain, compatibility forms are folded, control characters go, spaces collapse."""
     t = F.regexp_replace(replace_all(F.regexp_replace(text, f"[{SUPERSCRIPTS}]+", ""), CHARACTERS), r"[\p{Cc}\p{Cf}&&[^\t\n]]", "")
     return collapse_spaces(nfkc(t))
 
@@ -224,32 +237,31 @@ def symbols(text: Column) -> Column:
     return F.when(t.rlike("[Ͱ-Ͽ]"), F.array_join(spoken, "")).otherwise(t)
 
 
+def _longest_first(xs: list[str]) -> str:
+    return "|".join(sorted(xs, key=len, reverse=True))
+
+
+def _compound(tails: list[str]) -> str:
+    return rf"(?Uiu)\b(?!(?:{'|'.join(COMPOUND_WORDS)})\b)({_longest_first(COMPOUND_HEADS)})({_longest_first(tails)})\b"
+
+
+_COMPOUND = _compound(COMPOUND_HYPHEN + COMPOUND_SPACE)
+
+
 def broken_compounds(text: Column) -> Column:
-    heads = "|".join(sorted(COMPOUND_HEADS, key=len, reverse=True))
-    tails = {"-": COMPOUND_HYPHEN, " ": COMPOUND_SPACE}
-    every = sorted(COMPOUND_HYPHEN + COMPOUND_SPACE, key=len, reverse=True)
-    known = "|".join(COMPOUND_WORDS)
-    for joiner, ends in tails.items():
-        ends = "|".join(t for t in every if t in ends)
-        text = F.regexp_replace(text, rf"(?Uiu)\b(?!(?:{known})\b)({heads})({ends})\b", f"$1{joiner}$2")
+    for joiner, tails in (("-", COMPOUND_HYPHEN), (" ", COMPOUND_SPACE)):
+        text = F.regexp_replace(text, _compound(tails), f"$1{joiner}$2")
     return text
 
 
 def dot_letters(text: Column) -> Column:
     """J.R.R. becomes J R R: the dot goes after the last letter of a run, others become spaces."""
-    marked = F.regexp_replace(text, r"(?dU)\b((?:[A-Z]\.){2,})(?=\s|$|[,;:])", "\u0001$1\u0002")
+    marked = F.regexp_replace(text, DOT_LETTERS, "\u0001$1\u0002")
     inside = F.split(marked, "(?=\u0001)|(?<=\u0002)", -1)
     spoken = F.transform(inside, lambda x: F.when(x.startswith("\u0001"), F.regexp_replace(F.regexp_replace(x, "[\u0001\u0002]|\\.\u0002", ""), r"\.", " ")).otherwise(x))
     return F.array_join(spoken, "")
 
 
-def substitutions(text: Column, pairs: Column) -> Column:
-    """Whole words of ``pairs`` (ordered array<struct<src,dst>>) replaced whatever their case; empty ones are passed over."""
-    quoted = lambda s: F.concat(F.lit("(?Uiu)\\b\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
-    literal = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
-    return F.aggregate(pairs, text, lambda t, p: F.when(p["src"] == "", t).otherwise(F.regexp_replace(t, quoted(p["src"]), literal(p["dst"]))))
-
-
 def tidy(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r" ([.,!?;:])", "$1")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
@@ -262,13 +274,15 @@ def continues(prev: Column, nxt: Column) -> Column:
     tail = F.substring(prev, -200, 200)
     head = F.substring(nxt, 1, 2)
     lower = head.rlike(r"^[\"'(]?\p{IsLowercase}")
-    open_ = ~is_prose(tail) & ~tail.endswith(":") & (F.length(prev) >= 25)
+    open_ = ~is_prose(tail) & ~tail.endswith(":") & (F.length(F.translate(prev, SEAM, "")) >= 25)
     return (prev != "") & (nxt != "") & (prev.endswith("-") | (open_ & (head != "") & lower))
 
 
 def joined(prev: Column, nxt: Column) -> Column:
-    hyphen = F.when(nxt.rlike(r"^\p{IsLowercase}"), F.concat(F.substring(prev, F.lit(1), F.length(prev) - 1), nxt)).otherwise(F.concat(prev, nxt))
-    return F.when(prev.endswith("-"), hyphen).otherwise(F.concat(prev, F.lit(" "), nxt))
+    """Both lines as one, with a seam between them."""
+    seam = F.lit(SEAM)
+    hyphen = F.when(nxt.rlike(r"^\p{IsLowercase}"), F.concat(F.substring(prev, F.lit(1), F.length(prev) - 1), seam, nxt)).otherwise(F.concat(prev, seam, nxt))
+    return F.when(prev.endswith("-"), hyphen).otherwise(F.concat(prev, F.lit(" "), seam, nxt))
 
 
 def _last_line(t: Column) -> Column:
@@ -285,8 +299,8 @@ def reflow_block(block: Column) -> Column:
     return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.coalesce(F.get(lines, F.lit(0)), F.lit("")), lambda a, x: F.when(continues(a, x), joined(a, x)).otherwise(F.concat(a, F.lit("\n"), x)))
 
 
-def reflow(text: Column) -> Column:
-    """Rejoins wrapped lines in paragraphs, then sentences cut by a page break between paragraphs."""
+def seamed(text: Column) -> Column:
+    """Wrapped lines rejoined in paragraphs, then sentences cut by a page break between paragraphs; a seam marks each joint."""
     blocks = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n+", -1), reflow_block), lambda b: b != "")
 
     def put(state: Column, b: Column) -> Column:
@@ -301,8 +315,76 @@ def reflow(text: Column) -> Column:
     return F.aggregate(blocks, start, put, lambda s: F.array_join(F.concat(s["done"], F.array(s["cur"])), "\n\n"))
 
 
+def reflow(text: Column) -> Column:
+    return F.translate(seamed(F.translate(text, SEAM, "")), SEAM, "")
+
+
 TEXT_RULES = {f.__name__: f for f in (footnote_markers, citations, urls, symbols, broken_compounds, dot_letters)}
 
+# --- what the rules on texts remove, each from the text it is given --------------------------------
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _arrow(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" -> "), b)
+
+
+def _unicode_told(before: Column, after: Column) -> Column:
+    digits = F.transform(_all(before, f"[{SUPERSCRIPTS}]+"), lambda x: F.concat(F.lit("superscript '"), x, F.lit("'")))
+    return F.when(F.size(digits) > 0, digits).when(before != after, F.array(F.lit("folded quotes, dashes and spacing"))).otherwise(_none())
+
+
+def _reflow_told(marked: Column) -> Column:
+    """Forty characters on both sides of each seam, as joined."""
+    parts = F.split(marked, SEAM, -1)
+    ends = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(F.lit("…"), F.substring(F.substring_index(a, "\n", -1), -40, 40), F.lit("+ "), F.substring(F.substring_index(b, "\n", 1), 1, 40), F.lit("…")))
+    return F.when(F.size(parts) > 1, ends).otherwise(_none())
+
+
+def _symbols_told(text: Column) -> Column:
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(f"{a} -> {b.strip() or '(removed)'}").alias("t")) for a, b in SYMBOLS])
+    named = F.array(*[F.lit(n.strip()) for n in _greek()])
+    greek = F.transform(_all(text, "[Ͱ-Ͽ]"), lambda c: _arrow(c, F.get(named, F.ascii(c) - 0x370)))
+    return F.concat(F.transform(F.filter(pairs, lambda p: F.contains(text, p["a"])), lambda p: p["t"]), F.filter(greek, lambda t: ~t.endswith("> ")))
+
+
+def _compounds_told(text: Column) -> Column:
+    return F.transform(_all(text, _COMPOUND), lambda w: _arrow(w, broken_compounds(w)))
+
+
+TOLD = {
+    "footnote_markers": lambda t: F.transform(_all(t, FOOTNOTE), lambda m: F.concat(F.lit("…"), m)),
+    "citations": lambda t: F.concat(_all(t, CITATION_NUMBERS), _all(F.regexp_replace(t, CITATION_NUMBERS, ""), CITATION_AUTHORS)),
+    "urls": lambda t: F.concat(_all(t, URL), _all(F.regexp_replace(t, URL, ""), ISBN)),
+    "symbols": _symbols_told,
+    "broken_compounds": _compounds_told,
+    "dot_letters": lambda t: F.transform(_all(t, DOT_LETTERS, 1), lambda m: _arrow(m, F.array_join(_all(m, "[A-Z]"), " "))),
+}
+
+
+def _substituted(text: Column, pairs: Column) -> Column:
+    """struct<text,told>: as ``substitutions``, with one line for each entry that was found."""
+    quoted = lambda s: F.concat(F.lit("(?Uiu)\\b\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
+    literal = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
+
+    def step(a: Column, p: Column) -> Column:
+        hit = (p["src"] != "") & F.regexp_like(a["text"], quoted(p["src"]))
+        text_ = F.when(hit, F.regexp_replace(a["text"], quoted(p["src"]), literal(p["dst"]))).otherwise(a["text"])
+        return F.struct(text_.alias("text"), F.when(hit, F.concat(a["told"], F.array(_arrow(p["src"], p["dst"])))).otherwise(a["told"]).alias("told"))
+
+    return F.aggregate(pairs, F.struct(text.alias("text"), _none().alias("told")), step)
+
+
+def substitutions(text: Column, pairs: Column) -> Column:
+    """Whole words of ``pairs`` (ordered array<struct<src,dst>>) replaced whatever their case; empty ones are passed over."""
+    return _substituted(text, pairs)["text"]
+
+
+# --- the whole cleaning -----------------------------------------------------------------------------
+
 
 @dataclass(frozen=True)
 class Cleaning:
@@ -318,48 +400,91 @@ class Cleaning:
             chosen = chosen | {name} if on else chosen - {name}
         return [r for r in RULES if r in chosen]
 
+    def options(self) -> dict[str, Column]:
+        pairs = [F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in self.dictionary]
+        return {"rules": F.array(*map(F.lit, self.rules())).cast("array<string>"), "pairs": F.array(*pairs) if pairs else F.array().cast(_PAIRS)}
+
+
+_PAIRS = "array<struct<src:string,dst:string>>"
+
+
+def row_options(enabled: Column | None = None, preset: Column | None = None, overrides: Column | None = None, dictionary: Column | None = None) -> dict[str, Column]:
+    """Options that differ from row to row: a switch, a preset, overrides (map<string,boolean>) and a dictionary (ordered array<struct<src,dst>>).
 
-def clean(docs: DataFrame, how: Cleaning = Cleaning(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, chars_before, chars_after).  Blank texts, and all texts if no rule is on, stay as they are."""
-    rules = how.rules()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"))
-    active = rows.where(strip(F.coalesce("raw", F.lit(""))) != "") if rules else rows.limit(0)
-    work = active.select("doc_id", (unicode(F.col("raw")) if "unicode" in rules else F.col("raw")).alias("text"))
-    if any(r in rules for r in LINE_RULES):
-        lines = to_lines(work)
-        for name in LINE_RULES:
-            if name in rules:
-                lines = apply_line_rule(lines, name)
-        work = to_text(lines)
+    Where the switch is off or null the text stays; a null preset is textbook, null overrides and dictionaries are empty.
+    """
+    rules = resolve_rules(preset if preset is not None else F.lit(None).cast("string"), overrides if overrides is not None else F.lit(None).cast("map<string,boolean>"))
+    on = F.coalesce(enabled, F.lit(False)) if enabled is not None else F.lit(True)
+    empty = F.array().cast(_PAIRS)
+    return {"rules": F.when(on, rules).otherwise(F.array().cast("array<string>")), "pairs": F.coalesce(dictionary.cast(_PAIRS), empty) if dictionary is not None else empty}
+
+
+def _on(rule: str) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(1 << RULES.index(rule))) != 0
+
+
+def _tell(rule: str, samples: Column) -> Column:
+    """The report so far (``told``) with what ``rule`` removed."""
+    return F.concat("told", F.transform(samples, lambda x: F.struct(F.lit(RULES.index(rule)).alias("r"), x.alias("s"))))
+
+
+def clean(docs: DataFrame, how: Cleaning | dict[str, Column] = Cleaning(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, report, chars_before, chars_after), one row for every row of ``docs``.
+
+    ``how`` is one setting for all rows or ``row_options``.  Blank and null texts, and texts with no rule on, stay as they are
+    and report nothing.  Rows are told apart by themselves, so ids may be null or repeated; the columns of ``docs`` other than the id,
+    the text and those that options read are left out.  ``report`` is an array of (rule, label, count, samples) of the rules that
+    removed something, in the order of ``RULES``.  Texts are shuffled once, as lines.
+    """
+    options = how.options() if isinstance(how, Cleaning) else how
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), options["rules"].alias("rules"), options["pairs"].alias("pairs"))
+    rows = rows.withColumn("mask", sum((F.array_contains("rules", r).cast("int") * (1 << i) for i, r in enumerate(RULES)), F.lit(0)))
+    rows = rows.withColumn("works", (F.col("mask") != 0) & (strip(F.coalesce("raw", F.lit(""))) != ""))
+    nothing = F.array().cast("array<struct<r:int,s:string>>")
+    work = rows.where("works").select(F.monotonically_increasing_id().alias("doc_id"), "id", "mask", "pairs", F.length("raw").alias("before"), "raw", F.when(_on("unicode"), unicode(F.col("raw"))).otherwise(F.col("raw")).alias("text"), nothing.alias("told"))
+    work = work.withColumn("told", F.when(_on("unicode"), _tell("unicode", _unicode_told(F.col("raw"), F.col("text")))).otherwise(F.col("told"))).drop("raw")
+    # one row a line; a line that goes stays as a row, to tell of it
+    kept = F.struct("id", "mask", "pairs", "before", F.col("told").alias("first")).alias("kept")
+    lines = work.select("doc_id", "mask", kept, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("doc_id", "mask", F.when(F.col("line_no") == 0, F.col("kept")).alias("kept"), "line_no", "line", F.lit(False).alias("gone"), nothing.alias("told"))
+    for name, rule in LINE_RULES.items():
+        on = _on(name) & ~F.col("gone")
+        acted = rule(lines.withColumn("was", F.col("line")).withColumn("line", F.when(on, F.col("line"))))
+        here = _on(name) & ~F.col("gone")
+        lines = acted.select("doc_id", "mask", "kept", "line_no", F.when(here & F.col("keep"), F.col("out")).otherwise(F.col("was")).alias("line"), (F.col("gone") | (here & ~F.col("keep"))).alias("gone"), F.when(here & (F.size("samples") > 0), _tell(name, F.col("samples"))).otherwise(F.col("told")).alias("told"))
+    gathered = lines.groupBy("doc_id").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list(F.struct("line_no", "gone", "line", "told"))).alias("ls"))
+    work = gathered.select("kept.*", F.array_join(F.transform(F.filter("ls", lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("text"), F.concat("kept.first", F.flatten(F.transform("ls", lambda x: x["told"]))).alias("told"))
+    marked = work.withColumn("marked", F.when(_on("reflow"), seamed(F.translate("text", SEAM, ""))).otherwise(F.translate("text", SEAM, "")))
+    work = marked.withColumns({"text": F.translate("marked", SEAM, ""), "told": _tell("reflow", _reflow_told(F.col("marked")))}).drop("marked")
     # one projection a rule: a rule may use its input more than once
-    steps = ([reflow] if "reflow" in rules else []) + [rule for name, rule in TEXT_RULES.items() if name in rules]
-    if "substitutions" in rules and how.dictionary:
-        pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in how.dictionary])
-        steps.append(lambda t: substitutions(t, pairs))
-    for step in steps:
-        work = work.withColumn("text", step(F.col("text")))
-    cleaned = work.select("doc_id", tidy(F.col("text")).alias("cleaned"))
-    passed = strip(F.coalesce("raw", F.lit(""))) == "" if rules else F.lit(True)
-    text = F.when(passed, F.col("raw")).otherwise(F.coalesce("cleaned", F.lit("")))
-    out = rows.join(cleaned, "doc_id", "left").select("doc_id", text.alias("text"), F.length("raw").alias("chars_before"))
-    return out.withColumn("chars_after", F.length("text"))
-
-
-def removal_report(removals: DataFrame) -> DataFrame:
-    """(doc_id, rule, count, samples) from (doc_id, rule, ord, sample): the first samples that are not blank, white space collapsed, cut to size."""
-    short = strip(F.regexp_replace("sample", r"(?U)\s+", " "))
-    short = F.when(F.length(short) > SAMPLE_CHARS, F.concat(F.substring(short, 1, SAMPLE_CHARS - 1), F.lit("…"))).otherwise(short)
-    rows = removals.withColumn("s", short).withColumn("nth", F.when(F.col("s") != "", F.row_number().over(Window.partitionBy("doc_id", "rule", F.col("s") == "").orderBy("ord"))))
-    kept = F.array_sort(F.collect_list(F.when(F.col("nth") <= MAX_SAMPLES, F.struct("nth", "s"))))
-    return rows.groupBy("doc_id", "rule").agg(F.count("*").alias("count"), F.transform(kept, lambda x: x["s"]).alias("samples"))
-
-
-def line_removals(lines: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """(doc_id, rule, ord, sample) of the line rules, each applied to what the ones before left."""
-    out = None
-    for name in LINE_RULES if rules is None else rules:
-        acted = LINE_RULES[name](lines)
-        told = acted.select("doc_id", F.lit(name).alias("rule"), "line_no", F.posexplode("samples").alias("k", "sample")).select("doc_id", "rule", (F.col("line_no") * 2 + F.col("k")).alias("ord"), "sample")
-        out = told if out is None else out.unionByName(told)
-        lines = acted.where("keep").select("doc_id", "line_no", F.col("out").alias("line"))
-    return out
+    for name, rule in TEXT_RULES.items():
+        work = work.withColumns({"text": F.when(_on(name), rule(F.col("text"))).otherwise(F.col("text")), "told": F.when(_on(name), _tell(name, TOLD[name](F.col("text")))).otherwise(F.col("told"))})
+    work = work.withColumn("sub", F.when(_on("substitutions") & (F.size("pairs") > 0), _substituted(F.col("text"), F.col("pairs"))))
+    work = work.withColumns({"text": tidy(F.coalesce("sub.text", "text")), "told": F.when(F.col("sub").isNull(), F.col("told")).otherwise(_tell("substitutions", F.col("sub.told")))})
+    # a filter on the result stays above this projection: pushed through the steps it would repeat the text of each rule many times over
+    cleaned = work.select("id", F.when(F.rand() >= 0, F.col("text")).alias("text"), report("told").alias("report"), "before")
+    passed = rows.where("not works").select("id", F.col("raw").alias("text"), report(nothing).alias("report"), F.length("raw").alias("before"))
+    return cleaned.unionByName(passed).select(F.col("id").alias("doc_id"), "text", "report", F.col("before").alias("chars_before"), F.length("text").alias("chars_after"))
+
+
+def report(told: Column | str) -> Column:
+    """array<struct<rule,label,count,samples>> of what rules removed, array<struct<r,s>>: the first samples that are not blank, white space collapsed, cut to size."""
+
+    def short(x: Column) -> Column:
+        x = strip(F.regexp_replace(x["s"], r"(?U)\s+", " "))
+        return F.when(F.length(x) > SAMPLE_CHARS, F.concat(F.substring(x, 1, SAMPLE_CHARS - 1), F.lit("…"))).otherwise(x)
+
+    found = F.array_distinct(F.transform(told, lambda x: x["r"]))
+    names, labels = F.array(*map(F.lit, RULES)), F.array(*map(F.lit, LABELS.values()))
+
+    def one(r: Column) -> Column:
+        own = F.filter(told, lambda x: x["r"] == r)
+        samples = F.slice(F.filter(F.transform(own, short), lambda s: s != ""), 1, MAX_SAMPLES)
+        return F.struct(F.get(names, r).alias("rule"), F.get(labels, r).alias("label"), F.size(own).alias("count"), samples.alias("samples"))
+
+    return F.transform(F.array_sort(found), one)
+
+
+def report_json(row: Column) -> Column:
+    """A cleaned row as JSON: text, chars_before, chars_after and report."""
+    return F.to_json(row)

@@ -57,3 +57,23 @@ def delete_jobs(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def finish_jobs(jobs: DataFrame, ended: DataFrame) -> DataFrame:
     """Jobs with the status of those that ended (job_id, ended_as)."""
     return jobs.join(ended, "job_id", "left").withColumn("status", F.coalesce("ended_as", "status")).drop("ended_as")
+
+
+def create(requests: DataFrame, key: str = "request") -> DataFrame:
+    """``requests`` (created_at in seconds, ``key`` that tells them apart) with job_id, YYYYMMDD-HHMMSS- and six hexadecimal digits of the key, and status running."""
+    when = F.date_format(F.timestamp_seconds(F.floor("created_at")), "yyyyMMdd-HHmmss")
+    return requests.withColumns({"job_id": F.concat(when, F.lit("-"), F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6)), "status": F.lit("running")})
+
+
+def track(history: DataFrame, window: int = ETA_WINDOW) -> DataFrame:
+    """As ``eta`` for jobs that were resumed: (job_id, index, seconds, total, resumed); adds done, which starts at ``resumed``."""
+    trailing = Window.partitionBy("job_id").orderBy("index").rowsBetween(1 - window, 0)
+    n = F.row_number().over(Window.partitionBy("job_id").orderBy("index"))
+    rows = history.withColumns({"pace": F.avg(F.greatest("seconds", F.lit(0.0))).over(trailing), "done": F.col("resumed") + n})
+    left = F.col("total") - F.col("done")
+    return rows.withColumn("eta", F.when(left > 0, F.col("pace") * left))
+
+
+def detail_json(summary: DataFrame) -> DataFrame:
+    """(job_id, detail): the rows of ``summarize`` as JSON, keys in this order."""
+    return summary.select("job_id", F.to_json(F.struct("job_id", "done", "total", "audio_duration", "resume_index", "complete")).alias("detail"))

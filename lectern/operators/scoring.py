@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,17 +107,21 @@ def character_error(ref: Column, hyp: Column) -> Column:
 def repetition_score(tokens: Column) -> Column:
     """How much the longest run of one three-word phrase exceeds what is normal.
 
-    run[i] = run[i - 3] + 1 where the phrase at i equals the one three words before; the scan's skips never pass over a longer run.
+    A phrase equals the one three words before it if three words in a row do; then its run is one longer than that one's.  The
+    fold keeps how many words in a row did and the runs of the last three places only.
     """
-    gram = lambda i: F.array_join(F.slice(tokens, i + 1, GRAM), "\u0001")
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - GRAM, F.lit(0))), lambda i: i + GRAM <= F.size(tokens))
-    runs = F.aggregate(
-        places,
-        F.array().cast("array<int>"),
-        lambda a, i: F.concat(a, F.array(F.when((i >= GRAM) & (gram(i) == gram(F.greatest(i - GRAM, F.lit(0)))), F.get(a, i - GRAM) + 1).otherwise(1))),
-    )
-    worst = F.coalesce(F.array_max(runs), F.lit(0))
-    return F.when((F.size(tokens) >= GRAM * REPEATS) & (worst >= REPEATS), (worst - REPEATS + 1) / F.lit(float(REPEATS))).otherwise(0.0)
+    n = F.size(tokens)
+    later = F.slice(tokens, GRAM + 1, F.greatest(n - GRAM, F.lit(0)))
+    same = F.zip_with(F.slice(tokens, 1, F.greatest(n - GRAM, F.lit(0))), later, lambda a, b: a == b)
+
+    def step(s: Column, equal: Column) -> Column:
+        row = F.when(equal, s["row"] + 1).otherwise(0)
+        run = F.when(row >= GRAM, s["a"] + 1).otherwise(1)
+        return F.struct(row.alias("row"), s["b"].alias("a"), s["c"].alias("b"), run.alias("c"), F.greatest(s["worst"], run).alias("worst"))
+
+    start = F.struct(F.lit(0).alias("row"), *[F.lit(1).alias(c) for c in "abc"], F.lit(1).alias("worst"))
+    worst = F.aggregate(same, start, step, lambda s: s["worst"])
+    return F.when((n >= GRAM * REPEATS) & (worst >= REPEATS), (worst - REPEATS + 1) / F.lit(float(REPEATS))).otherwise(0.0)
 
 
 def truncation_score(ref: Column, hyp: Column) -> Column:
@@ -140,6 +144,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def with_reference(rows: DataFrame, references: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``references``, which has one row a key.
+
+    Keys that hold over one in ``hot`` of all rows, fewer than ``hot`` of them, are joined where their rows are; the rest by shuffle.
+    """
+    counted = rows.groupBy(key).agg(F.count("*").alias("n_key"))
+    often = counted.join(counted.agg(F.sum("n_key").alias("n_all")), F.lit(True)).where(F.col("n_key") * hot > F.col("n_all")).select(key)
+    near = F.broadcast(references.join(often, key))
+    far = rows.join(F.broadcast(often), key, "left_anti").join(references, key)
+    return rows.join(near, key).unionByName(far)
+
+
 def speaker_penalty(similarity: Column) -> Column:
     """``similarity`` from 0 to 1, null where there was nothing to compare."""
     return F.coalesce(SPEAKER_WEIGHT * F.greatest(F.lit(0.0), 1 - similarity), F.lit(0.0))

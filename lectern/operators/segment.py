@@ -10,6 +10,17 @@ from lectern.functions.text import strip
 # Shortest chunk, longest chunk, and how far a chunk may look for a space.
 MIN_CHARS, MAX_CHARS, WINDOW = 160, 220, 320
 
+#: The next chunk, by preference: all that is left if it fits; up to the last sentence end, else the last clause end, between
+#: MIN_CHARS and MAX_CHARS; up to the first space after MAX_CHARS in the window, else the last one before; MAX_CHARS characters.
+_CHUNK = "|".join([
+    rf"\S(?:.{{0,{MAX_CHARS - 2}}}\S)?(?=\s*+\z)",
+    rf".{{{MIN_CHARS},{MAX_CHARS - 1}}}[.!?]",
+    rf".{{{MIN_CHARS},{MAX_CHARS - 1}}}[,;]",
+    rf".{{{MAX_CHARS},{WINDOW - 1}}}?(?= )",
+    rf".{{{MIN_CHARS},{MAX_CHARS - 1}}}(?= )",
+    rf".{{{MAX_CHARS}}}",
+])
+
 
 def newline_pauses(text: Column) -> Column:
     """Line ends as pauses: a wrapped line is rejoined, a line end is a comma, a paragraph end a full stop."""
@@ -23,34 +34,14 @@ def newline_pauses(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("\u0003"), F.lit("")), r"\n+", " "), " +", " "))
 
 
-def split_point(rest: Column) -> Column:
-    """Length of the next chunk of a text longer than MAX_CHARS: a sentence end, else a clause end, else a space, else MAX_CHARS."""
-    zone = F.substring(rest, MIN_CHARS + 1, MAX_CHARS - MIN_CHARS)
-    last = lambda chars: F.length(F.regexp_extract(zone, rf"(?s)^(.*{chars})", 1))
-    beyond = F.locate(" ", F.substring(rest, 1, WINDOW), MAX_CHARS + 1)
-    return (
-        F.when(last("[.!?]") > 0, MIN_CHARS + last("[.!?]"))
-        .when(last("[,;]") > 0, MIN_CHARS + last("[,;]"))
-        .when(beyond > 0, beyond - 1)
-        .when(last(" ") > 0, MIN_CHARS + last(" ") - 1)
-        .otherwise(MAX_CHARS)
-    )
-
-
 def segment(text: Column, newlines: bool = True) -> Column:
-    """array<string> of the chunks of a text, one empty chunk for an empty text."""
-    t = newline_pauses(text) if newlines else text
-
-    def cut(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        n = F.when(F.length(rest) <= MAX_CHARS, F.length(rest)).otherwise(split_point(rest))
-        chunk = strip(F.substring(rest, F.lit(1), n))
-        more = F.when(chunk == "", state["out"]).otherwise(F.concat(state["out"], F.array(chunk)))
-        return F.struct(strip(F.substring(rest, n + 1, F.length(rest))).alias("rest"), more.alias("out"))
-
-    start = F.struct(t.alias("rest"), F.array().cast("array<string>").alias("out"))
-    steps = F.sequence(F.lit(1), F.floor(F.length(t) / (MIN_CHARS - 1)).cast("int") + 1)
-    return F.when(F.length(t) <= MAX_CHARS, F.array(t)).otherwise(F.aggregate(steps, start, cut, lambda s: s["out"]))
+    """array<string> of the chunks of a text, one empty chunk for an empty text.
+
+    One pass of one pattern: each chunk starts where the one before ended, so time follows the length of the text.
+    """
+    t = newline_pauses(text) if newlines else strip(text)
+    chunks = F.transform(F.regexp_extract_all(t, F.lit(rf"(?sU)\s*+({_CHUNK})"), F.lit(1)), strip)
+    return F.when(t == "", F.array(t)).otherwise(F.filter(chunks, lambda c: c != ""))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", newlines: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.settings import voice_name
+
 
 def add(voices: DataFrame, new: DataFrame) -> DataFrame:
     """Voices with new names added; names already there stay as they are."""
@@ -15,14 +17,24 @@ def remove(voices: DataFrame, names: DataFrame) -> DataFrame:
     return voices.join(names, "name", "left_anti")
 
 
-def rename(voices: DataFrame, old: str, new: str) -> DataFrame:
-    """Voices with one renamed; an error if it is missing or the new name is taken."""
-    have = {r.name for r in voices.where(F.col("name").isin(old, new)).select("name").distinct().collect()}
-    if old not in have:
-        raise KeyError(old)
-    if new in have:
-        raise ValueError(f"{new} exists")
-    return voices.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))
+def rename_status(voices: DataFrame, requests: DataFrame) -> DataFrame:
+    """(old, new, status) for each request (old, new): renamed, missing (no such voice) or taken (the new name exists, or an earlier request by name wants it).
+
+    Of several requests for one voice that of the least new name counts.
+    """
+    have = voices.select("name").distinct()
+    asked = requests.select("old", "new").distinct()
+    rows = asked.join(have.select(F.col("name").alias("old"), F.lit(True).alias("there")), "old", "left").join(have.select(F.col("name").alias("new"), F.lit(True).alias("used")), "new", "left")
+    able = F.col("there").isNotNull() & F.col("used").isNull()
+    first = rows.where(able).groupBy("old").agg(F.min("new").alias("new")).groupBy("new").agg(F.min("old").alias("old")).select("old", "new", F.lit(True).alias("first"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("used").isNotNull() | F.col("first").isNull(), "taken").otherwise("renamed")
+    return rows.join(first, ["old", "new"], "left").select("old", "new", status.alias("status"))
+
+
+def rename(voices: DataFrame, requests: DataFrame) -> DataFrame:
+    """Voices with those of the requests (old, new) renamed that ``rename_status`` lets through."""
+    done = rename_status(voices, requests).where("status = 'renamed'").select(F.col("old").alias("name"), "new")
+    return voices.join(done, "name", "left").withColumn("name", F.coalesce("new", "name")).drop("new").select(*voices.columns)
 
 
 def info(voices: DataFrame, durations: DataFrame) -> DataFrame:
@@ -51,8 +63,9 @@ def favourites_first(voices: DataFrame, favourites: list[str]) -> DataFrame:
 
 
 def accept_recordings(uploads: DataFrame, voices: DataFrame) -> DataFrame:
-    """Uploads (filename, name, size) that are .wav files of a size within bounds with a new, non-empty name."""
-    fit = uploads.where(F.lower("filename").endswith(".wav") & F.col("size").between(1, MAX_UPLOAD) & (F.col("name") != ""))
+    """Uploads (filename, size and more) that are .wav files of a size within bounds, with the name made of theirs, not empty and new."""
+    named = uploads.withColumn("name", voice_name(F.col("filename")))
+    fit = named.where(F.lower("filename").endswith(".wav") & F.col("size").between(1, MAX_UPLOAD) & (F.col("name") != ""))
     return fit.join(voices.select("name"), "name", "left_anti")
 
 

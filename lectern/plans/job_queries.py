@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
+import uuid
+import zipfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import strip
 from lectern.operators import abtest, audio, jobs, settings, subtitles, voices
@@ -83,6 +85,27 @@ def p06_job_id(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", jobs.is_job_id(F.expr(_JOB)).alias("valid"))
 
 
+@query(f"""WITH c AS ({_CHUNKS}), w AS (SELECT job_id, index, job_id % 3 + row_number() OVER (PARTITION BY job_id ORDER BY index) AS done, avg(greatest(seconds, 0)) OVER (PARTITION BY job_id ORDER BY index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS pace FROM c)
+SELECT job_id, index, done, round(CASE WHEN 9 - done > 0 THEN pace * (9 - done) END, 9) AS eta FROM w""")
+def j06_tracker(spark, sf_dir):
+    """Jobs resumed after none, one or two of nine chunks; some of the times are negative."""
+    out = jobs.track(_chunks(spark, sf_dir).withColumns({"total": F.lit(9), "resumed": F.col("job_id") % 3}))
+    return out.select("job_id", "index", "done", F.round("eta", 9).alias("eta"))
+
+
+@query("SELECT o_orderkey, strftime(to_timestamp(epoch(o_orderdate) + o_orderkey % 86400) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S') || '-' || substr(md5(cast(o_orderkey AS VARCHAR)), 1, 6) AS job_id, 'running' AS status FROM orders")
+def k03_create(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86400).cast("double").alias("created_at"))
+    return jobs.create(o, "o_orderkey").select("o_orderkey", "job_id", "status")
+
+
+@query(f"""WITH c AS ({_CHUNKS}), s AS (SELECT job_id, count(*) FILTER (status = 'done') AS done, count(*) AS total, coalesce(min(index) FILTER (status <> 'done'), count(*)) AS resume_index,
+  CAST(sum(CASE WHEN status = 'done' THEN coalesce(duration, 0) ELSE 0 END) AS DOUBLE) AS a FROM c GROUP BY job_id)
+SELECT job_id, '{{"job_id":' || job_id || ',"done":' || done || ',"total":' || total || ',"audio_duration":' || a || ',"resume_index":' || resume_index || ',"complete":' || CASE WHEN done = total THEN 'true' ELSE 'false' END || '}}' AS detail FROM s""")
+def k10_job_json(spark, sf_dir):
+    return jobs.detail_json(jobs.summarize(_chunks(spark, sf_dir)))
+
+
 # --- subtitles: conversations as jobs, turns as chunks -----------------------------------------
 _DUR = "cast((conv_id * 7 + turn * 3) % 23 as double) / 2"
 
@@ -91,12 +114,31 @@ def _turns(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("index"), "text", F.expr(_DUR).alias("duration"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '^\s+|\s+$', '', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '' ) AS p FROM conversations)
-SELECT conv_id, turn, CAST(len(p) AS BIGINT) AS n_short FROM (SELECT conv_id, turn, list_filter(p, lambda x: length(x) <= 90) AS p FROM s)""")
+def _plain(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+# sentences; those over 90 characters are packed from their clauses, chr(3) between what is packed
+_LAST = r"regexp_extract(a, '[^\x03]*$')"
+_PACKED = rf"string_split(list_reduce(string_split(regexp_replace(p, '([,;:])\s+', '\1' || chr(2), 'g'), chr(2)), lambda a, x: CASE WHEN {_LAST} <> '' AND length({_LAST} || ' ' || x) > 90 THEN a || chr(3) || x ELSE a || ' ' || x END), chr(3))"
+_SPLIT = rf"list_filter(list_transform(string_split(regexp_replace({_plain('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_plain('x')}), lambda x: x <> '')"
+_SENTENCES = f"""s AS (SELECT conv_id AS job_id, turn AS index, {_DUR} AS d, flatten(list_transform({_SPLIT}, lambda p: CASE WHEN length(p) <= 90 THEN [p] ELSE {_PACKED} END)) AS ps FROM conversations)"""
+#: Spans of sentences with their share of the time, as doubles worked out in the order in which the operator does.
+_SPANS = f"""{_SENTENCES},
+c AS (SELECT *, coalesce(sum(greatest(d, 0)) OVER (PARTITION BY job_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM s),
+u AS (SELECT job_id, index, d, s0, len(ps) AS n, unnest(ps) AS text, CAST(unnest(range(len(ps))) AS INTEGER) AS k FROM c WHERE d > 0),
+v AS (SELECT *, length(text) AS own, sum(length(text)) OVER (PARTITION BY job_id, index ORDER BY k) AS chars, sum(length(text)) OVER (PARTITION BY job_id, index) AS total FROM u),
+span AS (SELECT job_id, index, k, s0 + d * (CAST(chars - own AS DOUBLE) / CAST(total AS DOUBLE)) AS start, CASE WHEN k = n - 1 THEN s0 + d ELSE s0 + d * (CAST(chars AS DOUBLE) / CAST(total AS DOUBLE)) END AS stop, text FROM v)"""
+_GROUPS = f"""{_SPANS},
+o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY index, k) = 1 OR stop - start >= 0.6 THEN 1 ELSE 0 END AS opens FROM span),
+g AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY job_id ORDER BY index, k) AS BIGINT) AS g FROM o),
+m AS (SELECT job_id, g, min(start) AS start, max(stop) AS stop, {_plain("string_agg(text, ' ' ORDER BY index, k)")} AS text FROM g GROUP BY job_id, g)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT job_id, index, CAST(unnest(range(len(ps))) AS INTEGER) AS k, unnest(ps) AS text FROM s")
 def t01_sentences(spark, sf_dir):
-    """Sentences of each turn that fit one cue."""
-    whole = F.split(strip(F.col("text")), r"(?U)(?<=[.!?])\s+", -1)
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.filter(whole, lambda p: (strip(p) != "") & (F.length(p) <= subtitles.MAX_CHARS))).cast("long").alias("n_short"))
+    """Sentences of each turn, long ones packed from their clauses."""
+    return _turns(spark, sf_dir).select("job_id", "index", F.posexplode(subtitles.split_sentences(F.col("text"))).alias("k", "text"))
 
 
 @query(f"""WITH c AS (SELECT conv_id AS job_id, turn AS index, {_DUR} AS duration FROM conversations)
@@ -105,30 +147,17 @@ def t03_clock(spark, sf_dir):
     return subtitles.clock(_turns(spark, sf_dir)).select("job_id", "index", "start")
 
 
-def _spans(spark, sf_dir, text):
-    """Spans of one sentence a turn, times rounded so that both engines compare equal ones."""
-    rows = subtitles.clock(_turns(spark, sf_dir)).where("duration > 0")
-    return rows.select("job_id", "index", F.lit(0).alias("k"), "start", (F.col("start") + F.col("duration") % 3).alias("end"), text.alias("text"))
-
-
-_MERGE = f"""
-WITH c AS (SELECT conv_id AS job_id, turn AS index, {_DUR} AS duration, substr(text, 1, 60) AS text FROM conversations),
-k AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY job_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
-s AS (SELECT job_id, index, start, start + duration % 3 AS stop, text FROM k WHERE duration > 0),
-o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY index) = 1 OR stop - start >= 0.6 THEN 1 ELSE 0 END AS opens FROM s),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY index) AS g FROM o)
-"""
+@query(f'WITH {_SPANS} SELECT job_id, index, k, round(start, 6) AS start, round(stop, 6) AS "end", text FROM span')
+def t02_apportion(spark, sf_dir):
+    """All sentences of each turn."""
+    out = subtitles.spans(subtitles.clock(_turns(spark, sf_dir)))
+    return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
 
 
-@query(_MERGE + r"""SELECT job_id, CAST(g AS BIGINT) AS g, min(start) AS start, max(stop) AS "end", regexp_replace(string_agg(text, ' ' ORDER BY index), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY job_id, g""")
+@query(f'WITH {_GROUPS} SELECT job_id, g, round(start, 6) AS start, round(stop, 6) AS "end", text FROM m')
 def t04_merge_short(spark, sf_dir):
-    return subtitles.merge_short(_spans(spark, sf_dir, F.substring("text", 1, 60)))
-
-
-@query()
-def t04_merge_short_whole(spark, sf_dir):
-    """Turns with all their text."""
-    return subtitles.merge_short(_spans(spark, sf_dir, F.col("text")))
+    out = subtitles.merge_short(subtitles.spans(subtitles.clock(_turns(spark, sf_dir))))
+    return out.select("job_id", "g", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
 
 
 def _long(spark, sf_dir):
@@ -148,9 +177,13 @@ def t05_split_long(spark, sf_dir):
     return out.select("job_id", "part", "g", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
 
 
-@query()
+@query(f"""WITH {_GROUPS},
+w AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, CASE WHEN stop - start > 7 AND length(text) > 40 THEN greatest(2, CAST(floor((stop - start) / 7) AS INTEGER) + 1) ELSE 1 END AS parts FROM m),
+p AS (SELECT *, greatest(1, len(w) // parts) AS per, unnest(range(parts)) AS part FROM w),
+x AS (SELECT *, (stop - start) / parts AS step, CASE WHEN parts = 1 THEN text ELSE array_to_string(CASE WHEN part = parts - 1 THEN w[part * per + 1:] ELSE w[part * per + 1:(part + 1) * per] END, ' ') END AS piece FROM p)
+SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY g, part) AS INTEGER) AS cue_index, round(CASE WHEN parts = 1 THEN start ELSE start + part * step END, 6) AS start, round(CASE WHEN parts = 1 THEN stop ELSE start + (part + 1) * step END, 6) AS "end", piece AS text FROM x WHERE piece <> ''""")
 def t06_cues(spark, sf_dir):
-    return subtitles.build_cues(_turns(spark, sf_dir))
+    return subtitles.build_cues(_turns(spark, sf_dir)).select("job_id", "cue_index", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
 
 
 _SEC = "cast(l_orderkey * 37 % 100000 as double) / 16 + l_linenumber"
@@ -246,18 +279,26 @@ def p09_bounds(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", settings.within_bounds({"steps": F.col("p_size"), "candidates": F.col("p_size") % 10}).alias("valid"))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 40.0 ELSE p_size END AS DOUBLE) AS steps, CAST(3.0 AS DOUBLE) AS cfg_text FROM part")
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 40.0 ELSE p_size END AS DOUBLE) AS steps, CAST(3.0 AS DOUBLE) AS cfg_text, CASE WHEN p_size % 5 > 1 THEN CAST(p_size % 5 AS DOUBLE) END AS scale, CASE WHEN p_size % 5 > 1 THEN CAST(0.5 AS DOUBLE) END AS least FROM part""")
 def p04_params(spark, sf_dir):
     defaults = F.create_map(F.lit("steps"), F.lit(40.0), F.lit("cfg_text"), F.lit(3.0))
     given = F.create_map(F.lit("steps"), F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double")), F.lit("odd"), F.lit(1.0))
-    return _t(spark, sf_dir, "part").select("p_partkey", settings.merge_params(defaults, given).alias("m")).select("p_partkey", F.col("m.steps").alias("steps"), F.col("m.cfg_text").alias("cfg_text"))
+    params = settings.speaker_force(settings.merge_params(defaults, given), F.col("p_size") % 5)
+    return _t(spark, sf_dir, "part").select("p_partkey", params.alias("m")).select("p_partkey", F.col("m.steps").alias("steps"), F.col("m.cfg_text").alias("cfg_text"), F.element_at("m", "speaker_kv_scale").alias("scale"), F.element_at("m", "speaker_kv_min_t").alias("least"))
+
+
+#: Seconds from below zero over all three forms, with halves and nulls.
+_SECONDS = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast(event_id * 13 % 90000 - 200 as double) / (1 + event_id % 5 * event_id % 3) END"
 
 
-@query("""WITH s AS (SELECT event_id, CAST(event_id * 13 % 9000 AS BIGINT) AS t FROM events)
-SELECT event_id, (t // 60) || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS short, CASE WHEN t >= 3600 THEN (t // 3600) || ':' || lpad(CAST(t // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') ELSE (t // 60) || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') END AS long FROM s""")
+@query(f"""WITH s AS (SELECT event_id, {_SECONDS} AS s FROM events), t AS (SELECT *, CAST(floor(s) AS BIGINT) AS t, CAST(floor(s + 0.5) AS BIGINT) AS r, CAST(floor(s / 60 + 0.5) AS BIGINT) AS m, greatest(coalesce(CAST(floor(s) AS BIGINT), 0), 0) AS p FROM s)
+SELECT event_id, CASE WHEN s IS NULL OR s < 0 THEN '' WHEN s < 60 THEN r || 's' WHEN m < 60 THEN m || ' min' WHEN m % 60 > 0 THEN (m // 60) || 'h ' || (m % 60) || 'm' ELSE (m // 60) || 'h' END AS told,
+  CASE WHEN s IS NULL THEN '' WHEN s >= 0 THEN (t // 60) || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') ELSE '-' END AS short,
+  CASE WHEN p >= 3600 THEN (p // 3600) || ':' || lpad(CAST(p // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p % 60 AS VARCHAR), 2, '0') ELSE (p // 60) || ':' || lpad(CAST(p % 60 AS VARCHAR), 2, '0') END AS long FROM t""")
 def p08_displays(spark, sf_dir):
-    t = F.col("event_id") * 13 % 9000
-    return _t(spark, sf_dir, "events").select("event_id", settings.clock_short(t).alias("short"), settings.clock_long(t).alias("long"))
+    """All three displays of a duration; the shortest clock is for durations, which are not negative."""
+    s = F.expr(_SECONDS)
+    return _t(spark, sf_dir, "events").select("event_id", settings.short_duration(s).alias("told"), F.when(s < 0, "-").otherwise(settings.clock_short(s)).alias("short"), settings.clock_long(s).alias("long"))
 
 
 _DICT = "'k' || cast(p_partkey % 5 as string) || ' = v=1' || chr(10) || '=x' || chr(10) || 'none' || chr(10) || ' k' || cast(p_size % 5 as string) || '=' || p_brand || ' '"
@@ -282,6 +323,29 @@ def r02_remove(spark, sf_dir):
     return voices.remove(n, n.where("n_nationkey % 3 = 0")).select("name")
 
 
+_ASKED = "SELECT n_name AS old, CASE n_nationkey % 4 WHEN 0 THEN 'new ' || n_name WHEN 1 THEN 'shared' WHEN 2 THEN (SELECT min(n_name) FROM nation) ELSE 'x' END AS new FROM nation UNION ALL SELECT 'nobody ' || n_name, 'y' || n_name FROM nation"
+
+
+@query(f"""WITH a AS ({_ASKED}), r AS (SELECT old, new, old IN (SELECT n_name FROM nation) AS there, new IN (SELECT n_name FROM nation) AS used FROM a),
+f AS (SELECT new, min(old) AS old FROM r WHERE there AND NOT used GROUP BY new) SELECT old, new, CASE WHEN NOT there THEN 'missing' WHEN used OR (old, new) NOT IN (SELECT old, new FROM f) THEN 'taken' ELSE 'renamed' END AS status FROM r""")
+def r03_rename_status(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    return voices.rename_status(n, _rename_requests(n))
+
+
+def _rename_requests(n):
+    k = F.col("n_nationkey") % 4
+    one = n.agg(F.min("name").alias("one"))
+    asked = n.join(one, F.lit(True)).select(F.col("name").alias("old"), F.when(k == 0, F.concat(F.lit("new "), "name")).when(k == 1, "shared").when(k == 2, F.col("one")).otherwise("x").alias("new"))
+    return asked.union(n.select(F.concat(F.lit("nobody "), "name"), F.concat(F.lit("y"), "name")))
+
+
+@query("SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'new ' || n_name WHEN n_name = (SELECT min(n_name) FROM nation WHERE n_nationkey % 4 = 1) THEN 'shared' WHEN n_name = (SELECT min(n_name) FROM nation WHERE n_nationkey % 4 = 3) THEN 'x' ELSE n_name END AS name FROM nation")
+def r03_rename(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    return voices.rename(n, _rename_requests(n)).select("name")
+
+
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) / 2 END AS seconds FROM nation")
 def r04_info(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
@@ -322,29 +386,120 @@ def k09_pcm16(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(audio.to_pcm16(x), lambda v: v.cast("string")), " ").alias("pcm"))
 
 
-@query("SELECT doc_id, base64(encode(text)) AS b64 FROM documents")
+def _le(v: str, size: int) -> str:
+    return " || ".join(f"printf('%02X', ({v} >> {8 * i}) & 255)" for i in range(size))
+
+
+_SAMPLES = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(least(v * 8, 1), -1))"
+_WAV = f"""WITH p AS (SELECT vec_id, list_transform({_SAMPLES}, lambda v: CAST(trunc(CASE WHEN v < 0 THEN v * 32768 ELSE v * 32767 END) AS BIGINT)) AS x FROM embeddings), q AS (SELECT vec_id, CAST(len(x) * 2 AS BIGINT) AS n, array_to_string(list_transform(x, lambda v: {_le('v', 2)}), '') AS pcm FROM p),
+w AS (SELECT vec_id, '52494646' || {_le('(n + 36)', 4)} || '57415645666D7420' || '10000000' || '0100' || '0100' || '44AC0000' || '88580100' || '0200' || '1000' || '64617461' || {_le('n', 4)} || pcm AS h FROM q)"""
+
+
+def _wav(spark, sf_dir):
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 8)
+    return _t(spark, sf_dir, "embeddings").select("vec_id", audio.encode(x, F.when(F.col("vec_id") % 2 == 0, "odd")).alias("w")).select("vec_id", "w.*")
+
+
+@query(_WAV + " SELECT vec_id, h AS wav, 'audio/wav' AS media_type FROM w")
+def k07_encode(spark, sf_dir):
+    """WAV files, as hexadecimal digits."""
+    return _wav(spark, sf_dir).select("vec_id", F.hex("content").alias("wav"), "media_type")
+
+
+@query(_WAV + " SELECT vec_id, base64(unhex(h)) AS b64 FROM w")
 def k08_base64(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("b64"))
+    return _wav(spark, sf_dir).select("vec_id", F.regexp_replace(F.base64("content"), r"\s", "").alias("b64"))
+
+
+_LATENTS = "flatten(list_transform(range(32 * (1 + vec_id % 3)), lambda i: CAST(embedding AS DOUBLE[])))"
 
 
-@query("SELECT vec_id, CAST(len(embedding) - vec_id % 60 AS BIGINT) AS n FROM embeddings")
+@query(f"SELECT vec_id, CAST(len(x) AS BIGINT) AS n, x[1] AS first, round(coalesce(list_sum(x), 0), 6) AS total FROM (SELECT vec_id, {_LATENTS}[vec_id % 4 * 2048 + 1:] AS x FROM embeddings)")
 def d03_crop(spark, sf_dir):
-    wide = F.flatten(F.array_repeat("embedding", 32))  # one latent's samples
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.size(audio.crop_front(wide, F.lit(0)))).select("vec_id", (F.lit(64) - F.col("vec_id") % 60).cast("long").alias("n"))
+    """One to three latents' samples without those of the first none to three latents."""
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (32 * (1 + F.col("vec_id") % 3)).cast("int")))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", audio.crop_front(wide, (F.col("vec_id") % 4).cast("int")).alias("x"))
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0)).alias("first"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("SELECT vec_id, CAST(len(x) AS BIGINT) AS n, 640 - len(x) AS block, x[1] AS first FROM (SELECT vec_id, w[greatest(len(w) - 399, 1):] AS x FROM (SELECT vec_id, flatten(list_transform(range(1 + vec_id % 9), lambda i: CAST(embedding AS DOUBLE[]))) AS w FROM embeddings))")
+def d03_continuation(spark, sf_dir):
+    """The last latents that a continuation starts from, and the room it leaves."""
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 9).cast("int")))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", audio.continuation(wide).alias("x"))
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), (F.lit(audio.BLOCK) - F.size("x")).cast("long").alias("block"), F.get("x", F.lit(0)).alias("first"))
 
 
 @query()
 def d02_denoise(spark, sf_dir):
+    """Every vector, twenty times over, through the denoiser; tests hold it against sums by definition."""
     x = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 20))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_max(audio.denoise(x)).alias("peak"))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", audio.denoise(x).alias("y"))
+    return rows.select("vec_id", F.size("y").alias("n"), F.array_max("y").alias("peak"), F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v).alias("energy"))
 
 
-# --- sources ------------------------------------------------------------------------------------
 @query()
+def v16_resample(spark, sf_dir):
+    """Vectors as two channels at 44.1 kHz, at 16 kHz; tests hold it against the interpolation sum."""
+    x = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 20))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", audio.resample(audio.RATE)(F.array(x, F.reverse(x))).alias("y"))
+    return rows.select("vec_id", F.size("y").alias("n"), F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v).alias("energy"))
+
+
+# --- sources ------------------------------------------------------------------------------------
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'caf' || chr(233) || doc_id ELSE text END AS text FROM documents""")
+def s01_decode(spark, sf_dir):
+    """Texts as UTF-8, as UTF-8 with a mark, and bytes that are no UTF-8."""
+    odd = F.concat(F.encode(F.lit("caf"), "UTF-8"), F.unhex(F.lit("E9")), F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(odd)
+    return _t(spark, sf_dir, "documents").select("doc_id", extract.decode(content).alias("text"))
+
+
+_TAGS = "|".join(extract.BLOCK_TAGS)
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)<(head|script|style|title)(\s[^>]*)?>.*?</head>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:{_TAGS})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a)
+SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text FROM b""")
 def s02_html(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", extract.html_text("html").alias("text"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _book(titles, texts):
+    """EPUB files of two pages, a title and a text, whose table of contents lists the title first and the archive last."""
+    import html
+
+    def page(body: str) -> str:
+        return f"<html><head><title>no</title></head><body>{body}</body></html>"
+
+    def one(title: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="{i}" href="{i}.xhtml"/>' for i in ("text", "title"))
+            z.writestr("OEBPS/c.opf", f'<package xmlns="http://x"><manifest>{items}</manifest><spine><itemref idref="title"/><itemref idref="gone"/><itemref idref="text"/></spine></package>')
+            z.writestr("OEBPS/text.xhtml", page(f"<p>{html.escape(text)}</p>"))
+            z.writestr("OEBPS/title.xhtml", page(f"<h1>{title}</h1><script>no</script>"))
+        return out.getvalue()
+
+    return texts.combine(titles, lambda text, title: one(title, text))
+
+
+def _books(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", "text", _book(F.concat(F.lit("Part "), (F.col("doc_id") % 7).cast("string")), F.col("text")).alias("content"))
+
+
+_BOOK_TEXT = r"'Part ' || doc_id % 7 || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_BOOK_TEXT} AS text FROM documents")
+def s04_epub(spark, sf_dir):
+    """Documents as books of two pages, read back in the order of their contents."""
+    return _books(spark, sf_dir).select("doc_id", extract.epub_text("content").alias("text"))
+
+
 @query("""SELECT o_custkey AS file, o_orderkey AS ord, 'OEBPS/p' || (o_orderkey % 7) || '.xhtml' AS name FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 7 <> 2""")
 def s03_spine(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
@@ -370,16 +525,36 @@ def s07_duration(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", extract.duration(F.when(c % 3 == 0, 1.5), F.col("o_orderkey").cast("double"), (c % 4).cast("int"), F.when(c % 5 == 0, 2.5)).alias("seconds"))
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 3 < 2 THEN round(CAST(128 * (1 + vec_id % 5) AS DOUBLE) / (2 * 8000 * (1 + vec_id % 2)), 9) END AS seconds FROM embeddings")
+def s07_wav_header(spark, sf_dir):
+    """Durations by the headers of WAV files of one to five vectors, at two rates; other bytes have none."""
+    x = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 5).cast("int")))
+    slow, fast = audio.wav_bytes(x, 8000), audio.wav_bytes(x, 16_000)
+    content = F.when(F.col("vec_id") % 3 == 2, F.encode(F.lit("no sound"), "UTF-8")).when(F.col("vec_id") % 2 == 0, slow).otherwise(fast)
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(extract.wav_seconds(content), 9).alias("seconds"))
+
+
+_MANIFEST = "CASE o_orderkey % 4 WHEN 0 THEN '{\"id\":\"j' || cast(o_orderkey as string) || '\",\"voice\":\"v\",\"created_at\":' || cast(o_custkey as string) || ',\"chunks\":[{\"index\":0,\"text\":\"a\",\"status\":\"done\",\"duration\":1.5}]}' WHEN 1 THEN '{\"id\":\"j' || cast(o_orderkey as string) || '\",\"status\":\"complete\"}' WHEN 2 THEN '{broken' ELSE '{}' END"
+
+
+@query("SELECT 'j' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS DOUBLE) ELSE 0 END AS created_at, CASE WHEN o_orderkey % 4 = 0 THEN 'v' ELSE '' END AS voice, CASE WHEN o_orderkey % 4 = 0 THEN 'running' ELSE 'complete' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN CAST(1.5 AS DOUBLE) END AS first FROM orders WHERE o_orderkey % 4 < 2")
+def s08_manifests(spark, sf_dir):
+    rows = extract.parse_manifests(_t(spark, sf_dir, "orders").select(F.expr(_MANIFEST).alias("value")))
+    return rows.select("id", "created_at", "voice", "status", F.get("chunks", F.lit(0))["duration"].alias("first"))
+
+
 @query("SELECT event_id % 7 AS index, 'chunk' AS type, 'v' || user_id AS voice FROM events WHERE event_id % 4 > 0")
 def s12_event_lines(spark, sf_dir):
     body = F.expr("CASE WHEN event_id % 4 = 0 THEN ': ping' ELSE 'data: {\"type\":\"chunk\",\"index\":' || cast(event_id % 7 as string) || ',\"voice\":\"v' || cast(user_id as string) || '\"}' END")
     return extract.event_lines(_t(spark, sf_dir, "events").select(body.alias("value")), "type string, index bigint, voice string")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 < 2 AND trim(text) <> '' AND octet_length(encode(text)) BETWEEN 1 AND 26214400")
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_plain('text')} ELSE {_BOOK_TEXT} END AS text FROM documents WHERE doc_id % 3 < 2 AND (doc_id % 3 = 1 OR {_plain('text')} <> '')")
 def s05_uploads(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").selectExpr("doc_id", "element_at(array('a.TXT', 'b.epub', 'c.pdf'), cast(doc_id % 3 as int) + 1) AS name", "encode(text, 'UTF-8') AS content", "text")
-    return extract.accept_uploads(docs).select("doc_id")
+    """Texts, books and files of no known kind, each read as what it is."""
+    kind = F.expr("element_at(array('a.TXT', 'b.epub', 'c.pdf'), cast(doc_id % 3 as int) + 1)")
+    files = _books(spark, sf_dir).select("doc_id", kind.alias("name"), F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).otherwise(F.col("content")).alias("content"))
+    return extract.upload_texts(files).select("doc_id", "text")
 
 
 # --- streams over the events table, as an analogue -----------------------------------------------
@@ -391,24 +566,47 @@ def e01_settled(spark, sf_dir):
     return streams.settled(e, "1 hour")
 
 
-@query()
-def e05_progress_stream(spark, sf_dir):
-    """Remaining time per job from a stream of the events files, drained into a memory table."""
+def _event_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    out = streams.progress(e.select((F.col("user_id") % 20).alias("job_id"), F.lit(100).alias("total"), F.col("value").alias("seconds")))
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"progress_{os.urandom(4).hex()}"
-    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("""WITH w AS (SELECT user_id AS job_id, event_id AS index, CAST(row_number() OVER o AS INTEGER) AS done, avg(greatest(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS pace FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
+SELECT job_id, index, done, round(CASE WHEN done < 100 THEN pace * (100 - done) END, 6) AS eta FROM w""")
+def e05_progress_stream(spark, sf_dir):
+    """Remaining time per job from a stream of the events files."""
+    e = _event_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("index"), F.lit(100).alias("total"), F.col("value").alias("seconds"))
+    out = streams.drained(streams.progress(e), streams.shared_folder(spark, f"progress-{uuid.uuid4().hex}"))
+    return out.select("job_id", "index", "done", F.round("eta", 6).alias("eta"))
+
+
+@query("SELECT event_id, 'clicks' AS subscriber FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'even' FROM events WHERE user_id % 2 = 0")
+def e03_fan_out(spark, sf_dir):
+    """Two subscribers to one stream, each with its own condition."""
+    folder = streams.shared_folder(spark, f"subscribers-{uuid.uuid4().hex}")
+    for q in streams.fan_out(_event_stream(spark, sf_dir), {"clicks": "event_type = 'click'", "even": "user_id % 2 = 0"}, folder):
+        q.processAllAvailable()
+        q.stop()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}").select("event_id", F.lit(name).alias("subscriber"))
+    return read("clicks").union(read("even"))
+
+
+_SESSION = "user_id % 40 AS session, ts, event_id, CASE event_id % 7 WHEN 0 THEN 'start' WHEN 1 THEN 'stop' ELSE 'chunk' END AS type, event_id // 700 AS generation"
 
 
-@query("SELECT label AS job_id, CAST(count(*) * 64 AS BIGINT) AS n, round(CAST(arg_min(embedding[1], vec_id) AS DOUBLE), 6) AS first, round(CAST(arg_max(embedding[64], vec_id) AS DOUBLE), 6) AS last FROM embeddings GROUP BY label")
+@query(f"""WITH e AS (SELECT {_SESSION} FROM events), m AS (SELECT *, max(CASE type WHEN 'stop' THEN generation WHEN 'start' THEN generation - 1 END) OVER (PARTITION BY session ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended FROM e)
+SELECT session, event_id FROM m WHERE type = 'chunk' AND (ended IS NULL OR ended < generation)""")
+def e06_still_wanted(spark, sf_dir):
+    """Chunks of generations that no stop and no later start has ended."""
+    e = _t(spark, sf_dir, "events").selectExpr(*_SESSION.replace("//", "div").split(", "))
+    return streams.still_wanted(e).select("session", "event_id")
+
+
+@query("SELECT label AS job_id, vec_id AS index, CAST(coalesce(sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def j07_audio_concat(spark, sf_dir):
+    """Where each chunk's samples lie in the audio of its job."""
     chunks = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("job_id"), F.col("vec_id").alias("index"), F.col("embedding").alias("samples"))
-    out = audio.join_chunks(chunks)
-    return out.select("job_id", F.size("samples").cast("long").alias("n"), F.round(F.get("samples", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last"))
+    return audio.placed_chunks(chunks).select("job_id", "index", F.col("offset").cast("long").alias("offset"), F.size("samples").cast("long").alias("n"))
 
 
 @query(f"WITH c AS ({_CHUNKS}) SELECT job_id, index FROM c WHERE job_id % 4 <> 1")
@@ -429,11 +627,12 @@ def r06_favourites(spark, sf_dir):
     return voices.favourites_first(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), ["BRAZIL", "JAPAN", "NATION_3"])
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_size % 5 > 0 AND p_partkey % 7 <> 0")
+@query("SELECT p_partkey, 'v_' || p_partkey || ' x' AS name FROM part WHERE p_partkey % 2 = 0 AND p_size % 5 > 0 AND p_partkey % 7 <> 0")
 def r08_upload_guard(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    up = p.selectExpr("p_partkey", "'f' || CASE WHEN p_partkey % 2 = 0 THEN '.WAV' ELSE '.mp3' END AS filename", "'v' || cast(p_partkey as string) AS name", "p_size % 5 AS size")
-    return voices.accept_recordings(up, up.where("p_partkey % 7 = 0")).select("p_partkey")
+    up = p.selectExpr("p_partkey", "'/up/ v*' || cast(p_partkey as string) || ' x.' || CASE WHEN p_partkey % 2 = 0 THEN '.WAV' ELSE '.mp3' END AS filename", "p_size % 5 AS size")
+    have = p.where("p_partkey % 7 = 0").selectExpr("'v_' || cast(p_partkey as string) || ' x' AS name")
+    return voices.accept_recordings(up, have).select("p_partkey", "name")
 
 
 @query(f"WITH c AS ({_CHUNKS}) SELECT job_id, index, CASE WHEN job_id % 2 = 0 THEN index * 10 END AS content FROM c")
@@ -446,20 +645,3 @@ def r09_chunk_audio(spark, sf_dir):
 def e02_deletions(spark, sf_dir):
     e = _t(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_type = 'click' THEN 'deleted' ELSE 'created' END AS type", "CASE WHEN user_id % 2 = 0 THEN 'a.WAV' ELSE 'a.txt' END AS path")
     return streams.deletions(e).select("event_id")
-
-
-@query(f"WITH c AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w, {_DUR} AS d FROM conversations), k AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c), s AS (SELECT conv_id, turn, d, start, w[1][:40] AS a, w[2][:40] AS b FROM k WHERE d > 0 AND len(w) > 1) SELECT conv_id AS job_id, turn AS index, 0 AS k, round(start, 6) AS start, round(start + d * (CAST(length(a) + 1 AS DOUBLE) / (length(a) + length(b) + 2)), 6) AS \"end\" FROM s UNION ALL SELECT conv_id, turn, 1, round(start + d * (CAST(length(a) + 1 AS DOUBLE) / (length(a) + length(b) + 2)), 6), round(start + d, 6) FROM s")
-def t02_apportion(spark, sf_dir):
-    """Two sentences a turn, made of its first two words."""
-    w = F.filter(F.split(strip(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != "")
-    rows = subtitles.clock(_turns(spark, sf_dir)).withColumn("w", w).where("size(w) > 1")
-    part = lambda i: F.regexp_replace(F.substring(F.get("w", F.lit(i)), 1, 40), "[.!?,;:]", "x")
-    out = subtitles.spans(rows.withColumn("text", F.concat(part(0), F.lit("! "), part(1), F.lit("!"))))
-    return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
-
-
-@query()
-def t02_apportion_whole(spark, sf_dir):
-    """All sentences of each turn."""
-    out = subtitles.spans(subtitles.clock(_turns(spark, sf_dir)))
-    return out.select("job_id", "index", "k", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")

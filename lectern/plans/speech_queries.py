@@ -4,58 +4,93 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import models
 from lectern.operators import normalize as N
 from lectern.operators import scoring as V
 from lectern.operators import segment as G
 from lectern.operators import selection
-from lectern.plans.cleaning_queries import _replaced, _text_query
 from lectern.plans import cleaning_queries as base
+from lectern.plans.cleaning_queries import _text_query
 
 QUERIES, SQL = base.QUERIES, base.SQL
 _A = r"\$(\d+(?:,\d{3})*(?:\.\d+)?)"
+
+
+def _abbreviated(t: str) -> str:
+    for short, long in N.ABBREVIATIONS:
+        t = f"regexp_replace({t}, '\\b{short.replace('.', chr(92) + '.')}\\.', '{long}', 'g')"
+    return t
+
+
+#: What each step of the normalisation makes of t.
+_STEPS = {
+    "n04_money_words": lambda t: rf"regexp_replace({t}, '(?i){_A}\s+(hundred|thousand|million|billion|trillion)\b', '\1 \2 dollars', 'g')",
+    "n05_money_letters": lambda t: "".join(["regexp_replace("] * 4) + t + "".join(rf", '{_A}\s*[{a}]\b', '\1 {w} dollars', 'g')" for a, w in N.MULTIPLIERS),
+    "n06_money": lambda t: rf"regexp_replace(regexp_replace(regexp_replace({t}, '\$(\d+(?:,\d{{3}})*)\.00\b', '\1 dollars', 'g'), '\$(\d+(?:,\d{{3}})*)\.(\d+)\b', '\1 dollars and \2 cents', 'g'), '\$(\d+(?:,\d{{3}})*)\b', '\1 dollars', 'g')",
+    "n07_abbreviations": _abbreviated,
+    "n08_symbols": lambda t: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\s*=\s*', ' equals ', 'g'), '\s*\+\s*', ' plus ', 'g'), '&', ' and ', 'g'), '(\d+)\s*%', '\1 percent', 'g'), '\s*@\s*', ' at ', 'g'), '(^|[^:/.\w])([a-zA-Z]+)/([a-zA-Z]+)($|[^:/.\w])', '\1\2 or \3\4', 'g'), ' +', ' ', 'g')",
+}
 _text_query("n02_sound_tags", "' Well. (Laughs) then ( clears throat ) and (not a tag)'", lambda c: N.restore_tags(N.protect_tags(c)),
     r"trim(regexp_replace(regexp_replace(replace(replace(t, '(Laughs)', '(laughs)'), '( clears throat )', '(clears throat)'), '\s+', ' ', 'g'), ' ([.,!?;:])', '\1', 'g'))")
-_text_query("n04_money_words", "' for $5 Million, $4.5 billion or $1,250 hundreds'", N.money_words, rf"regexp_replace(t, '(?i){_A}\s+(hundred|thousand|million|billion|trillion)\b', '\1 \2 dollars', 'g')")
-_text_query("n05_money_letters", "' $5M $2.5b $100 K $7T $9x'", N.money_letters, "".join(["regexp_replace("] * 4) + "t" + "".join(rf", '{_A}\s*[{a}]\b', '\1 {w} dollars', 'g')" for a, w in N.MULTIPLIERS))
-_text_query("n06_money", "' $5. $5.00 $5.99 $250,000 $1,234.5'", N.money, r"regexp_replace(regexp_replace(regexp_replace(t, '\$(\d+(?:,\d{3})*)\.00\b', '\1 dollars', 'g'), '\$(\d+(?:,\d{3})*)\.(\d+)\b', '\1 dollars and \2 cents', 'g'), '\$(\d+(?:,\d{3})*)\b', '\1 dollars', 'g')")
-_ab = "t"
-for _s, _l in N.ABBREVIATIONS:
-    _ab = f"regexp_replace({_ab}, '\\b{_s.replace('.', chr(92) + '.')}\\.', '{_l}', 'g')"
-_text_query("n07_abbreviations", "' Dr. Smith, Mr. and Mrs. Jones vs. St. Ann etc. e.g. this i.e. that'", N.abbreviations, _ab)
-_text_query("n08_symbols", "' 2 + 2=4 R&D 50 % off a@b yes/no http://x/y 12/25'", N.symbol_words,
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s*=\s*', ' equals ', 'g'), '\s*\+\s*', ' plus ', 'g'), '&', ' and ', 'g'), '(\d+)\s*%', '\1 percent', 'g'), '\s*@\s*', ' at ', 'g'), '(^|[^:/.\w])([a-zA-Z]+)/([a-zA-Z]+)($|[^:/.\w])', '\1\2 or \3\4', 'g'), ' +', ' ', 'g')")
+for _name, _added, _rule in (
+    ("n04_money_words", "' for $5 Million, $4.5 billion or $1,250 hundreds'", N.money_words),
+    ("n05_money_letters", "' $5M $2.5b $100 K $7T $9x'", N.money_letters),
+    ("n06_money", "' $5. $5.00 $5.99 $250,000 $1,234.5'", N.money),
+    ("n07_abbreviations", "' Dr. Smith, Mr. and Mrs. Jones vs. St. Ann etc. e.g. this i.e. that'", N.abbreviations),
+    ("n08_symbols", "' 2 + 2=4 R&D 50 % off a@b yes/no http://x/y 12/25'", N.symbol_words),
+):
+    _text_query(_name, _added, _rule, _STEPS[_name]("t"))
 _ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
 _TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
 
 
-def n09_numbers(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", N.spell_numbers(F.expr("'I have ' || cast(doc_id % 1100 as string) || ' items, 007 and 1,234'")).alias("text"))
+_PIECES = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_]+'"
+
 
+def _spelt_sql(t: str) -> str:
+    """Whole numbers up to 999 in words: the text's runs of word characters and of others, one by one."""
+    n = "CAST(TRY_CAST(x AS BIGINT) AS INTEGER)"
+    r = f"({n} % 100)"
+    low = f"CASE WHEN {r} < 20 THEN {_ONES}[{r} + 1] WHEN {r} % 10 = 0 THEN {_TENS}[{r} // 10 - 1] ELSE {_TENS}[{r} // 10 - 1] || ' ' || {_ONES}[{r} % 10 + 1] END"
+    word = f"CASE WHEN {n} < 100 THEN {low} ELSE {_ONES}[{n} // 100 + 1] || ' hundred' || CASE WHEN {r} = 0 THEN '' ELSE ' ' || {low} END END"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, {_PIECES}), lambda x: CASE WHEN regexp_full_match(x, '0*[0-9]{{1,3}}') AND length(x) <= 15 THEN {word} ELSE x END), '')"
 
-QUERIES["n09_numbers"] = n09_numbers
-SQL["n09_numbers"] = f"""
-WITH n AS (SELECT doc_id, doc_id % 1100 AS n, doc_id % 1100 % 100 AS r FROM documents),
-l AS (SELECT *, CASE WHEN r < 20 THEN {_ONES}[r + 1] WHEN r % 10 = 0 THEN {_TENS}[r // 10 - 1] ELSE {_TENS}[r // 10 - 1] || ' ' || {_ONES}[r % 10 + 1] END AS low FROM n)
-SELECT doc_id, 'I have ' || CASE WHEN n > 999 THEN CAST(n AS VARCHAR) WHEN n < 100 THEN low ELSE {_ONES}[n // 100 + 1] || ' hundred' || CASE WHEN r = 0 THEN '' ELSE ' ' || low END END || ' items, seven and one,two hundred thirty four' AS text FROM l"""
+
+_text_query("n09_numbers", "' I have ' || cast(doc_id % 1100 as string) || ' items, 007 and 1,234 of x12'", N.spell_numbers, _spelt_sql("t"))
+#: The whole normalisation; the tables' own parentheses become brackets, as asides on earlier lines need a loop.
+_ASIDES = "replace(replace(text, '(', '['), ')', ']') || ' It cost $5M (about half) of $12 in 2 parts & 30 % (sighs) by Dr. No. ( LAUGHS ) or/and (so) it = x'"
 
 
 def n01_normalize(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", N.normalize(F.expr("text || ' It cost $5M (about half) in 2 parts. (sighs)'"), "full").alias("text"))
+    return docs.select("doc_id", N.normalize(F.expr(_ASIDES), "full").alias("text"))
 
 
 QUERIES["n01_normalize"] = n01_normalize
+
+
+def _normalize_sql(t: str) -> str:
+    t = rf"regexp_replace(regexp_replace({t}, '\(\s*(?i:laughs)\s*\)', '{{laughs}}', 'g'), '\(\s*(?i:sighs)\s*\)', '{{sighs}}', 'g')"
+    for step in _STEPS.values():
+        t = step(t)
+    t = _spelt_sql(t)
+    t = rf"regexp_replace(regexp_replace({t}, '\s*\(([^()]+)\)\s*(\w)', ', \1, \2', 'g'), '\s*\(([^()]+)\)\s*', ', \1 ', 'g')"
+    t = rf"regexp_replace(regexp_replace(regexp_replace({t}, ',\s*,', ',', 'g'), ' +', ' ', 'g'), ' ([.,!?;:])', '\1', 'g')"
+    return rf"trim(regexp_replace(regexp_replace(replace(replace({t}, '{{', '('), '}}', ')'), '\s+', ' ', 'g'), ' ([.,!?;:])', '\1', 'g'))"
+
+
+SQL["n01_normalize"] = f"SELECT doc_id, {_normalize_sql('t')} AS text FROM (SELECT doc_id, {_ASIDES} AS t FROM documents)"
 _text_query("n03_restore", "'  a  ,b' || chr(10) || ' c '", N.restore_tags, r"trim(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), ' ([.,!?;:])', '\1', 'g'))")
 
 
 def n10_parentheses(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", N.strip_parentheses(F.expr("'Hello ' || cast(doc_id as string) || ' (world) there ((nested)) end (below).'")).alias("text"))
+    return docs.select("doc_id", N.strip_parentheses(F.expr("text || ' Hello ' || cast(doc_id as string) || ' (world) there ((nested)) end (below).'")).alias("text"))
 
 
 QUERIES["n10_parentheses"] = n10_parentheses
 
+
 # --- segmentation -----------------------------------------------------------------------------
 _PLAIN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -112,6 +147,12 @@ def _pairs(spark, sf_dir):
     return rows.withColumn("hyp", F.filter("ref", lambda w, i: (i + F.col("turn")) % 7 != 3))
 
 
+def _replaced_words(spark, sf_dir):
+    """In odd turns words are not left out but misheard."""
+    misheard = F.transform("ref", lambda w, i: F.when((i + F.col("turn")) % 7 == 3, F.lit("zzz")).otherwise(w))
+    return _pairs(spark, sf_dir).withColumn("hyp", F.when(F.col("turn") % 2 == 1, misheard).otherwise(F.col("hyp")))
+
+
 _TOK = r"""
 WITH t AS (SELECT conv_id, turn, text, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '\[[^\]]*\]', ' ', 'g')), '-', ' '), '[^\pL\pN_\s'']', ' ', 'g'), '\s+', ' ', 'g')), ' '),
   lambda w: w <> '' AND w NOT IN ('uh', 'um', 'erm', 'mm', 'hmm', 'ah', 'eh', 'er')) AS ref FROM conversations),
@@ -141,27 +182,31 @@ def v10_duration(spark, sf_dir):
 
 def v03_word_errors(spark, sf_dir):
     e = V.word_errors(F.col("ref"), F.col("hyp"))
-    return _pairs(spark, sf_dir).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", "e.*", F.round(V.weighted_rate(F.col("e")), 9).alias("wer"))
+    return _replaced_words(spark, sf_dir).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", "e.*", F.round(V.weighted_rate(F.col("e")), 9).alias("wer"))
 
 
 def v06_repetition(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).where("size(ref) >= 3").select("conv_id", "turn", F.flatten(F.array_repeat(F.slice("ref", 1, 3), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))).alias("w"))
-    return rows.select("conv_id", "turn", F.round(V.repetition_score(F.col("w")), 9).alias("repetition"))
-
-
-def v06_repetition_whole(spark, sf_dir):
     """Whole turns, each followed by its last three words up to five times more."""
     loop = F.flatten(F.array_repeat(F.slice("ref", F.greatest(F.size("ref") - 2, F.lit(1)), 3), ((F.col("conv_id") + F.col("turn")) % 6).cast("int")))
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.repetition_score(F.concat("ref", loop)), 9).alias("repetition"))
 
 
-for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v06_repetition_whole, v07_truncation, v10_duration):
+for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v07_truncation, v10_duration):
     QUERIES[_f.__name__] = _f
 SQL["v01_tokens"] = _TOK + "SELECT conv_id, turn, CAST(len(ref) AS BIGINT) AS n_ref, array_to_string(hyp, ' ') AS hyp FROM p"
 SQL["v05_character_error"] = _TOK + ", j AS (SELECT *, regexp_replace(array_to_string(ref, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS a, regexp_replace(array_to_string(hyp, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
 SQL["v07_truncation"] = _TOK + ", h AS (SELECT conv_id, turn, ref, hyp[1:greatest(len(hyp) - turn % 3, 0)] AS hyp FROM p) SELECT conv_id, turn, CASE WHEN len(ref) >= 4 AND len(hyp) > 0 THEN len(list_filter(ref[-4:], lambda w: NOT list_contains(hyp[-12:], w))) / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS truncation FROM h"
 SQL["v10_duration"] = "WITH x AS (SELECT conv_id, turn, greatest(length(text) / 13.0::DOUBLE, 0.5) AS e, CAST((conv_id + turn) % 40 AS DOUBLE) / 2 AS d FROM conversations), o AS (SELECT *, abs(d - e) / e AS off FROM x) SELECT conv_id, turn, round(CASE WHEN off > 0.35 THEN 0.5::DOUBLE * (off - 0.35::DOUBLE) ELSE 0.0 END, 9) AS penalty FROM o"
-SQL["v06_repetition"] = _TOK + ", k AS (SELECT conv_id, turn, (conv_id + turn) % 6 + 1 AS k, ref[1] = ref[2] AND ref[2] = ref[3] AS one FROM p WHERE len(ref) >= 3) SELECT conv_id, turn, round(CASE WHEN k >= 3 THEN (k - 2) / 3.0::DOUBLE ELSE 0.0::DOUBLE END, 9) AS repetition FROM k"
+# words left out cost a deletion each and misheard ones a substitution each, and nothing can cost less
+SQL["v03_word_errors"] = _TOK + """, k AS (SELECT conv_id, turn, CAST(len(ref) AS INTEGER) AS n, CAST(len(list_filter(ref, lambda w, i: (i - 1 + turn) % 7 = 3)) AS INTEGER) AS bad, turn % 2 = 1 AS misheard FROM p),
+c AS (SELECT conv_id, turn, n, CASE WHEN misheard THEN bad ELSE 0 END AS s, CASE WHEN misheard THEN 0 ELSE bad END AS d FROM k)
+SELECT conv_id, turn, s AS substitutions, d AS deletions, CAST(0 AS INTEGER) AS insertions, n - s - d AS hits, n AS reference_length, round(CASE WHEN n > 0 THEN (s * 1.0 + d * 1.5)::DOUBLE / n ELSE 0.0 END, 9) AS wer FROM c"""
+# a phrase goes on where it equals the one three words before; such places side by side, three apart, are a run
+SQL["v06_repetition"] = _TOK + """, w AS (SELECT conv_id, turn, ref || flatten(list_transform(range((conv_id + turn) % 6), lambda i: ref[greatest(len(ref) - 2, 1):])) AS w FROM p),
+g AS (SELECT conv_id, turn, i, w[i] = w[i - 3] AND w[i + 1] = w[i - 2] AND w[i + 2] = w[i - 1] AS same FROM (SELECT conv_id, turn, w, unnest(range(4, len(w) - 1)) AS i FROM w)),
+r AS (SELECT conv_id, turn, i, i // 3 - row_number() OVER (PARTITION BY conv_id, turn, i % 3 ORDER BY i) AS island, i % 3 AS class FROM g WHERE same),
+m AS (SELECT conv_id, turn, max(n) + 1 AS worst FROM (SELECT conv_id, turn, count(*) AS n FROM r GROUP BY conv_id, turn, class, island) GROUP BY conv_id, turn)
+SELECT conv_id, turn, round(CASE WHEN len(w) >= 9 AND coalesce(worst, 1) >= 3 THEN (worst - 2) / 3.0::DOUBLE ELSE 0.0::DOUBLE END, 9) AS repetition FROM w LEFT JOIN m USING (conv_id, turn)"""
 
 
 def v11_cosine(spark, sf_dir):
@@ -169,7 +214,7 @@ def v11_cosine(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
     sim = (V.cosine(F.col("embedding"), F.col("ref")) + 1) / 2
-    return e.join(first, "label").select("vec_id", F.round(sim, 6).alias("similarity"), F.round(V.speaker_penalty(sim), 6).alias("penalty"))
+    return V.with_reference(e, first, "label").select("vec_id", F.round(sim, 6).alias("similarity"), F.round(V.speaker_penalty(sim), 6).alias("penalty"))
 
 
 QUERIES["v11_cosine"] = v11_cosine
@@ -209,11 +254,11 @@ def _split_select(sql: str) -> list[str]:
 
 
 _RANK = f"""
-WITH s AS ({_TAKES} FROM {_LINE}, (VALUES (0), (1)) AS vs(v)),
+WITH s AS MATERIALIZED ({_TAKES} FROM {_LINE}, (VALUES (0), (1)) AS vs(v)),
 a AS (SELECT *, count(wer) OVER (PARTITION BY chunk_id, verifier_ord) AS ok FROM s),
-j AS (SELECT *, coalesce(wer + 0.25 * cer, 1.0) AS composite FROM a WHERE ok > 0),
+j AS MATERIALIZED (SELECT *, coalesce(wer + 0.25 * cer, 1.0) AS composite FROM a WHERE ok > 0),
 w AS (SELECT chunk_id, take, 0.4 * coalesce(max(repetition) FILTER (wer IS NOT NULL), 0) + 0.3 * coalesce(max(truncation) FILTER (wer IS NOT NULL), 0) AS spoken FROM j GROUP BY ALL),
-t AS (SELECT s.chunk_id, s.take, other + coalesce(spoken, 0) AS penalty FROM s LEFT JOIN w USING (chunk_id, take) WHERE verifier_ord = 0),
+t AS MATERIALIZED (SELECT s.chunk_id, s.take, other + coalesce(spoken, 0) AS penalty FROM s LEFT JOIN w USING (chunk_id, take) WHERE verifier_ord = 0),
 k AS (SELECT j.*, penalty, row_number() OVER (PARTITION BY chunk_id, verifier_ord ORDER BY composite + penalty, take) - 1 AS rank FROM j JOIN t USING (chunk_id, take)),
 p AS (SELECT chunk_id, take, avg(rank) AS mean_rank, avg(composite) + max(penalty) AS score, arg_min(wer, verifier_ord) FILTER (wer IS NOT NULL) AS wer FROM k GROUP BY ALL),
 z AS (SELECT t.chunk_id, t.take, coalesce(mean_rank, 0) AS mean_rank, coalesce(score, 0) AS score, wer FROM t LEFT JOIN p USING (chunk_id, take)),
@@ -262,3 +307,23 @@ x AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN acce
 SELECT chunk_id, CAST(round AS INTEGER) AS round, winner, score, acceptable FROM x WHERE k = 1"""
 SQL["v21_seeds"] = "SELECT l_orderkey, l_linenumber, CAST(42 + 1000 * l_linenumber + 100 * (l_orderkey % 3) AS BIGINT) AS seed FROM lineitem"
 SQL["v22_stats"] = _RANK + "SELECT count(*) AS chunks, count(*) FILTER (take <> 0) AS retakes, max(wer) AS worst_wer FROM b WHERE n = 1"
+
+
+# --- models plugged in ------------------------------------------------------------------------
+def v17_transcripts(spark, sf_dir):
+    """Two stand-ins for recognisers, of which one fails on odd turns."""
+
+    def careful(x):
+        return x.lower()
+
+    def failing(x):
+        if len(x) % 2:
+            raise ValueError("not heard")
+        return x.replace(" ", "_")
+
+    takes = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("chunk_id"), F.col("turn").alias("take"), F.col("text").alias("audio"))
+    return models.transcripts(takes, models.usable({"careful": lambda: careful, "failing": lambda: failing}))
+
+
+QUERIES["v17_transcripts"] = v17_transcripts
+SQL["v17_transcripts"] = "SELECT conv_id AS chunk_id, turn AS take, CASE v WHEN 0 THEN 'careful' ELSE 'failing' END AS verifier, v AS verifier_ord, CASE WHEN v = 0 THEN lower(text) WHEN length(text) % 2 = 0 THEN replace(text, ' ', '_') END AS transcript FROM conversations, (VALUES (0), (1)) AS vs(v)"

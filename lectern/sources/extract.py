@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.text import strip
+
 MAX_UPLOAD = 25 * 1024 * 1024
 # Tags that end a line, and tags whose text is dropped.
 BLOCK_TAGS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "blockquote")
@@ -37,44 +42,29 @@ def _legacy(s):
     return s.map(work)
 
 
-def _parser():
-    from html.parser import HTMLParser
-
-    class Text(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts, self.hidden = [], 0
-
-        def _edge(self, tag, step):
-            if tag in HIDDEN_TAGS:
-                self.hidden = max(0, self.hidden + step)
-            if tag in BLOCK_TAGS:
-                self.parts.append("\n")
+class _Events(HTMLParser):
+    """A page as a list of (tag, 1 where it starts and -1 where it ends, None) and (None, 0, text)."""
 
-        def handle_starttag(self, tag, attrs):
-            self._edge(tag, 1)
-
-        def handle_endtag(self, tag):
-            self._edge(tag, -1)
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.parts.append(data)
-
-    return Text
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.seen: list[tuple[str | None, int, str | None]] = []
+        self.handle_starttag = lambda tag, attrs: self.seen.append((tag, 1, None))
+        self.handle_endtag = lambda tag: self.seen.append((tag, -1, None))
+        self.handle_data = lambda data: self.seen.append((None, 0, data))
 
 
 def plain_text(html: str | None) -> str | None:
-    """Text of one HTML page; empty if it can't be parsed."""
+    """Text of one HTML page, a line end at both ends of a block; empty if it can't be parsed."""
     if html is None:
         return None
-    reader = _parser()()
+    page = _Events()
     try:
-        reader.feed(html)
-        reader.close()
+        page.feed(html)
+        page.close()
     except Exception:  # noqa: BLE001  broken pages have no text
         return ""
-    return "".join(reader.parts)
+    depth = accumulate((step if tag in HIDDEN_TAGS else 0 for tag, step, _ in page.seen), lambda d, step: max(0, d + step))
+    return "".join("\n" if tag in BLOCK_TAGS else data or "" for (tag, _, data), hidden in zip(page.seen, depth, strict=True) if tag or not hidden)
 
 
 @F.pandas_udf(T.StringType())
@@ -91,54 +81,72 @@ def spine_order(spine: DataFrame, manifest: DataFrame, names: DataFrame) -> Data
     return paths.join(names, ["file", "name"], "left_semi").select("file", "ord", "name")
 
 
+def _epub_text(content: bytes) -> str:
+    """The pages of a book in reading order, or in the archive's if it has none, joined by blank lines; empty if it is no archive."""
+    import io
+    import posixpath
+    import re
+    import xml.etree.ElementTree as tree
+    import zipfile
+
+    try:
+        z = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        return ""
+    names = z.namelist()
+
+    def named(root, tag: str) -> list:
+        return [e for e in root.iter() if e.tag.rpartition("}")[2] == tag]
+
+    def spine() -> list[str]:
+        opf = named(tree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
+        book, base = tree.fromstring(z.read(opf)), posixpath.dirname(opf)
+        pages = {e.get("id"): e.get("href") for e in named(book, "item")}
+        paths = [f"{base}/{pages[e.get('idref')]}".replace("//", "/").lstrip("/") for e in named(book, "itemref") if e.get("idref") in pages]
+        return [p for p in paths if p in set(names)]
+
+    def text(name: str) -> str:
+        try:
+            return plain_text(z.read(name).decode("utf-8", "replace"))
+        except Exception:  # noqa: BLE001  unreadable pages are passed over
+            return ""
+
+    try:
+        order = spine()
+    except Exception:  # noqa: BLE001  no readable table of contents
+        order = []
+    texts = [text(n) for n in order or [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]]
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "\n\n".join(t for t in texts if t.strip()))).strip()
+
+
+@F.pandas_udf(T.StringType())
+def epub_text(s):
+    """Text of EPUB files."""
+    return s.map(lambda b: None if b is None else _epub_text(bytes(b)))
+
+
 def epub_texts(content: DataFrame) -> DataFrame:
     """(path, text) of EPUB files (path, content)."""
+    return content.select("path", epub_text("content").alias("text"))
+
+
+def upload_texts(uploads: DataFrame) -> DataFrame:
+    """Uploads (name, content and more) of a known kind and a size within bounds, with their text, which is not blank: .epub as a book, .txt decoded."""
+    fit = uploads.where(F.lower("name").rlike(r"\.(txt|epub)$") & F.length("content").between(1, MAX_UPLOAD))
+    book = F.lower("name").endswith(".epub")
+    both = fit.where(book).withColumn("text", epub_text("content")).unionByName(fit.where(~book).withColumn("text", strip(decode(F.col("content")))))
+    return both.where(strip(F.col("text")) != "")
 
-    @F.pandas_udf(T.StringType())
-    def read(s):
-        import io
-        import posixpath
-        import re
-        import xml.etree.ElementTree as tree
-        import zipfile
-
-        def local(e):
-            return e.tag.rpartition("}")[2]
-
-        def one(b):
-            try:
-                z = zipfile.ZipFile(io.BytesIO(bytes(b)))
-            except Exception:  # noqa: BLE001  not an archive
-                return ""
-            names, order = z.namelist(), []
-            try:
-                box = tree.fromstring(z.read("META-INF/container.xml"))
-                opf = next(e.get("full-path") for e in box.iter() if local(e) == "rootfile")
-                root, base = tree.fromstring(z.read(opf)), posixpath.dirname(opf)
-                items = {e.get("id"): e.get("href") for e in root.iter() if local(e) == "item"}
-                hrefs = [items[e.get("idref")] for e in root.iter() if local(e) == "itemref" and e.get("idref") in items]
-                order = [p for h in hrefs if (p := f"{base}/{h}".replace("//", "/").lstrip("/")) in set(names)]
-            except Exception:  # noqa: BLE001  fall back to all pages
-                order = []
-            order = order or [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
-            texts = []
-            for n in order:
-                try:
-                    t = plain_text(z.read(n).decode("utf-8", "replace"))
-                except Exception:  # noqa: BLE001  unreadable pages are passed over
-                    continue
-                if t and t.strip():
-                    texts.append(t)
-            return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "\n\n".join(texts))).strip()
-
-        return s.map(one)
-
-    return content.select("path", read("content").alias("text"))
-
-
-def accept_uploads(uploads: DataFrame) -> DataFrame:
-    """Uploads (name, content, text) that have a known kind, a size within bounds and some text."""
-    return uploads.where(F.lower("name").rlike(r"\.(txt|epub)$") & F.length("content").between(1, MAX_UPLOAD) & (F.trim("text") != ""))
+
+def _little(content: Column, at: int, size: int) -> Column:
+    """A number stored lowest byte first from byte ``at`` (counted from 0) on."""
+    return F.conv(F.hex(F.concat(*[F.substring(content, at + 1 + i, 1) for i in reversed(range(size))])), 16, 10).cast("long")
+
+
+def wav_seconds(content: Column) -> Column:
+    """Duration by the plain header of a WAV file (its data right behind the format), null for other bytes."""
+    plain = (F.hex(F.substring(content, 1, 4)) == "52494646") & (F.hex(F.substring(content, 9, 8)) == "57415645666D7420") & (F.hex(F.substring(content, 37, 4)) == "64617461")
+    return F.when(plain & (F.length(content) >= 44), _little(content, 40, 4) / F.nullif(_little(content, 28, 4), F.lit(0).cast("long")))
 
 
 def voice_cache(listing: DataFrame) -> DataFrame:
@@ -158,8 +166,15 @@ def event_lines(lines: DataFrame, schema: str = "type string, index int, voice s
     return lines.where(F.col("value").startswith("data: ")).select(F.from_json(F.expr("substring(value, 7)"), schema).alias("e")).where("e is not null").select("e.*")
 
 
+_MANIFEST = "id string, created_at double, voice string, status string, settings string, chunks array<struct<index:int,text:string,status:string,duration:double>>"
+
+
+def parse_manifests(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Job manifests of JSON texts; unreadable ones are left out, missing fields get their defaults."""
+    rows = texts.select(F.from_json(column, _MANIFEST + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("m")).select("m.*")
+    return rows.where("id is not null and _corrupt_record is null").drop("_corrupt_record").fillna({"created_at": 0.0, "voice": "", "status": "running"})
+
+
 def manifests(spark, path: str) -> DataFrame:
-    """Job manifests; unreadable ones are left out, missing fields get their defaults."""
-    schema = "id string, created_at double, voice string, status string, settings string, chunks array<struct<index:int,text:string,status:string,duration:double>>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("_corrupt_record is null")
-    return rows.drop("_corrupt_record").fillna({"created_at": 0.0, "voice": "", "status": "running"})
+    """Job manifests in the files of a path."""
+    return parse_manifests(spark.read.text(path, wholetext=True))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,24 +22,64 @@ def deletions(events: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame, window: int = 5) -> DataFrame:
-    """(job_id, done, total, eta) after each chunk of a stream of (job_id, total, seconds), with the last ``window`` times as state."""
+    """(job_id, index, done, total, eta) after each chunk of a stream of (job_id, index, total, seconds), with the last ``window`` times as state.
+
+    Chunks of a job that come in one batch are taken in the order of their index, whatever order a shuffle gave them; across batches
+    the order of arrival counts.
+    """
     import pandas as pd
 
     def update(key, batches, state):
         done, times = state.get if state.exists else (0, [])
         times, out = list(times), []
-        for pdf in batches:
-            for total, seconds in zip(pdf["total"], pdf["seconds"], strict=True):
-                done += 1
-                times = [*times, max(0.0, float(seconds))][-window:]
-                left = int(total) - done
-                out.append((key[0], done, int(total), sum(times) / len(times) * left if left > 0 else None))
+        rows = pd.concat(list(batches)).sort_values("index", kind="stable")
+        for index, total, seconds in zip(rows["index"], rows["total"], rows["seconds"], strict=True):
+            done += 1
+            times = [*times, max(0.0, float(seconds))][-window:]
+            left = int(total) - done
+            out.append((key[0], index, done, int(total), sum(times) / len(times) * left if left > 0 else None))
         state.update((done, times))
-        yield pd.DataFrame(out, columns=["job_id", "done", "total", "eta"])
+        yield pd.DataFrame(out, columns=["job_id", "index", "done", "total", "eta"])
+
+    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, index long, done int, total int, eta double", "done int, times array<double>", "append", "NoTimeout")
+
+
+def shared_folder(spark, name: str) -> str:
+    """A folder of this name where spark.checkpoint.dir says; a temporary one only where the session names none and runs in one process."""
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="streams-")
+    return f"{where}/{name}"
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream has now, through Parquet files in ``folder``."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def fan_out(events: DataFrame, subscribers: dict[str, str], folder: str) -> list:
+    """One query on the same stream for each subscriber (name and the condition on what it hears), into Parquet files at ``folder``/name.
+
+    A subscriber hears what comes after its query started, and each at its own pace.
+    """
+    return [events.where(cond).writeStream.format("parquet").option("path", f"{folder}/{name}").queryName(name).option("checkpointLocation", f"{folder}/_{name}").outputMode("append").start() for name, cond in subscribers.items()]
+
+
+def arrivals(spark, folder: str, glob: str = "*.wav", per_batch: int = 1000) -> DataFrame:
+    """A stream of the files that come into a folder: (path, modificationTime, length); their contents are not read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(folder).select("path", "modificationTime", "length")
 
-    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, done int, total int, eta double", "done int, times array<double>", "append", "NoTimeout")
 
+def still_wanted(events: DataFrame) -> DataFrame:
+    """Chunks that may still be worked on, of (session, ts, type, generation and more), type being start, stop or chunk.
 
-def fan_out(events: DataFrame, sinks: dict[str, str], checkpoint: str) -> list:
-    """One query on the same stream for each subscriber (name and the condition on what it hears), into memory tables."""
-    return [events.where(cond).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append").start() for name, cond in sinks.items()]
+    A stop ends all generations of its session up to its own, a start all before its own; a chunk counts only if nothing at its
+    time or before ended its generation.
+    """
+    ended = F.when(F.col("type") == "stop", F.col("generation")).when(F.col("type") == "start", F.col("generation") - 1)
+    so_far = F.max(ended).over(Window.partitionBy("session").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("ended", so_far).where((F.col("type") == "chunk") & (F.coalesce(F.col("ended") < F.col("generation"), F.lit(True)))).drop("ended")

@@ -2,9 +2,10 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audio, voices
+from lectern.operators import audio, models, voices
 from lectern.sources import extract
 from lectern.streaming import events
 
@@ -49,14 +50,10 @@ def test_audio(spark):
 
 
 def test_voices(spark):
-    have = spark.createDataFrame([("a",), ("b",)], "name string")
-    assert sorted(r.name for r in voices.rename(have, "a", "c").collect()) == ["b", "c"]
-    for old, new in (("x", "y"), ("a", "b")):
-        try:
-            voices.rename(have, old, new)
-        except (KeyError, ValueError):
-            continue
-        raise AssertionError
+    have = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n int")
+    asked = spark.createDataFrame([("a", "c"), ("x", "y"), ("b", "a"), ("a", "d")], "old string, new string")
+    assert {(r.old, r.new): r.status for r in voices.rename_status(have, asked).collect()} == {("a", "c"): "renamed", ("x", "y"): "missing", ("b", "a"): "taken", ("a", "d"): "taken"}
+    assert sorted(map(tuple, voices.rename(have, asked).collect())) == [("b", 2), ("c", 1)]
     log = spark.createDataFrame([(1, "ready", "a", None, None), (2, "ready", "b", None, None), (3, "renamed", None, "a", "c"), (4, "removed", "b", None, None)], "ts int, type string, voice string, old string, new string")
     assert [r.name for r in voices.current(log).collect()] == ["c"]
 
@@ -67,8 +64,86 @@ def test_fan_out_and_settling(spark, tmp_path):
     assert events.deletions(rows).count() == 1
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    queries = events.fan_out(stream, {"all_events": "true", "made_events": "type = 'created'"}, str(tmp_path / "cp"))
+    queries = events.fan_out(stream, {"all_events": "true", "made_events": "type = 'created'"}, str(tmp_path / "out"))
     for q in queries:
         q.processAllAvailable()
         q.stop()
-    assert spark.table("all_events").count() == 5 and spark.table("made_events").count() == 4
+    assert spark.read.parquet(str(tmp_path / "out/all_events")).count() == 5 and spark.read.parquet(str(tmp_path / "out/made_events")).count() == 4
+
+
+def test_progress_follows_the_index(spark, tmp_path):
+    """Rows of a batch arrive in any order; the estimate goes by their index."""
+    rows = spark.createDataFrame([(j, i, 6, float(i + j)) for j in (1, 2) for i in range(6)], "job_id long, index long, total int, seconds double").repartition(5, "seconds")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = sorted(map(tuple, events.drained(events.progress(stream), str(tmp_path / "out")).collect()))
+    want = []
+    for j in (1, 2):
+        for i in range(6):
+            last = [k + j for k in range(max(0, i - 4), i + 1)]
+            want.append((j, i, i + 1, 6, sum(last) / len(last) * (5 - i) if i < 5 else None))
+    assert got == want
+
+
+def test_arrivals(spark, tmp_path):
+    folder = tmp_path / "voices"
+    folder.mkdir()
+    (folder / "a.wav").write_bytes(b"1234")
+    (folder / "b.txt").write_bytes(b"1")
+    where = str(tmp_path / "out")
+    seen = lambda: sorted((r.path.rsplit("/", 1)[1], r.length) for r in events.drained(events.arrivals(spark, str(folder)), where).collect())
+    assert seen() == [("a.wav", 4)]
+    (folder / "c.wav").write_bytes(b"12")
+    assert seen() == [("a.wav", 4), ("c.wav", 2)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        events.shared_folder(Cluster, "x")
+
+
+def test_models(spark):
+    def broken():
+        raise OSError("no weights")
+
+    with pytest.warns(UserWarning):
+        found = models.usable({"a": lambda: str.upper, "b": broken})
+    assert list(found) == ["a"]
+    with pytest.warns(UserWarning), pytest.raises(RuntimeError):
+        models.usable({"b": broken})
+    takes = spark.createDataFrame([(1, 0, "abc"), (1, 1, "x"), (2, 0, None)], "chunk_id long, take int, audio string")
+    got = {(r.chunk_id, r.take): r.transcript for r in models.transcripts(takes, {"second": lambda x: x[1]}).collect()}
+    assert got == {(1, 0): "b", (1, 1): None, (2, 0): None}
+    assert {(r.chunk_id, r.take): r.embedding for r in models.embeddings(takes, lambda x: [len(x), 1]).collect()} == {(1, 0): [3.0, 1.0], (1, 1): [1.0, 1.0], (2, 0): None}
+
+
+def test_wav(spark):
+    import wave
+
+    rows = spark.createDataFrame([(1, [0.0, 0.5, -1.0, 2.0] * 2000), (2, [])], "i int, x array<double>")
+    for r in rows.select("x", audio.wav_bytes(F.col("x"), 8000).alias("w"), extract.wav_seconds(audio.wav_bytes(F.col("x"), 8000)).alias("s")).collect():
+        with wave.open(io.BytesIO(bytes(r.w))) as f:
+            assert (f.getnchannels(), f.getsampwidth(), f.getframerate(), f.getnframes()) == (1, 2, 8000, len(r.x))
+            assert f.readframes(4) == (b"\x00\x00\xff\x3f\x00\x80\xff\x7f" if r.x else b"")
+        assert r.s == len(r.x) / 8000
+    kinds = rows.where("i = 1").select(F.explode(F.array(*map(F.lit, ["MP3", "flac", "odd"]))).alias("f"), "x").select("f", audio.encode(F.col("x"), F.col("f")).alias("e")).collect()
+    assert {r.f: (r.e.media_type, r.e.content is None) for r in kinds} == {"MP3": ("audio/mpeg", True), "flac": ("audio/flac", True), "odd": ("audio/wav", False)}
+
+
+def test_placed_chunks_across_blocks(spark):
+    rows = spark.createDataFrame([(j, i, [0.0] * (i % 3)) for j in (1, 2) for i in range(50)], "job_id int, index int, samples array<double>")
+    got = {(r.job_id, r["index"]): r.offset for r in audio.placed_chunks(rows, block=7).collect()}
+    assert got == {(j, i): sum(k % 3 for k in range(i)) for j in (1, 2) for i in range(50)}
