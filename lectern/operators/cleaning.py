@@ -268,51 +268,40 @@ def tidy(text: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n"))
 
 
-def continues(prev: Column, nxt: Column) -> Column:
-    """Whether ``nxt`` goes on with the unfinished ``prev``."""
-    # both are stripped lines, so lengths need no stripping, and the end of a long block tells how it ends
-    tail = F.substring(prev, -200, 200)
-    head = F.substring(nxt, 1, 2)
-    lower = head.rlike(r"^[\"'(]?\p{IsLowercase}")
-    open_ = ~is_prose(tail) & ~tail.endswith(":") & (F.length(F.translate(prev, SEAM, "")) >= 25)
-    return (prev != "") & (nxt != "") & (prev.endswith("-") | (open_ & (head != "") & lower))
+def _ends_open(end: str) -> bool:
+    return not end.rstrip("\"')]}").endswith((".", "!", "?", "…")) and not end.endswith(":")
 
 
-def joined(prev: Column, nxt: Column) -> Column:
-    """Both lines as one, with a seam between them."""
-    seam = F.lit(SEAM)
-    hyphen = F.when(nxt.rlike(r"^\p{IsLowercase}"), F.concat(F.substring(prev, F.lit(1), F.length(prev) - 1), seam, nxt)).otherwise(F.concat(prev, seam, nxt))
-    return F.when(prev.endswith("-"), hyphen).otherwise(F.concat(prev, F.lit(" "), seam, nxt))
+def _with_seams(text: str) -> str:
+    """Lines rejoined in one pass; only the last line's end and two lengths are carried along.
 
-
-def _last_line(t: Column) -> Column:
-    return F.substring_index(t, "\n", -1)
-
-
-def _first_line(t: Column) -> Column:
-    return F.substring_index(t, "\n", 1)
-
-
-def reflow_block(block: Column) -> Column:
-    """Lines of one block, wrapped ones rejoined; a line's predecessor is the whole block so far."""
-    lines = F.filter(F.transform(F.split(block, "\n", -1), strip), lambda x: x != "")
-    return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.coalesce(F.get(lines, F.lit(0)), F.lit("")), lambda a, x: F.when(continues(a, x), joined(a, x)).otherwise(F.concat(a, F.lit("\n"), x)))
+    A line goes on with what is before it if that ends in a hyphen, or if it is 25 characters or more, ends openly, and the line
+    starts in lower case.  What is before it is its paragraph so far, or for a paragraph's first line the last line made of the one before.
+    """
+    out, end, gap, paragraph, line = [], "", False, 0, 0
+    for x in map(str.strip, text.split("\n")):
+        if not x:
+            gap = True
+            continue
+        hyphen = end.endswith("-")
+        low = x[:1].islower() or (x[0] in "\"'(" and x[1:2].islower())
+        more = bool(out) and (hyphen or ((line if gap else paragraph) >= 25 and low and _ends_open(end)))
+        if more and hyphen and x[0].islower():
+            out[-1] = out[-1][:-1]
+            grown = len(x) - 1
+        else:
+            grown = len(x) + (not hyphen if more else 1)
+        paragraph = len(x) if gap or not out else paragraph + grown
+        out.append((("" if hyphen else " ") + SEAM if more else "" if not out else "\n\n" if gap else "\n") + x)
+        line = line + grown if more else len(x)
+        end, gap = x, False
+    return "".join(out)
 
 
-def seamed(text: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def seamed(s):
     """Wrapped lines rejoined in paragraphs, then sentences cut by a page break between paragraphs; a seam marks each joint."""
-    blocks = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n+", -1), reflow_block), lambda b: b != "")
-
-    def put(state: Column, b: Column) -> Column:
-        tail, head = _last_line(state["cur"]), _first_line(b)
-        body = F.substring(state["cur"], F.lit(1), F.length(state["cur"]) - F.length(tail))
-        more = F.concat(body, joined(tail, head), F.substring(b, F.length(head) + 1, F.length(b)))
-        goes_on = state["any"] & continues(tail, head)
-        done = F.when(~state["any"] | goes_on, state["done"]).otherwise(F.concat(state["done"], F.array(state["cur"])))
-        return F.struct(done.alias("done"), F.when(goes_on, more).otherwise(b).alias("cur"), F.lit(True).alias("any"))
-
-    start = F.struct(_none().alias("done"), F.lit("").alias("cur"), F.lit(False).alias("any"))
-    return F.aggregate(blocks, start, put, lambda s: F.array_join(F.concat(s["done"], F.array(s["cur"])), "\n\n"))
+    return s.map(lambda t: None if t is None else _with_seams(t))
 
 
 def reflow(text: Column) -> Column:

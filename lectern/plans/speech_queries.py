@@ -136,6 +136,22 @@ def g01_newline_pauses(spark, sf_dir):
 
 
 QUERIES["g01_newline_pauses"] = g01_newline_pauses
+_LOW = "([\"''(]?\\p{Ll})"
+
+
+def _paused_sql(t: str) -> str:
+    """The same without looking around: what a match takes from its surroundings it puts back, so some steps are taken twice."""
+    t = f"regexp_replace({t}, '-\\n{_LOW}', chr(3) || '\\1', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([^ \\n])\\n{_LOW}', '\\1 \\2', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(^| )\\n{_LOW}', '\\1\\2', 'g'), '^\\n+', ' ')"
+    t = f"regexp_replace({t}, '([^.!?,;:\\n])\\n\\n+', '\\1. ', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([^.!?,;:\\n])\\n([^\\n]|$)', '\\1, \\2', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace(replace({t}, chr(3), ''), '\\n+', ' ', 'g'), ' +', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+SQL["g01_newline_pauses"] = f"SELECT doc_id, {_paused_sql('t')} AS text FROM (SELECT doc_id, replace(text, '. ', ' ') AS t FROM documents)"
 
 # --- scores: a turn against itself with words left out ----------------------------------------
 
