@@ -99,6 +99,17 @@ class Network:
         return _sigmoid(self.forward(self.standard(x))[1])
 
 
+def risk_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes, by the network's outputs, of what a step descends along; ``p`` and ``u`` are the scores of positives and unlabelled texts.
+
+    That is the unbiased risk prior * R+(P) + (R-(U) - prior * R-(P)), or where its last part has fallen below zero the part's reverse, which undoes the overfit.
+    """
+    dp, du = p * (1 - p) / len(p), u * (1 - u) / len(u)  # of the loss of calling a text negative; that of calling it positive falls as this rises
+    if u.mean() < prior * p.mean():
+        return prior * dp, -du
+    return -2 * prior * dp, du
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 1500) -> Network:
     """Without a prior: positives against unlabelled, log loss.  With one: non-negative unbiased risk, sigmoid loss."""
     net = Network(np.concatenate([positive, unlabelled]))
@@ -108,18 +119,8 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, roun
         z = np.concatenate([a, b])
         h, g = net.forward(z)
         s = _sigmoid(g)
-        pos, unl = slice(0, len(a)), slice(len(a), None)
-        slope = np.zeros_like(g)
-        if prior is None:
-            slope[pos], slope[unl] = (s[pos] - 1) / len(a), s[unl] / len(b)
-        else:
-            d = s * (1 - s)  # of the loss sigmoid(g) of calling x positive; that of calling it negative has slope -d
-            negative = s[unl].mean() - prior * s[pos].mean()
-            if negative < 0:
-                slope[pos], slope[unl] = prior * d[pos] / len(a), -d[unl] / len(b)  # undo the overfit part
-            else:
-                slope[pos], slope[unl] = -2 * prior * d[pos] / len(a), d[unl] / len(b)
-        net.step(z, h, slope, 0.01)
+        p, u = s[: len(a)], s[len(a) :]
+        net.step(z, h, np.concatenate([(p - 1) / len(a), u / len(b)] if prior is None else risk_slopes(p, u, prior)), 0.01)
     return net
 
 

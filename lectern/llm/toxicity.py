@@ -327,7 +327,7 @@ def fit_bags(units_of: list[list[bytes]], toxic: np.ndarray, evidence_of: Callab
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
-    """Learns from labelled rows with ``learn`` (over doc_id), at most MAX_TOXIC and MAX_CLEAN of them; None if a label is missing."""
+    """Learns from labelled rows with ``learn`` (over doc_id), at most MAX_TOXIC and MAX_CLEAN of them; None if there are no words of toxic or none of clean documents."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = checkpointed(bounded_sample(known.where("toxic = 1"), "doc_id", MAX_TOXIC).union(bounded_sample(known.where("toxic = 0"), "doc_id", MAX_CLEAN)))
     # one row an id, so MAX_TOXIC + MAX_CLEAN at most: the text of the lowest hash where rows share an id
@@ -340,7 +340,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
 
     rows = texts.mapInPandas(units, "doc_id long, toxic int, units binary").toPandas().sort_values("doc_id")
     ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()
-    if {0, 1} - set(toxic.tolist()):
+    if {0, 1} - set(rows["toxic"][rows["units"].map(len) > 0].tolist()):  # no words of one of the two kinds
         return None
 
     def evidence(models: list[Model], half: np.ndarray) -> np.ndarray:
