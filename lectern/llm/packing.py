@@ -214,7 +214,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
 
     Null texts count as empty: one end token.  Rows with null or repeated ids are packed like any other, other columns of
     ``docs`` are passed over.  No rows give no rows.  ``tokenizer`` is a file that every worker has; by default each
-    worker asks for its own copy's path.  A sequence lies in one task, so its number is the task's and its own.
+    worker asks for its own copy's path.  A sequence lies in one task, so its number is the task's and its own; which documents share
+    one follows from how the rows are dealt to tasks, and is the same whenever they are dealt alike.
     """
     rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
