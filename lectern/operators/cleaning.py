@@ -422,8 +422,8 @@ def clean(docs: DataFrame, how: Cleaning | dict[str, Column] = Cleaning(), id_co
 
     ``how`` is one setting for all rows or ``row_options``.  Blank and null texts, and texts with no rule on, stay as they are
     and report nothing.  Rows are told apart by themselves, so ids may be null or repeated; the columns of ``docs`` other than the id,
-    the text and those that options read are left out.  ``report`` is an array of (rule, label, count, samples) of the rules that
-    removed something, in the order of ``RULES``.  Texts are shuffled once, as lines.
+    the text and those that options read are left out.  Texts are shuffled once.  ``report`` is an array of (rule, label, count, samples) of the rules that
+    removed something, in the order of ``RULES``.
     """
     options = how.options() if isinstance(how, Cleaning) else how
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), options["rules"].alias("rules"), options["pairs"].alias("pairs"))
@@ -432,7 +432,8 @@ def clean(docs: DataFrame, how: Cleaning | dict[str, Column] = Cleaning(), id_co
     nothing = F.array().cast("array<struct<r:int,s:string>>")
     work = rows.where("works").select(F.monotonically_increasing_id().alias("doc_id"), "id", "mask", "pairs", F.length("raw").alias("before"), "raw", F.when(_on("unicode"), unicode(F.col("raw"))).otherwise(F.col("raw")).alias("text"), nothing.alias("told"))
     work = work.withColumn("told", F.when(_on("unicode"), _tell("unicode", _unicode_told(F.col("raw"), F.col("text")))).otherwise(F.col("told"))).drop("raw")
-    # one row a line; a line that goes stays as a row, to tell of it
+    # one row a line; a line that goes stays as a row, to tell of it.  All that follows keeps to this partitioning by document.
+    work = work.repartition("doc_id")
     kept = F.struct("id", "mask", "pairs", "before", F.col("told").alias("first")).alias("kept")
     lines = work.select("doc_id", "mask", kept, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.select("doc_id", "mask", F.when(F.col("line_no") == 0, F.col("kept")).alias("kept"), "line_no", "line", F.lit(False).alias("gone"), nothing.alias("told"))
