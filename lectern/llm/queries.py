@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, licenses, lines, packing, pu_quality, rules, simhash, substrings, toxicity, urls
+from lectern.llm import decontamination, fim, licenses, lines, packing, pu_quality, rules, simhash, substrings, toxicity, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,11 +17,13 @@ QUERIES = {
         substrings.op8_substring_dedup,
         decontamination.op9_benchmark_decontamination,
         licenses.op10_license_scan,
+        fim.op13_fill_in_middle,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_url_filters": urls.OP2_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op4_quality_rules": rules.OP4_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }
