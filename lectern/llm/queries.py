@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, fim, licenses, lines, packing, pu_quality, rules, simhash, substrings, toxicity, urls
+from lectern.llm import decontamination, fim, licenses, lines, manifest, packing, pu_quality, rules, simhash, substrings, toxicity, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         substrings.op8_substring_dedup,
         decontamination.op9_benchmark_decontamination,
         licenses.op10_license_scan,
+        manifest.op11_merkle_manifest,
         fim.op13_fill_in_middle,
     )
 }
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {
     "op2_url_filters": urls.OP2_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op4_quality_rules": rules.OP4_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }
