@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, fim, licenses, lines, manifest, packing, pu_quality, rules, simhash, substrings, toxicity, urls
+from lectern.llm import caps, decontamination, fim, licenses, lines, manifest, packing, pu_quality, rules, simhash, substrings, toxicity, urls
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         decontamination.op9_benchmark_decontamination,
         licenses.op10_license_scan,
         manifest.op11_merkle_manifest,
+        caps.op12_embedding_near_dedup,
         fim.op13_fill_in_middle,
     )
 }
@@ -26,6 +27,7 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.OP3_SQL,
     "op4_quality_rules": rules.OP4_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_embedding_near_dedup": caps.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }
