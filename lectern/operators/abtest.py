@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.sinks import placed
+
 REPEAT_SEED = 7919
 CSV_DIGITS = {"wer": 6, "cer": 6, "score": 6, "similarity": 6, "duration": 3, "seconds": 3}
 
@@ -38,5 +40,23 @@ def spread_time(runs: DataFrame) -> DataFrame:
 
 def csv_columns(rows: DataFrame) -> DataFrame:
     """Measurements as the strings of the CSV file; null is empty."""
-    text = lambda c: F.format_string(f"%.{CSV_DIGITS[c]}f", F.bround(c, CSV_DIGITS[c])) if c in CSV_DIGITS else F.col(c).cast("string")
-    return rows.select(*[F.when(F.col(c).isNull(), "").otherwise(text(c)).alias(c) for c in rows.columns])
+    return rows.select(*[_field(c).alias(c) for c in rows.columns])
+
+
+def _field(c: str) -> Column:
+    text = F.format_string(f"%.{CSV_DIGITS[c]}f", F.bround(c, CSV_DIGITS[c])) if c in CSV_DIGITS else F.col(c).cast("string")
+    return F.when(F.col(c).isNull(), "").otherwise(text)
+
+
+def csv_blocks(rows: DataFrame, name: Column, order: str, drop: list[str] | None = None) -> DataFrame:
+    """(name, at, content): measurements as the lines of CSV files, a header first, for ``sinks.write_files``.
+
+    Lines stand by ``order`` (whole numbers from 0, no two alike in a file), which like ``drop`` is no column of the file.  Fields with commas, quotes or
+    line ends are quoted; lines end with CR LF.
+    """
+    columns = [c for c in rows.columns if c not in (order, *(drop or []))]
+    text = rows.select(name.alias("_name"), F.col(order).cast("long").alias("_at"), *[_field(c).alias(c) for c in columns])
+    quoted = lambda c: F.when(F.col(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+    lines = text.select(F.col("_name").alias("name"), F.col("_at").alias("i"), F.concat(F.concat_ws(",", *map(quoted, columns)), F.lit("\r\n")).alias("line"))
+    heads = lines.select("name").distinct().select("name", F.lit(-1).cast("long").alias("i"), F.lit(",".join(columns) + "\r\n").alias("line"))
+    return placed(lines.unionByName(heads), "i", F.col("line"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +77,3 @@ def track(history: DataFrame, window: int = ETA_WINDOW) -> DataFrame:
 def detail_json(summary: DataFrame) -> DataFrame:
     """(job_id, detail): the rows of ``summarize`` as JSON, keys in this order."""
     return summary.select("job_id", F.to_json(F.struct("job_id", "done", "total", "audio_duration", "resume_index", "complete")).alias("detail"))
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes ``df`` as the Parquet table at ``path`` in place of what is there, from which ``df`` may have been read.
-
-    Readers find the old table or the new one: the new one is written beside it and takes its name when it is complete.
-    """
-    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    here, there, gone = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
-    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(here):
-        files.rename(here, gone)
-    if not files.rename(there, here):
-        raise OSError(f"{new} could not be renamed to {path}")
-    files.delete(gone, True)

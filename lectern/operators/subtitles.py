@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.sources.sinks import placed
 
 # Longest sentence of a cue, longest and shortest cue, and the text a cue must have to be split.
 MAX_CHARS, MAX_SECONDS, MIN_SECONDS, SPLIT_CHARS = 90, 7.0, 0.6, 40
@@ -84,6 +85,27 @@ def stamp(seconds: Column, separator: str = ",") -> Column:
     return F.format_string(f"%02d:%02d:%02d{separator}%03d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, ms)
 
 
+def _times(separator: str) -> Column:
+    return F.concat(stamp(F.col("start"), separator), F.lit(" --> "), stamp(F.col("end"), separator))
+
+
+def _srt_block() -> Column:
+    return F.concat_ws("\n", F.col("cue_index").cast("string"), _times(","), F.col("text"))
+
+
+def _vtt_block() -> Column:
+    return F.concat_ws("\n", _times("."), F.col("text"))
+
+
+def subtitle_blocks(cues: DataFrame, name: Column, vtt: bool = False) -> DataFrame:
+    """(name, at, content): the cues (job_id, cue_index from 1, start, end, text) of each job as blocks of its file, for ``sinks.write_files``.
+
+    ``name`` is the file's name, the same for all cues of a job.  Joined by ``at`` they are the documents of ``to_srt`` or ``to_vtt``.
+    """
+    first = F.when(F.col("cue_index") == 1, "WEBVTT\n\n" if vtt else "").otherwise("\n")
+    return placed(cues.withColumn("name", name), "cue_index", F.concat(first, _vtt_block() if vtt else _srt_block(), F.lit("\n")))
+
+
 def _document(cues: DataFrame, block: Column, head: str, tail: str) -> DataFrame:
     blocks = F.array_sort(F.collect_list(F.struct("cue_index", block.alias("b"))))
     return cues.groupBy("job_id").agg(F.concat(F.lit(head), F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n"), F.lit(tail)).alias("document"))
@@ -91,11 +113,9 @@ def _document(cues: DataFrame, block: Column, head: str, tail: str) -> DataFrame
 
 def to_srt(cues: DataFrame) -> DataFrame:
     """(job_id, document): SubRip."""
-    block = F.concat_ws("\n", F.col("cue_index").cast("string"), F.concat(stamp(F.col("start")), F.lit(" --> "), stamp(F.col("end"))), F.col("text"))
-    return _document(cues, block, "", "\n")
+    return _document(cues, _srt_block(), "", "\n")
 
 
 def to_vtt(cues: DataFrame) -> DataFrame:
     """(job_id, document): WebVTT."""
-    block = F.concat_ws("\n", F.concat(stamp(F.col("start"), "."), F.lit(" --> "), stamp(F.col("end"), ".")), F.col("text"))
-    return _document(cues, block, "WEBVTT\n\n", "\n")
+    return _document(cues, _vtt_block(), "WEBVTT\n\n", "\n")

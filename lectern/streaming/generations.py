@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stands for a null session, as state has no null keys.
+_NONE = -(2**63)
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -74,7 +76,8 @@ class Wanted(StatefulProcessor):
             else:
                 self.handle.registerTimer(last + self.keep_ms)
                 self.ended.update((generation, last, last + self.keep_ms))
-        yield pd.DataFrame({"session": [key[0]] * len(out), "id": out})
+        session = None if key[0] == _NONE else key[0]
+        yield pd.DataFrame({"session": pd.array([session] * len(out), "Int64"), "id": out})
 
     def close(self) -> None:
         pass
@@ -86,11 +89,11 @@ def still_wanted(events: DataFrame, late: str = "10 seconds", keep_seconds: int
     ``events`` has session, ts, type (start, stop, chunk; others only move the watermark), generation and id, all long but ts and type.  A stop ends its
     generation and all before it, a start all before its own.  Rows that come more
     than ``late`` behind the newest are dropped by the watermark; a chunk comes out once the watermark has passed its time.  A session that is quiet for
-    ``keep_seconds`` of event time is forgotten: state holds one number a session that is alive, and what came within ``late``.
+    ``keep_seconds`` of event time is forgotten; null is a session like others.  State holds one number a session that is alive, and what came within ``late``.
     """
     time = F.col("ts").cast("timestamp")
     ends = F.when(F.col("type") == "stop", F.col("generation")).when(F.col("type") == "start", F.col("generation") - 1)
     rows = events.withColumn("ts", time).withWatermark("ts", late)
     # a timer fires for whole milliseconds that have passed
-    rows = rows.select("session", "ts", F.unix_micros("ts").alias("time"), (F.unix_millis("ts") + 1).alias("at"), ends.alias("ends"), "generation", F.when(F.col("type") == "chunk", F.col("id")).alias("id"))
+    rows = rows.select(F.coalesce("session", F.lit(_NONE)).alias("session"), "ts", F.unix_micros("ts").alias("time"), (F.unix_millis("ts") + 1).alias("at"), ends.alias("ends"), "generation", F.when(F.col("type") == "chunk", F.col("id")).alias("id"))
     return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=Wanted(keep_seconds * 1000), outputStructType="session long, id long", outputMode="Append", timeMode="EventTime")

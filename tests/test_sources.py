@@ -147,10 +147,3 @@ def test_placed_chunks_across_blocks(spark):
     rows = spark.createDataFrame([(j, i, [0.0] * (i % 3)) for j in (1, 2) for i in range(50)], "job_id int, index int, samples array<double>")
     got = {(r.job_id, r["index"]): r.offset for r in audio.placed_chunks(rows, block=7).collect()}
     assert got == {(j, i): sum(k % 3 for k in range(i)) for j in (1, 2) for i in range(50)}
-
-
-def test_a_table_is_replaced_by_one_read_from_it(spark, tmp_path):
-    path = str(tmp_path / "jobs")
-    jobs.replace_table(spark.range(3), path)
-    jobs.replace_table(spark.read.parquet(path).where("id > 0"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["jobs"]
