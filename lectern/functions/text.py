@@ -59,3 +59,24 @@ def spell_numbers(text: Column) -> Column:
         return F.when(x.rlike(r"\A[0-9]{1,15}\z") & (n <= 999), spell_below_thousand(n.cast("int"))).otherwise(x)
 
     return F.array_join(F.transform(pieces, spelt), "")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many digits after the point, rounded as its exact binary value demands, ties to even.
+
+    The product with a power of ten is a tie or not as the exact one is, unless it is a tie by rounding: then the error of the product, worked out
+    from halves of both factors, tells the side.
+    """
+    y = float(10**digits)
+
+    def halves(v):
+        big = v * 134217729.0
+        high = big - (big - v)
+        return high, v - high
+
+    p = x * y
+    (a, b), (c, d) = halves(x), halves(F.lit(y))
+    error = ((a * c - p) + a * d + b * c) + b * d
+    low = F.floor(p).cast("double")
+    whole = F.when((p - low == 0.5) & (error > 0), low + 1).when((p - low == 0.5) & (error < 0), low).otherwise(F.rint(p))
+    return F.format_string(f"%.{digits}f", whole / y)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import fixed
 from lectern.sources.sinks import placed
 
 REPEAT_SEED = 7919
@@ -44,7 +45,7 @@ def csv_columns(rows: DataFrame) -> DataFrame:
 
 
 def _field(c: str) -> Column:
-    text = F.format_string(f"%.{CSV_DIGITS[c]}f", F.bround(c, CSV_DIGITS[c])) if c in CSV_DIGITS else F.col(c).cast("string")
+    text = fixed(F.col(c).cast("double"), CSV_DIGITS[c]) if c in CSV_DIGITS else F.col(c).cast("string")
     return F.when(F.col(c).isNull(), "").otherwise(text)
 
 

@@ -111,7 +111,8 @@ def write_files(blocks: DataFrame, folder: str, replace: bool = False) -> None:
     """
     blocks.sparkSession.dataSource.register(Files)
     at = F.col("at") if "at" in blocks.columns else F.lit(0)
-    rows = blocks.select("name", at.cast("long").alias("at"), "content").repartition("name").sortWithinPartitions("name", "at")
+    rows = blocks.select("name", at.cast("long").alias("at"), "content").repartition("name")
+    rows = rows.sortWithinPartitions("name", "at", F.octet_length("content"))  # of blocks at one place all but the last are empty
     rows.write.format(Files.name()).mode("overwrite" if replace else "append").option("path", folder).save()
 
 

@@ -8,6 +8,7 @@ import wave
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import fixed
 from lectern.operators import abtest, audio, commits, subtitles
 from lectern.sources import sinks
 
@@ -111,6 +112,13 @@ def test_csv_files_as_the_csv_module_writes_them(spark, tmp_path):
         assert (tmp_path / "out" / run).read_bytes() == out.getvalue().encode()
 
 
+def test_digits_as_the_exact_value_has_them(spark):
+    values = [0.0005, 0.0015, 1.0005, 2.5, -0.0005, -0.0001, 0.125, 0.375, 1e-9, 123456.7895, 0.0] + [k / 16 for k in range(40)] + [(2 * k + 1) / 2000 for k in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3, 6):
+        assert [r[0] for r in df.select(fixed(F.col("v"), digits)).collect()] == [f"{v:.{digits}f}" for v in values]
+
+
 # --- commits ------------------------------------------------------------------------------------
 class Stop(Exception):
     pass
@@ -174,7 +182,9 @@ def test_merges_touch_their_buckets_and_batches_count_once(spark, tmp_path, monk
     assert table.read(2).where("job = 4 and i = 1").first().status == "done"
     with pytest.raises(ValueError):
         table.merge(make([(1, 1, "x")]), ["job"])
-    assert table.vacuum(keep=1) > 0 and table.versions() == [3] and table.read().count() == 64
+    assert table.vacuum(keep=1) == 0 and table.versions() == [3] and table.read().count() == 64  # each folder still has buckets in use
+    table.merge(table.read(), ["job", "i"])
+    assert table.vacuum(keep=1) == 3 and table.versions() == [4] and table.read().count() == 64
     with pytest.raises(ValueError):
         table.read(1)
 
