@@ -497,7 +497,7 @@ _BOOK_TEXT = r"'Part ' || doc_id % 7 || chr(10) || chr(10) || regexp_replace(reg
 @query(f"SELECT doc_id, {_BOOK_TEXT} AS text FROM documents")
 def s04_epub(spark, sf_dir):
     """Documents as books of two pages, read back in the order of their contents."""
-    return _books(spark, sf_dir).select("doc_id", extract.epub_text("content").alias("text"))
+    return extract.with_book_texts(_books(spark, sf_dir).select("doc_id", "content")).select("doc_id", "text")
 
 
 @query("""SELECT o_custkey AS file, o_orderkey AS ord, 'OEBPS/p' || (o_orderkey % 7) || '.xhtml' AS name FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 7 <> 2""")

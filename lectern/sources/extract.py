@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import strip
+from lectern.streaming.events import written
 
 MAX_UPLOAD = 25 * 1024 * 1024
 # Tags that end a line, and tags whose text is dropped.
@@ -81,60 +84,98 @@ def spine_order(spine: DataFrame, manifest: DataFrame, names: DataFrame) -> Data
     return paths.join(names, ["file", "name"], "left_semi").select("file", "ord", "name")
 
 
-def _epub_text(content: bytes) -> str:
-    """The pages of a book in reading order, or in the archive's if it has none, joined by blank lines; empty if it is no archive."""
+#: Members of archives with these endings are never read as pages.
+BINARY = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".ttf", ".otf", ".woff", ".woff2", ".mp3", ".mp4", ".m4a", ".css", ".js")
+MEMBERS = "file string, kind string, ord int, id string, href string, content binary"
+
+
+def _members(content: bytes) -> Iterator[tuple[str, int, str | None, str | None, bytes | None]]:
+    """(kind, ord, id, href, content) of what an archive holds: its members, and the items, references and base of its package; nothing if it is no archive."""
     import io
-    import posixpath
-    import re
     import xml.etree.ElementTree as tree
     import zipfile
 
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
-        return ""
+        return
     names = z.namelist()
+    for i, name in enumerate(names):
+        try:
+            page = b"" if name.lower().endswith((*BINARY, "/")) else z.read(name)
+        except Exception:  # noqa: BLE001  members that can't be read are passed over
+            page = None
+        yield "member", i, None, name, page
+    local = lambda e: e.tag.rpartition("}")[2]
+    try:
+        opf = next(e.get("full-path") for e in tree.fromstring(z.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
+        package = list(tree.fromstring(z.read(opf)).iter()) if opf in names else []
+    except Exception:  # noqa: BLE001  no table of contents that can be read
+        return
+    yield "base", 0, None, opf.rpartition("/")[0] + "/" if "/" in opf else "", None
+    for i, e in enumerate(package):
+        if local(e) in ("item", "itemref"):
+            yield local(e), i, e.get("id" if local(e) == "item" else "idref"), e.get("href"), None
 
-    def named(root, tag: str) -> list:
-        return [e for e in root.iter() if e.tag.rpartition("}")[2] == tag]
 
-    def spine() -> list[str]:
-        opf = named(tree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
-        book, base = tree.fromstring(z.read(opf)), posixpath.dirname(opf)
-        pages = {e.get("id"): e.get("href") for e in named(book, "item")}
-        paths = [f"{base}/{pages[e.get('idref')]}".replace("//", "/").lstrip("/") for e in named(book, "itemref") if e.get("idref") in pages]
-        return [p for p in paths if p in set(names)]
+def members(books: DataFrame) -> DataFrame:
+    """(file, kind, ord, id, href, content): archives (file, content) as a relation.
 
-    def text(name: str) -> str:
-        try:
-            return plain_text(z.read(name).decode("utf-8", "replace"))
-        except Exception:  # noqa: BLE001  unreadable pages are passed over
-            return ""
+    kind member: href is its name and content its bytes (none for kinds of files that hold no text); item and itemref: id and href of the package; base: href is
+    the folder of the package.  A page at a time is unpacked.
+    """
 
-    try:
-        order = spine()
-    except Exception:  # noqa: BLE001  no readable table of contents
-        order = []
-    texts = [text(n) for n in order or [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]]
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "\n\n".join(t for t in texts if t.strip()))).strip()
+    def work(batches):
+        for pdf in batches:
+            for file, content in zip(pdf["file"], pdf["content"], strict=True):
+                out, size = [], 0
+                for row in _members(bytes(content) if content is not None else b""):
+                    out.append((file, *row))
+                    size += len(row[4] or b"")
+                    if size > 8_000_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+                yield pd.DataFrame(out, columns=columns)
 
+    columns = ["file", "kind", "ord", "id", "href", "content"]
+    return books.select("file", "content").mapInPandas(work, MEMBERS)
 
-@F.pandas_udf(T.StringType())
-def epub_text(s):
-    """Text of EPUB files."""
-    return s.map(lambda b: None if b is None else _epub_text(bytes(b)))
+
+def with_book_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (content and more) with text: that of the EPUB file in content, in reading order, pages that are not blank joined by blank lines.
+
+    Reading order is the spine's, as far as the archive holds it, else that of the archive's pages.  Content that is no archive has an empty text, null has none.
+    Equal contents are read once; the pages of a book are told apart, ordered and joined by joins and one grouping.
+    """
+    key, text = "_book", "text"
+    keyed = rows.withColumn(key, F.sha2("content", 256))
+    books = keyed.where(F.col("content").isNotNull()).select(F.col(key).alias("file"), "content").dropDuplicates(["file"])
+    held = written(members(books), "members")
+    kind = lambda k: held.where(F.col("kind") == k)
+    # of members or items with one name the last counts, as when they are looked up
+    last = lambda df, *by: df.groupBy("file", *by).agg(F.max_by(F.struct("href", "content"), "ord").alias("x")).select("file", *by, "x.*")
+    pages = kind("member").groupBy("file", "href").agg(F.max_by("content", "ord").alias("content"), F.collect_list("ord").alias("ords")).withColumnRenamed("href", "name")
+    items = last(kind("item").where("id <> '' and href <> ''"), "id").join(kind("base").select("file", F.col("href").alias("base")), "file")
+    spine = spine_order(kind("itemref").select("file", "ord", F.col("id").alias("idref")), items.select("file", F.col("id").alias("item_id"), "href", "base"), pages.select("file", "name"))
+    loose = pages.where(F.lower("name").rlike(r"\.(xhtml|html|htm)$")).select("file", F.explode("ords").alias("ord"), "name").join(spine.select("file"), "file", "left_anti")
+    read = pages.where(F.col("content").isNotNull()).select("file", "name", strip(html_text(decode(F.col("content")))).alias("page"))
+    ordered = spine.unionByName(loose).join(read, ["file", "name"]).where("page <> ''")
+    joined = ordered.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page"))), lambda p: p["page"]), "\n\n").alias("joined"))
+    tidy = strip(F.regexp_replace(F.regexp_replace("joined", r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    texts = joined.select(F.col("file").alias(key), tidy.alias(text))
+    return keyed.join(texts, key, "left").withColumn(text, F.when(F.col("content").isNotNull(), F.coalesce(text, F.lit("")))).drop(key)
 
 
 def epub_texts(content: DataFrame) -> DataFrame:
     """(path, text) of EPUB files (path, content)."""
-    return content.select("path", epub_text("content").alias("text"))
+    return with_book_texts(content.select("path", "content")).select("path", "text")
 
 
 def upload_texts(uploads: DataFrame) -> DataFrame:
     """Uploads (name, content and more) of a known kind and a size within bounds, with their text, which is not blank: .epub as a book, .txt decoded."""
     fit = uploads.where(F.lower("name").rlike(r"\.(txt|epub)$") & F.length("content").between(1, MAX_UPLOAD))
     book = F.lower("name").endswith(".epub")
-    both = fit.where(book).withColumn("text", epub_text("content")).unionByName(fit.where(~book).withColumn("text", strip(decode(F.col("content")))))
+    both = with_book_texts(fit.where(book)).unionByName(fit.where(~book).withColumn("text", strip(decode(F.col("content")))))
     return both.where(strip(F.col("text")) != "")
 
 

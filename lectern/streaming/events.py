@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,13 @@ def shared_folder(spark, name: str) -> str:
     return f"{where}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of Parquet files in the shared folder, for what is read several times."""
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """All that a stream has now, through Parquet files in ``folder``."""
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -35,6 +35,40 @@ def test_texts(spark, tmp_path):
     assert html.split() == ["a", "b", "c"] and "x" not in html
 
 
+def archive(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members:
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def test_books_of_all_kinds(spark):
+    """Each book with a text worked out by hand: orders, bases, repeated and missing names, code pages, broken tables and archives."""
+    box = ("META-INF/container.xml", "<container xmlns='urn:x'><rootfiles><rootfile full-path='{}'/></rootfiles></container>")
+    package = lambda items, refs: "<package xmlns='http://o'><manifest>" + "".join(f"<item id='{i}' href='{h}'/>" for i, h in items) + "</manifest><spine>" + "".join(f"<itemref idref='{r}'/>" for r in refs) + "</spine></package>"
+    with_box = lambda opf, *rest: archive([(box[0], box[1].format(opf)), *rest])
+    page = lambda t: f"<html><body><p>{t}</p></body></html>"
+    books = {
+        "at the root": (with_box("c.opf", ("c.opf", package([("a", "1.xhtml"), ("b", "2.xml")], "ba")), ("1.xhtml", page("one")), ("2.xml", page("two"))), "two\n\none"),
+        "in folders": (with_box("x/y/c.opf", ("x/y/c.opf", package([("a", "/t//1.html")], "aa")), ("x/y/t/1.html", page("twice"))), "twice\n\ntwice"),
+        "last item of an id": (with_box("c.opf", ("c.opf", package([("a", "1.xhtml"), ("a", "2.xhtml")], "a")), ("1.xhtml", page("no")), ("2.xhtml", page("yes"))), "yes"),
+        "nothing of the spine": (with_box("c.opf", ("c.opf", package([("a", "gone.xhtml")], "a")), ("b.HTM", page("b")), ("a.xhtml", page("a")), ("n.txt", "no page")), "b\n\na"),
+        "no container": (archive([("z.html", page("z")), ("a.html", page(" ")), ("b.html", page("b  &amp;\tb"))]), "z\n\nb & b"),
+        "broken package": (with_box("c.opf", ("c.opf", "<package>"), ("1.html", page("one"))), "one"),
+        "package that is not there": (with_box("d.opf", ("1.html", page("one"))), "one"),
+        "windows page": (archive([("1.html", page("caf\xe9 \u20ac").encode("cp1252"))]), "caf\xe9 \u20ac"),
+        "long page": (archive([(f"{i}.html", page("long words " * 60_000)) for i in range(3)]), "\n\n".join(["long words " * 59_999 + "long words"] * 3)),
+        "no archive": (b"PK?", ""),
+        "no bytes": (b"", ""),
+        "nothing": (None, None),
+    }
+    df = spark.createDataFrame([(n, bytearray(c) if c is not None else None) for n, (c, _) in books.items()] * 2, "name string, content binary").repartition(3)
+    got = extract.with_book_texts(df).select("name", "text").collect()
+    assert sorted((r.name, str(r.text)) for r in got) == sorted((n, str(t)) for n, (_, t) in books.items() for _ in range(2))
+    assert not extract.with_book_texts(df.limit(0)).collect()
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"id": "j1", "chunks": [{"index": 0, "text": "x", "status": "done", "duration": 1.5}]}))
     (tmp_path / "b.json").write_text("{broken")
