@@ -8,7 +8,9 @@ another that lists what it removes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +65,8 @@ COMPOUND_HEADS = "low high upper lower middle long short well cross multi single
 COMPOUND_HYPHEN = "income incomes term terms run based cutting wage wages skilled earners bracket brackets".split()
 COMPOUND_SPACE = "and or to".split()
 COMPOUND_WORDS = "crosscutting overrun overruns underrun underruns longrun subterm interterm".split()
-#: Stands where two lines were joined, until the report is written.
-SEAM = "\u0004"
+#: Characters on either side of a joint that the report shows.
+TOLD_CHARS = 40
 SHORT_WORDS = ("i", "a", "no", "ok", "so")
 
 
@@ -268,44 +270,102 @@ def tidy(text: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n"))
 
 
-def _ends_open(end: str) -> bool:
-    return not end.rstrip("\"')]}").endswith((".", "!", "?", "…")) and not end.endswith(":")
-
+_CLOSING = "\"')]}"
 
-def _with_seams(text: str) -> str:
-    """Lines rejoined in one pass; only the last line's end and two lengths are carried along.
 
-    A line goes on with what is before it if that ends in a hyphen, or if it is 25 characters or more, ends openly, and the line
-    starts in lower case.  What is before it is its paragraph so far, or for a paragraph's first line the last line made of the one before.
+def _ends_open(end: str) -> bool:
+    return not end.rstrip(_CLOSING).endswith((".", "!", "?", "…")) and not end.endswith(":")
+
+
+class _Growing:
+    """A line or paragraph that is put together: its parts, its length and its last ``TOLD_CHARS`` characters."""
+
+    def __init__(self, text: str) -> None:
+        self.parts, self.size, self.tail = [text], len(text), text[-TOLD_CHARS:]
+
+    def add(self, text: str) -> None:
+        self.parts.append(text)
+        self.size += len(text)
+        self.tail = (self.tail + text)[-TOLD_CHARS:]
+
+    def goes_on_with(self, x: str) -> bool:
+        """Whether ``x`` continues it: after a hyphen always, else if it is 25 characters or more and ends openly, and ``x`` starts in lower case."""
+        if self.tail.endswith("-"):
+            return True
+        low = x[:1].islower() or (x[:1] in ("\"", "'", "(") and x[1:2].islower())
+        return low and self.size >= 25 and _ends_open(self.tail if self.tail.strip(_CLOSING) else "".join(self.parts))
+
+    def join(self, x: str) -> None:
+        """Adds ``x``; a hyphen before a small letter goes, other lines are a space apart."""
+        if not self.tail.endswith("-"):
+            x = " " + x
+        elif x[:1].islower():
+            # what stands before the hyphen may lie in an earlier part, so the tail is that of the last parts
+            self.parts[-1] = self.parts[-1][:-1]
+            self.size -= 1
+            self.tail = self._end()
+        self.add(x)
+
+    def _end(self) -> str:
+        out = ""
+        for part in reversed(self.parts):
+            out = part[-TOLD_CHARS:] + out
+            if len(out) >= TOLD_CHARS:
+                break
+        return out[-TOLD_CHARS:]
+
+
+def _reflowed(text: str) -> tuple[str, list[str]]:
+    """The text with its lines rejoined, and forty characters from both sides of each joint: first those within paragraphs, then those between them.
+
+    A line is held against all of its paragraph so far.  Paragraphs are then held against the last line before them.
     """
-    out, end, gap, paragraph, line = [], "", False, 0, 0
-    for x in map(str.strip, text.split("\n")):
-        if not x:
-            gap = True
+    told, between, out = [], [], []  # out: finished lines, "" between paragraphs
+    open_: _Growing | None = None  # the last line, which may go on
+    lines = [x.strip() for x in text.split("\n")]
+    for blank, block in groupby(lines, key=lambda x: not x):
+        if blank:
             continue
-        hyphen = end.endswith("-")
-        low = x[:1].islower() or (x[0] in "\"'(" and x[1:2].islower())
-        more = bool(out) and (hyphen or ((line if gap else paragraph) >= 25 and low and _ends_open(end)))
-        if more and hyphen and x[0].islower():
-            out[-1] = out[-1][:-1]
-            grown = len(x) - 1
+        first, *rest = block
+        whole, rows = _Growing(first), [_Growing(first)]
+        for x in rest:
+            if whole.goes_on_with(x):
+                told.append(f"…{whole.tail} + {x[:TOLD_CHARS]}…")
+                whole.join(x)
+                rows[-1].join(x)
+            else:
+                whole.add("\n" + x)
+                rows.append(_Growing(x))
+        made = ["".join(r.parts) for r in rows]
+        if open_ is not None and open_.goes_on_with(made[0]):
+            between.append(f"…{open_.tail} + {made[0][:TOLD_CHARS]}…")
+            open_.join(made[0])
+            made = made[1:]
         else:
-            grown = len(x) + (not hyphen if more else 1)
-        paragraph = len(x) if gap or not out else paragraph + grown
-        out.append((("" if hyphen else " ") + SEAM if more else "" if not out else "\n\n" if gap else "\n") + x)
-        line = line + grown if more else len(x)
-        end, gap = x, False
-    return "".join(out)
+            if open_ is not None:
+                out += ["".join(open_.parts), ""]
+            open_, made = _Growing(made[0]), made[1:]
+        for x in made:
+            out.append("".join(open_.parts))
+            open_ = _Growing(x)
+    if open_ is not None:
+        out.append("".join(open_.parts))
+    return "\n".join(out), told + between
 
 
-@F.pandas_udf(T.StringType())
-def seamed(s):
-    """Wrapped lines rejoined in paragraphs, then sentences cut by a page break between paragraphs; a seam marks each joint."""
-    return s.map(lambda t: None if t is None else _with_seams(t))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("told", T.ArrayType(T.StringType()))]))
+def _rejoined(s: pd.Series) -> pd.DataFrame:
+    made = [(None, None) if t is None else _reflowed(t) for t in s]
+    return pd.DataFrame(made, columns=["text", "told"], index=s.index)
+
+
+def rejoined(text: Column) -> Column:
+    """struct<text,told>: wrapped lines rejoined in paragraphs, then sentences cut by a page break between paragraphs, and what was joined to what."""
+    return _rejoined(text)
 
 
 def reflow(text: Column) -> Column:
-    return F.translate(seamed(F.translate(text, SEAM, "")), SEAM, "")
+    return rejoined(text)["text"]
 
 
 TEXT_RULES = {f.__name__: f for f in (footnote_markers, citations, urls, symbols, broken_compounds, dot_letters)}
@@ -326,13 +386,6 @@ def _unicode_told(before: Column, after: Column) -> Column:
     return F.when(F.size(digits) > 0, digits).when(before != after, F.array(F.lit("folded quotes, dashes and spacing"))).otherwise(_none())
 
 
-def _reflow_told(marked: Column) -> Column:
-    """Forty characters on both sides of each seam, as joined."""
-    parts = F.split(marked, SEAM, -1)
-    ends = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(F.lit("…"), F.substring(F.substring_index(a, "\n", -1), -40, 40), F.lit("+ "), F.substring(F.substring_index(b, "\n", 1), 1, 40), F.lit("…")))
-    return F.when(F.size(parts) > 1, ends).otherwise(_none())
-
-
 def _symbols_told(text: Column) -> Column:
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(f"{a} -> {b.strip() or '(removed)'}").alias("t")) for a, b in SYMBOLS])
     named = F.array(*[F.lit(n.strip()) for n in _greek()])
@@ -444,8 +497,8 @@ def clean(docs: DataFrame, how: Cleaning | dict[str, Column] = Cleaning(), id_co
         lines = acted.select("doc_id", "mask", "kept", "line_no", F.when(here & F.col("keep"), F.col("out")).otherwise(F.col("was")).alias("line"), (F.col("gone") | (here & ~F.col("keep"))).alias("gone"), F.when(here & (F.size("samples") > 0), _tell(name, F.col("samples"))).otherwise(F.col("told")).alias("told"))
     gathered = lines.groupBy("doc_id").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list(F.struct("line_no", "gone", "line", "told"))).alias("ls"))
     work = gathered.select("kept.*", F.array_join(F.transform(F.filter("ls", lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("text"), F.concat("kept.first", F.flatten(F.transform("ls", lambda x: x["told"]))).alias("told"))
-    marked = work.withColumn("marked", F.when(_on("reflow"), seamed(F.translate("text", SEAM, ""))).otherwise(F.translate("text", SEAM, "")))
-    work = marked.withColumns({"text": F.translate("marked", SEAM, ""), "told": _tell("reflow", _reflow_told(F.col("marked")))}).drop("marked")
+    joined = work.withColumn("joined", F.when(_on("reflow"), rejoined(F.col("text"))))
+    work = joined.withColumns({"text": F.when(_on("reflow"), F.col("joined.text")).otherwise(F.col("text")), "told": F.when(_on("reflow"), _tell("reflow", F.col("joined.told"))).otherwise(F.col("told"))}).drop("joined")
     # one projection a rule: a rule may use its input more than once
     for name, rule in TEXT_RULES.items():
         work = work.withColumns({"text": F.when(_on(name), rule(F.col("text"))).otherwise(F.col("text")), "told": F.when(_on(name), _tell(name, TOLD[name](F.col("text")))).otherwise(F.col("told"))})

@@ -181,21 +181,24 @@ def _tidy_sql(t: str) -> str:
 
 
 def _goes_on(p: str, x: str) -> str:
-    return f"({p} LIKE '%-' OR (NOT {_prose(p)} AND NOT {p} LIKE '%:' AND length(translate({p}, chr(4), '')) >= 25 AND regexp_matches({x}, '^[\"''(]?\\p{{Ll}}')))"
+    return f"({p} LIKE '%-' OR (NOT {_prose(p)} AND NOT {p} LIKE '%:' AND length({p}) >= 25 AND regexp_matches({x}, '^[\"''(]?\\p{{Ll}}')))"
 
 
 def _join_sql(p: str, x: str) -> str:
-    return f"CASE WHEN {p} LIKE '%-' THEN CASE WHEN regexp_matches({x}, '^\\p{{Ll}}') THEN left({p}, length({p}) - 1) ELSE {p} END ELSE {p} || ' ' END || chr(4) || {x}"
+    return f"CASE WHEN {p} LIKE '%-' THEN CASE WHEN regexp_matches({x}, '^\\p{{Ll}}') THEN left({p}, length({p}) - 1) ELSE {p} END ELSE {p} || ' ' END || {x}"
 
 
 def _seamed_sql(t: str) -> str:
-    """Text with wrapped lines rejoined, a chr(4) at each seam."""
-    block = f"list_reduce(ls, lambda a, x: CASE WHEN {_goes_on('a', 'x')} THEN {_join_sql('a', 'x')} ELSE a || chr(10) || x END)"
+    """A struct of the text with wrapped lines rejoined (t) and what was joined to what (n): within paragraphs first, then between them."""
+    note = lambda p, x: f"['…' || right({p}, 40) || ' + ' || left({x}, 40) || '…']"
+    first = "list_transform(ls, lambda x: {'t': x, 'n': CAST([] AS VARCHAR[])})"
+    block = f"list_reduce({first}, lambda a, x: CASE WHEN {_goes_on('a.t', 'x.t')} THEN {{'t': {_join_sql('a.t', 'x.t')}, 'n': a.n || {note('a.t', 'x.t')}}} ELSE {{'t': a.t || chr(10) || x.t, 'n': a.n}} END)"
     split = f"list_transform(string_split_regex({t}, '\\n\\s*\\n+'), lambda b: list_filter(list_transform(string_split(b, chr(10)), lambda x: {_STRIPPED.format('x')}), lambda x: x <> ''))"
     blocks = f"list_transform(list_filter({split}, lambda ls: len(ls) > 0), lambda ls: {block})"
-    tail, head = r"regexp_extract(a, '[^\n]*$')", r"regexp_extract(b, '^[^\n]*')"
-    outer = f"list_reduce(bs, lambda a, b: CASE WHEN {_goes_on(tail, head)} THEN left(a, length(a) - length({tail})) || {_join_sql(tail, head)} || substr(b, length({head}) + 1) ELSE a || chr(10) || chr(10) || b END)"
-    return f"(SELECT CASE WHEN len(bs) = 0 THEN '' ELSE {outer} END FROM (SELECT {blocks} AS bs))"
+    tail, head = r"regexp_extract(a.t, '[^\n]*$')", r"regexp_extract(b.t, '^[^\n]*')"
+    start = "list_transform(bs, lambda b: {'t': b.t, 'n': b.n, 'o': CAST([] AS VARCHAR[])})"
+    outer = f"list_reduce({start}, lambda a, b: CASE WHEN {_goes_on(tail, head)} THEN {{'t': left(a.t, length(a.t) - length({tail})) || {_join_sql(tail, head)} || substr(b.t, length({head}) + 1), 'n': a.n || b.n, 'o': a.o || {note(tail, head)}}} ELSE {{'t': a.t || chr(10) || chr(10) || b.t, 'n': a.n || b.n, 'o': a.o}} END)"
+    return f"(SELECT CASE WHEN len(bs) = 0 THEN {{'t': '', 'n': CAST([] AS VARCHAR[])}} ELSE {{'t': r.t, 'n': r.n || r.o}} END FROM (SELECT bs, CASE WHEN len(bs) > 0 THEN {outer} END AS r FROM (SELECT {blocks} AS bs)))"
 
 
 def _cleaned_sql() -> list[str]:
@@ -207,7 +210,7 @@ def _cleaned_sql() -> list[str]:
         source = f"k_{rule}"
     made.append(f"j AS (SELECT u.doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no), '') AS t FROM uni u LEFT JOIN {source} k ON k.doc_id = u.doc_id GROUP BY u.doc_id)")
     made.append(f"seam AS (SELECT doc_id, {_seamed_sql('t')} AS m FROM j)")
-    made.append("t_0 AS (SELECT doc_id, translate(m, chr(4), '') AS t FROM seam)")
+    made.append("t_0 AS (SELECT doc_id, m.t AS t FROM seam)")
     for i, rule in enumerate(C.TEXT_RULES, 1):
         made.append(f"t_{i} AS (SELECT doc_id, {_TEXT_SQL[rule][0]('t')} AS t FROM t_{i - 1})")
     spoken = r"regexp_replace(t, '(?i)\bGDP\b', 'G D P', 'g')"
@@ -215,7 +218,7 @@ def _cleaned_sql() -> list[str]:
     folded = f"list_transform(regexp_extract_all(was, {_SUP}), lambda x: 'superscript ''' || x || '''')"
     told = [f"SELECT doc_id, 'unicode' AS rule, 0 AS line_no, CASE WHEN len({folded}) > 0 THEN {folded} WHEN was <> t THEN ['folded quotes, dashes and spacing'] ELSE [] END AS told FROM uni"]
     told += [f"SELECT doc_id, '{rule}', line_no, told FROM x_{rule}" for rule in C.LINE_RULES]
-    told.append(r"SELECT doc_id, 'reflow', 0, list_transform(range(1, len(ps)), lambda i: '…' || right(regexp_extract(ps[i], '[^\n]*$'), 40) || '+ ' || left(regexp_extract(ps[i + 1], '^[^\n]*'), 40) || '…') FROM (SELECT doc_id, string_split(m, chr(4)) AS ps FROM seam)")
+    told.append("SELECT doc_id, 'reflow', 0, m.n FROM seam")
     told += [f"SELECT doc_id, '{rule}', 0, {_TEXT_SQL[rule][1]('t')} FROM t_{i}" for i, rule in enumerate(C.TEXT_RULES)]
     told.append(r"SELECT doc_id, 'substitutions', 0, CASE WHEN regexp_matches(before, '(?i)\bGDP\b') THEN ['GDP -> G D P'] ELSE [] END FROM t_end")
     return [*made, "told AS (" + " UNION ALL ".join(told) + ")"]
@@ -278,7 +281,7 @@ def c09_reflow(spark, sf_dir):
 
 
 QUERIES["c09_reflow"] = c09_reflow
-SQL["c09_reflow"] = f"SELECT doc_id, translate({_seamed_sql('t')}, chr(4), '') AS text FROM (SELECT doc_id, {_WRAPPED} AS t FROM documents)"
+SQL["c09_reflow"] = f"SELECT doc_id, m.t AS text FROM (SELECT doc_id, {_seamed_sql('t')} AS m FROM (SELECT doc_id, {_WRAPPED} AS t FROM documents))"
 
 
 def p01_resolve_rules(spark, sf_dir):

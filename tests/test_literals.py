@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,24 @@ def test_reflow(spark):
     })
 
 
+def test_what_reflow_tells(spark):
+    """Both sides of each joint: a hyphen stays in what is told, a second joint starts forty characters back, paragraphs come before what is between them."""
+    told = lambda t: spark.createDataFrame([(t,)], "t string").select(C.rejoined(F.col("t"))["told"]).first()[0]
+    one = "Delegates from many countries met in the long hall and spoke of inter-\nnational print and of the more\nkind of thing"
+    assert told(one) == ["…met in the long hall and spoke of inter- + national print and of the more…", "…e of international print and of the more + kind of thing…"]
+    assert told("a-\nb-\nC") == ["…a- + b-…", "…ab- + C…"] and told("short\nline") == [] and told("") == []
+    two = "A paragraph that is cut by the end of its page and\n\ngoes on over there without\nan end that is near\nStop here"
+    assert told(two) == ["…goes on over there without + an end that is near…", "…h that is cut by the end of its page and + goes on over there without an end that i…"]
+    assert told("A first line that stands alone\nAnother that is long enough to go on\nwith more") == ["…one\nAnother that is long enough to go on + with more…"]
+
+
+def test_a_long_text_is_reflowed_in_time(spark):
+    text = "words that go on and on without an end-\n" * 100_000
+    began = time.time()
+    assert len(spark.createDataFrame([(text,)], "t string").select(C.reflow(F.col("t"))).first()[0]) > 3_000_000
+    assert time.time() - began < 20
+
+
 def test_clean_keeps_every_row(spark):
     """Null and repeated ids, null texts and columns of other names."""
     rows = [(None, "first [1] text.", 1), (7, "same id [2] one.", 1), (7, "same id [2] two.", 1), (7, "same id [2] two.", 1), (8, None, 1), (9, "", 1)]
