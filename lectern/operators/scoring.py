@@ -51,44 +51,119 @@ def score_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(t, r"(?U)\s+", " "), " "), lambda w: (w != "") & ~w.isin(*FILLERS))
 
 
+#: Cells of a band that are kept for the way back; longer tables are filled with counts instead.
+BAND_CELLS = 20_000_000
+
+
+def _band(a, b, k: int):
+    """Costs of the cells within ``k`` of the main diagonal, one row a word of ``a``: column c of row i is for i - k + c words of ``b``.
+
+    Costs up to ``k`` are exact, as no path that leaves the band has one; others are too high or exact.
+    """
+    import numpy as np
+
+    n, m, wide = len(a), len(b), 2 * k + 1
+    far = np.int32(n + m + 1)
+    rows = np.full((n + 1, wide), far, np.int32)
+    at = np.arange(wide, dtype=np.int32)
+    rows[0, k : k + m + 1] = np.arange(min(m, k) + 1)
+    padded = np.full(m + wide + k + 1, -1, np.int64)  # word j of b stands at j + k
+    padded[k : k + m] = b
+    for i in range(1, n + 1):
+        before, row = rows[i - 1], rows[i]
+        lo, hi = max(0, k - i), min(wide, m - i + k + 1)  # columns that are cells of the table
+        if lo >= hi:
+            continue
+        row[lo:hi] = before[lo:hi] + (padded[i - 1 + lo : i - 1 + hi] != a[i - 1])  # word j - 1 of b, j = i - k + c
+        upto = min(hi, wide - 1)
+        np.minimum(row[lo:upto], before[lo + 1 : upto + 1] + 1, out=row[lo:upto])
+        if i <= k:
+            row[k - i] = i
+        row[lo:hi] = np.minimum.accumulate(row[lo:hi] - at[lo:hi]) + at[lo:hi]
+    return rows
+
+
+def _way_back(a, b, rows, k: int) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) by the costs of a band: equal words align, else a substitution goes before a deletion, a deletion before an insertion."""
+    i, j, s, d = len(a), len(b), 0, 0
+    far = len(a) + len(b) + 1
+    cost = lambda i, j: int(rows[i, j - i + k]) if -k <= j - i <= k else far
+    inserted = 0
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        diag, left, up = cost(i - 1, j - 1), cost(i - 1, j), cost(i, j - 1)
+        best = min(diag, left, up)
+        if diag == best:
+            i, j, s = i - 1, j - 1, s + 1
+        elif left == best:
+            i, d = i - 1, d + 1
+        else:
+            j, inserted = j - 1, inserted + 1
+    return s, d + i, inserted + j
+
+
+def _counted(a, b) -> tuple[int, int, int]:
+    """As ``_way_back`` from the whole table, of which three anti-diagonals are kept, each cell with the counts that led to it."""
+    import numpy as np
+
+    deletion, substitution = 1 << 21, 1 << 42  # a cell's counts share one integer
+    n, m, back = len(a), len(b), b[::-1]
+    cost = [np.zeros(n + 1, np.int64) for _ in range(3)]  # of this diagonal and the two before, by reference word
+    counts = [np.zeros(n + 1, np.int64) for _ in range(3)]
+    for t in range(1, n + m + 1):
+        cost, counts = [cost[2], *cost[:2]], [counts[2], *counts[:2]]
+        if t <= m:
+            cost[0][0], counts[0][0] = t, t
+        if t <= n:
+            cost[0][t], counts[0][t] = t, t * deletion
+        lo, hi = max(1, t - m), min(n, t - 1)
+        if lo > hi:
+            continue
+        diag, left, up = cost[2][lo - 1 : hi], cost[1][lo - 1 : hi], cost[1][lo : hi + 1]
+        same = a[lo - 1 : hi] == back[m - t + lo : m - t + hi + 1]
+        best = np.minimum(np.minimum(diag, left), up)
+        before = counts[2][lo - 1 : hi]
+        edit = np.where(diag == best, before + substitution, np.where(left == best, counts[1][lo - 1 : hi] + deletion, counts[1][lo : hi + 1] + 1))
+        cost[0][lo : hi + 1] = np.where(same, diag, best + 1)
+        counts[0][lo : hi + 1] = np.where(same, before, edit)
+    end = int(counts[0][n])
+    return end >> 42, end >> 21 & deletion - 1, end & deletion - 1
+
+
+def edit_script(a, b) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) that turn one array of word numbers into another.
+
+    The band around the main diagonal grows fourfold until the distance lies in it, so time follows the length times the distance.  All cells on the way back have costs
+    within the band and see their equals there, so ties fall as in the whole table.
+    """
+    n, m = len(a), len(b)
+    k = max(16, abs(n - m))
+    while (n + 1) * (2 * k + 1) <= BAND_CELLS:
+        k = min(k, max(n, m, 1))
+        rows = _band(a, b, k)
+        if rows[n, m - n + k] <= k or k >= max(n, m):
+            return _way_back(a.tolist(), b.tolist(), rows, k)
+        k *= 4
+    return _counted(a, b)
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _ERRORS]))
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """struct<substitutions,deletions,insertions,hits,reference_length> of the least edit script.
+    """struct<substitutions,deletions,insertions,hits,reference_length> of the least edit script; null if either is.
 
     Equal words align; of equal costs a substitution goes before a deletion, a deletion before an insertion.
-    The table is filled by anti-diagonals, so memory and steps follow the lengths' sum and not their product.
     """
     import numpy as np
 
-    deletion, substitution = 1 << 21, 1 << 42  # a cell's counts share one integer
-
     def work(r, h):
         if r is None or h is None:
             return (None,) * 5
         ids: dict = {}
         a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int64) for x in (r, h))
-        n, m, back = len(a), len(b), b[::-1]
-        cost = [np.zeros(n + 1, np.int64) for _ in range(3)]  # of this diagonal and the two before, by reference word
-        counts = [np.zeros(n + 1, np.int64) for _ in range(3)]
-        for t in range(1, n + m + 1):
-            cost, counts = [cost[2], *cost[:2]], [counts[2], *counts[:2]]
-            if t <= m:
-                cost[0][0], counts[0][0] = t, t
-            if t <= n:
-                cost[0][t], counts[0][t] = t, t * deletion
-            lo, hi = max(1, t - m), min(n, t - 1)
-            if lo > hi:
-                continue
-            diag, left, up = cost[2][lo - 1 : hi], cost[1][lo - 1 : hi], cost[1][lo : hi + 1]
-            same = a[lo - 1 : hi] == back[m - t + lo : m - t + hi + 1]
-            best = np.minimum(np.minimum(diag, left), up)
-            before = counts[2][lo - 1 : hi]
-            edit = np.where(diag == best, before + substitution, np.where(left == best, counts[1][lo - 1 : hi] + deletion, counts[1][lo : hi + 1] + 1))
-            cost[0][lo : hi + 1] = np.where(same, diag, best + 1)
-            counts[0][lo : hi + 1] = np.where(same, before, edit)
-        end = int(counts[0][n])
-        s, d, i = end >> 42, end >> 21 & deletion - 1, end & deletion - 1
-        return s, d, i, n - s - d, n
+        s, d, i = edit_script(a, b)
+        return s, d, i, len(a) - s - d, len(a)
 
     return pd.DataFrame([work(r, h) for r, h in zip(ref, hyp, strict=True)], columns=_ERRORS).astype("Int32")
 
@@ -99,9 +174,19 @@ def weighted_rate(e: Column) -> Column:
     return F.when(n > 0, weighted).when(e["insertions"] > 0, 1.0).otherwise(0.0)
 
 
+#: Distances that are tried before the whole table: a comparison up to a bound takes time by length times bound.
+BOUNDS = (16, 128, 1024, 8192)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Edits between two texts, by bands that grow until the distance lies within."""
+    tried = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in BOUNDS]
+    return F.coalesce(*tried, F.levenshtein(a, b))
+
+
 def character_error(ref: Column, hyp: Column) -> Column:
     a, b = F.array_join(ref, " "), F.array_join(hyp, " ")
-    return F.when(F.length(a) > 0, F.levenshtein(a, b) / F.length(a)).when(F.length(b) > 0, 1.0).otherwise(0.0)
+    return F.when(F.length(a) > 0, distance(a, b) / F.length(a)).when(F.length(b) > 0, 1.0).otherwise(0.0)
 
 
 def repetition_score(tokens: Column) -> Column:

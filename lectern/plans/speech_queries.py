@@ -181,12 +181,17 @@ def v01_tokens(spark, sf_dir):
 
 
 def v05_character_error(spark, sf_dir):
-    """Letters beyond ASCII count as one letter on both sides; DuckDB's distance counts bytes."""
-    plain = lambda c: F.transform(c, lambda w: F.regexp_replace(w, r"[^\x00-\x7F]", "x"))
-    rows = _pairs(spark, sf_dir).withColumns({"ref": plain("ref"), "hyp": plain("hyp")})
+    rows = _pairs(spark, sf_dir)
     return rows.select("conv_id", "turn", F.round(V.character_error(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
+def v03_edit_script(spark, sf_dir):
+    """Words left out, misheard and put in, at places that follow from their number."""
+    hyp = F.flatten(F.transform("ref", lambda w, i: F.when(i % 7 == 3, F.array().cast("array<string>")).when(i % 11 == 4, F.array(F.lit("qq"))).when(i % 5 == 2, F.array(w, F.lit("zz"))).otherwise(F.array(w))))
+    e = V.word_errors(F.col("ref"), hyp)
+    return _pairs(spark, sf_dir).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", "e.*", F.round(V.weighted_rate(F.col("e")), 9).alias("wer"))
+
+
 def v07_truncation(spark, sf_dir):
     rows = _pairs(spark, sf_dir).withColumn("hyp", F.slice("hyp", F.lit(1), F.greatest(F.size("hyp") - F.col("turn") % 3, F.lit(0)).cast("int")))
     return rows.select("conv_id", "turn", V.truncation_score(F.col("ref"), F.col("hyp")).alias("truncation"))
@@ -207,13 +212,24 @@ def v06_repetition(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.repetition_score(F.concat("ref", loop)), 9).alias("repetition"))
 
 
-for _f in (v01_tokens, v03_word_errors, v05_character_error, v06_repetition, v07_truncation, v10_duration):
+for _f in (v01_tokens, v03_word_errors, v03_edit_script, v05_character_error, v06_repetition, v07_truncation, v10_duration):
     QUERIES[_f.__name__] = _f
 SQL["v01_tokens"] = _TOK + "SELECT conv_id, turn, CAST(len(ref) AS BIGINT) AS n_ref, array_to_string(hyp, ' ') AS hyp FROM p"
-SQL["v05_character_error"] = _TOK + ", j AS (SELECT *, regexp_replace(array_to_string(ref, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS a, regexp_replace(array_to_string(hyp, ' '), '[^\\x00-\\x7F]', 'x', 'g') AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
-SQL["v07_truncation"] = _TOK + ", h AS (SELECT conv_id, turn, ref, hyp[1:greatest(len(hyp) - turn % 3, 0)] AS hyp FROM p) SELECT conv_id, turn, CASE WHEN len(ref) >= 4 AND len(hyp) > 0 THEN len(list_filter(ref[-4:], lambda w: NOT list_contains(hyp[-12:], w))) / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS truncation FROM h"
-SQL["v10_duration"] = "WITH x AS (SELECT conv_id, turn, greatest(length(text) / 13.0::DOUBLE, 0.5) AS e, CAST((conv_id + turn) % 40 AS DOUBLE) / 2 AS d FROM conversations), o AS (SELECT *, abs(d - e) / e AS off FROM x) SELECT conv_id, turn, round(CASE WHEN off > 0.35 THEN 0.5::DOUBLE * (off - 0.35::DOUBLE) ELSE 0.0 END, 9) AS penalty FROM o"
-# words left out cost a deletion each and misheard ones a substitution each, and nothing can cost less
+# DuckDB's distance counts bytes, so each letter beyond ASCII is one that the lower-cased words lack
+_PLAIN = "translate(array_to_string({}, ' '), 'ñßíüöóäéèêçàâëîïôûùáú', 'ABCDEFGHIJKLMNOPQRSTU')"
+SQL["v05_character_error"] = _TOK + f", j AS (SELECT *, {_PLAIN.format('ref')} AS a, {_PLAIN.format('hyp')} AS b FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / CAST(length(a) AS DOUBLE) WHEN length(b) > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM j"
+# the whole table, a row a step; a cell is one number of cost, substitutions, deletions and insertions.  Equal words align, of equal costs a
+# substitution comes first, then a deletion
+_TOK_R = _TOK.replace("WITH t AS", "WITH RECURSIVE t AS")
+_EDIT, _SUB, _DEL = 1 << 48, 1 << 32, 1 << 16
+_CELL = f"""CASE WHEN r[i] = h[y[1]] THEN row[y[1]]
+  WHEN (row[y[1]] >> 48) <= (row[y[1] + 1] >> 48) AND (row[y[1]] >> 48) <= (a[-1] >> 48) THEN row[y[1]] + {_EDIT + _SUB}
+  WHEN (row[y[1] + 1] >> 48) <= (a[-1] >> 48) THEN row[y[1] + 1] + {_EDIT + _DEL} ELSE a[-1] + {_EDIT + 1} END"""
+SQL["v03_edit_script"] = _TOK_R + f""", w AS (SELECT conv_id, turn, ref AS r, flatten(list_transform(ref, lambda w, i: CASE WHEN (i - 1) % 7 = 3 THEN [] WHEN (i - 1) % 11 = 4 THEN ['qq'] WHEN (i - 1) % 5 = 2 THEN [w, 'zz'] ELSE [w] END)) AS h FROM t),
+g AS (SELECT conv_id, turn, r, h, CAST(0 AS BIGINT) AS i, list_transform(range(len(h) + 1), lambda j: j * {_EDIT + 1}) AS row FROM w
+ UNION ALL SELECT conv_id, turn, r, h, i, list_reduce(list_prepend([i * {_EDIT + _DEL}], list_transform(range(1, len(h) + 1), lambda j: [j])), lambda a, y: list_append(a, {_CELL})) FROM (SELECT conv_id, turn, r, h, row, i + 1 AS i FROM g WHERE i < len(r)))
+SELECT conv_id, turn, CAST((e >> 32) & 65535 AS INTEGER) AS substitutions, CAST((e >> 16) & 65535 AS INTEGER) AS deletions, CAST(e & 65535 AS INTEGER) AS insertions, CAST(len(r) - ((e >> 32) & 65535) - ((e >> 16) & 65535) AS INTEGER) AS hits, CAST(len(r) AS INTEGER) AS reference_length,
+ round(CASE WHEN len(r) > 0 THEN (((e >> 32) & 65535) * 1.0 + ((e >> 16) & 65535) * 1.5 + (e & 65535) * 1.25) / len(r) WHEN (e & 65535) > 0 THEN 1.0 ELSE 0.0 END, 9) AS wer FROM (SELECT conv_id, turn, r, row[-1] AS e FROM g WHERE i = len(r))"""
 SQL["v03_word_errors"] = _TOK + """, k AS (SELECT conv_id, turn, CAST(len(ref) AS INTEGER) AS n, CAST(len(list_filter(ref, lambda w, i: (i - 1 + turn) % 7 = 3)) AS INTEGER) AS bad, turn % 2 = 1 AS misheard FROM p),
 c AS (SELECT conv_id, turn, n, CASE WHEN misheard THEN bad ELSE 0 END AS s, CASE WHEN misheard THEN 0 ELSE bad END AS d FROM k)
 SELECT conv_id, turn, s AS substitutions, d AS deletions, CAST(0 AS INTEGER) AS insertions, n - s - d AS hits, n AS reference_length, round(CASE WHEN n > 0 THEN (s * 1.0 + d * 1.5)::DOUBLE / n ELSE 0.0 END, 9) AS wer FROM c"""

@@ -5,6 +5,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,30 @@ def test_word_errors_add_up(spark):
         assert e.substitutions + e.deletions + e.insertions == distance(r.r, r.h)
 
 
+def test_bands_give_what_the_whole_table_gives():
+    """Random words with all kinds of edits, ties included; bands that are too narrow at first; long texts in time."""
+    rng = random.Random(8)
+    for _ in range(400):
+        x = [rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randrange(60))]
+        y = list(x)
+        for _ in range(rng.randrange(40)):
+            kind, at = rng.randrange(3), rng.randrange(len(y) + 1)
+            y[at : at + (kind > 0)] = [rng.randrange(6)] if kind < 2 else []
+        a, b = np.array(x, np.int64), np.array(y, np.int64)
+        assert V.edit_script(a, b) == V._counted(a, b)
+    words = [rng.randrange(3000) for _ in range(20_000)]
+    heard = [w for i, w in enumerate(words) for w in ([] if i % 800 == 5 else [w, 1] if i % 800 == 300 else [w])]
+    began = time.time()
+    assert V.edit_script(np.array(words), np.array(heard)) == (0, 25, 25)
+    assert time.time() - began < 5
+
+
+def test_distances_beyond_every_bound(spark):
+    pairs = [("kitten", "sitting", 3), ("", "abc", 3), ("same é", "same é", 0), ("x" * 300, "y" * 300, 300), ("ab" * 1500, "ba" * 1500, 2), ("", "", 0)]
+    rows = spark.createDataFrame(pairs, "a string, b string, d int").select(V.distance(F.col("a"), F.col("b")).alias("got"), "d").collect()
+    assert all(r.got == r.d for r in rows)
+
+
 def test_cues(spark):
     def cues(chunks):
         rows = spark.createDataFrame([(1, i, t, d) for i, (t, d) in enumerate(chunks)], "job_id int, index int, text string, duration double")
