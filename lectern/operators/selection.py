@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.scoring import CER_WEIGHT, REPETITION_WEIGHT, TRUNCATION_WEIGHT
+from lectern.streaming.events import written
 
 ACCEPT = 0.10
 
@@ -51,6 +55,39 @@ def escalate(rounds: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return won.withColumn("n", F.row_number().over(pick)).where("n = 1").drop("n")
 
 
+def escalation(chunks: DataFrame, make: Callable[[DataFrame, int], DataFrame], rank: Callable[[DataFrame], DataFrame], rounds: int, accept: float = ACCEPT) -> tuple[DataFrame, list[int]]:
+    """((chunk_id, round, winner, score, acceptable), takes ranked in each round): rounds of takes until each chunk is settled.
+
+    ``make`` gives the takes (chunk_id, take and more) of a round for the chunks (chunk_id) it is asked for, ``rank`` ranks takes (adds mean_rank, score).  A
+    round asks only for chunks without an acceptable winner so far and ranks all takes of these; after ``rounds`` rounds, one at least, what is left keeps its best.  round
+    is the last round that made takes for the chunk; chunks that never have any do not come out.  Each round is written, so none is made twice.
+    """
+    open_, takes, done, touched = chunks.select("chunk_id"), None, [], []
+    for r in range(max(1, rounds)):
+        new = make(open_, r).withColumn("round", F.lit(r))
+        takes = new if takes is None else takes.join(open_, "chunk_id", "left_semi").unionByName(new)
+        takes = written(takes, "takes")
+        touched.append(takes.count())
+        made = takes.groupBy("chunk_id").agg(F.max("round").alias("round"))
+        won = written(select_winners(rank(takes), accept).join(made, "chunk_id").select("chunk_id", "round", "winner", "score", "acceptable"), "winners")
+        settled = F.coalesce("acceptable", F.lit(False))
+        if r + 1 == max(1, rounds) or won.where(~settled).isEmpty():
+            done.append(won)
+            break
+        done.append(won.where(settled))
+        open_ = written(open_.join(won.where(settled).select("chunk_id"), "chunk_id", "left_anti"), "open")
+    return reduce(DataFrame.unionByName, done), touched
+
+
+def observed(winners: DataFrame) -> tuple[Callable[[], tuple], DataFrame]:
+    """(what was seen, ``winners``): the table to be used in the place of ``winners`` (winner, wer), which tells chunks, retakes and the worst wer as it is read.
+
+    What was seen is a function that waits for the first complete use of the table; no query of its own runs.
+    """
+    seen = Observation()
+    return (lambda: tuple(seen.get[c] for c in ("chunks", "retakes", "worst_wer"))), winners.observe(seen, F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("winner") != 0).alias("retakes"), F.max("wer").alias("worst_wer"))
+
+
 def seeds(base: int, chunk, round_):
     """Seed of the takes of a round of a chunk (columns)."""
     return F.lit(base) + 1000 * chunk + 100 * round_

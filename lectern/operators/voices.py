@@ -57,9 +57,13 @@ def current(events: DataFrame) -> DataFrame:
 MAX_UPLOAD = 50 * 1024 * 1024
 
 
-def favourites_first(voices: DataFrame, favourites: list[str]) -> DataFrame:
-    """(name, favourite), favourites before the others, each in order of name."""
-    return voices.select("name", F.col("name").isin(favourites).alias("favourite")).orderBy(F.desc("favourite"), "name")
+def favourites_first(voices: DataFrame, favourites: list[str], collation: str = "UNICODE") -> DataFrame:
+    """(name, favourite), favourites before the others, each in the order of their names that readers expect: accents and case decide last.
+
+    ``collation`` is one of Spark's, as UNICODE, de or UTF8_BINARY.
+    """
+    rows = voices.select("name", F.col("name").isin(favourites).alias("favourite"))
+    return rows.orderBy(F.desc("favourite"), F.collate("name", collation), "name")
 
 
 def accept_recordings(uploads: DataFrame, voices: DataFrame) -> DataFrame:

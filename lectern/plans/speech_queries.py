@@ -315,20 +315,46 @@ def v20_escalation(spark, sf_dir):
     return selection.escalate(rounds, 0.1)
 
 
+def v20_rounds(spark, sf_dir):
+    """As ``v20_escalation``, but the takes of a round are made for the chunks that are not settled."""
+    line = _line(spark, sf_dir).selectExpr("l_orderkey AS chunk_id", "l_linenumber - 1 AS take", "(l_partkey % 100) / 100D AS score")
+    make = lambda chunks, r: line.where(F.expr(f"cast(take / 2 as int) = {r}")).join(chunks, "chunk_id", "left_semi")
+    won, _ = selection.escalation(line.select("chunk_id").distinct(), make, lambda takes: takes.withColumn("mean_rank", F.lit(0.0)), 4, 0.1)
+    return won.select("chunk_id", "round", "winner", "score", "acceptable")
+
+
+def v22_observed(spark, sf_dir):
+    """What a query on winners tells while it runs."""
+    told, kept = selection.observed(_winners(spark, sf_dir))
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([told()], "chunks long, retakes long, worst_wer double")
+
+
 def v21_seeds(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return line.select("l_orderkey", "l_linenumber", selection.seeds(42, F.col("l_linenumber"), F.col("l_orderkey") % 3).cast("long").alias("seed"))
 
 
-def v22_stats(spark, sf_dir):
+def _winners(spark, sf_dir):
     ranked = _ranked(spark, sf_dir)
-    won = selection.select_winners(ranked).join(ranked.select("chunk_id", F.col("take").alias("winner"), "wer"), ["chunk_id", "winner"])
-    return selection.verification_stats(won)
+    return selection.select_winners(ranked).join(ranked.select("chunk_id", F.col("take").alias("winner"), "wer"), ["chunk_id", "winner"])
+
+
+def v22_stats(spark, sf_dir):
+    return selection.verification_stats(_winners(spark, sf_dir))
 
 
-for _f in (v13_rank_ensemble, v14_winner, v20_escalation, v21_seeds, v22_stats):
+for _f in (v13_rank_ensemble, v14_winner, v20_escalation, v20_rounds, v21_seeds, v22_stats, v22_observed):
     QUERIES[_f.__name__] = _f
-SQL["v13_rank_ensemble"] = _RANK + "SELECT chunk_id, take, CAST(mean_rank AS DOUBLE) AS mean_rank, round(score, 9) AS score, wer FROM z"
+# one row a take with both verifiers side by side
+SQL["v13_rank_ensemble"] = f"""
+WITH s AS (SELECT l_orderkey AS chunk_id, l_linenumber - 1 AS take, CASE WHEN l_partkey % 11 = 0 OR l_orderkey % 97 = 0 THEN NULL ELSE (l_partkey * 3 % 101) / CAST(100 AS DOUBLE) END AS w0,
+  CASE WHEN (l_partkey + 7) % 11 = 0 OR l_orderkey % 5 = 0 OR l_orderkey % 97 = 0 THEN NULL ELSE (l_partkey * 4 % 101) / CAST(100 AS DOUBLE) END AS w1, (l_suppkey % 37) / CAST(100 AS DOUBLE) AS c0, (l_suppkey * 2 % 37) / CAST(100 AS DOUBLE) AS c1,
+  0.4 * ((l_partkey % 3) / CAST(10 AS DOUBLE)) + 0.3 * ((l_suppkey % 4) / CAST(4 AS DOUBLE)) AS spoken, (l_orderkey + l_linenumber) % 5 / CAST(20 AS DOUBLE) AS other FROM {_LINE}),
+a AS (SELECT *, count(w0) OVER (PARTITION BY chunk_id) > 0 AS ok0, count(w1) OVER (PARTITION BY chunk_id) > 0 AS ok1, coalesce(w0 + 0.25 * c0, 1.0) AS k0, coalesce(w1 + 0.25 * c1, 1.0) AS k1, other + CASE WHEN w0 IS NULL AND w1 IS NULL THEN 0 ELSE spoken END AS penalty FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY k0 + penalty, take) - 1 AS r0, row_number() OVER (PARTITION BY chunk_id ORDER BY k1 + penalty, take) - 1 AS r1 FROM a)
+SELECT chunk_id, take, CAST(CASE WHEN ok0 AND ok1 THEN (r0 + r1) / 2.0 WHEN ok0 THEN r0 WHEN ok1 THEN r1 ELSE 0 END AS DOUBLE) AS mean_rank,
+ round(CASE WHEN ok0 AND ok1 THEN (k0 + k1) / 2 + penalty WHEN ok0 THEN k0 + penalty WHEN ok1 THEN k1 + penalty ELSE 0 END, 9) AS score, coalesce(w0, w1) AS wer FROM r"""
 SQL["v14_winner"] = _RANK + "SELECT chunk_id, take AS winner, round(score, 9) AS score, score <= 0.35 AS acceptable FROM b WHERE n = 1"
 SQL["v20_escalation"] = """
 WITH l AS (SELECT l_orderkey AS chunk_id, l_linenumber - 1 AS take, (l_partkey % 100) / CAST(100 AS DOUBLE) AS score, (l_linenumber - 1) // 2 AS own FROM """ + _LINE + """),
@@ -337,8 +363,10 @@ b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, round ORDER BY score,
 w AS (SELECT chunk_id, round, take AS winner, score, score <= 0.1 AS acceptable, max(round) OVER (PARTITION BY chunk_id) AS last FROM b WHERE n = 1),
 x AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN acceptable THEN round ELSE 1000000 - round END) AS k FROM w)
 SELECT chunk_id, CAST(round AS INTEGER) AS round, winner, score, acceptable FROM x WHERE k = 1"""
+SQL["v20_rounds"] = SQL["v20_escalation"]
 SQL["v21_seeds"] = "SELECT l_orderkey, l_linenumber, CAST(42 + 1000 * l_linenumber + 100 * (l_orderkey % 3) AS BIGINT) AS seed FROM lineitem"
 SQL["v22_stats"] = _RANK + "SELECT count(*) AS chunks, count(*) FILTER (take <> 0) AS retakes, max(wer) AS worst_wer FROM b WHERE n = 1"
+SQL["v22_observed"] = SQL["v22_stats"]
 
 
 # --- models plugged in ------------------------------------------------------------------------

@@ -38,6 +38,33 @@ def e06_stream_state(spark, sf_dir):
     return spark.read.schema("session long, id long").parquet(f"{folder}/rows").select("session", F.col("id").alias("event_id"))
 
 
+@query(SQL["e01_settled"])
+def e01_settled_stream(spark, sf_dir):
+    """Bursts that a stream settles as its watermark passes them; a marker after its end closes the last."""
+    folder = _folder(spark, "settled")
+    events = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string"), F.lit(".wav")).alias("path"))
+    marker = spark.range(1).select(F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit("end.wav").alias("path"))
+    marker.where("false").write.parquet(f"{folder}/end")
+    bursts = lambda: streams.settled(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/end")), "1 hour", late="1 hour")
+    _run(bursts(), folder)
+    marker.write.mode("append").parquet(f"{folder}/end")
+    _run(bursts(), folder)
+    return spark.read.schema("path string, settled_at timestamp, n long").parquet(f"{folder}/rows").select("path", F.col("settled_at").cast("timestamp_ntz").alias("settled_at"), "n")
+
+
+@query(SQL["e03_fan_out"])
+def e03_broadcast(spark, sf_dir):
+    """Two subscribers to one reading of a stream."""
+    events = _event_stream(spark, sf_dir)
+    sender = streams.Broadcast(spark, _folder(spark, "broadcast"))
+    heard = {"clicks": "event_type = 'click'", "even": "user_id % 2 = 0"}
+    for name, condition in heard.items():
+        sender.subscribe(name, condition)
+    sender.start(events, availableNow=True).awaitTermination()
+    clicks, even = (sender.heard(n, events.schema).select("event_id", F.lit(n).alias("subscriber")) for n in heard)
+    return clicks.unionByName(even)
+
+
 @query("""SELECT 'created' AS type, 'v' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.wav' ELSE '.WAV' END AS name, CAST(length(s_name) AS BIGINT) AS size, CAST(1 AS BIGINT) AS look FROM supplier
 UNION ALL SELECT 'deleted', 'v' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.wav' ELSE '.WAV' END, length(s_name), 2 FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'changed', 'v' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.wav' ELSE '.WAV' END, 3 + length(s_name), 2 FROM supplier WHERE s_suppkey % 3 = 1""")
@@ -89,12 +116,12 @@ def k05_vtt_files(spark, sf_dir):
     return files.select("name", F.decode("content", "UTF-8").alias("document"))
 
 
-@query("""SELECT lang || '.csv' AS name, 'doc_id,wer,similarity,seconds' || chr(13) || chr(10) || string_agg(doc_id || ',' || printf('%.6f', (doc_id % 17) / cast(100 as double)) || ',' || CASE WHEN doc_id % 4 > 0 THEN printf('%.6f', (doc_id % 7) / cast(8 as double)) ELSE '' END || ',' || printf('%.3f', (doc_id % 19) / cast(4 as double)) || chr(13) || chr(10), '' ORDER BY doc_id) AS document
-FROM documents GROUP BY lang""")
+@query("""SELECT 'run-' || doc_id // 100 || '.csv' AS name, 'doc_id,wer,similarity,seconds' || chr(13) || chr(10) || string_agg(doc_id || ',' || printf('%.6f', (doc_id % 17) / cast(100 as double)) || ',' || CASE WHEN doc_id % 4 > 0 THEN printf('%.6f', (doc_id % 7) / cast(8 as double)) ELSE '' END || ',' || printf('%.3f', (doc_id % 19) / cast(4 as double)) || chr(13) || chr(10), '' ORDER BY doc_id) AS document
+FROM documents GROUP BY doc_id // 100""")
 def k06_csv_files(spark, sf_dir):
-    """A CSV file for each language."""
-    rows = _t(spark, sf_dir, "documents").selectExpr("lang", "doc_id AS line", "doc_id", "(doc_id % 17) / 100D AS wer", "CASE WHEN doc_id % 4 > 0 THEN (doc_id % 7) / 8D END AS similarity", "(doc_id % 19) / 4D AS seconds")
-    blocks = abtest.csv_blocks(rows.select("line", "lang", "doc_id", "wer", "similarity", "seconds"), F.concat("lang", F.lit(".csv")), "line", drop=["lang"])
+    """A CSV file for each run of a hundred documents."""
+    rows = _t(spark, sf_dir, "documents").selectExpr("doc_id div 100 AS run", "doc_id AS line", "doc_id", "(doc_id % 17) / 100D AS wer", "CASE WHEN doc_id % 4 > 0 THEN (doc_id % 7) / 8D END AS similarity", "(doc_id % 19) / 4D AS seconds")
+    blocks = abtest.csv_blocks(rows, F.format_string("run-%d.csv", "run"), "line", drop=["run"])
     return _written(spark, blocks, "csv").select("name", F.decode("content", "UTF-8").alias("document"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -18,6 +19,11 @@ def settled(events: DataFrame, quiet: str = "1 second", late: str = "10 seconds"
     return wav.groupBy(F.session_window("ts", quiet).alias("w"), "path").agg(F.count("*").alias("n")).select("path", F.col("w.end").alias("settled_at"), "n")
 
 
+def dropped_late(query) -> int:
+    """How many rows a streaming query has dropped because they came behind its watermark, as far as its progress is kept."""
+    return sum(s["numRowsDroppedByWatermark"] for p in map(json.loads, (p.json for p in query.recentProgress)) for s in p["stateOperators"])
+
+
 def deletions(events: DataFrame) -> DataFrame:
     return events.where((F.col("type") == "deleted") & F.lower("path").endswith(".wav"))
 
@@ -76,6 +82,58 @@ def fan_out(events: DataFrame, subscribers: dict[str, str], folder: str) -> list
     return [events.where(cond).writeStream.format("parquet").option("path", f"{folder}/{name}").queryName(name).option("checkpointLocation", f"{folder}/_{name}").outputMode("append").start() for name, cond in subscribers.items()]
 
 
+class Broadcast:
+    """One reading of a stream for any number of subscribers, who come and go while it runs.
+
+    A subscriber is a file in ``folder``/subscribers that holds what it hears (a condition) and the batch it hears from.  Each batch is read once and kept until it
+    is written for all, to ``folder``/name/batch=number, in place of what an earlier try of the batch left there.
+    """
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def subscribe(self, name: str, condition: str = "true", first_batch: int = 0) -> None:
+        """From ``first_batch`` on, and not from batches that are done, ``name`` hears the rows that meet ``condition``."""
+        files, path = self._path(f"subscribers/{name}")
+        out = files.create(path, True)
+        out.write(json.dumps({"condition": condition, "first": first_batch}).encode())
+        out.close()
+
+    def unsubscribe(self, name: str) -> None:
+        files, path = self._path(f"subscribers/{name}")
+        files.delete(path, False)
+
+    def subscribers(self) -> dict[str, dict]:
+        files, path = self._path("subscribers")
+        found = files.listStatus(path) if files.exists(path) else []
+        names = sorted(s.getPath().getName() for s in found)
+        return {n: json.loads(self.spark.read.text(f"{self.folder}/subscribers/{n}", wholetext=True).first()[0]) for n in names if not n.startswith((".", "_"))}
+
+    def _send(self, rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            for name, who in self.subscribers().items():
+                if batch >= who["first"]:
+                    rows.where(who["condition"]).write.mode("overwrite").parquet(f"{self.folder}/heard/{name}/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    def start(self, events: DataFrame, **trigger):
+        """A query that sends ``events`` to all subscribers; it goes on after a stop where it was."""
+        return events.writeStream.foreachBatch(self._send).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**trigger).start()
+
+    def heard(self, name: str, schema) -> DataFrame:
+        """What a subscriber has heard so far, with the batch it came in."""
+        files, path = self._path(f"heard/{name}")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/heard/{name}").parquet(f"{self.folder}/heard/{name}/batch=*")
+
+
 def arrivals(spark, folder: str, glob: str = "*.wav", per_batch: int = 1000) -> DataFrame:
     """A stream of the files that come into a folder: (path, modificationTime, length); their contents are not read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
