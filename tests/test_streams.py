@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.sources import watch
-from lectern.streaming import generations
+from lectern.streaming import events, generations
 
 
 def drain(stream, folder):
@@ -114,3 +114,54 @@ def test_registered(name):
     from lectern.plans import queries
 
     assert name in queries.QUERIES and name in queries.SQL
+
+
+def put(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    """Three files, the last with a burst that is late: the batch answer less the late rows, which are told."""
+    source, schema = str(tmp_path / "in"), "ts timestamp, path string"
+    first = [(100, "a.wav"), (101, "a.wav"), (100, "b.WAV"), (103, "n.txt")]
+    second = [(300, "a.wav"), (301, "c.wav")]
+    late = [(105, "late.wav"), (106, "late.wav"), (150, "late.wav")]
+    third = [*late, (600, "d.wav")]
+    dropped = 0
+    for rows in (first, second, third, [(9999, "end.wav")]):
+        put(spark, source, rows, schema)
+        stream = events.settled(spark.readStream.schema(schema).parquet(source), "2 seconds", late="10 seconds")
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped += events.dropped_late(query)
+    plain = lambda df: sorted((r.path, r.settled_at, r.n) for r in df.collect())
+    batch = events.settled(spark.read.schema(schema).parquet(source).where("not (path = 'late.wav') and path <> 'end.wav'"), "2 seconds")
+    assert plain(spark.read.parquet(f"{tmp_path}/rows")) == plain(batch) and dropped == len(late)
+
+
+def test_one_reading_for_all_subscribers(spark, tmp_path):
+    """Rows are read once, a batch that is run again counts once, and a late subscriber hears only what comes after."""
+    source, schema = str(tmp_path / "in"), "ts timestamp, kind string"
+    sender = events.Broadcast(spark, str(tmp_path / "out"))
+    sender.subscribe("all")
+    sender.subscribe("clicks", "kind = 'click'")
+    read = 0
+
+    def run(rows):
+        nonlocal read
+        put(spark, source, rows, schema)
+        query = sender.start(spark.readStream.schema(schema).parquet(source), availableNow=True)
+        query.awaitTermination()
+        read += sum(p.numInputRows for p in query.recentProgress)
+
+    heard = lambda name: sorted((r.kind, r.batch) for r in sender.heard(name, schema).collect())
+    run([(1, "click"), (2, "view")])
+    sender.subscribe("late", "kind <> 'view'", first_batch=1)
+    run([(3, "click"), (4, "key"), (5, "view")])
+    sender.unsubscribe("clicks")
+    run([(6, "click")])
+    assert read == 6
+    assert heard("all") == [("click", 0), ("click", 1), ("click", 2), ("key", 1), ("view", 0), ("view", 1)]
+    assert heard("clicks") == [("click", 0), ("click", 1)] and heard("late") == [("click", 1), ("click", 2), ("key", 1)] and heard("nobody") == []
+    sender._send(spark.createDataFrame([(6, "click")], "ts long, kind string").withColumn("ts", F.timestamp_seconds("ts")), 2)  # run again
+    assert len(heard("all")) == 6
