@@ -1,7 +1,7 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-An item is found in a document if the document holds at least 0.8 of the item's distinct 5-word shingles.  Items
-are partitioned by size (the power of two below their number of shingles).  An item's sketch is its bottom-k
+An item is found in a document if the document holds at least 0.8 of the item's distinct shingles of five words, or of as many as it has if they are fewer.  Items
+are partitioned by size (the power of two below their number of shingles; those of one to four words make a class each, searched among shingles of that length).  An item's sketch is its bottom-k
 MinHash: the k shingles of least hash, where k exceeds the number of shingles that may be missing, so every document
 that holds enough of the item holds a shingle of its sketch: no true pair is lost.  Each size class is searched by itself:
 a document sends it only the shingles whose hash lies below the largest sketch hash of that class, so short items, whose sketches
@@ -21,32 +21,36 @@ CONTAINMENT = 0.8
 BROADCAST_ROWS = 200_000
 
 
-def _first(n: Column, size: int = SHINGLE) -> Column:
-    """How many shingles ``n`` words have: one if they are fewer than ``size`` but some."""
-    return F.greatest(n - (size - 1), F.least(n, F.lit(1)))
+def shingles(w: str, size: int = SHINGLE) -> Column:
+    """Distinct shingles of ``size`` words in column ``w``, joined by a space; none of fewer words."""
+    return F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(F.col(w), i + 1, size), " ")))
 
 
-def shingles(w: str) -> Column:
-    """Distinct shingles of the words in column ``w``, words joined by a space; fewer words than five are one shingle."""
-    return F.array_distinct(F.transform(F.slice(w, 1, _first(F.size(w))), lambda _, i: F.array_join(F.slice(F.col(w), i + 1, SHINGLE), " ")))
+def shingle_hashes(h: str, size: int = SHINGLE) -> Column:
+    """As ``shingles``, hashed, from the word hashes in column ``h``, repeats included."""
+    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (size - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(F.col(h), i + k) for k in range(1, size)]))
 
 
-def shingle_hashes(h: str) -> Column:
-    """As ``shingles``, hashed, from the word hashes in column ``h``, repeats included."""
-    return F.transform(F.slice(h, 1, _first(F.size(h))), lambda x, i: F.xxhash64(x, *[F.get(F.col(h), i + k) for k in range(1, SHINGLE)]))
+def _of_item(column: str, make) -> Column:
+    """What ``make`` gives for an item's own length of shingles."""
+    out = make(column, SHINGLE)
+    for size in range(SHINGLE - 1, 0, -1):
+        out = F.when(F.size(column) == size, make(column, size)).otherwise(out)
+    return out
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """(item_id, ikey, class, hash): the bottom-k MinHash of each item (item_id, ikey, w)."""
+    """(item_id, ikey, class, hash): the bottom-k MinHash of each item (item_id, ikey, w); class is negative, its words less five, for items of fewer words."""
     hashed = items.select("item_id", "ikey", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    ordered = hashed.select("item_id", "ikey", F.array_sort(F.array_distinct(shingle_hashes("h"))).alias("v")).where(F.size("v") > 0)
+    ordered = hashed.select("item_id", "ikey", F.size("h").alias("words"), F.array_sort(F.array_distinct(_of_item("h", shingle_hashes))).alias("v")).where(F.size("v") > 0)
     n = F.size("v")
     k = n - F.ceil(n * CONTAINMENT - 1e-9).cast("int") + 1
-    return ordered.select("item_id", "ikey", (F.length(F.bin(n)) - 1).alias("class"), F.explode(F.slice("v", 1, k)).alias("hash"))
+    kind = F.when(F.col("words") < SHINGLE, F.col("words") - SHINGLE).otherwise(F.length(F.bin(n)) - 1)
+    return ordered.select("item_id", "ikey", kind.alias("class"), F.explode(F.slice("v", 1, k)).alias("hash"))
 
 
 def bounds(sketch: DataFrame) -> dict[int, int]:
-    """The largest sketch hash of each size class, 32 of them at most."""
+    """The largest sketch hash of each size class, 36 of them at most."""
     return {r["class"]: r.top for r in sketch.groupBy("class").agg(F.max("hash").alias("top")).collect()}
 
 
@@ -63,7 +67,8 @@ def _met(rows: DataFrame, table: DataFrame, keys: list[str], small: bool) -> Dat
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, tkey, item_id, n_item, n_shared, containment): each item found in each distinct (doc_id, text).
 
-    Words are runs of non-space characters, lower-cased.  An item of fewer than five words is one shingle and is found only in a document of just these words.
+    Words are runs of non-space characters, lower-cased.  An item of fewer than five words is one shingle and is found wherever these words
+    stand side by side.
     Items and documents without words, or null, give nothing; repeated items and documents give one row, texts that share an item's id are
     judged each.  Ids may be of any type, an item without one finds nothing; other columns are passed over.
     """
@@ -76,8 +81,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if not tops:
         return rows.limit(0).select("doc_id", "tkey", F.lit(None).cast(items.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
     hashed = rows.select("doc_id", "tkey", F.transform(lowered("text"), lambda x: F.xxhash64(x)).alias("h"))
-    hashed = hashed.select("doc_id", "tkey", F.array_distinct(shingle_hashes("h")).alias("v"))
-    own = lambda c, top: F.transform(F.filter("v", lambda x: x <= F.lit(top)), lambda x: F.struct(F.lit(c).alias("class"), x.alias("hash")))
+    short = [SHINGLE + c for c in sorted(tops) if c < 0]
+    hashed = hashed.select("doc_id", "tkey", *[F.array_distinct(shingle_hashes("h", size)).alias(f"v{size}") for size in (*short, SHINGLE)])
+    own = lambda c, top: F.transform(F.filter(f"v{min(SHINGLE, SHINGLE + c)}", lambda x: x <= F.lit(top)), lambda x: F.struct(F.lit(c).alias("class"), x.alias("hash")))
     by_class = [own(c, top) for c, top in sorted(tops.items())]
     low = hashed.select("doc_id", "tkey", F.explode(F.concat(*by_class)).alias("x")).select("doc_id", "tkey", "x.*")
     pairs = checkpointed(_met(low, sketch, ["class", "hash"], small).select("doc_id", "tkey", "item_id", "ikey").distinct())
@@ -85,8 +91,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     few = pairs.count() <= BROADCAST_ROWS
     told = pairs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k")).distinct()
     texts = rows.join(F.broadcast(told) if few else told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "tkey"])
-    have = texts.select("doc_id", "tkey", lowered("text").alias("w")).select("doc_id", "tkey", F.explode(shingles("w")).alias("s"))
-    full = wanted.select("item_id", "ikey", shingles("w").alias("want"))
+    have = texts.select("doc_id", "tkey", lowered("text").alias("w")).select("doc_id", "tkey", F.explode(F.concat(*[shingles("w", size) for size in (*short, SHINGLE)])).alias("s"))
+    full = wanted.select("item_id", "ikey", _of_item("w", shingles).alias("want"))
     each = full.select(F.explode("want").alias("s")).distinct()
     if small:
         have = have.join(F.broadcast(each), "s", "left_semi")
@@ -116,9 +122,11 @@ OP9_SQL = r"""
 WITH t AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 w AS (SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
-s AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
-n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'b' GROUP BY id)
+b AS (SELECT id, w, least(5, len(w)) AS z FROM w WHERE kind = 'b' AND len(w) > 0),
+bs AS (SELECT DISTINCT id, array_to_string(w[i:i + z - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - z + 2)) AS i FROM b)),
+ds AS (SELECT DISTINCT id, array_to_string(w[i:i + z - 1], ' ') AS s FROM (SELECT w.id, w.w, z, unnest(range(1, greatest(len(w.w) - z + 2, 1))) AS i FROM w, (SELECT DISTINCT z FROM b) WHERE kind = 'd')),
+n AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_item, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / any_value(n.n) AS containment
-FROM s d JOIN s b ON d.kind = 'd' AND b.kind = 'b' AND d.s = b.s JOIN n ON n.id = b.id
+FROM ds d JOIN bs b ON d.s = b.s JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """
