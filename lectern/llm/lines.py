@@ -6,18 +6,17 @@ name of the suffix h lines on) among all such pairs in sorted order, equal pairs
 are an interval of the suffix array whose common prefix is d lines or more.  A suffix whose pair is
 unique is settled and leaves; the rounds end when none is left, so they follow the repeated runs and not the corpus.
 
-In each interval the first suffix in the order of (doc_id, line) is the source of the others.  Neighbouring
-suffixes of a document whose sources are neighbours too make up one run, a later copy of one stretch of lines;
-of the runs of all depths those that lie in another are dropped, and the maximal ones left are deleted.  With ``min_words``
-a single line of so many words is a run too, taken from the intervals at depth 1.
+In each interval the first suffix in the order of (doc_id, line) is the source of the others.  How far a suffix has an earlier copy, its
+longest common prefix with any suffix before it, lies between two depths; it is found by descent: each interval with such suffixes is split by the
+names of half the lines further on, then of a quarter and so on, down to one line, and a suffix that is still not the first has so many lines more.
+Of these repeated runs those that lie in another are dropped, and the maximal ones left are deleted.  With ``min_words``
+a single line of so many words is a run too, if it has an earlier copy.
 
 A line's id is a pair of 64-bit hashes, so that distinct lines of the largest corpora stay distinct; names are ranks and exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,40 +64,65 @@ def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
     return rows.join(on, list(_PLACE))
 
 
-def suffix_groups(suffixes: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, tkey, i, depth, src_doc, src_tkey, src_i): for each depth, each suffix that is not the first of its interval.
-
-    Depths are ``min_lines`` and the powers of two above it, and 1 for lines that are runs alone; src is the first suffix of the interval.
+def suffix_names(suffixes: DataFrame, written) -> list[DataFrame]:
+    """For the depths 1, 2, 4, ... the (doc_id, tkey, i, name, first) of suffixes with so many lines that occur more than once; first is the first of the interval."""
+    # Depth 1: lines that occur once are settled at once.
+    ids = ["h1", "h2"]
+    live = written(hot_joined(suffixes, _named(suffixes, ids), ids, "n", suffixes.count()).select(*_PLACE, "lines", "name", "first"))
+    out, depth = [live.select(*_PLACE, "name", "first")], 1
+    while not live.where(F.col("i") + depth < F.col("lines")).isEmpty():
+        live = live.select(*_PLACE, "lines", "name")
+        # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
+        over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
+        pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
+        live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", live.count()).select(*_PLACE, "lines", "name", "first"))
+        depth *= 2
+        out.append(live.where(F.col("i") + depth <= F.col("lines")).select(*_PLACE, "name", "first"))
+    return out
+
+
+def _descended(names: list[DataFrame], written) -> DataFrame:
+    """(doc_id, tkey, i, length, first) of each suffix that has an earlier copy: the lines of the longest, and the first place of these lines.
+
+    A row of the loop is a suffix in an interval (e, g) of suffixes that share ``length`` lines; ``open`` suffixes look for more, the others only show that they
+    share them.  An interval is kept as long as one in it is open, once as it is for those that found no more, and once for each part in which some did.
+    """
+    place, rows = F.struct(*_PLACE), None
+    for k in range(len(names) - 1, -1, -1):
+        copies = names[k].where(place > F.col("first"))
+        if k + 1 < len(names):
+            copies = copies.join(names[k + 1].where(place > F.col("first")).select(*_PLACE), list(_PLACE), "left_anti")
+        copies = written(copies.select(*_PLACE, "name"))
+        asked = copies.groupBy("name").agg(F.count("*").alias("asked"))
+        # all suffixes of the intervals that a copy asks in; these of depth 2^k enter before the step of 2^(k - 1)
+        sizes = names[k].groupBy("name").agg(F.count("*").alias("n")).join(asked, "name")
+        within = hot_joined(names[k], checkpointed(sizes), ["name"], "n", names[k].count())
+        entered = within.join(copies.select(*_PLACE, F.lit(True).alias("open")), list(_PLACE), "left").select(*_PLACE, F.lit(-k).alias("e"), F.col("name").alias("g"), F.lit(1 << k).alias("length"), F.coalesce("open", F.lit(False)).alias("open"), "first")
+        rows = written(entered if rows is None else rows.unionByName(entered))
+        if not k:
+            break
+        step, half = 1 << (k - 1), names[k - 1].select(*_DOC, F.col("i").alias("at"), F.col("name").alias("b"))
+        ahead = rows.withColumn("at", F.col("i") + F.col("length")).join(half, [*_DOC, "at"], "left").withColumn("b", F.coalesce("b", F.lit(_END).cast("long")))
+        ahead = written(ahead.drop("at"))
+        parts = ahead.groupBy("e", "g", "b").agg(F.count("*").alias("n"), F.min(place).alias("lead"), F.count_if("open").alias("open_n"), F.min_by("open", place).alias("lead_open"))
+        parts = parts.withColumn("left", F.when(F.col("b") == _END, F.col("open_n")).otherwise(F.col("lead_open").cast("long")))
+        parts = checkpointed(parts.withColumns({"more": F.col("open_n") > F.col("left"), "id": F.monotonically_increasing_id()}))
+        stuck = parts.groupBy("e", "g").agg(F.sum("left").alias("stuck"), F.count("*").alias("m"))
+        parts = checkpointed(hot_joined(parts, checkpointed(stuck), ["e", "g"], "m", parts.count()).drop("m"))
+        told = hot_joined(ahead, parts, ["e", "g", "b"], "n", ahead.count()).withColumn("found", F.col("open") & (F.col("b") != _END) & (place > F.col("lead")))
+        on = told.where("more").select(*_PLACE, F.lit(k).alias("e"), F.col("id").alias("g"), (F.col("length") + step).alias("length"), F.col("found").alias("open"), F.col("lead").alias("first"))
+        rows = written(on.unionByName(told.where("stuck > 0").select(*_PLACE, "e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")))
+    return rows.where("open").select(*_PLACE, "length", "first")
+
+
+def copied_suffixes(suffixes: DataFrame) -> DataFrame:
+    """(doc_id, tkey, i, length, src_doc, src_tkey, src_i): each suffix that has an earlier copy of a line or more, with the exact length of the longest.
+
+    src is the first place of these lines in the order of (doc_id, tkey, line).
     """
-    place = F.struct(*_PLACE)
-    source = [F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]
-    found = []
-
-    def later(named: DataFrame, depth: int) -> None:
-        if depth >= min_lines or depth == 1:
-            found.append(named.where(place > F.col("first")).select(*_PLACE, F.lit(depth).alias("depth"), *source))
-
     with loop_tables(suffixes.sparkSession, keep=True) as written:
-        # Depth 1: lines that occur once are settled at once.
-        ids = ["h1", "h2"]
-        live = written(hot_joined(suffixes, _named(suffixes, ids), ids, "n", suffixes.count()).select(*_PLACE, "lines", "alone", "name", "first"))
-        later(live if min_lines == 1 else live.where("alone"), 1)
-        live, depth = live.select(*_PLACE, "lines", "name"), 1
-        while True:
-            total = live.count()
-            if depth < min_lines < 2 * depth:  # min_lines is covered by two overlapping prefixes of depth lines
-                pairs = checkpointed(_ahead(live.where(F.col("i") + min_lines <= F.col("lines")), live, min_lines - depth).withColumnRenamed("name", "a"))
-                later(written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select(*_PLACE, "first")), min_lines)
-            # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
-            over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
-            pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
-            live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select(*_PLACE, "lines", "name", "first"))
-            depth *= 2
-            later(live.where(F.col("i") + depth <= F.col("lines")), depth)
-            live = live.select(*_PLACE, "lines", "name")
-            if live.where(F.col("i") + depth < F.col("lines")).isEmpty():
-                break
-        return checkpointed(reduce(DataFrame.unionByName, found))
+        found = _descended(suffix_names(suffixes, written), written)
+        return checkpointed(found.select(*_PLACE, "length", *[F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
@@ -106,19 +130,18 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
 
     Lines are counted from 0 over those with a word; ``end`` is exclusive.  A run is ``min_lines`` lines or more, or with ``min_words``
     a line of so many words.  All its lines stand in the same order from src_start on in src_doc, which is
-    smaller, or before it in the same document.  A run that lies in another of the document is left out; two may overlap.
+    smaller, or before it in the same document; one line more has no earlier copy.  A run that lies in another of the document is left out; two may overlap.
     """
-    marks = suffix_groups(checkpointed(_suffixes(docs, id_col, text_col, min_words)), min_lines).withColumn("shift", F.col("i") - F.col("src_i"))
-    stretch = ["depth", "src_doc", "src_tkey", "shift"]
-    order = Window.partitionBy(*_DOC).orderBy(*stretch, "i")
-    goes_on = F.col("i") == F.lag("i").over(order) + 1
-    for c in stretch:
-        goes_on = goes_on & (F.col(c) == F.lag(c).over(order))
-    marks = marks.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("opens").over(order))
-    ends = [F.min("i").alias("start"), (F.max("i") + F.first("depth")).alias("end"), F.first("depth").alias("depth")]
-    runs = marks.groupBy(*_DOC, "run").agg(*ends, *[F.min(f"src_{c}").alias(f"src_{n}") for c, n in (("doc", "doc"), ("tkey", "tkey"), ("i", "start"))])
-    reach = F.max("end").over(Window.partitionBy(*_DOC).orderBy("start", F.desc("end"), F.desc("depth"), "src_doc", "src_tkey", "src_start").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("reach", reach).where("reach is null or end > reach").drop("reach", "run", "depth")
+    suffixes = checkpointed(_suffixes(docs, id_col, text_col, min_words))
+    runs = copied_suffixes(suffixes)
+    if min_words is not None:
+        runs = runs.join(suffixes.where("alone").select(*_PLACE, "alone"), list(_PLACE), "left")
+    single = F.coalesce("alone", F.lit(False)) if min_words is not None else F.lit(False)
+    runs = runs.where((F.col("length") >= min_lines) | single)
+    end = F.col("i") + F.when(F.col("length") >= min_lines, F.col("length")).otherwise(1)
+    runs = runs.select(*_DOC, F.col("i").alias("start"), end.alias("end"), "src_doc", "src_tkey", F.col("src_i").alias("src_start"))
+    reach = F.max("end").over(Window.partitionBy(*_DOC).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("reach", reach).where("reach is null or end > reach").drop("reach")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, told: tuple[str, str, str] = ("_n_lines", "_n_removed", "_longest_run")) -> DataFrame:
@@ -161,11 +184,12 @@ OP3_SQL = rf"""
 WITH l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 f AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 s AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM f GROUP BY doc_id),
-w AS (SELECT doc_id, i, d, ls[i + 1:i + d] AS k FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s), (SELECT CAST(pow(2, unnest(range(24))) AS BIGINT) AS d)
-  WHERE i + d <= len(ls) AND (d >= {MIN_LINES} OR regexp_matches(ls[i + 1], '^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}'))),
-p AS (SELECT doc_id, i, d, first_value(doc_id) OVER o AS sd, first_value(i) OVER o AS si FROM w WINDOW o AS (PARTITION BY d, k ORDER BY doc_id, i)),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d, sd, i - si ORDER BY i) AS g FROM p WHERE sd <> doc_id OR si <> i),
-r AS (SELECT doc_id, min(i) AS a, max(i) + d AS b FROM g GROUP BY doc_id, d, sd, i - si, g),
+q AS (SELECT doc_id, i, ls, regexp_matches(ls[i + 1], '^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}') AS alone FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s)),
+-- every suffix with every earlier one that starts with the same line: the lines that both go on with
+p AS (SELECT a.doc_id, a.i, a.alone, a.ls[a.i + 1:] AS x, b.ls[b.i + 1:] AS y FROM q a JOIN q b ON a.ls[a.i + 1] = b.ls[b.i + 1] AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))),
+z AS (SELECT doc_id, i, alone, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda k: x[k] = y[k]), false) - 1, least(len(x), len(y))) AS n FROM p),
+g AS (SELECT doc_id, i, alone, max(n) AS n FROM z GROUP BY doc_id, i, alone),
+r AS (SELECT doc_id, i AS a, i + CASE WHEN n >= {MIN_LINES} THEN n ELSE 1 END AS b FROM g WHERE n >= {MIN_LINES} OR alone),
 c AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM r),
 m AS (SELECT doc_id, max(b - a) AS longest FROM r GROUP BY doc_id),
 x AS (SELECT l.doc_id, l.n, l.pos, l.line, c.i IS NOT NULL AS gone FROM l LEFT JOIN f USING (doc_id, pos) LEFT JOIN c ON c.doc_id = f.doc_id AND c.i = f.i)

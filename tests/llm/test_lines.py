@@ -48,40 +48,51 @@ def test_edges(spark):
     assert not lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect()
 
 
-def test_groups_are_intervals(spark):
+def test_lengths_are_those_of_the_longest_earlier_copy(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "q\na\nb\nc\nd"), (3, "b\nc")], "doc_id long, text string")
-    found = {(r.doc_id, r.i, r.depth): (r.src_doc, r.src_i) for r in lines.suffix_groups(lines._suffixes(df, "doc_id", "text")).collect()}
-    assert found == {(2, 1, 2): (1, 0), (2, 2, 2): (1, 1), (2, 3, 2): (1, 2), (3, 0, 2): (1, 1), (2, 1, 4): (1, 0)}
-
-
-def longest_runs(rows, depths):
-    """{doc_id: lines of the longest stretch whose windows of some depth all have their first copies side by side}."""
-    seqs = {d: [x for x in t.split("\n") if x.encode().split()] for d, t in sorted(rows)}
-    best = dict.fromkeys(seqs, 0)
-    for depth in depths:
-        first = {}
-        for d, seq in seqs.items():
-            length, last = 0, None
-            for i in range(len(seq) - depth + 1):
-                source = first.setdefault(tuple(seq[i : i + depth]), (d, i))
-                if source == (d, i):
-                    length, last = 0, None
-                    continue
-                length = length + 1 if last and length and source == (last[0], last[1] + 1) else depth
-                last = source
-                best[d] = max(best[d], length)
-    return best
-
-
-def test_longest_runs(spark):
-    rng = random.Random(9)
-    base = [str(rng.randrange(30)) for _ in range(60)]
+    found = {(r.doc_id, r.i): (r.length, r.src_doc, r.src_i) for r in lines.copied_suffixes(lines._suffixes(df, "doc_id", "text")).collect()}
+    assert found == {(2, 1): (4, 1, 0), (2, 2): (3, 1, 1), (2, 3): (2, 1, 2), (2, 4): (1, 1, 3), (3, 0): (2, 1, 1), (3, 1): (1, 1, 2)}
+
+
+def longest_copies(rows):
+    """{(doc_id, i): (lines, first place)} of the longest earlier copy of each suffix, by comparing it with all before it."""
+    seqs = {d: [x for x in t.split("\n") if x.encode().split()] for d, t in rows}
+    places = sorted((d, i) for d, s in seqs.items() for i in range(len(s)))
+    out = {}
+    for n, (d, i) in enumerate(places):
+        best, first = 0, None
+        for e, j in places[:n]:
+            x, y = seqs[d][i:], seqs[e][j:]
+            same = next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+            if same > best:
+                best, first = same, (e, j)
+        if best:
+            out[d, i] = (best, *first)
+    return out
+
+
+@pytest.mark.parametrize("seed,letters", [(1, 2), (2, 3), (3, 30)])
+def test_all_suffixes_against_all_before_them(spark, seed, letters):
+    """Few lines give runs of all lengths with sources in many documents."""
+    rng = random.Random(seed)
+    base = [str(rng.randrange(letters)) for _ in range(60)]
     rows = []
-    for i in range(60):
-        a, n = rng.randrange(50), rng.randrange(1, 14)
-        rows.append((i, "\n".join([str(rng.randrange(30)) for _ in range(rng.randrange(4))] + base[a : a + n] + [str(rng.randrange(30))])))
-    out = {r.doc_id: r._longest_run for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == longest_runs(rows, [2, 4, 8, 16]) and max(out.values()) > 8
+    for i in range(35):
+        a, n = rng.randrange(50), rng.randrange(1, 22)
+        rows.append((i, "\n".join([str(rng.randrange(letters)) for _ in range(rng.randrange(4))] + base[a : a + n] + [str(rng.randrange(letters))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = longest_copies(rows)
+    got = {(r.doc_id, r.i): (r.length, r.src_doc, r.src_i) for r in lines.copied_suffixes(lines._suffixes(df, "doc_id", "text")).collect()}
+    assert got == want
+    longest = {r.doc_id: r._longest_run for r in lines.dedup_lines(df).collect()}
+    assert longest == {d: max((n for (e, _), (n, *_) in want.items() if e == d and n > 1), default=0) for d, _ in rows}
+
+
+def test_a_run_whose_parts_stand_first_elsewhere(spark):
+    """Pairs of its lines stand first in different documents, all three together in the third."""
+    df = spark.createDataFrame([(1, "A\nB\nY"), (2, "Q\nB\nC\nZ"), (3, "U\nA\nB\nC\nV"), (4, "W\nA\nB\nC\nX")], "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.end, r.src_doc, r.src_start) for r in lines.repeated_runs(df).collect()} == {(3, 1, 3, 1, 0), (3, 2, 4, 2, 1), (4, 1, 4, 3, 1)}
+    assert {r.doc_id: r._longest_run for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 2, 4: 3}
 
 
 def test_every_depth_counts(spark):
