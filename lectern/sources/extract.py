@@ -100,7 +100,12 @@ def _members(content: bytes) -> Iterator[tuple[str, int, str | None, str | None,
     except zipfile.BadZipFile:
         return
     names = z.namelist()
+    seen: set[str] = set()
     for i, name in enumerate(names):
+        if name in seen:  # of members with one name the last is read, for all of them
+            yield "again", i, None, name, None
+            continue
+        seen.add(name)
         try:
             page = b"" if name.lower().endswith((*BINARY, "/")) else z.read(name)
         except Exception:  # noqa: BLE001  members that can't be read are passed over
@@ -121,7 +126,7 @@ def _members(content: bytes) -> Iterator[tuple[str, int, str | None, str | None,
 def members(books: DataFrame) -> DataFrame:
     """(file, kind, ord, id, href, content): archives (file, content) as a relation.
 
-    kind member: href is its name and content its bytes (none for kinds of files that hold no text); item and itemref: id and href of the package; base: href is
+    kind member: href is its name and content its bytes (none for kinds of files that hold no text), again for a name that repeats; item and itemref: id and href of the package; base: href is
     the folder of the package.  A page at a time is unpacked.
     """
 
@@ -150,17 +155,19 @@ def with_book_texts(rows: DataFrame) -> DataFrame:
     key, text = "_book", "text"
     keyed = rows.withColumn(key, F.sha2("content", 256))
     books = keyed.where(F.col("content").isNotNull()).select(F.col(key).alias("file"), "content").dropDuplicates(["file"])
-    held = written(members(books), "members")
+    page = F.when(F.col("content").isNotNull(), strip(html_text(decode(F.col("content"))))).alias("page")
+    held = written(members(books).select("file", "kind", "ord", "id", "href", page), "members")
     kind = lambda k: held.where(F.col("kind") == k)
-    # of members or items with one name the last counts, as when they are looked up
-    last = lambda df, *by: df.groupBy("file", *by).agg(F.max_by(F.struct("href", "content"), "ord").alias("x")).select("file", *by, "x.*")
-    pages = kind("member").groupBy("file", "href").agg(F.max_by("content", "ord").alias("content"), F.collect_list("ord").alias("ords")).withColumnRenamed("href", "name")
-    items = last(kind("item").where("id <> '' and href <> ''"), "id").join(kind("base").select("file", F.col("href").alias("base")), "file")
-    spine = spine_order(kind("itemref").select("file", "ord", F.col("id").alias("idref")), items.select("file", F.col("id").alias("item_id"), "href", "base"), pages.select("file", "name"))
-    loose = pages.where(F.lower("name").rlike(r"\.(xhtml|html|htm)$")).select("file", F.explode("ords").alias("ord"), "name").join(spine.select("file"), "file", "left_anti")
-    read = pages.where(F.col("content").isNotNull()).select("file", "name", strip(html_text(decode(F.col("content")))).alias("page"))
-    ordered = spine.unionByName(loose).join(read, ["file", "name"]).where("page <> ''")
-    joined = ordered.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page"))), lambda p: p["page"]), "\n\n").alias("joined"))
+    names = held.where(F.col("kind").isin("member", "again")).select("file", "ord", F.col("href").alias("name"))
+    # of items with one id the last counts
+    items = kind("item").where("id <> '' and href <> ''").groupBy("file", "id").agg(F.max_by("href", "ord").alias("href")).join(kind("base").select("file", F.col("href").alias("base")), "file")
+    spine = spine_order(kind("itemref").select("file", "ord", F.col("id").alias("idref")), items.select("file", F.col("id").alias("item_id"), "href", "base"), names)
+    loose = names.where(F.lower("name").rlike(r"\.(xhtml|html|htm)$")).join(spine.select("file"), "file", "left_anti").select("file", "ord", "name")
+    order = spine.unionByName(loose).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("order"))
+    # the pages of a book meet once, as its text does, and are looked up by name
+    pages = kind("member").where("page <> ''").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.col("href").alias("k"), F.col("page").alias("v")))).alias("pages"))
+    read = F.filter(F.transform("order", lambda n: F.try_element_at(F.col("pages"), n)), lambda p: p.isNotNull())
+    joined = pages.join(order, "file").select("file", F.array_join(read, "\n\n").alias("joined"))
     tidy = strip(F.regexp_replace(F.regexp_replace("joined", r"[ \t]+", " "), r"\n{3,}", "\n\n"))
     texts = joined.select(F.col("file").alias(key), tidy.alias(text))
     return keyed.join(texts, key, "left").withColumn(text, F.when(F.col("content").isNotNull(), F.coalesce(text, F.lit("")))).drop(key)
