@@ -17,6 +17,8 @@ A line's id is a pair of 64-bit hashes, so that distinct lines of the largest co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +89,16 @@ def _descended(names: list[DataFrame], written) -> DataFrame:
     A row of the loop is a suffix in an interval (e, g) of suffixes that share ``length`` lines; ``open`` suffixes look for more, the others only show that they
     share them.  An interval is kept as long as one in it is open, once as it is for those that found no more, and once for each part in which some did.
     """
-    place, rows = F.struct(*_PLACE), None
-    for k in range(len(names) - 1, -1, -1):
-        copies = names[k].where(place > F.col("first"))
-        if k + 1 < len(names):
-            copies = copies.join(names[k + 1].where(place > F.col("first")).select(*_PLACE), list(_PLACE), "left_anti")
-        copies = written(copies.select(*_PLACE, "name"))
-        asked = copies.groupBy("name").agg(F.count("*").alias("asked"))
-        # all suffixes of the intervals that a copy asks in; these of depth 2^k enter before the step of 2^(k - 1)
-        sizes = names[k].groupBy("name").agg(F.count("*").alias("n")).join(asked, "name")
-        within = hot_joined(names[k], checkpointed(sizes), ["name"], "n", names[k].count())
-        entered = within.join(copies.select(*_PLACE, F.lit(True).alias("open")), list(_PLACE), "left").select(*_PLACE, F.lit(-k).alias("e"), F.col("name").alias("g"), F.lit(1 << k).alias("length"), F.coalesce("open", F.lit(False)).alias("open"), "first")
-        rows = written(entered if rows is None else rows.unionByName(entered))
-        if not k:
-            break
+    place, total, top = F.struct(*_PLACE), names[0].count(), len(names) - 1
+    every = reduce(DataFrame.unionByName, [n.select(*_PLACE, F.lit(-k).alias("e"), F.col("name").alias("g"), "first") for k, n in enumerate(names)])
+    # a copy asks from its greatest depth on; with it enter all suffixes of that interval, those of depth 2^k before the step of 2^(k - 1) lines
+    asking = every.where(place > F.col("first")).groupBy(*_PLACE).agg(F.min_by(F.struct("e", "g"), "e").alias("x")).select(*_PLACE, "x.*", F.lit(True).alias("open"))
+    asking = written(asking)
+    sizes = checkpointed(every.groupBy("e", "g").agg(F.count("*").alias("n")).join(asking.select("e", "g").distinct(), ["e", "g"]))
+    entered = hot_joined(every, sizes, ["e", "g"], "n", total).join(asking.select(*_PLACE, "e", "open"), [*_PLACE, "e"], "left")
+    entered = written(entered.select(*_PLACE, "e", "g", F.expr("shiftleft(1, -e)").alias("length"), F.coalesce("open", F.lit(False)).alias("open"), "first"))
+    rows = entered.where(F.col("e") == -top)
+    for k in range(top, 0, -1):
         step, half = 1 << (k - 1), names[k - 1].select(*_DOC, F.col("i").alias("at"), F.col("name").alias("b"))
         ahead = rows.withColumn("at", F.col("i") + F.col("length")).join(half, [*_DOC, "at"], "left").withColumn("b", F.coalesce("b", F.lit(_END).cast("long")))
         ahead = written(ahead.drop("at"))
@@ -108,10 +106,11 @@ def _descended(names: list[DataFrame], written) -> DataFrame:
         parts = parts.withColumn("left", F.when(F.col("b") == _END, F.col("open_n")).otherwise(F.col("lead_open").cast("long")))
         parts = checkpointed(parts.withColumns({"more": F.col("open_n") > F.col("left"), "id": F.monotonically_increasing_id()}))
         stuck = parts.groupBy("e", "g").agg(F.sum("left").alias("stuck"), F.count("*").alias("m"))
-        parts = checkpointed(hot_joined(parts, checkpointed(stuck), ["e", "g"], "m", parts.count()).drop("m"))
-        told = hot_joined(ahead, parts, ["e", "g", "b"], "n", ahead.count()).withColumn("found", F.col("open") & (F.col("b") != _END) & (place > F.col("lead")))
+        parts = hot_joined(parts, stuck, ["e", "g"], "m", total).drop("m")
+        told = hot_joined(ahead, parts, ["e", "g", "b"], "n", total).withColumn("found", F.col("open") & (F.col("b") != _END) & (place > F.col("lead")))
         on = told.where("more").select(*_PLACE, F.lit(k).alias("e"), F.col("id").alias("g"), (F.col("length") + step).alias("length"), F.col("found").alias("open"), F.col("lead").alias("first"))
-        rows = written(on.unionByName(told.where("stuck > 0").select(*_PLACE, "e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")))
+        stay = told.where("stuck > 0").select(*_PLACE, "e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")
+        rows = written(reduce(DataFrame.unionByName, [on, stay, entered.where(F.col("e") == 1 - k)]))
     return rows.where("open").select(*_PLACE, "length", "first")
 
 
