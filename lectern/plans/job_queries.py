@@ -473,14 +473,17 @@ def _book(titles, texts):
     def page(body: str) -> str:
         return f"<html><head><title>no</title></head><body>{body}</body></html>"
 
+    def put(z, name: str, content: str) -> None:
+        z.writestr(zipfile.ZipInfo(name), content)  # dated alike, so that a book made again is the same book
+
     def one(title: str, text: str) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
+            put(z, "META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
             items = "".join(f'<item id="{i}" href="{i}.xhtml"/>' for i in ("text", "title"))
-            z.writestr("OEBPS/c.opf", f'<package xmlns="http://x"><manifest>{items}</manifest><spine><itemref idref="title"/><itemref idref="gone"/><itemref idref="text"/></spine></package>')
-            z.writestr("OEBPS/text.xhtml", page(f"<p>{html.escape(text)}</p>"))
-            z.writestr("OEBPS/title.xhtml", page(f"<h1>{title}</h1><script>no</script>"))
+            put(z, "OEBPS/c.opf", f'<package xmlns="http://x"><manifest>{items}</manifest><spine><itemref idref="title"/><itemref idref="gone"/><itemref idref="text"/></spine></package>')
+            put(z, "OEBPS/text.xhtml", page(f"<p>{html.escape(text)}</p>"))
+            put(z, "OEBPS/title.xhtml", page(f"<h1>{title}</h1><script>no</script>"))
         return out.getvalue()
 
     return texts.combine(titles, lambda text, title: one(title, text))

@@ -150,7 +150,7 @@ def with_book_texts(rows: DataFrame) -> DataFrame:
     """``rows`` (content and more) with text: that of the EPUB file in content, in reading order, pages that are not blank joined by blank lines.
 
     Reading order is the spine's, as far as the archive holds it, else that of the archive's pages.  Content that is no archive has an empty text, null has none.
-    Equal contents are read once; the pages of a book are told apart, ordered and joined by joins and one grouping.
+    Equal contents are read once, so content must not change from one reading to the next; the pages of a book are told apart, ordered and joined by joins and one grouping.
     """
     key, text = "_book", "text"
     keyed = rows.withColumn(key, F.sha2("content", 256))
