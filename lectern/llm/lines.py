@@ -91,11 +91,16 @@ def _descended(names: list[DataFrame], written) -> DataFrame:
     """
     place, total, top = F.struct(*_PLACE), names[0].count(), len(names) - 1
     every = reduce(DataFrame.unionByName, [n.select(*_PLACE, F.lit(-k).alias("e"), F.col("name").alias("g"), "first") for k, n in enumerate(names)])
+    deep = every.where("e < 0")
     # a copy asks from its greatest depth on; with it enter all suffixes of that interval, those of depth 2^k before the step of 2^(k - 1) lines
-    asking = every.where(place > F.col("first")).groupBy(*_PLACE).agg(F.min_by(F.struct("e", "g"), "e").alias("x")).select(*_PLACE, "x.*", F.lit(True).alias("open"))
+    asking = every.where(place > F.col("first")).groupBy(*_PLACE).agg(F.min_by(F.struct("e", "g", "first"), "e").alias("x")).select(*_PLACE, "x.*", F.lit(True).alias("open"))
     asking = written(asking)
-    sizes = checkpointed(every.groupBy("e", "g").agg(F.count("*").alias("n")).join(asking.select("e", "g").distinct(), ["e", "g"]))
-    entered = hot_joined(every, sizes, ["e", "g"], "n", total).join(asking.select(*_PLACE, "e", "open"), [*_PLACE, "e"], "left")
+    # those that share one line with an earlier suffix and no two have nothing to ask
+    single = asking.where("e = 0").select(*_PLACE, F.lit(1).alias("length"), "first")
+    if not top:
+        return single
+    sizes = checkpointed(deep.groupBy("e", "g").agg(F.count("*").alias("n")).join(asking.where("e < 0").select("e", "g").distinct(), ["e", "g"]))
+    entered = hot_joined(deep, sizes, ["e", "g"], "n", total).join(asking.select(*_PLACE, "e", "open"), [*_PLACE, "e"], "left")
     entered = written(entered.select(*_PLACE, "e", "g", F.expr("shiftleft(1, -e)").alias("length"), F.coalesce("open", F.lit(False)).alias("open"), "first"))
     rows = entered.where(F.col("e") == -top)
     for k in range(top, 0, -1):
@@ -108,10 +113,12 @@ def _descended(names: list[DataFrame], written) -> DataFrame:
         stuck = parts.groupBy("e", "g").agg(F.sum("left").alias("stuck"), F.count("*").alias("m"))
         parts = hot_joined(parts, stuck, ["e", "g"], "m", total).drop("m")
         told = hot_joined(ahead, parts, ["e", "g", "b"], "n", total).withColumn("found", F.col("open") & (F.col("b") != _END) & (place > F.col("lead")))
-        on = told.where("more").select(*_PLACE, F.lit(k).alias("e"), F.col("id").alias("g"), (F.col("length") + step).alias("length"), F.col("found").alias("open"), F.col("lead").alias("first"))
-        stay = told.where("stuck > 0").select(*_PLACE, "e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")
-        rows = written(reduce(DataFrame.unionByName, [on, stay, entered.where(F.col("e") == 1 - k)]))
-    return rows.where("open").select(*_PLACE, "length", "first")
+        on = F.struct(F.lit(k).alias("e"), F.col("id").alias("g"), (F.col("length") + step).alias("length"), F.col("found").alias("open"), F.col("lead").alias("first"))
+        stay = F.struct("e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")
+        both = F.filter(F.array(F.when(F.col("more"), on), F.when(F.col("stuck") > 0, stay)), lambda x: x.isNotNull())
+        rows = told.select(*_PLACE, F.explode(both).alias("x")).select(*_PLACE, "x.*")
+        rows = written(rows.unionByName(entered.where(F.col("e") == 1 - k)) if k > 1 else rows)
+    return rows.where("open").select(*_PLACE, "length", "first").unionByName(single)
 
 
 def copied_suffixes(suffixes: DataFrame) -> DataFrame:
