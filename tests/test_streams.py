@@ -165,3 +165,45 @@ def test_one_reading_for_all_subscribers(spark, tmp_path):
     assert heard("clicks") == [("click", 0), ("click", 1)] and heard("late") == [("click", 1), ("click", 2), ("key", 1)] and heard("nobody") == []
     sender._send(spark.createDataFrame([(6, "click")], "ts long, kind string").withColumn("ts", F.timestamp_seconds("ts")), 2)  # run again
     assert len(heard("all")) == 6
+
+
+def test_calls_to_the_state_follow_the_batches(monkeypatch):
+    """Twenty thousand events of one session cost a call a batch, and come out as a restart in the middle would have them."""
+    import numpy as np
+    import pandas as pd
+
+    calls, timers = [], set()
+
+    class State:
+        def __init__(self, many):
+            self.many, self.v = many, None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: self.v is not None, "get": lambda: iter(self.v) if self.many else self.v, "clear": lambda: setattr(self, "v", None), "update": lambda v: setattr(self, "v", v), "put": lambda v: setattr(self, "v", list(v)), "appendValue": lambda v: setattr(self, "v", [*(self.v or []), v])}[name]
+
+    class Handle:
+        getValueState = lambda self, *a: State(False)
+        getListState = lambda self, *a: State(True)
+        registerTimer = lambda self, at: timers.add(at)
+
+    class At(int):
+        getCurrentWatermarkInMs = getExpiryTimeInMs = int.__int__
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    kind, generation, at = rng.integers(0, 40, n), rng.integers(0, 5, n) + np.arange(n) // 2000, rng.permutation(n) // 3 + 1
+    rows = pd.DataFrame({"at": at, "time": at * 1000 - 1, "ends": pd.array(np.where(kind == 0, generation, None), "Int64"), "generation": generation, "id": pd.array(np.where(kind > 0, np.arange(n), None), "Int64")})
+    one = generations.Wanted(10**9)
+    one.init(Handle())
+    out = list(one.handleInputRows((1,), iter([rows[:10_000], rows[10_000:]]), None))
+    for watermark in (2000, 5000, 10_000):
+        assert min(timers) <= watermark
+        out += one.handleExpiredTimer((1,), At(watermark), At(min(timers)))
+        timers -= {t for t in timers if t <= watermark}
+    ends = rows[rows["ends"].notna()].groupby("at")["ends"].max().cummax().reindex(range(0, n), method="ffill")
+    want = rows[rows["id"].notna()]
+    so_far = ends.loc[want["at"]].to_numpy()
+    want = want[[e is pd.NA or pd.isna(e) or e < g for e, g in zip(so_far, want["generation"])]]
+    got = [i for o in out for i in o["id"]]
+    assert len(got) == len(set(got)) and set(got) == set(want["id"]) and len(calls) < 40
