@@ -32,17 +32,15 @@ def decode(content: Column) -> Column:
     return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(_legacy(content))
 
 
-@F.pandas_udf(T.StringType())
-def _legacy(s):
-    def work(b):
-        if b is None:
-            return None
-        try:
-            return bytes(b).decode("cp1252")
-        except UnicodeDecodeError:
-            return bytes(b).decode("latin-1")
-
-    return s.map(work)
+# a hundred texts at a time: what a worker holds doesn't grow with the partition
+@F.udf(T.StringType(), useArrow=False)
+def _legacy(b):
+    if b is None:
+        return None
+    try:
+        return bytes(b).decode("cp1252")
+    except UnicodeDecodeError:
+        return bytes(b).decode("latin-1")
 
 
 class _Events(HTMLParser):
@@ -70,9 +68,7 @@ def plain_text(html: str | None) -> str | None:
     return "".join("\n" if tag in BLOCK_TAGS else data or "" for (tag, _, data), hidden in zip(page.seen, depth, strict=True) if tag or not hidden)
 
 
-@F.pandas_udf(T.StringType())
-def html_text(s):
-    return s.map(plain_text)
+html_text = F.udf(plain_text, T.StringType(), useArrow=False)
 
 
 def spine_order(spine: DataFrame, manifest: DataFrame, names: DataFrame) -> DataFrame:
