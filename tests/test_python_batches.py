@@ -11,8 +11,8 @@ def planned(spark, sf, name):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["s02_html"])
-def test_sources(spark, sf, name):
+@pytest.mark.parametrize("name", ["s02_html", "p03_row_options", "c09_reflow"])
+def test_texts(spark, sf, name):
     plan = planned(spark, sf, name)
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
 
