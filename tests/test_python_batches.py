@@ -11,7 +11,7 @@ def planned(spark, sf, name):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["s02_html", "p03_row_options", "c09_reflow", "n10_parentheses"])
+@pytest.mark.parametrize("name", ["s02_html", "p03_row_options", "c09_reflow", "n10_parentheses", "d02_denoise"])
 def test_texts(spark, sf, name):
     plan = planned(spark, sf, name)
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
