@@ -181,10 +181,16 @@ def licensed_paragraphs(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id
     family is ``unknown`` unless the probability reaches MIN_PROBABILITY and the templates of the predicted family hold MIN_CONTAINMENT of the paragraph's word pairs.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.explode(sentences(F.col(text_col))).alias("paragraph"))
-    rows = rows.withColumn("w", tokens(F.col("paragraph"))).where(F.size("w") > 0)
+    # words are taken within the generator: a filter on a column would take them again wherever it names it
+    each = F.transform(sentences(F.col(text_col)), lambda s: F.struct(s.alias("paragraph"), tokens(s).alias("w")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.explode(each).alias("x"))
+    rows = rows.select("doc_id", "tkey", "x.paragraph", "x.w").where(F.size("w") > 0)
     # membership in the fixed set of the templates' pairs, by a hash set; no family can hold more of them than all together
     stated = [r.g for r in _rows(spark, templates()).withColumn("w", tokens(F.col("text"))).select(F.explode(pairs("w")).alias("g")).distinct().collect()]
+    # each distinct word that no template holds, but the last, starts a pair of its own that none holds, so whoever has more of them fails the test below
+    vocabulary = sorted({word for g in stated for word in g.split(" ")})
+    strange = F.size(F.array_distinct(F.filter("w", lambda x: ~x.isin(vocabulary))))
+    rows = rows.where(strange <= (1 - MIN_CONTAINMENT) * (F.size("w") - 1) + 1.001)
     rows = rows.withColumn("own", pairs("w")).where(F.size(F.filter("own", lambda x: x.isin(stated))) / F.size("own") >= MIN_CONTAINMENT).drop("own")
     rows = checkpointed(rows.distinct().withColumn("pkey", F.xxhash64("paragraph")))
     # equal paragraphs are judged once
