@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Buckets of a table that is merged by key; a merge writes anew those that its rows fall in.
 BUCKETS = 64
-_BUCKET = "_bucket"
+_BUCKET, _NEW, _TIE = "_bucket", "_new", "_tie"
 
 
 class Conflict(RuntimeError):
@@ -116,38 +116,48 @@ class Table:
         the rows fall in are written anew.  If another writer commits first the merge is made again on what it left.  Null keys are keys like others; rows equal in keys
         and ``order`` are told apart by all their columns.
         """
-        if order is not None or rows.groupBy(*keys).count().where("count > 1").limit(1).count():
-            last = Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), F.xxhash64(*rows.columns))
-            rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        for _ in range(tries):
-            now = self.version()
-            if batch is not None and batch <= now.batches.get(source, -1):
-                return None
-            if now.folders and now.keys != keys:
-                raise ValueError(f"{self.path} is kept by {now.keys or 'no key'}, not by {keys}")
-            n = now.buckets if now.folders else BUCKETS
-            bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-            new = rows.withColumn(_BUCKET, bucket)
-            hit = sorted(str(r[0]) for r in new.select(_BUCKET).distinct().collect())  # at most BUCKETS numbers
+        staging = f"{self.path}/data/{uuid.uuid4().hex}"
+        try:
+            for _ in range(tries):
+                now = self.version()
+                if batch is not None and batch <= now.batches.get(source, -1):
+                    return None
+                if now.folders and now.keys != keys:
+                    raise ValueError(f"{self.path} is kept by {now.keys or 'no key'}, not by {keys}")
+                n = now.buckets if now.folders else BUCKETS
+                if now.folders and not self._names(staging.removeprefix(f"{self.path}/")):
+                    # worked out once, for the buckets they hit and for the merge
+                    rows.write.parquet(staging)
+                    rows = self.spark.read.schema(rows.schema).parquet(staging)
+                new = self._merged(rows, keys, order, now, n)
+                folder = self._write(new, _BUCKET)
+                hit = [f.removeprefix(f"{_BUCKET}=") for f in self._names(folder) if f.startswith(f"{_BUCKET}=")]
+                folders = now.folders | {b: [f"{folder}/{_BUCKET}={b}"] for b in hit}
+                batches = now.batches if batch is None else now.batches | {source: batch}
+                try:
+                    return self._commit(Version(now.number + 1, _ddl(new.drop(_BUCKET)), keys, n, folders, batches))
+                except Conflict:
+                    continue
+            raise Conflict(f"{self.path} was changed by others {tries} times over")
+        finally:
+            files, at = self._fs(staging)
+            files.delete(at, True)
+
+    def _merged(self, rows: DataFrame, keys: list[str], order: str | None, now: Version, n: int) -> DataFrame:
+        """``rows`` and what ``now`` has beside them in the buckets they fall in, with the bucket.
+
+        The rows of a bucket meet once: of equal keys the first stays, new ones before old ones, and the bucket is written where it is.
+        """
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+        every = rows.withColumns({_BUCKET: bucket, _NEW: F.lit(True), _TIE: F.xxhash64(*rows.columns)})
+        if now.folders:
+            hit = [str(r[0]) for r in every.select(_BUCKET).distinct().collect()]  # at most n numbers
             old = [f"{self.path}/{f}" for b in hit for f in now.folders.get(b, [])]
             if old:
                 kept = self.spark.read.schema(now.schema).parquet(*old)
-                same = None
-                for k in keys:
-                    one = kept[k].eqNullSafe(rows[k])
-                    same = one if same is None else same & one
-                left = kept.join(rows, same, "left_anti").withColumn(_BUCKET, bucket)
-                new = new.unionByName(left, allowMissingColumns=True)
-            folders = dict(now.folders)
-            if hit:
-                folder = self._write(new.repartition(_BUCKET), _BUCKET)
-                folders |= {b: [f"{folder}/{_BUCKET}={b}"] for b in hit}
-            batches = now.batches if batch is None else now.batches | {source: batch}
-            try:
-                return self._commit(Version(now.number + 1, _ddl(new.drop(_BUCKET)), keys, n, folders, batches))
-            except Conflict:
-                continue
-        raise Conflict(f"{self.path} was changed by others {tries} times over")
+                every = every.unionByName(kept.withColumns({_BUCKET: bucket, _NEW: F.lit(False)}), allowMissingColumns=True)
+        first = Window.partitionBy(_BUCKET, *keys).orderBy(F.desc(_NEW), *([F.desc_nulls_last(order)] if order else []), _TIE)
+        return every.repartition(_BUCKET).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", _NEW, _TIE)
 
     def merge_stream(self, stream: DataFrame, keys: list[str], order: str | None, source: str, checkpoint: str, **trigger):
         """Starts a query that merges each batch of ``stream``; a batch that is run again after a stop counts once."""
