@@ -82,6 +82,7 @@ def spine_order(spine: DataFrame, manifest: DataFrame, names: DataFrame) -> Data
 
 #: Members of archives with these endings are never read as pages.
 BINARY = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".ttf", ".otf", ".woff", ".woff2", ".mp3", ".mp4", ".m4a", ".css", ".js")
+MEMBER_ROWS = 1000
 MEMBERS = "file string, kind string, ord int, id string, href string, content binary"
 
 
@@ -123,20 +124,21 @@ def members(books: DataFrame) -> DataFrame:
     """(file, kind, ord, id, href, content): archives (file, content) as a relation.
 
     kind member: href is its name and content its bytes (none for kinds of files that hold no text), again for a name that repeats; item and itemref: id and href of the package; base: href is
-    the folder of the package.  A page at a time is unpacked.
+    the folder of the package.  A page at a time is unpacked, and at most 8 MB of them or MEMBER_ROWS rows are held beside it.
     """
 
     def work(batches):
+        # a table costs more than a small book, so books share them
+        out, size = [], 0
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                out, size = [], 0
                 for row in _members(bytes(content) if content is not None else b""):
                     out.append((file, *row))
                     size += len(row[4] or b"")
-                    if size > 8_000_000:
+                    if size > 8_000_000 or len(out) >= MEMBER_ROWS:
                         yield pd.DataFrame(out, columns=columns)
                         out, size = [], 0
-                yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=columns)
 
     columns = ["file", "kind", "ord", "id", "href", "content"]
     return books.select("file", "content").mapInPandas(work, MEMBERS)
