@@ -7,12 +7,14 @@ are an interval of the suffix array whose common prefix is d lines or more.  A s
 unique is settled and leaves; the rounds end when none is left, so they follow the repeated runs and not the corpus.
 
 In each interval the first suffix in the order of (doc_id, line) is the source of the others.  How far a suffix has an earlier copy, its
-longest common prefix with any suffix before it, lies between two depths; it is found by descent: each interval with such suffixes is split by the
+longest common prefix with any suffix before it, lies between two depths; it is found by descent: each interval is split by the
 names of half the lines further on, then of a quarter and so on, down to one line, and a suffix that is still not the first has so many lines more.
 Of these repeated runs those that lie in another are dropped, and the maximal ones left are deleted.  With ``min_words``
 a single line of so many words is a run too, if it has an earlier copy.
 
 A line's id is a pair of 64-bit hashes, so that distinct lines of the largest corpora stay distinct; names are ranks and exact.
+A suffix is its place, one number that rises with (doc_id, line) and goes on by one from line to line; the number after a document's last line is nobody's,
+so what is looked up so many lines further on is never of another document.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ MIN_LINES = 2
 #: A repeated line of fewer words, alone, is a heading or a phrase of its own kind and stays.
 MIN_WORDS = 10
 WORD = r"[^\x20\x09-\x0D]"
-_END = -1
 _PLACE = ("doc_id", "tkey", "i")
 _DOC = ("doc_id", "tkey")
 
@@ -40,85 +41,81 @@ def _has_words(n: int) -> str:
 
 
 def _suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int | None = None) -> DataFrame:
-    """(doc_id, tkey, i, lines, alone, h1, h2): one row per line with a word, i its place among these, alone whether it is a run by itself."""
+    """(place, end, doc_id, tkey, i, lines, alone, h1, h2): one row per line with a word, i its place among these, alone whether it is a run by itself.
+
+    ``end`` is the place after the document's last line.  Places are given as the rows are worked out, so these have to be written once and read from there.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     alone = F.lit(False) if min_words is None else F.lit(True)
     told = lambda x: F.struct((alone & x.rlike(_has_words(min_words or 1))).alias("alone"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))
     seq = rows.select(*_DOC, F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)), told).alias("seq")).where(F.size("seq") > 0)
-    out = seq.select(*_DOC, F.size("seq").alias("lines"), F.posexplode("seq").alias("i", "x")).select(*_PLACE, "lines", "x.*")
+    seq = checkpointed(seq)
     # rows equal in id and text count once
-    repeated = rows.groupBy(*_DOC).count().where("count > 1")
-    return out if repeated.isEmpty() else out.distinct()
+    if not seq.groupBy(*_DOC).count().where("count > 1").isEmpty():
+        seq = seq.dropDuplicates(list(_DOC))
+    out = seq.orderBy(*_DOC).select(*_DOC, F.size("seq").alias("lines"), F.posexplode(F.concat("seq", F.array(F.lit(None)))).alias("i", "x"))
+    out = out.withColumn("place", F.monotonically_increasing_id()).where("x is not null")
+    return out.select("place", (F.col("place") - F.col("i") + F.col("lines")).alias("end"), *_PLACE, "lines", "x.*")
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, name, n, first) of the ``keys`` that occur more than once in ``rows`` (keys, doc_id, tkey, i), ranked in sorted order.
+    """(keys, name, n, first) of the ``keys`` that occur more than once in ``rows`` (keys, place), ranked in sorted order.
 
     ``n`` counts a key's places, ``first`` is the least of them.  The sort is by range over distinct keys; a rank rises with the key and need not be dense.
     """
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     return checkpointed(counted.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"), "n", "first"))
 
 
-def _ahead(rows: DataFrame, names: DataFrame, lines: int) -> DataFrame:
-    """``rows`` with b, the name that ``names`` has ``lines`` further on in the document; rows without one are left out."""
-    on = names.select(*_DOC, (F.col("i") - lines).alias("i"), F.col("name").alias("b"))
-    return rows.join(on, list(_PLACE))
-
-
 def suffix_names(suffixes: DataFrame, written) -> list[DataFrame]:
-    """For the depths 1, 2, 4, ... the (doc_id, tkey, i, name, first) of suffixes with so many lines that occur more than once; first is the first of the interval."""
+    """For the depths 1, 2, 4, ... the (place, name, first) of suffixes with so many lines that occur more than once; first is the first of the interval.
+
+    Those of depth 1 have their end and alone too.
+    """
     # Depth 1: lines that occur once are settled at once.
     ids = ["h1", "h2"]
-    live = written(hot_joined(suffixes, _named(suffixes, ids), ids, "n", suffixes.count()).select(*_PLACE, "lines", "name", "first"))
-    out, depth = [live.select(*_PLACE, "name", "first")], 1
-    while not live.where(F.col("i") + depth < F.col("lines")).isEmpty():
-        live = live.select(*_PLACE, "lines", "name")
-        # a suffix that ends within the next lines pairs with the end; one whose continuation is settled is settled too
-        over = live.where(F.col("i") + depth >= F.col("lines")).withColumn("b", F.lit(_END).cast("long"))
-        pairs = checkpointed(_ahead(live, live, depth).unionByName(over).withColumnRenamed("name", "a"))
-        live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", live.count()).select(*_PLACE, "lines", "name", "first"))
+    rows = suffixes.select("place", "end", "alone", *ids)
+    out, depth = [written(hot_joined(rows, _named(rows, ids), ids, "n", rows.count()).select("place", "end", "alone", "name", "first"))], 1
+    while True:
+        # one whose continuation is settled or ends before is settled too
+        live = out[-1]
+        pairs = live.select("place", F.col("name").alias("a")).join(live.select((F.col("place") - depth).alias("place"), F.col("name").alias("b")), "place")
+        pairs = written(pairs)
+        if not (total := pairs.count()):
+            return out
+        live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select("place", "name", "first"))
+        if live.isEmpty():
+            return out
         depth *= 2
-        out.append(live.where(F.col("i") + depth <= F.col("lines")).select(*_PLACE, "name", "first"))
-    return out
+        out.append(live)
 
 
 def _descended(names: list[DataFrame], written) -> DataFrame:
-    """(doc_id, tkey, i, length, first) of each suffix that has an earlier copy: the lines of the longest, and the first place of these lines.
+    """(place, length, first) of each suffix that has an earlier copy: the lines of the longest, and the first place of these lines.
 
-    A row of the loop is a suffix in an interval (e, g) of suffixes that share ``length`` lines; ``open`` suffixes look for more, the others only show that they
-    share them.  An interval is kept as long as one in it is open, once as it is for those that found no more, and once for each part in which some did.
+    A row of the loop is a suffix that may share more than ``length`` lines with an earlier one, and less than twice the step more.  ``length`` and ``first``,
+    the first place of these lines, are its interval.  Others of the interval are not looked at, but for the first: the first place of any more lines that a suffix shares
+    either has no earlier copy of ``length`` lines, and is ``first``, or its longest one lies within the same bounds, and it is a row itself.
     """
-    place, total, top = F.struct(*_PLACE), names[0].count(), len(names) - 1
-    every = reduce(DataFrame.unionByName, [n.select(*_PLACE, F.lit(-k).alias("e"), F.col("name").alias("g"), "first") for k, n in enumerate(names)])
-    deep = every.where("e < 0")
-    # a copy asks from its greatest depth on; with it enter all suffixes of that interval, those of depth 2^k before the step of 2^(k - 1) lines
-    asking = every.where(place > F.col("first")).groupBy(*_PLACE).agg(F.min_by(F.struct("e", "g", "first"), "e").alias("x")).select(*_PLACE, "x.*", F.lit(True).alias("open"))
-    asking = written(asking)
-    # those that share one line with an earlier suffix and no two have nothing to ask
-    single = asking.where("e = 0").select(*_PLACE, F.lit(1).alias("length"), "first")
-    if not top:
-        return single
-    sizes = checkpointed(deep.groupBy("e", "g").agg(F.count("*").alias("n")).join(asking.where("e < 0").select("e", "g").distinct(), ["e", "g"]))
-    entered = hot_joined(deep, sizes, ["e", "g"], "n", total).join(asking.select(*_PLACE, "e", "open"), [*_PLACE, "e"], "left")
-    entered = written(entered.select(*_PLACE, "e", "g", F.expr("shiftleft(1, -e)").alias("length"), F.coalesce("open", F.lit(False)).alias("open"), "first"))
-    rows = entered.where(F.col("e") == -top)
+    # a copy asks from its greatest depth on; first rises with the depth
+    every = reduce(DataFrame.unionByName, [n.where("place > first").select("place", F.lit(1 << k).cast("long").alias("length"), "first") for k, n in enumerate(names)])
+    asking = written(every.groupBy("place").agg(F.max("length").alias("length"), F.max("first").alias("first")))
+    total, top = asking.count(), len(names) - 1
+    rows = asking.where(F.col("length") == 1 << top)
     for k in range(top, 0, -1):
-        step, half = 1 << (k - 1), names[k - 1].select(*_DOC, F.col("i").alias("at"), F.col("name").alias("b"))
-        ahead = rows.withColumn("at", F.col("i") + F.col("length")).join(half, [*_DOC, "at"], "left").withColumn("b", F.coalesce("b", F.lit(_END).cast("long")))
-        ahead = written(ahead.drop("at"))
-        parts = ahead.groupBy("e", "g", "b").agg(F.count("*").alias("n"), F.min(place).alias("lead"), F.count_if("open").alias("open_n"), F.min_by("open", place).alias("lead_open"))
-        parts = parts.withColumn("left", F.when(F.col("b") == _END, F.col("open_n")).otherwise(F.col("lead_open").cast("long")))
-        parts = checkpointed(parts.withColumns({"more": F.col("open_n") > F.col("left"), "id": F.monotonically_increasing_id()}))
-        stuck = parts.groupBy("e", "g").agg(F.sum("left").alias("stuck"), F.count("*").alias("m"))
-        parts = hot_joined(parts, stuck, ["e", "g"], "m", total).drop("m")
-        told = hot_joined(ahead, parts, ["e", "g", "b"], "n", total).withColumn("found", F.col("open") & (F.col("b") != _END) & (place > F.col("lead")))
-        on = F.struct(F.lit(k).alias("e"), F.col("id").alias("g"), (F.col("length") + step).alias("length"), F.col("found").alias("open"), F.col("lead").alias("first"))
-        stay = F.struct("e", "g", "length", (F.col("open") & ~F.col("found")).alias("open"), "first")
-        both = F.filter(F.array(F.when(F.col("more"), on), F.when(F.col("stuck") > 0, stay)), lambda x: x.isNotNull())
-        rows = told.select(*_PLACE, F.explode(both).alias("x")).select(*_PLACE, "x.*")
-        rows = written(rows.unionByName(entered.where(F.col("e") == 1 - k)) if k > 1 else rows)
-    return rows.where("open").select(*_PLACE, "length", "first").unionByName(single)
+        step = 1 << (k - 1)
+        firsts = rows.select(F.col("first").alias("place"), "length", "first").distinct()
+        half = names[k - 1].select(F.col("place").alias("at"), F.col("name").alias("b"))
+        ahead = rows.unionByName(firsts).withColumn("at", F.col("place") + F.col("length")).join(half, "at", "left").drop("at")
+        ahead = written(ahead)
+        parts = written(ahead.where("b is not null").groupBy("length", "first", "b").agg(F.count("*").alias("n"), F.min("place").alias("lead")))
+        asks = ahead.where("place > first")
+        told = hot_joined(asks.where("b is not null"), parts, ["length", "first", "b"], "n", total)
+        more = F.col("place") > F.col("lead")
+        told = told.select("place", F.when(more, F.col("length") + step).otherwise(F.col("length")).alias("length"), F.when(more, F.col("lead")).otherwise(F.col("first")).alias("first"))
+        # those that share one line with an earlier suffix and no two have nothing to ask
+        rows = written(told.unionByName(asks.where("b is null").drop("b")).unionByName(asking.where(F.col("length") == step)))
+    return rows
 
 
 def copied_suffixes(suffixes: DataFrame) -> DataFrame:
@@ -127,8 +124,29 @@ def copied_suffixes(suffixes: DataFrame) -> DataFrame:
     src is the first place of these lines in the order of (doc_id, tkey, line).
     """
     with loop_tables(suffixes.sparkSession, keep=True) as written:
+        suffixes = written(suffixes)
         found = _descended(suffix_names(suffixes, written), written)
-        return checkpointed(found.select(*_PLACE, "length", *[F.col(f"first.{c}").alias(f"src_{c.removesuffix('_id')}") for c in _PLACE]))
+        return checkpointed(_sources(found.join(suffixes.select("place", *_PLACE), "place"), suffixes, "src_i").select(*_PLACE, "length", "src_doc", "src_tkey", "src_i"))
+
+
+def _sources(rows: DataFrame, suffixes: DataFrame, at: str) -> DataFrame:
+    """``rows`` with src_doc, src_tkey and ``at``, the document and line of the place ``first``."""
+    return rows.join(suffixes.select(F.col("place").alias("first"), F.col("doc_id").alias("src_doc"), F.col("tkey").alias("src_tkey"), F.col("i").alias(at)), "first")
+
+
+def _maximal(docs: DataFrame, min_lines: int, id_col: str, text_col: str, min_words: int | None, sources: bool) -> DataFrame:
+    """(doc_id, tkey, start, end) of ``repeated_runs``, and with ``sources`` its other columns."""
+    with loop_tables(docs.sparkSession, keep=True) as written:
+        suffixes = written(_suffixes(docs, id_col, text_col, min_words))
+        names = suffix_names(suffixes, written)
+        long = F.col("length") >= min_lines
+        runs = _descended(names, written).join(names[0].select("place", "end", "alone"), "place").where(long | F.col("alone"))
+        runs = runs.withColumnRenamed("end", "doc_end").withColumn("stop", F.col("place") + F.when(long, F.col("length")).otherwise(1))
+        reach = F.max("stop").over(Window.partitionBy("doc_end").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        runs = runs.withColumn("reach", reach).where("reach is null or stop > reach")
+        runs = runs.join(suffixes.where("i = 0").select(F.col("end").alias("doc_end"), F.col("place").alias("doc_start"), *_DOC), "doc_end")
+        out = [*_DOC, *[(F.col(c) - F.col("doc_start")).cast("int").alias(name) for c, name in (("place", "start"), ("stop", "end"))]]
+        return checkpointed(_sources(runs, suffixes, "src_start").select(*out, "src_doc", "src_tkey", "src_start") if sources else runs.select(*out))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
@@ -138,16 +156,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
     a line of so many words.  All its lines stand in the same order from src_start on in src_doc, which is
     smaller, or before it in the same document; one line more has no earlier copy.  A run that lies in another of the document is left out; two may overlap.
     """
-    suffixes = checkpointed(_suffixes(docs, id_col, text_col, min_words))
-    runs = copied_suffixes(suffixes)
-    if min_words is not None:
-        runs = runs.join(suffixes.where("alone").select(*_PLACE, "alone"), list(_PLACE), "left")
-    single = F.coalesce("alone", F.lit(False)) if min_words is not None else F.lit(False)
-    runs = runs.where((F.col("length") >= min_lines) | single)
-    end = F.col("i") + F.when(F.col("length") >= min_lines, F.col("length")).otherwise(1)
-    runs = runs.select(*_DOC, F.col("i").alias("start"), end.alias("end"), "src_doc", "src_tkey", F.col("src_i").alias("src_start"))
-    reach = F.max("end").over(Window.partitionBy(*_DOC).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("reach", reach).where("reach is null or end > reach").drop("reach")
+    return _maximal(docs, min_lines, id_col, text_col, min_words, sources=True)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, told: tuple[str, str, str] = ("_n_lines", "_n_removed", "_longest_run")) -> DataFrame:
@@ -161,7 +170,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     """
     docs = docs.drop(*told)
     id_, key, runs, lines, filled, kept = fresh(docs, "_doc", "_tkey", "_runs", "_lines", "_filled", "_kept")
-    found = repeated_runs(docs, min_lines, id_col, text_col, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias(runs))
+    found = _maximal(docs, min_lines, id_col, text_col, min_words, sources=False).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "end")).alias(runs))
     text, at = F.col(text_col), F.col(runs)
     rows = docs.withColumns({id_: F.col(id_col), key: text_key(text)}).join(found.withColumnsRenamed({"doc_id": id_, "tkey": key}), [id_, key], "left").drop(id_, key)
     # Each step refers to the columns of the one before more than once, so that none is worked out again for each line.
