@@ -109,14 +109,19 @@ def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 #: A key is hot if it holds over one in so many of all rows.
 HOT_KEYS = 1000
+#: So many rows of one key don't fill a task.
+FEW_ROWS = 10_000
 
 
-def hot_joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def hot_joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, most: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row per ``keys`` and in ``n`` how many of the ``total`` rows hold them.
 
     Rows of a hot key are joined where they are: there are fewer than ``HOT_KEYS`` such keys at any size of the input, so
-    their part of ``table`` is broadcast.  No key of the shuffled rest can fill a task.
+    their part of ``table`` is broadcast.  No key of the shuffled rest can fill a task.  Where ``most``, which no ``n`` exceeds, says that
+    no key is hot or can fill a task, nothing is: broadcasts are made in the driver, and in a loop its heap fills with those of past rounds.
     """
+    if most is not None and most <= max(total / HOT_KEYS, FEW_ROWS):
+        return rows.join(table, keys)
     hot = F.broadcast(table.where(F.col(n) > total / HOT_KEYS))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= total / HOT_KEYS), keys)
     return rows.join(hot, keys).unionByName(rest)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, fresh, hot_joined, loop_tables, read, text_key
+from lectern.llm.common import FEW_ROWS, checkpointed, fresh, hot_joined, loop_tables, read, text_key
 
 MIN_LINES = 2
 #: A repeated line of fewer words, alone, is a heading or a phrase of its own kind and stays.
@@ -58,13 +58,14 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int | None
     return out.select("place", (F.col("place") - F.col("i") + F.col("lines")).alias("end"), *_PLACE, "lines", "x.*")
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, name, n, first) of the ``keys`` that occur more than once in ``rows`` (keys, place), ranked in sorted order.
+def _named(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """(keys, name, n, first) of the ``keys`` that occur more than once in ``rows`` (keys, place), ranked in sorted order; the sum and the largest of n.
 
     ``n`` counts a key's places, ``first`` is the least of them.  The sort is by range over distinct keys; a rank rises with the key and need not be dense.
     """
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    return checkpointed(counted.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"), "n", "first"))
+    table = checkpointed(counted.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"), "n", "first"))
+    return table, *table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
 
 
 def suffix_names(suffixes: DataFrame, written) -> list[DataFrame]:
@@ -74,20 +75,18 @@ def suffix_names(suffixes: DataFrame, written) -> list[DataFrame]:
     """
     # Depth 1: lines that occur once are settled at once.
     ids = ["h1", "h2"]
-    rows = suffixes.select("place", "end", "alone", *ids)
-    out, depth = [written(hot_joined(rows, _named(rows, ids), ids, "n", rows.count()).select("place", "end", "alone", "name", "first"))], 1
-    while True:
+    table, total, most = _named(suffixes, ids)
+    out, depth = [written(hot_joined(suffixes.select("place", "end", "alone", *ids), table, ids, "n", total, most).select("place", "end", "alone", "name", "first"))], 1
+    while total:
         # one whose continuation is settled or ends before is settled too
         live = out[-1]
         pairs = live.select("place", F.col("name").alias("a")).join(live.select((F.col("place") - depth).alias("place"), F.col("name").alias("b")), "place")
         pairs = written(pairs)
-        if not (total := pairs.count()):
-            return out
-        live = written(hot_joined(pairs, _named(pairs, ["a", "b"]), ["a", "b"], "n", total).select("place", "name", "first"))
-        if live.isEmpty():
-            return out
+        table, total, most = _named(pairs, ["a", "b"])
+        if total:
+            out.append(written(hot_joined(pairs, table, ["a", "b"], "n", total, most).select("place", "name", "first")))
         depth *= 2
-        out.append(live)
+    return out
 
 
 def _descended(names: list[DataFrame], written) -> DataFrame:
@@ -110,7 +109,8 @@ def _descended(names: list[DataFrame], written) -> DataFrame:
         ahead = written(ahead)
         parts = written(ahead.where("b is not null").groupBy("length", "first", "b").agg(F.count("*").alias("n"), F.min("place").alias("lead")))
         asks = ahead.where("place > first")
-        told = hot_joined(asks.where("b is not null"), parts, ["length", "first", "b"], "n", total)
+        most = 2 * total if 2 * total <= FEW_ROWS else parts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        told = hot_joined(asks.where("b is not null"), parts, ["length", "first", "b"], "n", total, most)
         more = F.col("place") > F.col("lead")
         told = told.select("place", F.when(more, F.col("length") + step).otherwise(F.col("length")).alias("length"), F.when(more, F.col("lead")).otherwise(F.col("first")).alias("first"))
         # those that share one line with an earlier suffix and no two have nothing to ask

@@ -356,7 +356,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
         out[np.searchsorted(ids, found["doc_id"].to_numpy())] = np.array(found["x"].tolist()).reshape(-1, 4)
         return out
 
-    return fit_bags([u.split(b"\0") if u else [] for u in map(bytes, rows["units"])], toxic, evidence)
+    one: dict[bytes, bytes] = {}  # a unit of many documents is held once
+    return fit_bags([[one.setdefault(v, v) for v in u.split(b"\0")] if u else [] for u in map(bytes, rows["units"])], toxic, evidence)
 
 
 def score(docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:

@@ -1,7 +1,11 @@
 import random
 
-from lectern.llm import lines
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import common, lines
 from lectern.llm.common import loop_tables
+from lectern.llm.components import connected_components
 
 
 def test_tables_of_the_loop_grow_with_the_copies(spark):
@@ -34,3 +38,21 @@ def test_runs_end_with_their_document(spark):
     rows = [(1, "a\nb"), (2, "c\nd"), (3, "x\na"), (4, "b\nc"), (5, "a"), (6, "b"), (7, "a\nb\n"), (8, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {(r.doc_id, r.start, r.end, r.src_doc, r.src_start) for r in lines.repeated_runs(df).collect()} == {(7, 0, 2, 1, 0)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_loops_broadcast_only_where_a_key_can_fill_a_task(spark, monkeypatch, hot):
+    """Broadcasts are made in the driver, some in each round; the result is the same with them and without."""
+    made, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: made.append(1) or broadcast(df))
+    if hot:
+        for module in (common, lines):
+            monkeypatch.setattr(module, "FEW_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nx"), (3, "a\nb\na\nb"), (4, "a"), (5, "y\nb\nc\nd"), (6, "a"), (7, "a\nb\nc\nd")]
+    runs = lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.end, r.src_doc, r.src_start) for r in runs.collect()} == {(2, 0, 3, 1, 0), (3, 0, 2, 1, 0), (3, 2, 4, 1, 0), (5, 1, 4, 1, 1), (7, 0, 4, 1, 0)}
+    edges = [(1, i) for i in range(2, 9)] + [(8, 9), (9, 20), (30, 31)]
+    roots = connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 1) for i in [*range(1, 10), 20]} | {(30, 30), (31, 30)}
+    assert bool(made) == hot
